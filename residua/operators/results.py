@@ -125,3 +125,12 @@ def impact_rank(variables: DataFrame, by: list[str] | None = None, k: int | None
     window = Window.partitionBy(*(by or [])).orderBy(*order)
     ranked = variables.where(F.col("status") == "validated").withColumn("rank", F.row_number().over(window))
     return ranked.where(F.col("rank") <= k) if k else ranked
+
+
+def strongest(patterns: DataFrame, k: int) -> DataFrame:
+    """The ``k`` patterns with the largest |effect|."""
+    return patterns.orderBy(F.desc(F.abs("effect_size")), "column_name", "sample_count").limit(k)
+
+
+def by_importance(variables: DataFrame, k: int) -> DataFrame:
+    return variables.orderBy(F.desc("importance"), "name").limit(k)

@@ -57,11 +57,12 @@ def drop_bad_lines(df: DataFrame, delimiter: str) -> DataFrame:
     return df.where(keep).drop(BAD)
 
 
-def bad_line_count(df: DataFrame, delimiter: str) -> DataFrame:
-    width = len(df.columns) - 1
-    first = expr.col(df.columns[0])
-    bad = F.col(BAD).isNotNull() & (_fields(F.col(BAD), delimiter) > width)
-    return df.select(first, bad.alias("bad")).agg(F.count_if("bad").alias("bad_lines"), F.count("*").alias("lines"))
+def bad_line_count(spark: SparkSession, paths: list[str] | str, delimiter: str, width: int) -> DataFrame:
+    """Lines with more than ``width`` fields, and all non-blank lines (headers included)."""
+    lines = spark.read.text(paths).where(F.trim("value") != "")
+    return lines.agg(
+        F.count_if(_fields(F.col("value"), delimiter) > width).alias("bad_lines"), F.count("*").alias("lines")
+    )
 
 
 def clean(df: DataFrame) -> DataFrame:
