@@ -42,10 +42,10 @@ def stratified_kfold(df: DataFrame, key: str, target: str, k: int = 5, seed: int
     cls = expr.col(target).cast("string")
     hashed = df.withColumn("__class", cls).withColumn("__h", digest(F.col(key), f"fold{seed}"))
     placed = with_position(hashed, ["__class", "__h", key], "__pos")
-    starts = placed.groupBy("__class").agg(F.min("__pos").alias("__start"))
+    starts = placed.groupBy(F.col("__class").alias("__c")).agg(F.min("__pos").alias("__start"))
     return (
         # one row per class
-        placed.join(starts, F.col("__class").eqNullSafe(starts["__class"]), "left")
+        placed.join(starts, F.col("__class").eqNullSafe(F.col("__c")), "left")
         .select(*df.columns, ((F.col("__pos") - F.col("__start")) % k).cast("int").alias("fold"))
     )
 

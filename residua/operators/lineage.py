@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from residua.functions import expr
+from residua.session import durable
 
 NULL_MARK = "\x00<<NULL>>\x00"
 RENAME_MAX_DISTANCE = 2
@@ -61,8 +62,10 @@ def hamming(a: Column, b: Column) -> Column:
 def classify(prev: DataFrame, curr: DataFrame, max_distance: int = RENAME_MAX_DISTANCE) -> DataFrame:
     """Events between two snapshots: ok, retype, value_change, rename_candidate, drop, add.
 
-    Snapshots hold one row per column, so these joins are over metadata.
+    Snapshots hold one row per column, so these joins are over metadata; they are materialised
+    first so that the hashed tables are read once.
     """
+    prev, curr = durable(prev), durable(curr)
     p = prev.select(
         F.col("column_name").alias("pn"), F.col("dtype").alias("pt"),
         F.col("value_hash").alias("ph"), F.col("position").alias("pp"),

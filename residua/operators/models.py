@@ -25,6 +25,7 @@ from residua.functions import expr
 from residua.functions.hashing import uniform
 from residua.functions.moments import Moments, grouped_moments, linear_column, ridge, total
 from residua.operators.cv import timeseries_bounds
+from residua.session import durable
 
 
 class ResidualModel(Protocol):
@@ -285,8 +286,10 @@ def stack_oof(tables: dict[str, DataFrame], key: str, target: str = "y", alpha:
             joined = t.select(key, "fold", F.col(target).cast("double").alias(target), expr.finite(F.col("prediction")).alias(n))
         else:
             joined = joined.join(t.select(key, expr.finite(F.col("prediction")).alias(n)), key)
-    result = ridge_oof(joined, names, target, alpha)
-    final = RidgeModel(alpha).from_moments(total(list(fold_moments(joined, names, target).values())), names, target)
+    joined = durable(joined)
+    folds = fold_moments(joined, names, target)
+    result = ridge_oof(joined, names, target, alpha, folds)
+    final = RidgeModel(alpha).from_moments(total(list(folds.values())), names, target)
     return result.table, Stack(names, final)
 
 
