@@ -79,7 +79,7 @@ def null_unique_counts(t: Tables) -> DataFrame:
 
 
 @query(
-    "sample_values", "B3", "column_name slot value",
+    "sample_values", "B3", "column_name slot:int value",
     """SELECT column_name, row_number() OVER (PARTITION BY column_name ORDER BY md5(value || ':42'), value) AS slot, value
        FROM (SELECT DISTINCT 'c_name' AS column_name, c_name AS value FROM customer UNION SELECT DISTINCT 'c_mktsegment', c_mktsegment FROM customer
              UNION SELECT DISTINCT 'c_nationkey', c_nationkey::VARCHAR FROM customer)
@@ -198,7 +198,7 @@ def numeric_stats(t: Tables) -> DataFrame:
 
 
 @query(
-    "top_values", "B10", "column_name rank value count pct:4",
+    "top_values", "B10", "column_name rank:int value count pct:4",
     """WITH l AS (SELECT 'o_orderpriority' AS column_name, o_orderpriority AS value FROM orders UNION ALL SELECT 'o_custkey', o_custkey::VARCHAR FROM orders
                  UNION ALL SELECT 'o_orderstatus', o_orderstatus FROM orders),
         c AS (SELECT column_name, value, count(*) AS count FROM l GROUP BY ALL)

@@ -197,7 +197,7 @@ def public_filter(t: Tables) -> DataFrame:
 
 
 @query(
-    "egress_summary", "C9", "rank name effect_size:4 presence_rate:6 n_findings n_blocked",
+    "egress_summary", "C9", "rank:int name effect_size:4 presence_rate:6 n_findings n_blocked",
     f"""SELECT row_number() OVER (ORDER BY importance DESC, name) AS rank, name, importance AS effect_size, presence_rate,
           (SELECT count(*) FROM {EGRESS_SQL} WHERE len(blocked) = 0) AS n_findings, (SELECT count(*) FROM {EGRESS_SQL} WHERE len(blocked) > 0) AS n_blocked
         FROM {EGRESS_SQL} WHERE len(blocked) = 0 QUALIFY row_number() OVER (ORDER BY importance DESC, name) <= 5""",

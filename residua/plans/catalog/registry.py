@@ -1,7 +1,7 @@
 """Registered queries: a Spark builder and, where SQL can say it, the equivalent SQL text.
 
 ``cols`` lists the result columns; ``name:6`` rounds a double to 6 decimals on both sides so
-that summation order does not matter.
+that summation order does not matter, ``name:int`` makes both sides 32-bit integers.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from residua.functions import expr
@@ -23,24 +23,29 @@ class Query:
     covers: str
     build: Callable[["Tables"], DataFrame]
     sql: str | None
-    cols: tuple[tuple[str, int | None], ...]
+    cols: tuple[tuple[str, str | None], ...]
 
     def run(self, spark: SparkSession, folder: str) -> DataFrame:
         df = self.build(Tables(spark, folder))
-        return df.select(
-            *[
-                expr.col(c) if d is None else (F.round(expr.col(c).cast("double"), d) + F.lit(0.0)).alias(c)
-                for c, d in self.cols
-            ]
-        )
+        return df.select(*[_shaped(c, d).alias(c) for c, d in self.cols])
 
     def oracle(self) -> str | None:
         if self.sql is None:
             return None
-        outs = [c if d is None else f"round({c}::DOUBLE, {d}) + 0.0 AS {c}" for c, d in self.cols]
+        outs = [
+            c if d is None else f"{c}::INTEGER AS {c}" if d == "int" else f"round({c}::DOUBLE, {d}) + 0.0 AS {c}"
+            for c, d in self.cols
+        ]
         return f"SELECT {', '.join(outs)} FROM ({self.sql}) q"
 
 
+def _shaped(column: str, form: str | None) -> Column:
+    c = expr.col(column)
+    if form is None:
+        return c
+    return c.cast("int") if form == "int" else F.round(c.cast("double"), int(form)) + F.lit(0.0)
+
+
 class Tables:
     """The input tables of one folder."""
 
@@ -76,7 +81,7 @@ CATALOG: dict[str, Query] = {}
 def query(name: str, covers: str, cols: str, sql: str | None = None):
     """Register a builder under a name; ``covers`` names the operators it exercises."""
     parsed = tuple(
-        (c.split(":")[0], int(c.split(":")[1]) if ":" in c else None) for c in cols.split()
+        (c.split(":")[0], c.split(":")[1] if ":" in c else None) for c in cols.split()
     )
 
     def add(build: Callable[[Tables], DataFrame]):
