@@ -6,7 +6,9 @@ re-partitioned or a task is retried (``rand`` and ``randomSplit`` do change).
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # P(X <= k) for X ~ Poisson(1); fixed values, enough terms for a 32-bit draw.
@@ -47,19 +49,37 @@ def bucket_of(key: Column, salt: str, n: int) -> Column:
     return F.floor(uniform(key, salt) * F.lit(float(n))).cast("int")
 
 
-def poisson_weight(u: Column) -> Column:
-    """Poisson(1) resampling weight for a uniform draw (inverse CDF)."""
+def word(hex_digest: Column, slot: Column | int = 0) -> Column:
+    """The 8 hex digits behind a draw.  Equal-length lower-case hex compares like the number,
+    so thresholds can be tested without converting it."""
+    if isinstance(slot, int):
+        return F.substring(hex_digest, 8 * slot + 1, 8)
+    return F.substr(hex_digest, slot * 8 + 1, F.lit(8))
+
+
+def below(hex_word: Column, share: float) -> Column:
+    """Whether the draw in a word is smaller than ``share``."""
+    limit = math.ceil(share * 4294967296.0)
+    if limit >= 1 << 32:
+        return F.lit(True)
+    return hex_word < F.lit(f"{max(0, limit):08x}")
+
+
+def poisson_weight(hex_word: Column) -> Column:
+    """Poisson(1) resampling weight of a draw (inverse CDF)."""
     expr = F.lit(len(POISSON1_CDF))
     for k in range(len(POISSON1_CDF) - 1, -1, -1):
-        expr = F.when(u < F.lit(POISSON1_CDF[k]), F.lit(k)).otherwise(expr)
+        expr = F.when(below(hex_word, POISSON1_CDF[k]), F.lit(k)).otherwise(expr)
     return expr.cast("int")
 
 
-def poisson_weights(key: Column, seed: int, replicates: int) -> Column:
-    """Array of Poisson(1) weights, one per replicate; one md5 serves four replicates."""
-    weights = []
-    for chunk in range((replicates + 3) // 4):
-        hexed = digest(key, f"{seed}:{chunk}")
-        for slot in range(min(4, replicates - 4 * chunk)):
-            weights.append(poisson_weight(draw(hexed, slot)))
-    return F.array(*weights)
+def with_draws(df: DataFrame, key: Column, salt: str, n: int, index: str, out: str) -> DataFrame:
+    """``n`` draws per row, one output row each: ``index`` 0..n-1 and the hex word ``out``.  One
+    md5 serves four draws, and both expansions stream inside the scan's stage."""
+    chunks = df.select("*", key.cast("string").alias("__k"), F.explode(F.sequence(F.lit(0), F.lit((n - 1) // 4))).alias("__chunk"))
+    hexed = chunks.withColumn("__h", digest(F.col("__k"), F.concat(F.lit(f"{salt}:"), F.col("__chunk").cast("string"))))
+    slots = hexed.select("*", F.explode(F.array(*[F.lit(s) for s in range(4)])).alias("__slot"))
+    drawn = slots.withColumn(index, F.col("__chunk") * 4 + F.col("__slot")).withColumn(out, word(F.col("__h"), F.col("__slot")))
+    if n % 4:
+        drawn = drawn.where(F.col(index) < n)
+    return drawn.drop("__k", "__chunk", "__h", "__slot")

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from residua.functions.dist import binomial_upper, kolmogorov_sf
-from residua.functions.hashing import digest, draw
+from residua.functions.hashing import below, digest, word
 from residua.operators.scan import BinSpec, bh_adjust, ks_scan
+from residua.session import spread
 
 MAX_FPR, ALPHA, MIN_HALF = 0.07, 0.05, 10
 
@@ -19,12 +20,17 @@ def null_scan(df: DataFrame, key: str, residual: str, replicates: int = 20, feat
     scanned together; D between the halves follows from D of one half against all rows.
     """
     n_splits = replicates * features
-    flags = {}
-    for i in range(n_splits):
-        hexed = digest(F.col(key), f"null{seed}:{i // 4}")
-        flags[f"s{i}"] = (draw(hexed, i % 4) < 0.5).cast("string")
-    base = df.select(residual, *[c.alias(n) for n, c in flags.items()])
-    tests = ks_scan(base, [BinSpec(n) for n in flags], residual, min_bin_rows=MIN_HALF).where(F.col("bin_value") == "true")
+    hashed = spread(df.select(residual, F.col(key).cast("string").alias("k"))).select(
+        residual, *[digest(F.col("k"), f"null{seed}:{c}").alias(f"h{c}") for c in range((n_splits + 3) // 4)]
+    )
+    flags = [
+        F.when(below(word(F.col(f"h{i // 4}"), i % 4), 0.5), F.lit("true")).otherwise(F.lit("false")).alias(f"s{i}")
+        for i in range(n_splits)
+    ]
+    specs = [BinSpec(f"s{i}") for i in range(n_splits)]
+    tests = ks_scan(hashed.select(residual, *flags), specs, residual, min_bin_rows=MIN_HALF).where(
+        F.col("bin_value") == "true"
+    )
     w = F.col("sample_count") / F.col("n_total")
     other = F.col("n_total") - F.col("sample_count")
     stat = F.col("ks_stat") / (F.lit(1.0) - w)

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from residua.config import BOOTSTRAP_GATES
 from residua.functions import expr
 from residua.functions.dist import normal_cdf, normal_ppf
-from residua.functions.hashing import digest, draw, poisson_weights
+from residua.functions.hashing import below, poisson_weight, with_draws
 from residua.functions.quantiles import exact_quantiles
 from residua.operators.rules import Rule
+from residua.session import spread
 
 # Gates in the order that decides ties between rejection reasons.
 GATE_REASONS = ["low_variance", "low_range", "support_too_sparse", "support_too_broad"]
@@ -33,15 +34,19 @@ def activity_cuts(df: DataFrame, rules: list[Rule]) -> dict[str, float]:
     return cuts
 
 
+def _weighted(df: DataFrame, seed: int, replicates: int) -> DataFrame:
+    """One row per (row, replicate) with a positive Poisson(1) weight ``w``; key column ``k``."""
+    drawn = with_draws(df, F.col("k"), str(seed), replicates, "replicate", "u")
+    return drawn.withColumn("w", poisson_weight(F.col("u"))).where(F.col("w") > 0)
+
+
 def replicate_stats(df: DataFrame, key: str, rules: list[Rule], replicates: int = 50, seed: int = 42, cuts: dict[str, float] | None = None) -> DataFrame:
     """Poisson bootstrap: variance, range, support and standardised range of each rule in each
     replicate.  Weights come from the row key; nothing is resampled or shuffled before the
     aggregation, whose output is replicates x rules."""
     cuts = cuts or activity_cuts(df, rules)
-    rows = df.select(
-        F.array(*[r.column() for r in rules]).alias("s"),
-        F.posexplode(poisson_weights(F.col(key), seed, replicates)).alias("replicate", "w"),
-    ).where(F.col("w") > 0)
+    scored = spread(df.select(F.col(key).alias("k"), F.array(*[r.column() for r in rules]).alias("s")))
+    rows = _weighted(scored, seed, replicates)
     cells = []
     for i, r in enumerate(rules):
         s, w = F.get("s", F.lit(i)), F.col("w").cast("double")
@@ -109,9 +114,8 @@ def rejection_reason() -> Column:
 
 def bootstrap_means(df: DataFrame, key: str, value: Column, replicates: int = 50, seed: int = 42) -> DataFrame:
     """Bootstrap distribution of a mean: one row per replicate."""
-    rows = df.select(
-        value.cast("double").alias("v"), F.posexplode(poisson_weights(F.col(key), seed, replicates)).alias("replicate", "w")
-    ).where((F.col("w") > 0) & F.col("v").isNotNull())
+    base = df.select(F.col(key).alias("k"), value.cast("double").alias("v")).where(F.col("v").isNotNull())
+    rows = _weighted(spread(base), seed, replicates)
     return rows.groupBy("replicate").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("statistic"))
 
 
@@ -207,11 +211,9 @@ def permutation_test(df: DataFrame, key: str, value: Column, in_group: Column, p
     )
     observed = group_d(base, F.col("v"), F.col("g")).first()
     share = observed["n_in"] / (observed["n_in"] + observed["n_out"])
-    draws = []
-    for chunk in range((permutations + 3) // 4):
-        hexed = digest(F.col("k"), f"perm{seed}:{chunk}")
-        draws += [draw(hexed, s) < F.lit(share) for s in range(min(4, permutations - 4 * chunk))]
-    rows = base.select("v", F.posexplode(F.array(*draws)).alias("replicate", "inside"))
+    rows = with_draws(spread(base.select("k", "v")), F.col("k"), f"perm{seed}", permutations, "replicate", "u").select(
+        "v", "replicate", below(F.col("u"), share).alias("inside")
+    )
     one, two = F.when(F.col("inside"), F.col("v")), F.when(~F.col("inside"), F.col("v"))
     d = rows.groupBy("replicate").agg(
         F.count(one).cast("double").alias("n1"), F.count(two).cast("double").alias("n2"),

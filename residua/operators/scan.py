@@ -11,11 +11,11 @@ from residua.functions import expr
 from residua.functions.buckets import add_bucket, interval_index
 from residua.functions.dist import kolmogorov_sf
 from residua.functions.quantiles import SKETCH_ACCURACY, exact_quantiles
-from residua.session import durable
+from residua.session import durable, spread
 
 ALL = "__all__"
 ROWS_PER_RANGE = 2_000_000
-MIN_RANGES, MAX_RANGES = 64, 4096
+MIN_RANGES, MAX_RANGES = 1024, 4096
 BROADCAST_ROWS = 200_000
 
 
@@ -150,10 +150,11 @@ def ks_scan(
     base = df.where(F.col(residual).isNotNull() & ~F.isnan(F.col(residual)))
     columns = list(dict.fromkeys([s.column for s in specs]))
     base = base.select(F.col(residual).cast("double").alias("__e"), *[expr.col(c) for c in columns])
-    n_rows = base.count()
-    wanted = ranges or min(MAX_RANGES, max(MIN_RANGES, n_rows // ROWS_PER_RANGE))
-    marks = [i / wanted for i in range(1, wanted)]
-    cuts = base.agg(F.percentile_approx("__e", marks, SKETCH_ACCURACY)).first()[0] or []
+    cuts, n_rows = _cuts(base, ranges or MIN_RANGES)
+    wanted = min(MAX_RANGES, n_rows // ROWS_PER_RANGE)
+    if ranges is None and wanted > MIN_RANGES:
+        cuts, _ = _cuts(base, wanted)
+    base = spread(base)
     long = memberships(
         add_bucket(base, "__e", list(cuts), "__r"), specs, ["__e", "__r"], with_all=True
     )
@@ -203,6 +204,14 @@ def ks_scan(
     )
 
 
+def _cuts(base: DataFrame, ranges: int) -> tuple[list[float], int]:
+    """Approximate quantiles of ``__e`` that cut it into ``ranges`` parts, and the row count."""
+    marks = ", ".join(f"{i / ranges}D" for i in range(1, ranges))
+    sketch = F.expr(f"percentile_approx(__e, array({marks}), {SKETCH_ACCURACY})")
+    row = base.agg(sketch.alias("q"), F.count("*").alias("n")).first()
+    return list(row["q"] or []), row["n"]
+
+
 def _range_bounds(counts: DataFrame) -> DataFrame:
     """Per (bin, range): both ECDFs at its borders, the border distance and the largest
     distance possible inside.  Windows run over at most MAX_RANGES rows per bin."""

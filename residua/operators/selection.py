@@ -17,7 +17,7 @@ def holdout_r2(train: Moments, holdout: Moments, columns: list[str], target: str
     a, b = ridge(train, columns, target, alpha)
     y = holdout.index([target])[0]
     sst = holdout.scatter[y, y]
-    return 1.0 - quadratic_error(holdout, columns, target, a, b) / sst if sst > 0 else 0.0
+    return float(1.0 - quadratic_error(holdout, columns, target, a, b) / sst) if sst > 0 else 0.0
 
 
 def forward_selection(train: DataFrame, holdout: DataFrame, features: list[str], rules: list[Rule], target: str, alpha: float = 1.0) -> list[dict]:

@@ -9,6 +9,7 @@ from residua.operators import cluster, models, patterns, prep, regime, scan, tem
 from residua.plans.catalog.a_sources import EVENT_PATTERNS, RIDGE_OOF, event_patterns
 from residua.plans.catalog.e_models import folded_orders
 from residua.plans.catalog.registry import EVENT_FRAME, ORDER_FRAME, Tables, query
+from residua.session import durable
 
 KOLMOGOROV = """CASE WHEN x < 0.2 THEN 1.0 ELSE least(1.0, greatest(0.0, 2 * list_sum(list_transform(range(1, 101),
    lambda k: CASE WHEN k % 2 = 1 THEN 1.0 ELSE -1.0 END * exp(-2.0 * k * k * x * x))))) END"""
@@ -35,8 +36,9 @@ RESIDUAL_MEMBERS = f"""WITH {RIDGE_OOF} SELECT 'o_orderpriority' AS column_name,
 @query("residual_scan", "E2 E6 E16 G3 G4 G5 G6 G7", TEST_COLS, f"SELECT * FROM {scan_sql(RESIDUAL_MEMBERS)}")
 def residual_scan(t: Tables) -> DataFrame:
     """Flagship: cross-fitted ridge residuals of order prices, scanned by category."""
-    oof = models.ridge_oof(folded_orders(t), ["c_acctbal"], "y").table
-    specs = [scan.BinSpec(c) for c in ("o_orderpriority", "o_orderstatus", "c_mktsegment")]
+    columns = ["o_orderpriority", "o_orderstatus", "c_mktsegment"]
+    oof = durable(models.ridge_oof(folded_orders(t), ["c_acctbal"], "y").table.select("residual", *columns))
+    specs = [scan.BinSpec(c) for c in columns]
     return scan.bh_adjust(scan.ks_scan(oof, specs, "residual")).withColumnRenamed("bin_value", "bin")
 
 

@@ -44,3 +44,15 @@ def durable(df: DataFrame) -> DataFrame:
     and lost executors do not force a recomputation of a non-repeatable plan."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+SPREAD_BYTES = 4 * 1024 * 1024
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a small input enough partitions for work that multiplies rows.  Decided from the
+    plan's size estimate: inputs that already have a split per core are left alone, so no
+    large table is shuffled for this."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < SPREAD_BYTES * cores else df
