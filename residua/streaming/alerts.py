@@ -101,7 +101,8 @@ def sustained_stream(flags: DataFrame, step_seconds: int, min_seconds: int, by:
             if seconds >= min_seconds and seconds - step_seconds < min_seconds:
                 out.append((key[0], pd.Timestamp(run_start, unit="s"), windows, seconds))
         state.update((int(run_start), int(last), int(windows)))
-        yield pd.DataFrame(out, columns=[by, "run_start", "windows", "seconds"])
+        if out:
+            yield pd.DataFrame(out, columns=[by, "run_start", "windows", "seconds"])
 
     rows = flags.select(
         by, F.unix_timestamp(F.col(start).cast("timestamp")).alias("t"), F.col(firing).alias("on")
