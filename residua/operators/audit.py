@@ -33,12 +33,15 @@ def null_scan(df: DataFrame, key: str, residual: str, replicates: int = 20, feat
     )
     w = F.col("sample_count") / F.col("n_total")
     other = F.col("n_total") - F.col("sample_count")
-    stat = F.col("ks_stat") / (F.lit(1.0) - w)
     en = F.col("sample_count") * other / F.col("n_total")
     index = F.substring("column_name", 2, 10).cast("int")
-    return tests.where(other >= MIN_HALF).select(
-        F.floor(index / features).cast("int").alias("replicate"), (index % features).alias("feature"),
-        "sample_count", stat.alias("ks_stat"), kolmogorov_sf(F.sqrt(en) * stat).alias("p_value"),
+    halves = tests.where(other >= MIN_HALF).select(
+        F.floor(index / features).cast("int").alias("replicate"), (index % features).alias("feature"), "sample_count",
+        (F.col("ks_stat") / (F.lit(1.0) - w)).alias("stat"), F.sqrt(en).alias("root_en"),
+    )
+    return halves.select(
+        "replicate", "feature", "sample_count", F.col("stat").alias("ks_stat"),
+        kolmogorov_sf(F.col("root_en") * F.col("stat")).alias("p_value"),
     )
 
 

@@ -309,10 +309,10 @@ def class_imbalance(df: DataFrame, target: str) -> DataFrame:
     )
 
 
-def target_stats(df: DataFrame, target: str) -> DataFrame:
+def target_stats(df: DataFrame, target: str, decimals: int = 4) -> DataFrame:
     """Numeric target: mean, std, min, max, median.  Text target: its ten top values."""
     if expr.is_numeric(df.schema[target]):
-        return numeric_stats(df, [target]).select("column_name", "mean", "std", "min", "max", "median")
+        return numeric_stats(df, [target], decimals).select("column_name", "mean", "std", "min", "max", "median")
     return top_values(df, [target])
 
 

@@ -30,14 +30,20 @@ def csv_scan(t: Tables) -> DataFrame:
     )
 
 
-@query("csv_probe", "A2 A3", "delimiter encoding n_fields")
+@query(
+    "csv_probe", "A2 A3", "delimiter encoding n_fields",
+    "SELECT DISTINCT CASE WHEN o_orderstatus = 'O' THEN ';' ELSE ',' END AS delimiter, 'UTF-8' AS encoding, 5 AS n_fields FROM orders",
+)
 def csv_probe(t: Tables) -> DataFrame:
     return files.probe(t.spark, _write_dialects(t)).select(
         "delimiter", "encoding", F.size("header").alias("n_fields")
     ).distinct()
 
 
-@query("encoding_probe", "A3", "folder encoding")
+@query(
+    "encoding_probe", "A3", "folder encoding",
+    "SELECT DISTINCT f AS folder, f AS encoding FROM documents, (VALUES ('UTF-8'), ('ISO-8859-1')) v(f)",
+)
 def encoding_probe(t: Tables) -> DataFrame:
     root = t.scratch()
     text = t.documents.select("doc_id", F.regexp_replace("text", r"[^\x00-\xff]|[\r\n]", " ").alias("text"))
@@ -105,7 +111,7 @@ def clean_table(t: Tables) -> DataFrame:
     return tables.clean(messy)
 
 
-@query("file_dedup", "A8", "new_files known_files")
+@query("file_dedup", "A8", "new_files known_files", "SELECT count(DISTINCT o_orderstatus) - 1 AS new_files, count(DISTINCT o_orderstatus) FILTER (o_orderstatus = 'P') AS known_files FROM orders")
 def file_dedup(t: Tables) -> DataFrame:
     root = t.scratch()
     rows = t.orders.select("o_orderkey", "o_orderstatus")
@@ -254,7 +260,11 @@ def event_log(t: Tables) -> DataFrame:
     )
 
 
-@query("full_report", "A16", "n_patterns n_variables size_ok")
+@query(
+    "full_report", "A16", "n_patterns:int n_variables:int rows strongest:6",
+    """SELECT least(20, (SELECT count(*) FROM (SELECT DISTINCT user_id, event_type FROM events))) AS n_patterns, least(20, count(*)) AS n_variables, count(*) AS rows,
+         (SELECT max(m) FROM (SELECT avg(value) / 50 AS m FROM events GROUP BY user_id, event_type)) AS strongest FROM customer""",
+)
 def full_report(t: Tables) -> DataFrame:
     from residua.operators.results import by_importance, strongest
 
@@ -266,7 +276,8 @@ def full_report(t: Tables) -> DataFrame:
     return doc.select(
         F.json_array_length(F.get_json_object("value", "$.patterns")).alias("n_patterns"),
         F.json_array_length(F.get_json_object("value", "$.latent_variables")).alias("n_variables"),
-        (F.length("value") > 100).alias("size_ok"),
+        F.get_json_object("value", "$.dataset.rows").cast("long").alias("rows"),
+        F.array_max(F.from_json(F.get_json_object("value", "$.patterns[*].effect_size"), "array<double>")).alias("strongest"),
     )
 
 

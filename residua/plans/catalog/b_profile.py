@@ -237,7 +237,7 @@ def class_imbalance(t: Tables) -> DataFrame:
     "SELECT 'c_acctbal' AS column_name, avg(c_acctbal) AS mean, stddev_samp(c_acctbal) AS std, min(c_acctbal) AS min, max(c_acctbal) AS max, quantile_cont(c_acctbal, 0.5) AS median FROM customer",
 )
 def target_stats(t: Tables) -> DataFrame:
-    return profile.target_stats(t.customer, "c_acctbal")
+    return profile.target_stats(t.customer, "c_acctbal", 9)
 
 
 LINE_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]

@@ -418,7 +418,8 @@ def mask_dedup(t: Tables) -> DataFrame:
 
 @query(
     "regime_bypass", "G30", "pattern_type n",
-    f"""SELECT 'scored' AS pattern_type, count(*) AS n FROM {SCORED_SQL} UNION ALL SELECT 'variance_regime', 1 FROM ({_lr_sql('user_no')}) WHERE lr_stat > 3.84""",
+    f"""SELECT 'scored' AS pattern_type, count(*) AS n FROM {SCORED_SQL} UNION ALL SELECT 'variance_regime', 1
+        FROM ({_lr_sql('user_no')}) l JOIN ({_spread_sql('user_no')}) s ON l.feature = s.feature WHERE lr_stat > 3.84 AND spread_ratio >= 2""",
 )
 def regime_bypass(t: Tables) -> DataFrame:
     scored = scored_patterns(t).withColumn("pattern_type", F.lit("scored"))

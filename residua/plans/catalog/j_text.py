@@ -32,14 +32,31 @@ def sanitised_text(t: Tables) -> DataFrame:
     return t.pages.select("page_id", textqc.sanitise(F.col("html")).alias("clean"))
 
 
-@query("number_extract", "J2", "doc_id n_numbers total:4")
+WORD = "\\p{L}\\p{N}_"
+NUMBER_SQL = f"""(WITH r AS (SELECT doc_id, s, row_number() OVER () AS rid FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[{WORD}.,%+-]*[0-9][{WORD}.,%+-]*')) AS s FROM documents)),
+  i AS (SELECT rid, doc_id, s, unnest(range(1, length(s) + 1)) AS i FROM r),
+  b AS (SELECT * FROM i WHERE regexp_matches(substr(s, i, 1), '[-0-9]') AND (i = 1 OR NOT regexp_matches(substr(s, i - 1, 1), '[{WORD}.]'))),
+  j AS (SELECT *, unnest(range(1, length(s) - i + 2)) AS j FROM b),
+  m AS (SELECT rid, doc_id, s, i, max(j) AS j FROM j WHERE regexp_full_match(substr(s, i, j), '-?[0-9]+(,[0-9]{{3}})*(\\.[0-9]+)?([eE][-+]?[0-9]+)?%?')
+     AND (i + j > length(s) OR CASE WHEN substr(s, i + j - 1, 1) = '%' THEN NOT regexp_matches(substr(s, i + j, 1), '[{WORD}]') ELSE NOT regexp_matches(substr(s, i + j, 1), '[{WORD}.]') END)
+     GROUP BY rid, doc_id, s, i),
+  k AS (SELECT m.doc_id, substr(m.s, m.i, m.j) AS tok FROM m WHERE NOT EXISTS (SELECT 1 FROM m o WHERE o.rid = m.rid AND o.i < m.i AND o.i + o.j > m.i)),
+  v AS (SELECT DISTINCT doc_id, CASE WHEN tok LIKE '%\\%' ESCAPE '\\' THEN replace(replace(tok, ',', ''), '%', '')::DOUBLE / 100 ELSE replace(tok, ',', '')::DOUBLE END AS v FROM k)
+  SELECT d.doc_id, d.text, d.n_chars, coalesce(list(v.v ORDER BY v.v) FILTER (v.v IS NOT NULL), []) AS vs FROM documents d LEFT JOIN v ON d.doc_id = v.doc_id GROUP BY d.doc_id, d.text, d.n_chars)"""
+GROUND_SQL = f"""(SELECT doc_id, text, len(list_filter(vs, lambda v: NOT (list_contains([0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10]::DOUBLE[], v)
+    OR len(list_filter(al, lambda t: CASE WHEN t = 0 THEN v = 0 ELSE abs(v - t) <= abs(t) * 0.02 END)) > 0))) = 0 AS grounded
+  FROM (SELECT *, [a, b, c, 1 - a, 1 - b, 1 - c, a + b, a - b, b - a, a * b, a / b, b / a, a + c, a - c, c - a, a * c, a / c, c / a, b + c, b - c, c - b, b * c, b / c, c / b] AS al
+    FROM (SELECT *, n_chars::DOUBLE AS a, len(string_split(text, ' '))::DOUBLE AS b, len(string_split(text, chr(10)))::DOUBLE AS c FROM {NUMBER_SQL})))"""
+
+
+@query("number_extract", "J2", "doc_id n_numbers:int log_total:9", f"SELECT doc_id, len(vs) AS n_numbers, ln(1 + abs(coalesce(list_sum(vs), 0))) AS log_total FROM {NUMBER_SQL}")
 def number_extract(t: Tables) -> DataFrame:
     found = textqc.numbers(F.col("text"))
     rows = t.documents.select("doc_id", found.alias("v"))
-    return rows.select("doc_id", F.size("v").alias("n_numbers"), F.aggregate("v", F.lit(0.0), lambda a, x: a + x).alias("total"))
+    return rows.select("doc_id", F.size("v").alias("n_numbers"), F.log1p(F.abs(F.aggregate("v", F.lit(0.0), lambda a, x: a + x))).alias("log_total"))
 
 
-@query("grounding", "J3", "doc_id grounded")
+@query("grounding", "J3", "doc_id grounded", f"SELECT doc_id, grounded FROM {GROUND_SQL}")
 def grounding(t: Tables) -> DataFrame:
     return t.documents.select(
         "doc_id", textqc.grounded(textqc.numbers(F.col("text")), textqc.allowed_numbers(document_facts())).alias("grounded")
@@ -108,7 +125,11 @@ def text_verdicts(t: Tables) -> DataFrame:
     return textqc.rule_counts(planted_documents(t), textqc.first_failure(F.col("text"), high=5000))
 
 
-@query("grounded_verdicts", "J3 J6", "rule texts share:6")
+@query(
+    "grounded_verdicts", "J3 J6", "rule texts share:6",
+    f"""SELECT rule, count(*) AS texts, count(*) / (SELECT count(*) FROM documents) AS share FROM (SELECT CASE WHEN length(text) < 1 OR length(text) > 1000000 THEN 'length_sanity' WHEN {ECHO_SQL} THEN 'injection_echo'
+        WHEN {banned_sql('text')} IS NOT NULL THEN {banned_sql('text')} WHEN NOT grounded THEN 'ground_check' ELSE 'passed' END AS rule FROM {GROUND_SQL}) GROUP BY rule""",
+)
 def grounded_verdicts(t: Tables) -> DataFrame:
     return textqc.rule_counts(t.documents, textqc.first_failure(F.col("text"), document_facts(), low=1, high=1_000_000))
 
