@@ -51,6 +51,12 @@ def safe_divide(a: Column, b: Column, default: float = 0.0) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(default))
 
 
+def safe_corr(x: Column, y: Column) -> Column:
+    """Pearson r over the rows where both are present; null when either is constant."""
+    a, b = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def normalise(c: Column, lo: float, hi: float) -> Column:
     """Min-max scaling to [0, 1]; a constant column becomes 0."""
     if hi - lo == 0:

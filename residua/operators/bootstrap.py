@@ -60,7 +60,7 @@ def replicate_stats(df: DataFrame, key: str, rules: list[Rule], replicates: int
     wide = rows.groupBy("replicate").agg(*cells)
     long = wide.select("replicate", F.explode(F.array(*[F.col(f"c{i}") for i in range(len(rules))])).alias("c")).select("replicate", "c.*")
     variance = F.greatest(F.lit(0.0), F.col("s2") / F.col("n") - (F.col("s1") / F.col("n")) * (F.col("s1") / F.col("n")))
-    std = F.sqrt(variance * F.col("n") / (F.col("n") - 1))
+    std = F.sqrt(F.try_divide(variance * F.col("n"), F.col("n") - 1))
     span = F.col("hi") - F.col("lo")
     return long.select(
         "name", "replicate", variance.alias("variance"), span.alias("score_range"),
@@ -180,9 +180,10 @@ def bca_mean(df: DataFrame, key: str, value: Column, replicates: int = 200, seed
 def cohens_d_column(n1: Column, s1: Column, q1: Column, n2: Column, s2: Column, q2: Column) -> Column:
     """Pooled Cohen's d from counts, sums and sums of squares of two groups (population
     variances in the pool; 0 for a group below 2 rows or no spread)."""
-    m1, m2 = s1 / n1, s2 / n2
-    v1, v2 = F.greatest(F.lit(0.0), q1 / n1 - m1 * m1), F.greatest(F.lit(0.0), q2 / n2 - m2 * m2)
-    pooled = F.sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2))
+    m1, m2 = F.try_divide(s1, n1), F.try_divide(s2, n2)
+    v1 = F.greatest(F.lit(0.0), F.try_divide(q1, n1) - m1 * m1)
+    v2 = F.greatest(F.lit(0.0), F.try_divide(q2, n2) - m2 * m2)
+    pooled = F.sqrt(F.try_divide((n1 - 1) * v1 + (n2 - 1) * v2, n1 + n2 - 2))
     return F.when((n1 < 2) | (n2 < 2), F.lit(0.0)).otherwise(F.coalesce(F.try_divide(m1 - m2, pooled), F.lit(0.0)))
 
 

@@ -5,12 +5,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.ml.clustering import GaussianMixture
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from residua.functions import expr
+from residua.functions.buckets import add_bucket
 from residua.functions.dist import chi2_sf
 from residua.functions.moments import grouped_moments
 from residua.functions.quantiles import exact_quantiles
@@ -19,6 +18,7 @@ from residua.functions.ranks import block_window, with_blocks, with_position
 LARGE_SIGMA = 2.0
 MULTIMODAL_MIN_ROWS = 30
 BIC_STRONG = 10.0
+MIXTURE_CELLS = 512
 
 
 def residual_moments(df: DataFrame, residual: str) -> DataFrame:
@@ -70,22 +70,59 @@ def bimodality(df: DataFrame, residual: str) -> DataFrame:
     )
 
 
-def mixture_evidence(df: DataFrame, residual: str, seed: int = 42) -> DataFrame:
+def mixture_evidence(df: DataFrame, residual: str) -> DataFrame:
     """BIC of one Gaussian (closed form) against a two-component mixture; an improvement above
-    10 is taken as two modes."""
-    data = df.where(F.col(residual).isNotNull())
-    row = data.agg(F.count("*").alias("n"), F.var_pop(residual).alias("v")).first()
+    10 is taken as two modes.
+
+    The mixture is fitted on at most ``MIXTURE_CELLS`` value ranges (count, mean, variance), so
+    EM costs one scan instead of one per iteration; its likelihood is then taken on all rows.
+    """
+    data = df.where(F.col(residual).isNotNull()).select(F.col(residual).cast("double").alias("e"))
+    marks = [i / MIXTURE_CELLS for i in range(1, MIXTURE_CELLS)]
+    row = data.agg(
+        F.count("*").alias("n"), F.var_pop("e").alias("v"), F.percentile_approx("e", marks, 10_000).alias("q")
+    ).first()
     schema = "n long, bic_one double, bic_two double, improvement double, multimodal boolean"
     n, v = row["n"], row["v"] or 0.0
     if n < MULTIMODAL_MIN_ROWS or v <= 0:
         return df.sparkSession.createDataFrame([(n, None, None, None, False)], schema)
+    cells = (
+        add_bucket(data, "e", list(row["q"]), "b").groupBy("b")
+        .agg(F.count("*").alias("c"), F.avg("e").alias("m"), F.var_pop("e").alias("v")).orderBy("b").collect()
+    )
+    weight, mean, var = _two_gaussians(*(np.array([r[k] for r in cells], dtype=float) for k in ("c", "m", "v")))
+    density = F.lit(0.0)
+    for w, m, s2 in zip(weight, mean, var):
+        d = F.col("e") - F.lit(float(m))
+        density = density + F.lit(float(w / math.sqrt(2 * math.pi * s2))) * F.exp(d * d * F.lit(float(-0.5 / s2)))
+    loglik = data.agg(F.sum(F.log(F.greatest(density, F.lit(1e-300))))).first()[0]
     one = n * (math.log(2 * math.pi * v) + 1) + 2 * math.log(n)
-    vectors = VectorAssembler(inputCols=[residual], outputCol="features").transform(data.select(residual))
-    fitted = GaussianMixture(k=2, seed=seed, maxIter=100).fit(vectors)
-    two = -2 * fitted.summary.logLikelihood + 5 * math.log(n)
+    two = -2 * loglik + 5 * math.log(n)
     return df.sparkSession.createDataFrame([(n, one, two, one - two, one - two > BIC_STRONG)], schema)
 
 
+def _two_gaussians(c: np.ndarray, m: np.ndarray, v: np.ndarray, steps: int = 500) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """EM for two Gaussians on cells with counts, means and variances; starts from the lower and
+    the upper half."""
+    upper = np.cumsum(c) > c.sum() / 2
+    share = np.vstack([~upper, upper]).astype(float)
+    floor = 1e-6 * max(float(np.average((m - np.average(m, weights=c)) ** 2 + v, weights=c)), 1e-300)
+    for _ in range(steps):
+        mass = share * c
+        weight = mass.sum(axis=1) / c.sum()
+        mean = (mass * m).sum(axis=1) / np.maximum(mass.sum(axis=1), 1e-300)
+        spread = (m[None, :] - mean[:, None]) ** 2 + v
+        var = np.maximum((mass * spread).sum(axis=1) / np.maximum(mass.sum(axis=1), 1e-300), floor)
+        logp = np.log(np.maximum(weight, 1e-300))[:, None] - 0.5 * (np.log(2 * np.pi * var)[:, None] + spread / var[:, None])
+        top = logp.max(axis=0)
+        new = np.exp(logp - top)
+        new /= new.sum(axis=0)
+        if np.abs(new - share).max() < 1e-10:
+            break
+        share = new
+    return weight, mean, var
+
+
 def breusch_pagan(df: DataFrame, residual: str, features: list[str]) -> DataFrame:
     """LM = n R^2 of squared residuals on the features, from one pass of moments."""
     e = F.col(residual)
@@ -109,7 +146,7 @@ def durbin_watson(df: DataFrame, residual: str, order: list[str]) -> DataFrame:
     diffs = blocks.withColumn("d", step).where("own")
     return diffs.agg(
         F.count("*").alias("n"),
-        (F.sum(F.col("d") * F.col("d")) / F.sum(F.col(residual) * F.col(residual))).alias("durbin_watson"),
+        F.try_divide(F.sum(F.col("d") * F.col("d")), F.sum(F.col(residual) * F.col(residual))).alias("durbin_watson"),
     )
 
 

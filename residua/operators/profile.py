@@ -323,7 +323,7 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> dict[tuple[str, str
         return {}
     if len(columns) <= WIDE:
         x = {c: expr.finite(expr.col(c)) for c in columns}
-        row = df.agg(*[F.corr(x[a], x[b]).alias(f"r{i}") for i, (a, b) in enumerate(pairs)]).first()
+        row = df.agg(*[expr.safe_corr(x[a], x[b]).alias(f"r{i}") for i, (a, b) in enumerate(pairs)]).first()
         return {pair: row[f"r{i}"] for i, pair in enumerate(pairs) if row[f"r{i}"] is not None}
     return _wide_correlations(df, columns)
 
@@ -428,7 +428,7 @@ def quality_issues(
     c = facts.join(stats.select("column_name", "skewness", "outlier_count"), "column_name", "left")
     q = F.concat(F.lit("'"), F.col("column_name"), F.lit("'"))
     present = F.col("row_count") - F.col("null_count")
-    outlier_pct = F.col("outlier_count") / present * 100
+    outlier_pct = F.try_divide(F.col("outlier_count"), present) * 100
     constant = (F.col("unique_count") <= 1) & (F.col("null_pct") < 100)
 
     def issue(cond: Column, severity: str, category: str, text: Column, fix: Column) -> Column:

@@ -24,7 +24,7 @@ def likelihood_ratios(df: DataFrame, features: list[str], residual: str) -> Data
         x = expr.finite(expr.col(c))
         y = F.when(x.isNotNull(), e)
         x = F.when(y.isNotNull(), x)
-        r = F.corr(x, y)
+        r = expr.safe_corr(x, y)
         n = F.count(x)
         usable = (n >= MIN_ROWS) & (F.var_samp(y) > 0) & (r * r < 1)
         lr = F.when(usable, F.lit(-1.0) * n * F.log(F.lit(1.0) - r * r))
@@ -94,7 +94,7 @@ def interaction_correlations(df: DataFrame, features: list[str], residual: str,
     cells = []
     for i, (a, b) in enumerate(pairs):
         x = expr.finite(expr.col(a)) * expr.finite(expr.col(b))
-        cells += [F.corr(x, e).alias(f"r{i}"), F.count_if(x.isNotNull() & e.isNotNull()).alias(f"n{i}")]
+        cells += [expr.safe_corr(x, e).alias(f"r{i}"), F.count_if(x.isNotNull() & e.isNotNull()).alias(f"n{i}")]
     row = df.agg(*cells).first()
     rows = []
     for i, (a, b) in enumerate(pairs):

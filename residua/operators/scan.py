@@ -335,12 +335,12 @@ def in_out_cohens_d(stats: DataFrame) -> DataFrame:
     n1, n = F.col("sample_count").cast("double"), F.col("n_total").cast("double")
     n2 = n - n1
     s1 = n1 * F.col("mean_residual")
-    m2 = (n * F.col("mean_all") - s1) / n2
+    m2 = F.try_divide(n * F.col("mean_all") - s1, n2)
     q1 = n1 * (F.col("std_residual") * F.col("std_residual") + F.col("mean_residual") * F.col("mean_residual"))
     q = n * (F.col("std_all") * F.col("std_all") + F.col("mean_all") * F.col("mean_all"))
-    v2 = F.greatest(F.lit(0.0), (q - q1) / n2 - m2 * m2)
+    v2 = F.greatest(F.lit(0.0), F.try_divide(q - q1, n2) - m2 * m2)
     v1 = F.col("std_residual") * F.col("std_residual")
-    pooled = F.sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n - 2))
+    pooled = F.sqrt(F.try_divide((n1 - 1) * v1 + (n2 - 1) * v2, n - 2))
     d = F.when((n1 < 2) | (n2 < 2), F.lit(0.0)).otherwise(
         F.coalesce(F.try_divide(F.col("mean_residual") - m2, pooled), F.lit(0.0))
     )

@@ -38,7 +38,12 @@ class Result:
 
 def _prepare(df: DataFrame, o: Options) -> tuple[list[str], list[str], str]:
     """(model features, scan features, problem type) by semantic column type."""
-    types = {r["column_name"]: r["detected_type"] for r in column_facts(df).collect()} | o.column_types
+    facts = column_facts(df).collect()
+    # a measured (floating-point) column is a feature even when its name looks like an id
+    types = {
+        r["column_name"]: "numeric" if r["detected_type"] == "id" and r["kind"] == "float" else r["detected_type"]
+        for r in facts
+    } | o.column_types
     features = prep.usable_features(df, o.target, types, o.time_column, (o.key,))
     flat = set(prep.zero_variance(df, [c for c in features if expr.is_numeric(df.schema[c])]))
     features = [c for c in features if c not in flat]
