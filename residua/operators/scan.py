@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,9 +14,8 @@ from residua.functions.dist import kolmogorov_sf
 from residua.functions.quantiles import SKETCH_ACCURACY, exact_quantiles
 from residua.session import durable, spread
 
-ALL = "__all__"
-ROWS_PER_RANGE = 2_000_000
-MIN_RANGES, MAX_RANGES = 1024, 4096
+MIN_RANGES, MAX_RANGES, SUB_RANGES = 512, 8192, 1024
+SORT_ROWS = 200_000_000
 BROADCAST_ROWS = 200_000
 
 
@@ -27,18 +27,30 @@ class BinSpec:
     edges: tuple[float, ...] | None = None
 
     def index(self) -> Column:
+        """Interval number; -1 for a per-value bin; null where the row has no bin."""
+        c = expr.col(self.column)
         if self.edges is None:
-            return F.lit(None).cast("int")
-        return interval_index(expr.col(self.column).cast("double"), list(self.edges))
+            return F.when(c.isNotNull(), F.lit(-1))
+        if len(self.edges) == 1:
+            return F.when(c.cast("double") == F.lit(self.edges[0]), F.lit(0))
+        return interval_index(c.cast("double"), list(self.edges))
+
+    def value(self) -> Column:
+        """The bin's value for per-value bins, empty text for intervals."""
+        return expr.col(self.column).cast("string") if self.edges is None else F.lit("")
 
     def label(self) -> Column:
-        c = expr.col(self.column)
+        """Readable bin name of a row."""
         if self.edges is None:
-            return c.cast("string")
+            return expr.col(self.column).cast("string")
+        return F.get(F.array(*[F.lit(t) for t in self.labels()]), self.index())
+
+    def labels(self) -> list[str]:
+        if self.edges is None:
+            return []
         if len(self.edges) == 1:
-            return F.when(c.cast("double") == F.lit(self.edges[0]), F.lit(repr(self.edges[0])))
-        labels = F.array(*[F.lit(interval_label(self.edges, i)) for i in range(len(self.edges) - 1)])
-        return F.get(labels, self.index())
+            return [repr(self.edges[0])]
+        return [interval_label(self.edges, i) for i in range(len(self.edges) - 1)]
 
 
 def interval_label(edges: tuple[float, ...], i: int) -> str:
@@ -81,42 +93,53 @@ def equal_width_specs(df: DataFrame, columns: list[str], n_bins: int = 5) -> lis
     return specs
 
 
-def memberships(df: DataFrame, specs: list[BinSpec], keep: list[str], with_all: bool = False) -> DataFrame:
-    """Long form: one row per (row, feature) with its bin; rows without a bin are dropped."""
+BIN = ["spec", "part", "value"]
+
+
+def _long(df: DataFrame, specs: list[BinSpec], keep: list[str], with_all: bool) -> DataFrame:
+    """One row per (row, feature) with a compact bin key; rows without a bin are dropped."""
     entries = [
-        F.struct(
-            F.lit(s.column).alias("column_name"),
-            s.index().alias("bin_index"),
-            s.label().alias("bin_value"),
-        )
-        for s in specs
+        F.struct(F.lit(n).alias("spec"), s.index().alias("part"), s.value().alias("value"))
+        for n, s in enumerate(specs)
     ]
     if with_all:
-        entries.append(
-            F.struct(
-                F.lit(ALL).alias("column_name"),
-                F.lit(None).cast("int").alias("bin_index"),
-                F.lit(ALL).alias("bin_value"),
-            )
-        )
-    bins = F.filter(F.array(*entries), lambda s: s["bin_value"].isNotNull())
+        entries.append(F.struct(F.lit(-1).alias("spec"), F.lit(-1).alias("part"), F.lit("").alias("value")))
+    bins = F.filter(F.array(*entries), lambda s: s["part"].isNotNull())
     return df.select(*keep, F.explode(bins).alias("m")).select(*keep, "m.*")
 
 
+def _named(df: DataFrame, specs: list[BinSpec]) -> DataFrame:
+    """Replace the compact key by column_name, bin_index and bin_value."""
+    names = F.array(*[F.lit(s.column) for s in specs])
+    labels = F.array(*[F.array(*[F.lit(t) for t in s.labels()]).cast("array<string>") for s in specs])
+    per_value = F.col("part") < 0
+    return df.select(
+        F.get(names, F.col("spec")).alias("column_name"),
+        F.when(~per_value, F.col("part")).alias("bin_index"),
+        F.when(per_value, F.col("value")).otherwise(F.get(F.get(labels, F.col("spec")), F.col("part"))).alias("bin_value"),
+        *[c for c in df.columns if c not in BIN],
+    )
+
+
+def memberships(df: DataFrame, specs: list[BinSpec], keep: list[str]) -> DataFrame:
+    """Long form of all (feature, bin) memberships."""
+    return _named(_long(df, specs, keep, False), specs)
+
+
 def bin_stats(df: DataFrame, specs: list[BinSpec], residual: str) -> DataFrame:
     """Size, mean and spread of each bin and its effect against all rows.  Aggregated before
     the shuffle, so the unpivoted rows never travel."""
-    long = memberships(df.where(F.col(residual).isNotNull()), specs, [residual], with_all=True)
-    stats = long.groupBy("column_name", "bin_index", "bin_value").agg(
+    long = _long(df.where(F.col(residual).isNotNull()), specs, [residual], with_all=True)
+    stats = long.groupBy(*BIN).agg(
         F.count("*").alias("sample_count"),
         F.avg(residual).alias("mean_residual"),
         F.stddev_pop(residual).alias("std_residual"),
     )
-    return _with_effect(stats)
+    return _named(_with_effect(stats), specs)
 
 
 def _with_effect(stats: DataFrame) -> DataFrame:
-    whole = stats.where(F.col("column_name") == ALL).select(
+    whole = stats.where(F.col("spec") < 0).select(
         F.col("sample_count").alias("n_total"),
         F.col("mean_residual").alias("mean_all"),
         F.col("std_residual").alias("std_all"),
@@ -125,11 +148,7 @@ def _with_effect(stats: DataFrame) -> DataFrame:
         F.col("std_all") > 0, (F.col("mean_residual") - F.col("mean_all")) / F.col("std_all")
     ).otherwise(F.lit(0.0))
     # `whole` is a one-row aggregate, so its broadcast has a fixed size.
-    return (
-        stats.where(F.col("column_name") != ALL)
-        .join(F.broadcast(whole))
-        .withColumn("effect_size", effect)
-    )
+    return stats.where(F.col("spec") >= 0).join(F.broadcast(whole)).withColumn("effect_size", effect)
 
 
 def ks_scan(
@@ -138,146 +157,176 @@ def ks_scan(
     residual: str,
     min_bin_rows: int = 20,
     ranges: int | None = None,
+    sort_rows: int = SORT_ROWS,
 ) -> DataFrame:
     """Exact two-sample KS statistic of every bin against the whole sample (bin included),
     with effect size and asymptotic p-value.
 
-    Residuals are first cut into value ranges.  Counts per (bin, range) give both ECDFs
-    exactly at the range borders and bound their distance inside each range; only ranges
-    whose bound beats the best border distance are looked at row by row.  The result is
-    exact, while almost all rows are reduced to counts before any shuffle.
+    Residuals are cut into value ranges.  Counts per (bin, range) give both ECDFs exactly at
+    the range borders and bound their distance inside each range; only ranges whose bound
+    beats the best border distance stay open.  While the open ranges hold too many rows they
+    are cut again; the rest is sorted.  The result is exact, while almost all rows are reduced
+    to counts before any shuffle.
     """
     base = df.where(F.col(residual).isNotNull() & ~F.isnan(F.col(residual)))
     columns = list(dict.fromkeys([s.column for s in specs]))
-    base = base.select(F.col(residual).cast("double").alias("__e"), *[expr.col(c) for c in columns])
+    base = base.select(F.col(residual).cast("double").alias("e"), *[expr.col(c) for c in columns])
     cuts, n_rows = _cuts(base, ranges or MIN_RANGES)
-    wanted = min(MAX_RANGES, n_rows // ROWS_PER_RANGE)
-    if ranges is None and wanted > MIN_RANGES:
+    wanted = min(MAX_RANGES, int(4 * math.sqrt(n_rows)))
+    if ranges is None and wanted > 2 * MIN_RANGES:
         cuts, _ = _cuts(base, wanted)
-    base = spread(base)
-    long = memberships(
-        add_bucket(base, "__e", list(cuts), "__r"), specs, ["__e", "__r"], with_all=True
-    )
-    keys = ["column_name", "bin_index", "bin_value"]
+    ranged = add_bucket(spread(base), "e", cuts, "r").withColumn("r", F.col("r").cast("long")).withColumn("up", F.lit(0).cast("long"))
+    long = _long(ranged, specs, ["e", "up", "r"], with_all=True)
     counts = durable(
-        long.groupBy(*keys, "__r").agg(
-            F.count("*").alias("n"),
-            F.avg("__e").alias("m"),
-            F.var_pop("__e").alias("v"),
-        )
+        _range_counts(long, F.avg("e").alias("m"), F.var_pop("e").alias("v"))
     )
-    mean = F.sum(F.col("n") * F.col("m")) / F.sum("n")
-    stats = counts.groupBy(*keys).agg(
-        F.sum("n").alias("sample_count"),
-        mean.alias("mean_residual"),
-        F.sum(F.col("n") * F.col("v")).alias("__within"),
-        F.collect_list(F.struct("n", "m")).alias("__parts"),
-    )
-    between = F.aggregate(
-        "__parts",
-        F.lit(0.0),
-        lambda acc, s: acc
-        + s["n"] * (s["m"] - F.col("mean_residual")) * (s["m"] - F.col("mean_residual")),
-    )
-    stats = stats.withColumn(
-        "std_residual", F.sqrt((F.col("__within") + between) / F.col("sample_count"))
-    ).drop("__within", "__parts")
-    tested = _with_effect(stats).where(F.col("sample_count") >= F.lit(min_bin_rows))
-
-    bounds = _range_bounds(counts)
-    borders = bounds.groupBy("column_name", "bin_value").agg(F.max("border").alias("border"))
-    open_ranges = (
-        bounds.join(borders.withColumnRenamed("border", "best"), ["column_name", "bin_value"])
-        .join(tested.select("column_name", "bin_value"), ["column_name", "bin_value"], "left_semi")
-        .where(F.col("inside") > F.col("best"))
-    )
-    refined = _refine(long, durable(open_ranges))
-    result = tested.join(borders, ["column_name", "bin_value"]).join(
-        refined, ["column_name", "bin_value"], "left"
-    )
-    stat = F.greatest(F.col("border"), F.coalesce(F.col("refined"), F.lit(0.0)))
+    tested = _with_effect(_pooled(counts)).where(F.col("sample_count") >= F.lit(min_bin_rows))
+    counts = counts.join(tested.select(*BIN), BIN, "left_semi").unionByName(counts.where(F.col("spec") < 0))
+
+    bounds = durable(_bounds(counts, None))
+    borders = bounds.groupBy(*BIN).agg(F.max("border").alias("border"))
+    while True:
+        open_ranges = durable(_open(bounds, borders))
+        size = open_ranges.groupBy("up", "r").agg(F.sum("n").alias("n"), F.max("n_all").alias("a")).agg(
+            F.count("*").alias("ranges"), F.coalesce(F.sum(F.col("n") + F.col("a")), F.lit(0)).alias("rows")
+        ).first()
+        if size["rows"] <= sort_rows:
+            break
+        long = _recut(long, open_ranges)
+        bounds = durable(_bounds(_range_counts(long), open_ranges))
+        borders = durable(
+            borders.unionByName(bounds.select(*BIN, "border")).groupBy(*BIN).agg(F.max("border").alias("border"))
+        )
+    result = tested.join(borders, BIN)
+    stat = F.col("border")
+    if size["ranges"]:
+        result = result.join(_refine(long, open_ranges), BIN, "left")
+        stat = F.greatest(stat, F.coalesce(F.col("refined"), F.lit(0.0)))
     out = result.withColumn("ks_stat", stat)
     en = F.col("sample_count") * F.col("n_total") / (F.col("sample_count") + F.col("n_total"))
-    return out.withColumn("p_value", kolmogorov_sf(F.sqrt(en) * F.col("ks_stat"))).select(
+    out = out.withColumn("p_value", kolmogorov_sf(F.sqrt(en) * F.col("ks_stat")))
+    return _named(out, specs).select(
         "column_name", "bin_index", "bin_value", "sample_count", "n_total", "mean_residual",
         "std_residual", "mean_all", "std_all", "effect_size", "ks_stat", "p_value",
     )
 
 
 def _cuts(base: DataFrame, ranges: int) -> tuple[list[float], int]:
-    """Approximate quantiles of ``__e`` that cut it into ``ranges`` parts, and the row count."""
+    """Approximate quantiles of ``e`` that cut it into ``ranges`` parts, and the row count."""
     marks = ", ".join(f"{i / ranges}D" for i in range(1, ranges))
-    sketch = F.expr(f"percentile_approx(__e, array({marks}), {SKETCH_ACCURACY})")
+    sketch = F.expr(f"percentile_approx(e, array({marks}), {SKETCH_ACCURACY})") if marks else F.lit(None)
     row = base.agg(sketch.alias("q"), F.count("*").alias("n")).first()
     return list(row["q"] or []), row["n"]
 
 
-def _range_bounds(counts: DataFrame) -> DataFrame:
-    """Per (bin, range): both ECDFs at its borders, the border distance and the largest
-    distance possible inside.  Windows run over at most MAX_RANGES rows per bin."""
-    by_range = Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, 0)
-    whole = counts.where(F.col("column_name") == ALL).select("__r", F.col("n").alias("n_all"))
-    whole = whole.withColumn("upto_all", F.sum("n_all").over(by_range)).withColumn(
-        "total_all", F.sum("n_all").over(Window.partitionBy())
+def _range_counts(long: DataFrame, *more: Column) -> DataFrame:
+    """Rows per (bin, range) with the range's extremes; ``up`` is the range one level above."""
+    return long.groupBy(*BIN, "up", "r").agg(
+        F.count("*").alias("n"), F.min("e").alias("lo"), F.max("e").alias("hi"), *more
     )
-    per_bin = Window.partitionBy("column_name", "bin_value")
-    upto = per_bin.orderBy("__r").rowsBetween(Window.unboundedPreceding, 0)
-    bins = (
-        counts.where(F.col("column_name") != ALL)
-        .withColumn("upto", F.sum("n").over(upto))
-        .withColumn("total", F.sum("n").over(per_bin))
+
+
+def _pooled(counts: DataFrame) -> DataFrame:
+    """Size, mean and spread of each bin from its ranges."""
+    parts = counts.groupBy(*BIN).agg(
+        F.sum("n").alias("sample_count"),
+        (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mean_residual"),
+        F.sum(F.col("n") * F.col("v")).alias("within"),
+        F.collect_list(F.struct("n", "m")).alias("parts"),
+    )
+    # at most MAX_RANGES entries per bin
+    between = F.aggregate(
+        "parts",
+        F.lit(0.0),
+        lambda acc, s: acc
+        + s["n"] * (s["m"] - F.col("mean_residual")) * (s["m"] - F.col("mean_residual")),
     )
-    # one row per value range: at most MAX_RANGES rows
-    both = bins.join(F.broadcast(whole), "__r")
-    a0 = (F.col("upto_all") - F.col("n_all")) / F.col("total_all")
-    a1 = F.col("upto_all") / F.col("total_all")
-    b0 = (F.col("upto") - F.col("n")) / F.col("total")
-    b1 = F.col("upto") / F.col("total")
+    std = F.sqrt((F.col("within") + between) / F.col("sample_count"))
+    return parts.withColumn("std_residual", std).drop("within", "parts")
+
+
+def _bounds(counts: DataFrame, parents: DataFrame | None) -> DataFrame:
+    """Per (bin, range): rows of bin and whole before it, the ECDF distance at its borders and
+    the largest distance possible inside.  Windows run over the ranges of one parent."""
+    whole_up = Window.partitionBy("up").orderBy("r").rowsBetween(Window.unboundedPreceding, 0)
+    bin_up = Window.partitionBy(*BIN, "up").orderBy("r").rowsBetween(Window.unboundedPreceding, 0)
+    whole = counts.where(F.col("spec") < 0).select(
+        "up", "r", F.col("n").alias("n_all"), F.col("lo").alias("lo_all"), F.col("hi").alias("hi_all"),
+        F.sum("n").over(whole_up).alias("upto_all"),
+    )
+    bins = counts.where(F.col("spec") >= 0).select(*BIN, "up", "r", "n", F.sum("n").over(bin_up).alias("upto"))
+    if parents is None:
+        total = Window.partitionBy(*BIN)
+        bins = bins.withColumn("total", F.sum("n").over(total)).withColumn("base", F.lit(0).cast("long"))
+        whole = whole.withColumn("total_all", F.sum("n_all").over(Window.partitionBy("up"))).withColumn("base_all", F.lit(0).cast("long"))
+    else:
+        known = parents.select(*BIN, F.col("r").alias("up"), "total", F.col("before").alias("base"))
+        known_all = parents.select(F.col("r").alias("up"), "total_all", F.col("before_all").alias("base_all")).distinct()
+        bins, whole = bins.join(known, [*BIN, "up"]), whole.join(known_all, "up")
+    both = bins.join(whole, ["up", "r"])
+    before = F.col("base") + F.col("upto") - F.col("n")
+    before_all = F.col("base_all") + F.col("upto_all") - F.col("n_all")
+    a0, a1 = before_all / F.col("total_all"), (before_all + F.col("n_all")) / F.col("total_all")
+    b0, b1 = before / F.col("total"), (before + F.col("n")) / F.col("total")
     return both.select(
-        "column_name", "bin_value", "__r",
-        (F.col("upto") - F.col("n")).alias("before"), "total",
-        (F.col("upto_all") - F.col("n_all")).alias("before_all"), "total_all",
+        *BIN, "up", "r", "n", "n_all", "total", "total_all", "lo_all", "hi_all",
+        before.alias("before"), before_all.alias("before_all"),
         F.greatest(F.abs(a0 - b0), F.abs(a1 - b1)).alias("border"),
         F.greatest(a1 - b0, b1 - a0).alias("inside"),
     )
 
 
-def _refine(long: DataFrame, open_ranges: DataFrame) -> DataFrame:
-    """Exact distance inside the open ranges; equal residuals are counted before the shuffle."""
-    bins = open_ranges.select("column_name", "bin_value", "__r")
+def _open(bounds: DataFrame, borders: DataFrame) -> DataFrame:
+    """Ranges that may still hide a larger distance (a single repeated value cannot)."""
+    best = borders.withColumnRenamed("border", "best")
+    return bounds.join(best, BIN).where(
+        (F.col("inside") > F.col("best")) & (F.col("lo_all") < F.col("hi_all"))
+    ).drop("border", "inside", "best")
+
+
+def _inside(long: DataFrame, open_ranges: DataFrame, columns: list[str]) -> DataFrame:
+    """The long rows of the open (bin, range) pairs, and all rows of their ranges."""
+    bins = open_ranges.select(*BIN, "up", "r", *columns)
     whole = open_ranges.select(
-        F.lit(ALL).alias("column_name"), F.lit(ALL).alias("bin_value"), "__r"
+        F.lit(-1).alias("spec"), F.lit(-1).alias("part"), F.lit("").alias("value"), "up", "r", *columns
     ).distinct()
     wanted = bins.unionByName(whole)
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
-    rows = (
-        long.join(wanted, ["column_name", "bin_value", "__r"], "left_semi")
-        .groupBy("__r", "column_name", "bin_value", "__e")
-        .agg(F.count("*").alias("c"))
-    )
-    is_all = F.col("column_name") == ALL
-    c_all = F.when(is_all, F.col("c")).otherwise(F.lit(0))
-    upto_all = Window.partitionBy("__r").orderBy("__e").rangeBetween(Window.unboundedPreceding, 0)
-    same = Window.partitionBy("__r", "__e")
-    upto = (
-        Window.partitionBy("__r", "column_name", "bin_value")
-        .orderBy("__e").rowsBetween(Window.unboundedPreceding, 0)
+    return long.join(wanted, [*BIN, "up", "r"])
+
+
+def _recut(long: DataFrame, open_ranges: DataFrame) -> DataFrame:
+    """Cut the open ranges into SUB_RANGES equal steps between their extremes."""
+    step = (F.col("e") - F.col("lo_all")) / (F.col("hi_all") - F.col("lo_all")) * F.lit(float(SUB_RANGES))
+    rows = _inside(long, open_ranges, ["lo_all", "hi_all"])
+    return rows.select(
+        *BIN, "e", F.col("r").alias("up"),
+        (F.col("r") * F.lit(SUB_RANGES) + F.least(F.floor(step), F.lit(SUB_RANGES - 1))).alias("r"),
     )
+
+
+def _refine(long: DataFrame, open_ranges: DataFrame) -> DataFrame:
+    """Exact distance inside the open ranges; equal residuals are counted before the shuffle."""
+    rows = _inside(long, open_ranges, []).groupBy("r", *BIN, "e").agg(F.count("*").alias("c"))
+    is_all = F.col("spec") < 0
+    upto_all = Window.partitionBy("r").orderBy("e").rangeBetween(Window.unboundedPreceding, 0)
+    same = Window.partitionBy("r", "e")
+    upto = Window.partitionBy("r", *BIN).orderBy("e").rowsBetween(Window.unboundedPreceding, 0)
     walked = (
-        rows.withColumn("ca", c_all)
+        rows.withColumn("ca", F.when(is_all, F.col("c")).otherwise(F.lit(0)))
         .withColumn("in_all", F.sum("ca").over(upto_all))
         .withColumn("tie_all", F.sum("ca").over(same))
         .withColumn("in_bin", F.sum("c").over(upto))
         .where(~is_all)
     )
-    located = walked.join(open_ranges.drop("border", "inside", "best"), ["column_name", "bin_value", "__r"])
+    located = walked.join(open_ranges.select(*BIN, "r", "before", "before_all", "total", "total_all"), [*BIN, "r"])
     fa = (F.col("before_all") + F.col("in_all")) / F.col("total_all")
     fb = (F.col("before") + F.col("in_bin")) / F.col("total")
     fa_left = (F.col("before_all") + F.col("in_all") - F.col("tie_all")) / F.col("total_all")
     fb_left = (F.col("before") + F.col("in_bin") - F.col("c")) / F.col("total")
     distance = F.greatest(F.abs(fa - fb), F.abs(fa_left - fb_left))
-    return located.groupBy("column_name", "bin_value").agg(F.max(distance).alias("refined"))
+    return located.groupBy(*BIN).agg(F.max(distance).alias("refined"))
 
 
 def bh_adjust(tests: DataFrame, p: str = "p_value", out: str = "adjusted_p_value") -> DataFrame:

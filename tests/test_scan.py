@@ -26,12 +26,13 @@ def frame(n=2000, ties=True, seed=3):
     return pd.DataFrame({"k": np.arange(n), "e": e, "cat": cat, "x": rng.normal(0, 1, n).round(1), "one": 1.0})
 
 
-@pytest.mark.parametrize("ranges", [1, 16, 1024])
-def test_ks_is_exact_with_ties_for_any_number_of_ranges(spark, ranges):
+@pytest.mark.parametrize("ranges,sort_rows", [(1, 10**9), (16, 10**9), (None, 10**9), (4, 500), (2, 10)])
+def test_ks_is_exact_with_ties_for_any_cutting(spark, monkeypatch, ranges, sort_rows):
+    monkeypatch.setattr(scan, "SUB_RANGES", 8)
     pdf = frame()
     df = spark.createDataFrame(pdf)
     specs = scan.quantile_specs(df, ["x", "one"]) + [BinSpec("cat")]
-    rows = scan.ks_scan(df, specs, "e", ranges=ranges).collect()
+    rows = scan.ks_scan(df, specs, "e", ranges=ranges, sort_rows=sort_rows).collect()
     by = {(r["column_name"], r["bin_value"]): r for r in rows}
     assert ("cat", "c") in by and len([k for k in by if k[0] == "x"]) == 5 and len([k for k in by if k[0] == "one"]) == 1
     edges = next(s for s in specs if s.column == "x").edges
