@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,6 +68,11 @@ def clip(c: Column, lo: float, hi: float) -> Column:
     return F.least(F.greatest(c, F.lit(lo)), F.lit(hi))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` applied to a value that is computed once, however often the body mentions it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def messages(*pairs: tuple[Column, Column]) -> Column:
     """Array of the texts whose condition holds, in the order given."""
     return F.array_compact(F.array(*[F.when(cond, text) for cond, text in pairs]))

@@ -104,18 +104,28 @@ def _inside(t: _Target) -> Column:
 
 
 def _shrink(work: DataFrame, active: list[_Target]) -> None:
-    """Two scans: sketch a narrower bracket per target, then count it exactly."""
+    """Two scans: sketch a narrower bracket per target, then count it exactly.  Targets that
+    still share a bracket share a sketch."""
     slack = 3.0 / SKETCH_ACCURACY
+    shared: dict[tuple, list[_Target]] = {}
+    for t in active:
+        shared.setdefault((t.column, t.lo, t.hi), []).append(t)
     sketches = []
-    for i, t in enumerate(active):
-        share = (t.rank - t.below) / max(1, t.inside - 1)
-        marks = [max(0.0, share - slack), min(1.0, share + slack)]
-        masked = F.when(_inside(t), F.col(t.column))
+    for i, group in enumerate(shared.values()):
+        marks = []
+        for t in group:
+            share = (t.rank - t.below) / max(1, t.inside - 1)
+            marks += [max(0.0, share - slack), min(1.0, share + slack)]
+        masked = F.when(_inside(group[0]), F.col(group[0].column))
         sketches.append(F.percentile_approx(masked, marks, SKETCH_ACCURACY).alias(f"q{i}"))
-    seen = work.agg(*sketches).first()
+    row = work.agg(*sketches).first()
+    seen = {}
+    for i, group in enumerate(shared.values()):
+        for j, t in enumerate(group):
+            seen[id(t)] = (row[f"q{i}"][2 * j], row[f"q{i}"][2 * j + 1])
     checks = []
     for i, t in enumerate(active):
-        lo, hi = seen[f"q{i}"]
+        lo, hi = seen[id(t)]
         c = F.col(t.column)
         checks += [
             F.count_if(c < F.lit(lo)).alias(f"lt{i}"),
@@ -125,7 +135,7 @@ def _shrink(work: DataFrame, active: list[_Target]) -> None:
         ]
     exact = work.agg(*checks).first()
     for i, t in enumerate(active):
-        lo, hi = seen[f"q{i}"]
+        lo, hi = seen[id(t)]
         lt, elo, lth, ehi = (exact[f"{k}{i}"] for k in ("lt", "elo", "lth", "ehi"))
         end = t.below + t.inside
         if lt <= t.rank < lt + elo:

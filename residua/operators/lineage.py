@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from residua.functions import expr
-from residua.session import durable
+from residua.session import durable, spread
 
 NULL_MARK = "\x00<<NULL>>\x00"
 RENAME_MAX_DISTANCE = 2
@@ -16,12 +16,12 @@ BREAKING_KINDS = ["drop"]
 
 
 def additive_fingerprint(value: Column) -> Column:
-    """Order-insensitive digest of a column: count, nulls and sums of md5 words.  Each word sum
+    """Order-insensitive digest of a column: count, nulls and sums of two 60-bit md5 words.  Each sum
     is exact in decimal arithmetic and combines map-side, so no sort is needed."""
     text = F.coalesce(value.cast("string"), F.lit(NULL_MARK))
     hexed = F.md5(text.cast("binary"))
     words = [
-        F.sum(F.conv(F.substring(hexed, 8 * i + 1, 8), 16, 10).cast("decimal(20,0)")) for i in range(4)
+        F.sum(F.conv(F.substring(hexed, 16 * i + 1, 15), 16, 10).cast("decimal(20,0)")) for i in range(2)
     ]
     parts = [F.count(F.lit(1)).cast("string"), F.count_if(value.isNull()).cast("string")]
     parts += [F.coalesce(w.cast("decimal(38,0)").cast("string"), F.lit("0")) for w in words]
@@ -40,7 +40,7 @@ def snapshot(df: DataFrame, version: int) -> DataFrame:
         ).alias(f"c{i}")
         for i, f in enumerate(df.schema.fields)
     ]
-    wide = df.agg(*entries)
+    wide = spread(df).agg(*entries)
     return wide.select(F.explode(F.array(*[F.col(f"c{i}") for i in range(len(entries))])).alias("s")).select("s.*")
 
 

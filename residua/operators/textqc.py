@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from residua.functions import expr
+from residua.session import spread
+
 # Fixed word lists of the rules: (phrase, severity) in checking order.
 BANNED = [
     ("definitely", "hard_block"), ("guaranteed", "hard_block"), ("guarantees", "hard_block"),
@@ -97,7 +100,10 @@ def grounded(found: Column, allowed: Column) -> Column:
 
 def banned_rule(text: Column, allow_causal: bool = False) -> Column:
     """Rule broken by the first offending phrase, or null."""
-    low = F.lower(text)
+    return expr.let(F.lower(text), lambda low: _phrase_rule(low, allow_causal))
+
+
+def _phrase_rule(low: Column, allow_causal: bool) -> Column:
     out = F.lit(None).cast("string")
     for phrase, severity in reversed(BANNED):
         has = F.contains(low, F.lit(phrase))
@@ -118,11 +124,15 @@ def banned_rule(text: Column, allow_causal: bool = False) -> Column:
 
 
 def echoes_injection(text: Column) -> Column:
-    low = F.lower(text)
-    out = F.lit(False)
-    for marker in INJECTIONS:
-        out = out | F.contains(low, F.lit(marker))
-    return out
+    """Whether a text repeats a prompt marker."""
+
+    def any_marker(low: Column) -> Column:
+        out = F.lit(False)
+        for marker in INJECTIONS:
+            out = out | F.contains(low, F.lit(marker))
+        return out
+
+    return expr.let(F.lower(text), any_marker)
 
 
 def bad_length(text: Column, low: int = MIN_OUTPUT, high: int = MAX_OUTPUT) -> Column:
@@ -146,7 +156,7 @@ def first_failure(text: Column, facts: Column | None = None, allow_causal: bool
 
 def rule_counts(df: DataFrame, verdict: Column) -> DataFrame:
     """Texts per verdict and the share of the corpus (aggregated map-side)."""
-    counts = df.groupBy(verdict.alias("rule")).agg(F.count("*").alias("texts"))
+    counts = spread(df).groupBy(verdict.alias("rule")).agg(F.count("*").alias("texts"))
     total = counts.agg(F.sum("texts").alias("n"))
     return counts.join(F.broadcast(total)).select("rule", "texts", (F.col("texts") / F.col("n")).alias("share"))
 

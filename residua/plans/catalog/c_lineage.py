@@ -12,7 +12,7 @@ from residua.plans.catalog.registry import Tables, query
 def print_sql(c: str) -> str:
     """SQL twin of the additive column fingerprint."""
     words = ", ".join(
-        f"coalesce(sum(('0x' || substr(md5({c}::VARCHAR), {8 * i + 1}, 8))::BIGINT)::VARCHAR, '0')" for i in range(4)
+        f"coalesce(sum(('0x' || substr(md5({c}::VARCHAR), {16 * i + 1}, 15))::BIGINT)::VARCHAR, '0')" for i in range(2)
     )
     return f"sha256(concat_ws(':', count(*)::VARCHAR, (count(*) - count({c}))::VARCHAR, {words}))"
 
