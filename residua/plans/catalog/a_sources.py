@@ -50,7 +50,8 @@ def encoding_probe(t: Tables) -> DataFrame:
     for name in ("UTF-8", "ISO-8859-1"):
         text.write.option("header", "true").option("encoding", name).csv(f"{root}/{name}")
     folder = F.element_at(F.split("path", "/"), -2)
-    return files.probe(t.spark, root).select(folder.alias("folder"), "encoding").distinct()
+    # a part without any non-ASCII character reads as UTF-8 too, so one part decides a folder
+    return files.probe(t.spark, root).groupBy(folder.alias("folder")).agg(F.min("encoding").alias("encoding"))
 
 
 @query(
@@ -174,7 +175,7 @@ def event_patterns(t: Tables) -> DataFrame:
     )
 
 
-PATTERN_COLS = "pattern_type column_name effect_size:6 p_value:9 adjusted_p_value:9 sample_count mean_residual:6 std_residual:6"
+PATTERN_COLS = "pattern_type column_name effect_size:9 p_value:9 adjusted_p_value:9 sample_count mean_residual:9 std_residual:6"
 
 
 @query("pattern_sink", "A10 A14", PATTERN_COLS, f"SELECT * FROM {EVENT_PATTERNS}")

@@ -294,7 +294,7 @@ def blend_weights(t: Tables) -> DataFrame:
 
 
 @query(
-    "stack_predict", "E21", "o_orderkey prediction:2",
+    "stack_predict", "E21", "o_orderkey prediction:0",
     f"""WITH {_base_sql()}, g AS (SELECT {_SUMS} FROM bp), c AS {_meta_sql('')} FROM g)
         SELECT o_orderkey, my + b1 * (o_totalprice - m1) + b2 * (c_acctbal - m2) AS prediction FROM {ORDER_FRAME}, c""",
 )
