@@ -22,7 +22,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from residua.functions import expr
-from residua.functions.hashing import uniform
 from residua.functions.moments import Moments, grouped_moments, linear_column, ridge, total
 from residua.operators.cv import timeseries_bounds
 from residua.session import durable
@@ -334,10 +333,3 @@ def tune_trees(df: DataFrame, features: list[str], target: str, grid: dict[str,
     ]
     best = max(range(len(rows)), key=lambda i: rows[i][-1])
     return rows, names, best
-
-
-def ml_uniform_sample(df: DataFrame, key: str, max_rows: int, n_rows: int, seed: int = 42) -> DataFrame:
-    """Repeatable sample of about ``max_rows`` rows for attribution."""
-    if n_rows <= max_rows:
-        return df
-    return df.where(uniform(F.col(key), f"sample{seed}") < F.lit(max_rows / n_rows)).limit(max_rows)

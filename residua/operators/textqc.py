@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from residua.functions import expr
 from residua.session import spread
 
-# Fixed word lists of the rules: (phrase, severity) in checking order.
+# Fixed values of the rules: word lists, patterns and limits.  BANNED holds (phrase, severity) in
+# checking order.
 BANNED = [
     ("definitely", "hard_block"), ("guaranteed", "hard_block"), ("guarantees", "hard_block"),
     ("proves", "hard_block"), ("100% accurate", "hard_block"), ("never fails", "hard_block"),
@@ -33,7 +34,7 @@ NUMBER = (
     r"(?U)(?<![\w.])-?\d+(?:,\d{3})*(?:\.\d+)?(?:[eE][-+]?\d+)?(?:%(?![\w])|(?![\w.]))"
 )
 TAG = r"</?[a-zA-Z][a-zA-Z0-9_:-]*\s*/?>"
-INVISIBLE = r"[\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u2069\ufeff]"
+ZERO_WIDTH = r"[\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u2069\ufeff]"
 SPACES = r"[\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 MAX_CHARS, MIN_OUTPUT, MAX_OUTPUT, HEDGE_REACH = 200, 20, 1200, 80
 TOLERANCE = 0.02
@@ -51,7 +52,7 @@ def sanitise(text: Column, max_chars: int = MAX_CHARS) -> Column:
     for marker in INJECTIONS:
         out = F.regexp_replace(out, "(?i)" + _literal(marker), "")
     out = F.regexp_replace(out, TAG, "")
-    out = F.regexp_replace(out, INVISIBLE, "")
+    out = F.regexp_replace(out, ZERO_WIDTH, "")
     out = F.regexp_replace(F.regexp_replace(out, "`", ""), "[\r\n]", " ")
     out = F.regexp_replace(out, r"[\x00-\x1f\x7f]", "")
     out = F.regexp_replace(out, SPACES + "+", " ")
