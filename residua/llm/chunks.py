@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-CHUNK, CHUNKS_EACH = "__chunk", 4
+CHUNK = "__chunk"
+CHUNK_BYTES = 32 << 20  # text of a chunk, about
 _TYPES = {
     "int": T.IntegerType(), "long": T.LongType(), "double": T.DoubleType(), "string": T.StringType(), "binary": T.BinaryType(),
     "boolean": T.BooleanType(), "longs": T.ArrayType(T.LongType()), "ints": T.ArrayType(T.IntegerType()),
@@ -41,11 +42,28 @@ def arrow_schema(kind: T.StructType) -> pa.Schema:
     return to_arrow_schema(kind)
 
 
-def chunked(df: DataFrame, key: str) -> DataFrame:
-    """The rows with their chunk, all rows of a chunk in one partition."""
-    n = width(df.sparkSession)
-    spread = F.xxhash64(F.col(f"`{key}`"), F.lit(71))
-    return df.withColumn(CHUNK, F.pmod(spread, F.lit(CHUNKS_EACH * n)).cast("int")).repartition(n, CHUNK)
+def parts_for(df: DataFrame, text: str) -> int:
+    """Chunks so that each holds ``CHUNK_BYTES`` of text or less, by the measured size of the column."""
+    size = df.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
+    return max(width(df.sparkSession), -(-size // CHUNK_BYTES))
+
+
+def _labels(spark: SparkSession, n: int) -> list[int]:
+    """For each of n partitions a number that is dealt to it, so that chunks fill the partitions evenly."""
+    tries, found = 4 * n, {}
+    while len(found) < n:
+        tries *= 2
+        dealt = spark.range(tries).select(F.col("id").cast("int").alias("label"))
+        dealt = dealt.groupBy(F.pmod(F.hash("label"), F.lit(n)).alias("part")).agg(F.min("label").alias("label"))
+        found = dict(map(tuple, dealt.collect()))
+    return [found[p] for p in range(n)]
+
+
+def chunked(df: DataFrame, key: str, n: int) -> DataFrame:
+    """The rows with their chunk, dealt by a hash of the key to n chunks, one in each partition."""
+    labels = F.array(*[F.lit(k) for k in _labels(df.sparkSession, n)])
+    place = F.pmod(F.xxhash64(F.col(f"`{key}`"), F.lit(71)), F.lit(n)).cast("int")
+    return df.withColumn(CHUNK, F.element_at(labels, place + 1)).repartition(n, CHUNK)
 
 
 def bucket_edges(keys: np.ndarray, buckets: int) -> np.ndarray:

@@ -134,9 +134,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     """
     if not 2 * block - 1 <= window:
         raise ValueError("a window must hold a whole block at any offset: window >= 2 * block - 1")
-    buckets = chunks.width(docs.sparkSession)
     base = docs.drop("n_words", "n_removed", "kept")
-    x = chunks.chunked(base, key)
+    buckets = chunks.parts_for(base, text)
+    x = chunks.chunked(base, key, buckets)
 
     def probe(batches):
         mine: dict[int, list] = {}
