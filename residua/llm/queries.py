@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from residua.llm import language_model, quality
+from residua.llm.contamination import contamination
 from residua.llm.repeats import remove_repeats
+from residua.llm.url_filter import Rule, judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -52,3 +55,98 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     kept = F.sha2(F.coalesce(F.col("kept"), F.lit("")), 256)
     return remove_repeats(docs).select("doc_id", "n_words", "n_removed", kept.alias("kept_sha256"))
+
+
+ALNUM = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+
+
+@register(
+    "op7_decontamination",
+    f"""WITH d AS (SELECT doc_id, {word_list_sql('text', ALNUM, True)} AS w FROM documents),
+    b AS (SELECT item_id, {word_list_sql('text', ALNUM, True)} AS w FROM benchmark),
+    bw AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, md5(array_to_string(w[i:i + least(len(w), 10) - 1], ' ')) AS h
+      FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 8, 2))) AS i FROM b WHERE len(w) > 0)),
+    ns AS (SELECT DISTINCT n FROM bw),
+    dw AS (SELECT doc_id, n, i, md5(array_to_string(w[i:i + n - 1], ' ')) AS h
+      FROM (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM d, ns WHERE len(w) >= n)),
+    hits AS (SELECT DISTINCT doc_id, n, i, item_id FROM dw JOIN bw USING (n, h)),
+    covered AS (SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM hits, (SELECT unnest(range(0, 10)) AS k) WHERE k < n GROUP BY doc_id),
+    named AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS s FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM hits) GROUP BY doc_id)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+      sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)""",
+)
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = contamination(docs, table(spark, folder, "benchmark"))
+    listed = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(listed, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+URL_RULES = [
+    Rule("org", "/", True), Rule("example.org", "/es/", False), Rule("example.org", "/en/1", False), Rule("com", "/fr/", True), Rule("com", "/de/", False),
+]
+_CANONICAL = """CASE WHEN contains({u}, '://') THEN concat(
+    regexp_replace(regexp_replace(translate(regexp_extract({u}, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^www\\.', ''), ':(80|443)$', ''),
+    regexp_replace(regexp_extract({u}, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '/+$', ''),
+    CASE WHEN {q} <> '' THEN concat('?', {q}) ELSE '' END) END"""
+_QUERY = "regexp_replace(regexp_replace(regexp_extract({u}, '(?s)^[^?#]*\\?([^#]*)', 1), '(^|&)utm_[^&]*', '', 'g'), '^&', '')"
+
+
+def _canonical_sql(u: str) -> str:
+    return _CANONICAL.format(u=u, q=_QUERY.format(u=u))
+
+
+@register(
+    "op3_url_filter",
+    f"""WITH RECURSIVE rules(h, p, allow) AS (VALUES {', '.join(f"('{r.host}', '{r.path}', {r.allow})" for r in URL_RULES)}),
+    raw AS (SELECT page_id, url,
+      coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+      coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path, {_canonical_sql('url')} AS alias,
+      list_concat(
+        list_transform(list_filter(regexp_extract_all(coalesce(html, ''), '(?i)<link\\b[^>]*>'), lambda t: regexp_matches(t, '(?i)\\brel\\s*=\\s*["'']?canonical\\b')), lambda t: regexp_extract(t, '(?i)\\bhref\\s*=\\s*["'']?([^"''>\\s]+)', 1)),
+        list_transform(list_filter(regexp_extract_all(coalesce(html, ''), '(?i)<meta\\b[^>]*>'), lambda t: regexp_matches(t, '(?i)\\bhttp-equiv\\s*=\\s*["'']?refresh\\b')), lambda t: regexp_extract(t, '(?i)\\burl\\s*=\\s*([^"''>\\s]+)', 1))) AS found
+      FROM pages),
+    best AS (SELECT page_id, arg_max((h || p, allow), (length(h || p), allow)) AS b FROM raw, rules
+      WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id),
+    links AS (SELECT alias, CASE WHEN starts_with(t, '//') THEN 'http:' || t WHEN starts_with(t, '/') THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || t ELSE t END AS t
+      FROM (SELECT alias, url, unnest(found) AS t FROM raw)),
+    e AS (SELECT DISTINCT a, b FROM (SELECT alias AS a, {_canonical_sql('t')} AS b FROM links WHERE contains(t, '://')) WHERE a <> b),
+    s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+    reach(a, b) AS (SELECT a, b FROM s UNION SELECT reach.a, s.b FROM reach JOIN s ON reach.b = s.a),
+    comp AS (SELECT a AS alias, least(a, min(b)) AS component FROM reach GROUP BY a),
+    placed AS (SELECT raw.page_id, host, path, b[1] AS rule, b[2] AS allow, coalesce(component, raw.alias) AS component
+      FROM raw LEFT JOIN best USING (page_id) LEFT JOIN comp ON comp.alias = raw.alias),
+    decided AS (SELECT component, bool_or(allow) AS any_allow FROM placed WHERE allow IS NOT NULL GROUP BY component)
+    SELECT page_id, host, path, rule, CASE WHEN coalesce(allow, any_allow, true) THEN 'allow' ELSE 'block' END AS verdict
+    FROM placed LEFT JOIN decided ON decided.component = placed.component""",
+)
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return judge_urls(table(spark, folder, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def fold(modulus: int, key: str = "doc_id"):
+    """crc32 of the key as text, modulo."""
+    return F.crc32(F.col(key).cast("string").cast("binary")) % modulus
+
+
+@register("op9_lm_scoring")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    held_out = F.coalesce(fold(7) == 2, F.lit(False))
+    model = language_model.fit(docs.where(~held_out))
+    return language_model.score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score"
+    )
+
+
+@register("op10_quality_classifier")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "n_chars")
+    held_out = F.coalesce(fold(5) == 0, F.lit(False))
+    labels = table(spark, folder, "labels").select("doc_id", "quality")
+    machine = quality.fit(docs.where(~held_out).join(labels, "doc_id"), metadata=["n_chars"])
+    p = F.col("score")
+    return quality.score(docs, machine, metadata=["n_chars"]).select(
+        "doc_id", held_out.alias("held_out"), "score", (p >= 0.3).cast("int").alias("predicted")
+    )
