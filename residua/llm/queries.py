@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from residua.llm import language_model, quality
+from residua.llm import language_model, quality, toxicity
 from residua.llm.contamination import contamination
 from residua.llm.repeats import remove_repeats
 from residua.llm.url_filter import Rule, judge_urls
@@ -150,3 +150,14 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score(docs, machine, metadata=["n_chars"]).select(
         "doc_id", held_out.alias("held_out"), "score", (p >= 0.3).cast("int").alias("predicted")
     )
+
+
+@register("op5_toxicity")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    held_out = F.coalesce(fold(3) == 1, F.lit(False))
+    labels = table(spark, folder, "labels").select("doc_id", "toxic")
+    lexicon = toxicity.fit(docs.where(~held_out).join(labels, "doc_id"))
+    return toxicity.score(docs, lexicon).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_hits"
+    )
