@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from residua.llm import language_model, quality, toxicity
 from residua.llm.contamination import contamination
 from residua.llm.repeats import remove_repeats
+from residua.llm.shingle_join import shingle_join
 from residua.llm.url_filter import Rule, judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -161,3 +162,20 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score(docs, lexicon).select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_hits"
     )
+
+
+@register(
+    "op8_ngram_jaccard",
+    f"""WITH RECURSIVE t AS (SELECT doc_id, {word_list_sql('text', BLANK, True)} AS w FROM documents),
+    s AS (SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + 3], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM t WHERE len(w) > 0)),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM s x JOIN s y ON x.h = y.h AND x.doc_id < y.doc_id GROUP BY 1, 2),
+    e AS (SELECT a, b FROM c JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * i >= 85 * (p.n + q.n - i)),
+    g AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+    reach(a, b) AS (SELECT a, b FROM g UNION SELECT reach.a, g.b FROM reach JOIN g ON reach.b = g.a),
+    least AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+    SELECT t.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(t.doc_id, coalesce(least.b, t.doc_id)) AS component_id
+    FROM t LEFT JOIN n USING (doc_id) LEFT JOIN least ON least.a = t.doc_id""",
+)
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return shingle_join(table(spark, folder, "documents"))
