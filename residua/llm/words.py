@@ -61,11 +61,13 @@ def _spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers: _Po
 
 def windows(hashes: np.ndarray, size: int, family: int = 0) -> np.ndarray:
     """Hash of every run of ``size`` consecutive word hashes; ``family`` picks one of two hashes."""
-    n = len(hashes) - size + 1
-    if n <= 0:
-        return np.empty(0, _U)
-    i = np.arange(n)
-    return _spans(mix(hashes ^ _U(family)), i, i + size, _WORDS[family])
+    n = max(len(hashes) - size + 1, 0)
+    out = np.empty(n, _U)
+    for lo in range(0, n, SEGMENT >> 2):
+        hi = min(lo + (SEGMENT >> 2), n)
+        i = np.arange(hi - lo)
+        out[lo:hi] = _spans(mix(hashes[lo : hi + size - 1] ^ _U(family)), i, i + size, _WORDS[family])
+    return out
 
 
 @dataclass(frozen=True)
