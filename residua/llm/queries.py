@@ -12,6 +12,7 @@ from residua.llm.contamination import contamination
 from residua.llm.repeats import remove_repeats
 from residua.llm.shingle_join import shingle_join
 from residua.llm.url_filter import Rule, judge_urls
+from residua.llm.vector_neighbours import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -179,3 +180,18 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return shingle_join(table(spark, folder, "documents"))
+
+
+@register(
+    "op4_embedding_near_dedup",
+    """WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0 AND len(list_filter(embedding, lambda y: y <> 0)) > 0),
+    e AS (SELECT p.vec_id AS a, q.vec_id AS b FROM v p JOIN v q ON p.vec_id <> q.vec_id AND len(p.x) = len(q.x) AND list_cosine_similarity(p.x, q.x) >= 0.9),
+    reach(a, b) AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
+    c AS (SELECT a, least(a, min(b)) AS c FROM reach GROUP BY a),
+    n AS (SELECT a, count(*) AS n FROM e GROUP BY a)
+    SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(c, vec_id) AS component_id, coalesce(c, vec_id) = vec_id AS kept
+    FROM embeddings LEFT JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id""",
+)
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "embeddings"))
