@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,7 +32,7 @@ from residua.llm.words import LOWER, distinct, mix, slices, split
 from residua.session import ensure_checkpoint_dir
 
 BROADCAST_BYTES = 256 << 20
-FLUSH = 4_000_000  # distinct keys a counting task holds before it sends them
+FLUSH = 2_000_000  # distinct keys a counting task holds before it sends them
 BITS_PER_ENTRY, PROBES = 10, 7
 END = np.uint64(0x5851F42D4C957F2D)
 _KIND_WORD, _KIND_PAIR = 0, 1
@@ -146,7 +147,7 @@ def _count(train: DataFrame, text: str, kind: int, buckets: int) -> DataFrame:
                 counts.setdefault(bucket, []).append(np.frombuffer(p, np.uint32, n, 8 * n).astype(np.int64))
         for bucket in keys:
             k, c = _merge(keys[bucket], counts[bucket])
-            packed = k.tobytes() + c.tobytes() if kind == _KIND_WORD else build_filter(k, c)
+            packed = pack_words(k, c) if kind == _KIND_WORD else build_filter(k, c)
             row = [[kind], [bucket], [packed], [int(c.sum())], [len(k)], [int((c == 1).sum())]]
             yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, chunks.arrow_schema(_SHARD), strict=True)], schema=chunks.arrow_schema(_SHARD))
 
@@ -171,26 +172,33 @@ def fit(train: DataFrame, text: str = "text") -> Model:
     return Model(shards, sums[0]["n"], sums[0]["v"], max(sums[1]["once"] / sums[1]["n"], 1e-6), sums[0]["size"] + sums[1]["size"], buckets)
 
 
+def pack_words(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Keys and counts; the first byte is the width of a count."""
+    kind = np.uint32 if counts.max(initial=0) < 1 << 32 else np.uint64
+    return bytes([kind().nbytes]) + keys.tobytes() + counts.astype(kind).tobytes()
+
+
 def _words_of(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = len(packed) // 16
-    return np.frombuffer(packed, np.uint64, n), np.frombuffer(packed, np.int64, n, 8 * n)
+    wide = packed[0]
+    n = (len(packed) - 1) // (8 + wide)
+    return np.frombuffer(packed, np.uint64, n, 1), np.frombuffer(packed, np.uint32 if wide == 4 else np.uint64, n, 1 + 8 * n)
 
 
 def _counts(keys: np.ndarray, counts: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     if not len(keys):
         return np.zeros(len(wanted), np.int64)
     at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, counts[at], 0)
+    return np.where(keys[at] == wanted, counts[at], 0).astype(np.int64)
 
 
 class _Broadcast:
     """All shards at hand."""
 
-    def __init__(self, rows: list, buckets: int) -> None:
-        words = [_words_of(p) for k, _, p in sorted((r for r in rows if r[0] == _KIND_WORD), key=lambda r: r[1])]
+    def __init__(self, shards: list[tuple[int, int, Broadcast]], buckets: int) -> None:
+        words = [_words_of(p.value) for k, _, p in sorted((r for r in shards if r[0] == _KIND_WORD), key=lambda r: r[1])]
         self.keys = np.concatenate([np.empty(0, np.uint64), *[k for k, _ in words]])
-        self.counts = np.concatenate([np.empty(0, np.int64), *[c for _, c in words]])
-        self.filters = {b: np.frombuffer(p, np.uint8) for k, b, p in rows if k == _KIND_PAIR}
+        self.counts = np.concatenate([c for _, c in words]) if words else np.empty(0, np.int64)
+        self.filters = {b: np.frombuffer(p.value, np.uint8) for k, b, p in shards if k == _KIND_PAIR}
         self.buckets = buckets
 
     def count(self, wanted: np.ndarray) -> np.ndarray:
@@ -238,12 +246,11 @@ def score(docs: DataFrame, model: Model, text: str = "text", broadcast_bytes: in
         return [pa.array(new[f.name], f.type) if f.name in new else part.column(f.name).cast(f.type) for f in schema], schema
 
     if model.bytes <= broadcast_bytes:
-        got = model.shards.select("kind", "bucket", "packed").toArrow()
-        rows = list(zip(*[got.column(i).to_pylist() for i in range(3)], strict=True))
-        shared = spark.sparkContext.broadcast(_Broadcast(rows, buckets))
+        # one shard at a time passes through the driver
+        shards = [(r["kind"], r["bucket"], spark.sparkContext.broadcast(bytes(r["packed"]))) for r in model.shards.select("kind", "bucket", "packed").toLocalIterator()]
 
         def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            m = shared.value
+            m = _Broadcast(shards, buckets)
             for part in slices(batches, text):
                 cols, schema = filled(part, _score(part.column(text), m.count, m.level, numbers))
                 yield pa.RecordBatch.from_arrays(cols, schema=schema)
