@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from residua.llm import language_model, quality, toxicity
+from residua.llm import language_model, quality, sentence_pieces, toxicity
 from residua.llm.contamination import contamination
+from residua.llm.pieces import load_pieces
 from residua.llm.repeats import remove_repeats
 from residua.llm.shingle_join import shingle_join
+from residua.llm.token_counts import count_tokens
 from residua.llm.url_filter import Rule, judge_urls
 from residua.llm.vector_neighbours import near_duplicates
 
@@ -195,3 +197,17 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "embeddings"))
+
+
+@register("op2_sentencepiece")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = load_pieces()
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    back = sentence_pieces.decode(sentence_pieces.encode(docs, pieces), pieces)
+    return back.select("doc_id", "n_tokens", "ids", F.col("decoded").eqNullSafe(F.col("text")).alias("exact"))
+
+
+@register("op6_token_counts")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return count_tokens(docs, load_pieces()).select("doc_id", "n_tokens", "n_pre_tokens")
