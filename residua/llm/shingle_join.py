@@ -40,6 +40,8 @@ GROUPS = 64  # coordinates of a point
 SLAB_GROUPS = 1024  # groups of a slab
 FLUSH = 3_000_000  # entries a task gathers before it sends them
 TILE, LEAF = 2048, 32
+PARTNERS = 256  # partners that a task gets with one text
+MARGIN = 3
 BROADCAST_ROWS = 1_000_000
 _U = np.uint64
 
@@ -267,36 +269,67 @@ def _verified(docs: DataFrame, members: DataFrame, pairs: DataFrame, key: str, t
                 yield b.select(["a", "b"]).filter(pa.array(ok))
 
     near = durable(near.mapInArrow(bound, two))
-    wanted = near.select(F.explode(F.array("a", "b")).alias(key)).distinct()
-    if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    kind = T.StructType([docs.schema[key], T.StructField("set", T.BinaryType())])
+    judged = durable(_compared(docs, near, key, text, size, percent, np.uint32))
+    close = judged.where("close").select("a", "b")
+    sure = judged.where("linked AND NOT close").select("a", "b")
+    if not close.limit(1).count():
+        return sure
+    exact = _compared(docs, close, key, text, size, percent, np.uint64)
+    return durable(sure.unionByName(exact.where("linked").select("a", "b")))
+
+
+def _compared(docs: DataFrame, near: DataFrame, key: str, text: str, size: int, percent: int, width: type) -> DataFrame:
+    """(a, b, linked, close) for pairs whose sets meet as 32- or 64-bit hashes.  Each set is sent once to every a
+    that it is paired with, and an a with many partners is sent to several tasks.  Short hashes can only count
+    too many shared shingles; ``close`` marks pairs that ``MARGIN`` false matches could turn."""
+    tiles = near.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("tiles"))
+    salted = (
+        near.withColumn("k", F.struct("a")).join(tiles.select(F.struct("a").alias("k"), "tiles"), "k")
+        .select("a", "b", F.pmod(F.xxhash64("b"), "tiles").cast("int").alias("salt"))
+    )
+    hubs = tiles.select(F.col("a").alias("doc"), "a", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("salt"), F.lit(0).alias("role"))
+    sent = hubs.unionByName(salted.select(F.col("b").alias("doc"), "a", "salt", F.lit(1).alias("role")))
+    sent = durable(sent.groupBy(F.col("doc").alias(key)).agg(F.collect_list(F.struct("a", "salt", "role")).alias("to")))
+    few = sent.agg(F.count(F.lit(1)), F.sum(F.size("to"))).first()
+    wanted = F.broadcast(sent) if (few[1] or 0) <= BROADCAST_ROWS else sent
+    kind = T.StructType([near.schema["a"], *chunks.shape("salt int, role int").fields, near.schema["b"], T.StructField("set", T.BinaryType())])
+    out = T.StructType([near.schema["a"], near.schema["b"], *chunks.shape("linked boolean, close boolean").fields])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text):
             h, first = shingle_sets(part.column(text), size)
-            packed = [h[first[i] : first[i + 1]].tobytes() for i in range(part.num_rows)]
-            yield pa.RecordBatch.from_arrays([part.column(key), pa.array(packed, pa.binary())], schema=chunks.arrow_schema(kind))
-
-    held = docs.select(key, text).join(wanted, key, "left_semi").mapInArrow(sets, kind).select(F.struct(F.col(key).alias("rep")).alias("k"), "set")
-    held = durable(held)
-    full = (
-        near.select(F.struct(F.col("b").alias("rep")).alias("k"), "a", "b").join(held, "k")
-        .select(F.struct(F.col("a").alias("rep")).alias("k"), "a", "b", F.col("set").alias("sb")).join(held, "k").select("a", "b", "sb", F.col("set").alias("sa"))
-    )
+            rows = []
+            for i, (doc, to) in enumerate(zip(part.column(key).to_pylist(), part.column("to").to_pylist(), strict=True)):
+                own = h[first[i] : first[i + 1]]
+                packed = (own if width is np.uint64 else np.sort((own >> _U(32)).astype(np.uint32))).tobytes()
+                rows += [(x["a"], x["salt"], x["role"], doc, packed) for x in to]
+            schema = chunks.arrow_schema(kind)
+            cols = list(zip(*rows, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(cols, schema, strict=True)], schema=schema)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, hub_key = np.empty(0, width), None
         for b in batches:
-            ok = []
-            for x, y in zip(b.column("sa"), b.column("sb"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)
-                at = np.searchsorted(x, y)
-                at[at == len(x)] = 0
-                shared = int((x[at] == y).sum())
-                ok.append(100 * shared >= percent * (len(x) + len(y) - shared))
-            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    return durable(full.mapInArrow(compare, two).distinct())
+            rows = []
+            for a, salt, role, other, packed in zip(*[b.column(i).to_pylist() for i in range(4)], b.column(4), strict=True):
+                own = np.frombuffer(packed.as_buffer(), width)
+                if role == 0:
+                    hub, hub_key = own, (a, salt)
+                    continue
+                if hub_key != (a, salt):
+                    raise RuntimeError("a pair came without its first text")
+                at = np.searchsorted(hub, own)
+                at[at == len(hub)] = 0
+                shared, total = int((hub[at] == own).sum()), len(hub) + len(own)
+                linked = (100 + percent) * shared >= percent * total
+                doubt = width is np.uint32 and linked and (100 + percent) * (shared - MARGIN) < percent * total
+                rows.append((a, other, linked, doubt))
+            cols = list(zip(*rows, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(cols, chunks.arrow_schema(out), strict=True)], schema=chunks.arrow_schema(out))
+
+    rows = docs.select(key, text).join(wanted, key).mapInArrow(sets, kind)
+    parts = chunks.width(docs.sparkSession)
+    return rows.repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(compare, out).distinct()
 
 
 def _open_pairs(stars: DataFrame, members: DataFrame, component: DataFrame, percent: int, parts: int) -> DataFrame:
