@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,6 +93,32 @@ def _sql_moments(rows: DataFrame, names: list[str]) -> dict[object, Moments]:
     return out
 
 
+SLOTS = 32
+
+
+def packed_arrays(sums: dict[object, np.ndarray]):
+    """One row per group with a task's partial sums as bytes, for ``summed_arrays``."""
+    task = TaskContext.get()
+    slot = task.partitionId() % SLOTS if task else 0
+    for g, flat in sums.items():
+        yield pd.DataFrame({"g": [g], "slot": [slot], "v": [flat.astype(float).tobytes()]})
+
+
+def summed_arrays(parts: DataFrame) -> dict[object, np.ndarray]:
+    """Sum the packed arrays (g, slot, v) of all tasks: first within slots, in parallel, then over slots."""
+    schema = parts.schema
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(v) for v in pdf["v"])
+        return pd.DataFrame({"g": pdf["g"].iloc[:1], "slot": pdf["slot"].iloc[:1], "v": [total.tobytes()]})
+
+    out: dict[object, np.ndarray] = {}
+    for r in parts.groupBy("g", "slot").applyInPandas(add, schema).toLocalIterator():
+        flat = np.frombuffer(r["v"])
+        out[r["g"]] = out[r["g"]] + flat if r["g"] in out else flat
+    return out
+
+
 def _block_moments(rows: DataFrame, names: list[str]) -> dict[object, Moments]:
     """Wide tables: each Arrow batch contributes one matrix product, summed by element."""
     p = len(names)
@@ -107,15 +134,10 @@ def _block_moments(rows: DataFrame, names: list[str]) -> dict[object, Moments]:
                 x = part[fields].to_numpy(dtype=float) - centre
                 flat = np.concatenate([[len(x)], x.sum(axis=0), (x.T @ x).ravel()])
                 sums[g] = sums[g] + flat if g in sums else flat
-        for g, flat in sums.items():
-            yield pd.DataFrame({"g": g, "i": np.arange(len(flat)), "v": flat})
+        yield from packed_arrays(sums)
 
-    cells = rows.mapInPandas(partial, f"g {kind}, i int, v double").groupBy("g", "i").agg(F.sum("v").alias("v"))
-    flats: dict[object, np.ndarray] = {}
-    for r in cells.collect():
-        flats.setdefault(r["g"], np.zeros(1 + p + p * p))[r["i"]] = r["v"]
     out = {}
-    for g, flat in flats.items():
+    for g, flat in summed_arrays(rows.mapInPandas(partial, f"g {kind}, slot int, v binary")).items():
         n, s, raw = flat[0], flat[1 : p + 1], flat[p + 1 :].reshape(p, p)
         out[g] = Moments(names, n, centre + s / n, raw - np.outer(s, s) / n)
     return out

@@ -9,6 +9,7 @@ from residua.functions import expr
 from residua.functions.hashing import bucket_of, digest
 from residua.functions.ranks import running_sums, with_position
 from residua.operators.profile import kind_of, target_facts
+from residua.session import durable
 
 
 def resolve_strategy(
@@ -74,25 +75,49 @@ def train_before(fold_number: int, n: int, k: int, gap: int = 0) -> Column:
     return F.col("pos") < F.lit(first + fold_number * size - gap)
 
 
-def group_kfold(df: DataFrame, group: str, k: int = 5, balance: bool = False, max_groups: int = 100_000) -> DataFrame:
-    """Folds that keep each group whole: by hash of the group, or, for a bounded number of
-    groups, largest group first into the lightest fold."""
+SHARE = 100  # a group is large from 1 / SHARE of a fold
+
+
+def group_kfold(df: DataFrame, group: str, k: int = 5, balance: bool = False) -> DataFrame:
+    """Folds that keep each group whole: by hash of the group or, with ``balance``, by size.
+
+    Groups of at least 1 / ``SHARE`` of a fold, of which there are at most ``k * SHARE``, go one by one, the
+    largest first, into the lightest fold.  All others, in order of their size, fill the folds up to one
+    level by their running total, so any number of groups is placed without gathering them."""
     if not balance:
         return df.withColumn("fold", bucket_of(expr.col(group), "group", k))
-    sizes = df.groupBy(expr.col(group).alias("g")).agg(F.count("*").alias("c"))
-    rows = sizes.orderBy(F.desc("c"), "g").limit(max_groups + 1).collect()
-    if len(rows) > max_groups:
-        return group_kfold(df, group, k)
-    load = [0] * k
-    placed = []
-    for r in rows:
+    sizes = durable(df.groupBy(expr.col(group).alias("__g")).agg(F.count("*").alias("__c")))
+    n = sizes.agg(F.sum("__c")).first()[0] or 0
+    large = F.col("__c") * F.lit(k * SHARE) >= F.lit(n)
+    load, placed = [0] * k, []
+    for r in sizes.where(large).orderBy(F.desc("__c"), "__g").collect():
         f = load.index(min(load))
-        load[f] += r["c"]
-        placed.append((r["g"], f))
+        load[f] += r["__c"]
+        placed.append((r["__g"], f))
     schema = f"__g {df.schema[group].dataType.simpleString()}, fold int"
     table = df.sparkSession.createDataFrame(placed, schema)
-    # at most max_groups rows
-    return df.join(F.broadcast(table), expr.col(group).eqNullSafe(F.col("__g"))).drop("__g")
+    small = sizes.where(~large).withColumn("__order", -F.col("__c"))
+    rest = n - sum(load)
+    if rest:
+        totals = running_sums(small, ["__order", "__g"], {"__sum": F.col("__c")})
+        fold = F.lit(k - 1)
+        for f, bound in reversed(list(enumerate(_fill(load, rest)))):
+            fold = F.when(F.col("__sum") - F.col("__c") / 2 <= F.lit(float(bound)), F.lit(f)).otherwise(fold)
+        table = table.unionByName(totals.select("__g", fold.alias("fold")))
+    return df.join(table, expr.col(group).eqNullSafe(F.col("__g"))).drop("__g")
+
+
+def _fill(load: list[int], rest: int) -> list[float]:
+    """Running totals at which each fold is full when ``rest`` more rows bring the folds to one level."""
+    lightest = sorted(load)
+    level = float(lightest[0])
+    for i, low in enumerate(lightest):
+        top = lightest[i + 1] if i + 1 < len(lightest) else float("inf")
+        level = min((rest + sum(lightest[: i + 1])) / (i + 1), top)
+        if level < top:
+            break
+    room = [max(0.0, level - x) for x in load]
+    return [sum(room[: f + 1]) for f in range(len(load))]
 
 
 def assign_folds(df: DataFrame, strategy: str, key: str, target: str, k: int, seed: int = 42, time_column: str | None = None, group_column: str | None = None) -> DataFrame:

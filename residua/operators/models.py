@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from residua.functions import expr
 from residua.functions.moments import Moments, grouped_moments, linear_column, ridge, total
-from residua.operators.cv import timeseries_bounds
+from residua.operators.cv import timeseries_bounds, train_before
 from residua.session import durable
 
 
@@ -179,6 +179,7 @@ class MLModel:
 
     estimator: Estimator
     probability: bool = False
+    penalty_c: float | None = None  # inverse penalty of a logistic model, spread over the rows it is fitted on
     features: list[str] = field(default_factory=list)
     fitted: object = None
 
@@ -188,9 +189,10 @@ class MLModel:
     def fit(self, df: DataFrame, features: list[str], target: str) -> "MLModel":
         self.features = list(features)
         data = self.assemble(df).withColumn("__label", expr.col(target).cast("double"))
-        self.fitted = self.estimator.copy(
-            {self.estimator.featuresCol: "__features", self.estimator.labelCol: "__label"}
-        ).fit(data)
+        params = {self.estimator.featuresCol: "__features", self.estimator.labelCol: "__label"}
+        if self.penalty_c is not None:
+            params[self.estimator.regParam] = 1.0 / (max(1, df.count()) * self.penalty_c)
+        self.fitted = self.estimator.copy(params).fit(data)
         return self
 
     def predict(self, df: DataFrame) -> DataFrame:
@@ -208,31 +210,31 @@ class MLModel:
         return dict(zip(self.features, map(float, values)))
 
 
-def logistic(n_rows: int, c: float = 1.0) -> MLModel:
+def logistic(c: float = 1.0) -> MLModel:
     """L2 logistic regression with inverse penalty ``c`` on unscaled features."""
-    return MLModel(
-        LogisticRegression(regParam=1.0 / (n_rows * c), elasticNetParam=0.0, standardization=False, maxIter=1000),
-        probability=True,
-    )
+    return MLModel(LogisticRegression(elasticNetParam=0.0, standardization=False, maxIter=1000), probability=True, penalty_c=c)
+
+
+def _tree_params(params: dict) -> dict:
+    merged = {**BOOSTING, "featureSubsetStrategy": COLUMN_SHARE, **params}
+    return {**merged, "featureSubsetStrategy": str(merged["featureSubsetStrategy"])}
 
 
 def boosted_regressor(seed: int = 42, **params) -> MLModel:
-    return MLModel(GBTRegressor(seed=seed, featureSubsetStrategy=COLUMN_SHARE, **{**BOOSTING, **params}))
+    return MLModel(GBTRegressor(seed=seed, **_tree_params(params)))
 
 
 def boosted_classifier(seed: int = 42, **params) -> MLModel:
-    return MLModel(
-        GBTClassifier(seed=seed, featureSubsetStrategy=COLUMN_SHARE, **{**BOOSTING, **params}), probability=True
-    )
+    return MLModel(GBTClassifier(seed=seed, **_tree_params(params)), probability=True)
 
 
-def choose_model(kind: str, problem: str, n_rows: int = 1, seed: int = 42, **params):
+def choose_model(kind: str, problem: str, seed: int = 42, **params):
     """Model for (linear | trees, regression | binary | multiclass)."""
     if kind == "linear":
         if problem == "regression":
             return RidgeModel(**params)
         if problem == "binary":
-            return logistic(n_rows, **params)
+            return logistic(**params)
         raise ValueError("the linear model does not support multiclass targets")
     if kind == "trees":
         if problem == "regression":
@@ -243,11 +245,16 @@ def choose_model(kind: str, problem: str, n_rows: int = 1, seed: int = 42, **par
     raise ValueError(f"unknown model {kind!r}")
 
 
-def cross_fit(df: DataFrame, make, features: list[str], target: str, k: int) -> tuple[DataFrame, list[tuple[int, str, float]]]:
-    """K fits of any model; each fold is scored by the model that did not see it."""
+def cross_fit(
+    df: DataFrame, make, features: list[str], target: str, k: int, ordered_rows: int | None = None, gap: int = 0
+) -> tuple[DataFrame, list[tuple[int, str, float]]]:
+    """K fits of any model; each fold is scored by the model that did not see it.  With ``ordered_rows``, the
+    row count of time-ordered folds with ``pos``, a fold's model sees only rows that lie more than ``gap``
+    rows before it."""
     parts, importances = None, []
     for fold in range(k):
-        model = make().fit(df.where((F.col("fold") != fold) & (F.col("fold") >= 0)), features, target)
+        seen = (F.col("fold") != fold) & (F.col("fold") >= 0) if ordered_rows is None else train_before(fold, ordered_rows, k, gap)
+        model = make().fit(df.where(seen), features, target)
         scored = model.predict(df.where(F.col("fold") == fold))
         parts = scored if parts is None else parts.unionByName(scored)
         importances += [(fold, f, v) for f, v in model.importance().items()]
@@ -292,10 +299,15 @@ def stack_oof(tables: dict[str, DataFrame], key: str, target: str = "y", alpha:
     return result.table, Stack(names, final)
 
 
-# Search spaces of the sweep: (low, high, log scale); fixed values.
+# Search spaces of the sweep: (low, high, log scale); fixed values.  Spark's trees have no counterpart of
+# the L1 and L2 leaf penalties.
 SPACES = {
-    "linear": {"alpha": (1e-3, 1e3, True)},
-    "trees": {"maxDepth": (3, 8, False), "stepSize": (0.01, 0.3, True), "subsamplingRate": (0.6, 1.0, False)},
+    "linear": {"alpha": (1e-3, 100.0, True)},
+    "logistic": {"c": (1e-3, 100.0, True)},
+    "trees": {
+        "maxDepth": (3, 10, False), "stepSize": (0.01, 0.3, True), "subsamplingRate": (0.6, 1.0, False),
+        "featureSubsetStrategy": (0.6, 1.0, False), "minInstancesPerNode": (1, 20, False), "minInfoGain": (0.0, 5.0, False),
+    },
 }
 
 

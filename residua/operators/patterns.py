@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from residua.functions.moments import packed_arrays, summed_arrays
+
 # Fixed scoring constants.
 EFFECT_WEIGHT, COVERAGE_WEIGHT = 0.60, 0.40
 MIN_EFFECT, MIN_COVERAGE, MIN_SAMPLES = 0.2, 0.03, 5
 JACCARD_LIMIT, TOP_K = 0.9, 20
-MAX_MASKS = 2000
 
 
 def model_agreement(patterns: DataFrame, models: list[str]) -> DataFrame:
@@ -69,8 +69,6 @@ def mask_overlaps(df: DataFrame, masks: list[Column]) -> np.ndarray:
     """Joint support counts of every two row masks.  Each Arrow batch contributes one matrix
     product, so the work per row does not emit pairs."""
     p = len(masks)
-    if p > MAX_MASKS:
-        raise ValueError(f"too many patterns to compare by mask: {p}")
     rows = df.select(*[F.coalesce(m.cast("boolean"), F.lit(False)).cast("float").alias(f"m{i}") for i, m in enumerate(masks)])
 
     def partial(batches):
@@ -78,13 +76,10 @@ def mask_overlaps(df: DataFrame, masks: list[Column]) -> np.ndarray:
         for pdf in batches:
             x = pdf.to_numpy(dtype=np.float64)
             acc += x.T @ x
-        flat = acc.ravel()
-        yield pd.DataFrame({"i": np.arange(flat.size), "v": flat})
+        yield from packed_arrays({0: acc.ravel()})
 
-    out = np.zeros(p * p)
-    for r in rows.mapInPandas(partial, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
-        out[r["i"]] = r["v"]
-    return out.reshape(p, p)
+    sums = summed_arrays(rows.mapInPandas(partial, "g int, slot int, v binary")) if p else {}
+    return sums.get(0, np.zeros(p * p)).reshape(p, p)
 
 
 def jaccard_table(df: DataFrame, names: list[str], masks: list[Column]) -> DataFrame:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from residua.functions import expr
 from residua.functions.dist import CHI2_1_CRITICAL_05, correlation_p
-from residua.functions.moments import grouped_moments
+from residua.functions.moments import packed_arrays, summed_arrays
 from residua.functions.quantiles import exact_quantiles
 
 MIN_ROWS, MIN_SPREAD, BINS = 4, 2.0, 5
@@ -108,26 +109,51 @@ def interaction_correlations(df: DataFrame, features: list[str], residual: str,
 
 
 def interaction_strengths(df: DataFrame, features: list[str], residual: str) -> DataFrame:
-    """Partial R^2 of the centred product of each pair on the residual given both features,
-    for all pairs from one pass of moments."""
+    """Partial R^2 of the centred product of each pair on the residual given both features.
+
+    One pass: every task adds up ten p x p matrices over all pairs at once, so p features cost O(p^2)
+    numbers.  Each pair uses the rows where both its features and the residual are finite; the residual
+    is centred so that sums of squares keep their digits."""
     pairs = _pairs(features)
-    means_row = df.agg(*[F.avg(expr.finite(expr.col(c))).alias(f"m{i}") for i, c in enumerate(features)]).first()
-    centred = {c: expr.finite(expr.col(c)) - F.lit(means_row[f"m{i}"]) for i, c in enumerate(features)}
-    cols = {**centred, "__e": expr.finite(F.col(residual))}
-    cols |= {f"{a}\x1f{b}": centred[a] * centred[b] for a, b in pairs}
-    m = grouped_moments(df, cols)[0]
+    p = len(features)
+    names = [f"x{i}" for i in range(p)]
+    wide = df.select(*[expr.finite(expr.col(c)).cast("double").alias(n) for c, n in zip(features, names)], expr.finite(F.col(residual)).cast("double").alias("e"))
+    wide = wide.where(F.col("e").isNotNull())
+    stats = wide.agg(*[F.avg(n).alias(n) for n in [*names, "e"]], *[F.stddev_pop(n).alias(f"s{n}") for n in [*names, "e"]]).first()
+    centre = np.array([stats[n] or 0.0 for n in [*names, "e"]])
+    scale = np.array([stats[f"s{n}"] or 1.0 for n in [*names, "e"]])
+
+    def partial(batches):
+        total = np.zeros(10 * p * p)
+        for pdf in batches:
+            z = (pdf.to_numpy(dtype=float) - centre) / scale
+            x, e = z[:, :p], z[:, p:]
+            m = np.isfinite(x).astype(float)
+            x = np.where(m > 0, x, 0.0)
+            xx = x * x
+            parts = (m.T @ m, x.T @ m, m.T @ (e * m), xx.T @ m, x.T @ x, m.T @ (e * e * m), x.T @ (e * m), xx.T @ x, x.T @ (e * x), xx.T @ xx)
+            total += np.concatenate([part.ravel() for part in parts])
+        yield from packed_arrays({0: total})
+
+    sums = summed_arrays(wide.mapInPandas(partial, "g int, slot int, v binary")) if p else {}
+    n, a, e, aa, ab, ee, ae, aab, abe, aabb = sums.get(0, np.zeros(10 * p * p)).reshape(10, p, p)
     rows = []
-    for a, b in pairs:
-        i = m.index([a, b, f"{a}\x1f{b}", "__e"])
-        s = m.scatter[i][:, i]
-        rows.append((a, b, _partial_r2(s)))
+    for j, k in ((features.index(x), features.index(y)) for x, y in pairs):
+        # a, b, the product and the residual of this pair's rows
+        first = np.array([a[j, k], a[k, j], ab[j, k], e[j, k]])
+        second = np.array(
+            [
+                [aa[j, k], ab[j, k], aab[j, k], ae[j, k]], [ab[j, k], aa[k, j], aab[k, j], ae[k, j]],
+                [aab[j, k], aab[k, j], aabb[j, k], abe[j, k]], [ae[j, k], ae[k, j], abe[j, k], ee[j, k]],
+            ]
+        )
+        s = second - np.outer(first, first) / n[j, k] if n[j, k] else np.zeros((4, 4))
+        rows.append((features[j], features[k], _partial_r2(s)))
     return df.sparkSession.createDataFrame(rows, "feature_a string, feature_b string, strength double")
 
 
 def _partial_r2(s) -> float:
     """Squared partial correlation of entries 2 and 3 given 0 and 1 of a scatter matrix."""
-    import numpy as np
-
     base = s[:2, :2]
     adjust = s[2:, :2] @ np.linalg.pinv(base) @ s[:2, 2:]
     rest = s[2:, 2:] - adjust

@@ -12,11 +12,13 @@ from residua.functions import expr
 from residua.functions.buckets import add_bucket, interval_index
 from residua.functions.dist import kolmogorov_sf
 from residua.functions.quantiles import SKETCH_ACCURACY, exact_quantiles
+from residua.functions.ranks import with_position
 from residua.session import durable, spread
 
 MIN_RANGES, MAX_RANGES, SUB_RANGES = 512, 8192, 1024
 SORT_ROWS = 200_000_000
 BROADCAST_ROWS = 200_000
+BH_BLOCK = 1 << 16  # rows of one block of the p-value order
 
 
 @dataclass(frozen=True)
@@ -330,16 +332,23 @@ def _refine(long: DataFrame, open_ranges: DataFrame) -> DataFrame:
 
 
 def bh_adjust(tests: DataFrame, p: str = "p_value", out: str = "adjusted_p_value") -> DataFrame:
-    """Benjamini-Hochberg adjusted p-values over a result table (one row per test)."""
+    """Benjamini-Hochberg adjusted p-values over a result table (one row per test), in blocks of the global
+    order of p: a running minimum from the top inside a block, bounded by the minima of the blocks above."""
     ties = ["column_name", "bin_value"] if "bin_value" in tests.columns else []
-    ranked = tests.withColumn("__rank", F.row_number().over(Window.orderBy(p, *ties))).withColumn(
-        "__m", F.count("*").over(Window.partitionBy())
-    )
-    from_top = Window.orderBy(F.desc("__rank")).rowsBetween(Window.unboundedPreceding, 0)
-    scaled = F.col(p) * F.col("__m") / F.col("__rank")
-    return ranked.withColumn(out, F.least(F.lit(1.0), F.min(scaled).over(from_top))).drop(
-        "__rank", "__m"
-    )
+    placed = durable(with_position(tests, [p, *ties], "__pos"))
+    m = placed.count()
+    scaled = F.when(F.col(p).isNotNull(), F.col(p) * F.lit(m) / (F.col("__pos") + 1))
+    block = F.floor(F.col("__pos") / F.lit(BH_BLOCK)).cast("long")
+    ranked = placed.withColumn("__s", scaled).withColumn("__b", block)
+    lows = sorted((r["__b"], r["low"]) for r in ranked.groupBy("__b").agg(F.min("__s").alias("low")).collect())
+    above, carried = [], 1.0
+    for b, low in reversed(lows):
+        above.append((b, carried))
+        carried = carried if low is None else min(carried, low)
+    limits = F.broadcast(tests.sparkSession.createDataFrame(above or [(0, 1.0)], "__b long, __above double"))  # one row a block
+    from_top = Window.partitionBy("__b").orderBy(F.desc("__pos")).rowsBetween(Window.unboundedPreceding, 0)
+    value = F.when(F.col(p).isNotNull(), F.least(F.col("__above"), F.min("__s").over(from_top)))
+    return ranked.join(limits, "__b").withColumn(out, value).drop("__pos", "__s", "__b", "__above")
 
 
 def subgroup_patterns(
@@ -439,17 +448,15 @@ def beam_search(
             .where(F.col("n") >= F.lit(min_coverage * whole["n"]))
             .withColumn("wracc", F.col("n") / F.lit(whole["n"]) * (F.col("m") - F.lit(whole["m"])))
             .orderBy(F.desc("wracc"), "c", "v", "b")
-            .limit(width * depth)
-            .collect()
+            .collect()  # at most width * features / min_coverage rows: coverages of a column's bins add up to one
         )
-        nxt: list[tuple] = []
+        fresh: list[tuple] = []
         for r in scored:
             rule = tuple(sorted([*beam[r["b"]], (r["c"], r["v"])]))
             if rule not in found:
                 found[rule] = (len(rule), r["n"], r["m"], r["wracc"])
-                if len(nxt) < width:
-                    nxt.append(rule)
-        beam = nxt
+                fresh.append(rule)
+        beam = fresh[:width]
         if not beam:
             break
     rows = [

@@ -263,13 +263,11 @@ def event_log(t: Tables) -> DataFrame:
 
 @query(
     "full_report", "A16", "n_patterns:int n_variables:int rows strongest:6",
-    """SELECT least(20, (SELECT count(*) FROM (SELECT DISTINCT user_id, event_type FROM events))) AS n_patterns, least(20, count(*)) AS n_variables, count(*) AS rows,
+    """SELECT (SELECT count(*) FROM (SELECT DISTINCT user_id, event_type FROM events)) AS n_patterns, count(*) AS n_variables, count(*) AS rows,
          (SELECT max(m) FROM (SELECT avg(value) / 50 AS m FROM events GROUP BY user_id, event_type)) AS strongest FROM customer""",
 )
 def full_report(t: Tables) -> DataFrame:
-    from residua.operators.results import by_importance, strongest
-
-    patterns, variables = strongest(event_patterns(t), 20), by_importance(customer_variables(t), 20)
+    patterns, variables = event_patterns(t), customer_variables(t)
     run = t.events.agg(F.min("ts").cast("string").alias("started"), F.count("*").alias("events"))
     dataset = t.customer.agg(F.count("*").alias("rows"))
     summary = event_patterns(t).agg(F.count("*").alias("patterns_found"))

@@ -79,6 +79,36 @@ def timeseries_oof(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "timeseries_train_rows", "E6", "fold n n_train:int last_train",
+    f"""WITH s AS {TS_SQL}, b AS (SELECT count(*) AS n, count(*) // 6 AS size FROM s),
+         r AS (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS pos FROM events)
+       SELECT f.fold::INT AS fold, b.size AS n, count(*) AS n_train, max(r.pos) AS last_train
+       FROM (SELECT unnest(range(0, 5)) AS fold) f, b, r WHERE r.pos < b.n - 5 * b.size + f.fold * b.size - 100 GROUP BY f.fold, b.size""",
+)
+def timeseries_train_rows(t: Tables) -> DataFrame:
+    """What a model of each time fold is fitted on, as seen by the model itself."""
+    base = cv.timeseries_folds(t.events.select("ts", "event_id", "user_id", "value"), "ts", "event_id", 5)
+    seen: list[DataFrame] = []
+
+    class Probe:
+        def fit(self, df, features, target):
+            seen.append(df.agg(F.count("*").alias("n_train"), F.max("pos").alias("last_train")).withColumn("fold", F.lit(len(seen))))
+            return self
+
+        def predict(self, df):
+            return df.withColumn("prediction", F.lit(0.0))
+
+        def importance(self):
+            return {}
+
+    table, _ = models.cross_fit(base, Probe, ["user_id"], "value", 5, base.count(), 100)
+    trained = seen[0]
+    for more in seen[1:]:
+        trained = trained.unionByName(more)
+    return table.groupBy("fold").agg(F.count("*").alias("n")).join(trained, "fold").select("fold", "n", "n_train", "last_train")
+
+
 @query("group_folds", "E5", "event_id fold", f"SELECT event_id, floor({uniform_sql('user_id', 'group')} * 5)::INT AS fold FROM events")
 def group_folds(t: Tables) -> DataFrame:
     return cv.group_kfold(t.events.select("event_id", "user_id"), "user_id")
@@ -177,8 +207,7 @@ def ridge_model(t: Tables) -> DataFrame:
 @query("logistic_oof", "E11 E15", "fold n mean_p:3 deviance:2")
 def logistic_oof(t: Tables) -> DataFrame:
     base = cv.kfold(label_docs(t), "doc_id", 3).select("doc_id", "fold", "quality", (F.length("text") / 1000.0).alias("kchars"), "toxic")
-    n = base.count()
-    table, _ = models.cross_fit(base, lambda: models.choose_model("linear", "binary", n), ["kchars", "toxic"], "quality", 3)
+    table, _ = models.cross_fit(base, lambda: models.choose_model("linear", "binary"), ["kchars", "toxic"], "quality", 3)
     d = cv.deviance_residual(F.col("quality"), F.col("prediction"))
     return table.groupBy("fold").agg(F.count("*").alias("n"), F.avg("prediction").alias("mean_p"), F.sum(d * d).alias("deviance"))
 

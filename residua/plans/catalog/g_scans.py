@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from residua.functions.ranks import with_position
 from residua.operators import cluster, models, patterns, prep, regime, scan, temporal
 from residua.plans.catalog.a_sources import EVENT_PATTERNS, RIDGE_OOF, event_patterns
 from residua.plans.catalog.e_models import folded_orders
@@ -438,9 +439,8 @@ def derived_columns(t: Tables) -> DataFrame:
 
 @query(
     "patterns_by_effect", "G32", "place:int run_id column_name effect_size:6",
-    f"SELECT row_number() OVER (ORDER BY abs(effect_size) DESC, column_name, run_id::VARCHAR) AS place, run_id, column_name, effect_size FROM {EVENT_PATTERNS} QUALIFY place <= 50",
+    f"SELECT row_number() OVER (ORDER BY abs(effect_size) DESC, column_name, run_id::VARCHAR) AS place, run_id, column_name, effect_size FROM {EVENT_PATTERNS}",
 )
 def patterns_by_effect(t: Tables) -> DataFrame:
-    ordered = patterns.by_effect(event_patterns(t).withColumn("bin_value", F.col("run_id").cast("string"))).limit(50)
-    place = F.row_number().over(Window.orderBy(F.desc(F.abs("effect_size")), "column_name", "bin_value"))
-    return ordered.withColumn("place", place)
+    named = event_patterns(t).withColumn("bin_value", F.col("run_id").cast("string")).withColumn("__size", -F.abs("effect_size"))
+    return with_position(named, ["__size", "column_name", "bin_value"]).withColumn("place", F.col("pos") + 1)

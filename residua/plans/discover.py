@@ -54,26 +54,25 @@ def _prepare(df: DataFrame, o: Options) -> tuple[list[str], list[str], str]:
 def cross_fitted(train: DataFrame, features: list[str], o: Options, problem: str) -> dict[str, DataFrame]:
     """Out-of-fold tables (key, fold, y, prediction, residual) per model."""
     encoder = prep.Preprocessor().fit(train, features)
-    folded = cv.assign_folds(
-        train, cv.resolve_strategy(train, o.target, o.cv_strategy, o.time_column, o.group_column),
-        o.key, o.target, o.cv_folds, o.seed, o.time_column, o.group_column,
-    )
-    keep = [c for c in (o.key, "fold", "pos") if c in folded.columns]
+    strategy = cv.resolve_strategy(train, o.target, o.cv_strategy, o.time_column, o.group_column)
+    folded = cv.assign_folds(train, strategy, o.key, o.target, o.cv_folds, o.seed, o.time_column, o.group_column)
+    ordered = strategy == "timeseries"
+    keep = [o.key, "fold", *(["pos"] if ordered else [])]
     matrix = durable(encoder.transform(folded.withColumn("y", expr.col(o.target).cast("double")), [*keep, "y"]))
     names = [c for c in matrix.columns if c not in (*keep, "y")]
     out = {}
     for kind in o.models:
         if kind == "linear" and problem == "regression":
-            if "pos" in keep:
+            if ordered:
                 n = matrix.count()
                 got = models.ridge_timeseries_oof(matrix, names, "y", n, o.cv_folds, o.cv_gap, o.ridge_alpha)
             else:
                 got = models.ridge_oof(matrix, names, "y", o.ridge_alpha)
             table = got.table
         else:
-            n = matrix.count()
             table, _ = models.cross_fit(
-                matrix, lambda kind=kind: models.choose_model(kind, problem, n, o.seed), names, "y", o.cv_folds
+                matrix, lambda kind=kind: models.choose_model(kind, problem, o.seed), names, "y", o.cv_folds,
+                matrix.count() if ordered else None, o.cv_gap,
             )
             if problem == "binary":
                 table = table.withColumn("residual", cv.deviance_residual(F.col("y"), F.col("prediction")))
@@ -155,9 +154,12 @@ VARIABLE_SCHEMA = (
 
 def discover(df: DataFrame, o: Options) -> Result:
     """Profile, cross-fit, scan, construct, check and rank."""
+    clash = {"fold", "pos", "y", "prediction", "residual", "is_holdout"} & (set(df.columns) - {o.target})
+    if clash:
+        raise ValueError(f"column names used by the run itself: {sorted(clash)}")
     features, numeric, problem = _prepare(df, o)
     n_rows = df.count()
-    if o.time_column:
+    if o.time_column and prep.split_allowed(n_rows, o.test_size):
         split = prep.with_temporal_holdout(df, o.time_column, o.key, o.test_size)
         split = split.drop("pos")
     elif prep.split_allowed(n_rows, o.test_size):

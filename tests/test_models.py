@@ -113,7 +113,7 @@ def test_logistic_equals_newton(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(0, 1, (400, 2))
     y = (rng.random(400) < 1 / (1 + np.exp(-(0.5 + x @ [1.5, -1])))).astype(float)
-    m = models.logistic(400).fit(spark.createDataFrame(pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "y": y})), ["a", "b"], "y")
+    m = models.logistic().fit(spark.createDataFrame(pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "y": y})), ["a", "b"], "y")
     z = np.column_stack([np.ones(400), x])
     w = np.zeros(3)
     for _ in range(50):
