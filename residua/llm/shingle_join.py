@@ -36,12 +36,13 @@ from residua.llm.words import LOWER, mix, slices, split, windows
 from residua.session import durable
 
 SHINGLE, PERCENT = 4, 85
-GROUPS = 64  # coordinates of a point
+GROUPS, MOST_GROUPS = 64, 2048  # coordinates of a point
 SLAB_GROUPS = 1024  # groups of a slab
-FLUSH = 3_000_000  # entries a task gathers before it sends them
+FLUSH = 1_000_000  # entries a task gathers before it sends them
 TILE, LEAF = 2048, 32
 PARTNERS = 256  # partners that a task gets with one text
 MARGIN = 3
+SLICE = 1 << 20  # bytes of text handled at once
 BROADCAST_ROWS = 1_000_000
 _U = np.uint64
 
@@ -121,11 +122,34 @@ def slab_keys(h: np.ndarray, first: np.ndarray, percent: int) -> tuple[np.ndarra
     return np.concatenate(keys), np.concatenate(of)
 
 
-def points(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Counts per group; counts above 65535 are cut, and ``may_link`` allows for what was cut."""
-    n = len(first) - 1
-    owner = np.repeat(np.arange(n), np.diff(first))
-    return np.minimum(np.bincount(owner * GROUPS + (h >> _U(50)).astype(np.int64) % GROUPS, minlength=n * GROUPS), 65535).reshape(n, GROUPS).astype(np.uint16)
+def groups_for(n: np.ndarray) -> np.ndarray:
+    """Groups of a text with n shingles, about n / 16: then unrelated texts of any length differ by more than
+    linked ones may.  Always a power of two, so that points fold onto fewer groups."""
+    wide = 2 ** np.ceil(np.log2(np.maximum(n, 16) / 16)).astype(np.int64)
+    return np.where(n < 16 * GROUPS, GROUPS, np.minimum(wide, MOST_GROUPS))
+
+
+def points(h: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """Counts per group, by the leading bits of the hash; counts above 65535 are cut, and ``may_link`` allows
+    for what was cut."""
+    n = np.diff(first)
+    owner = np.repeat(np.arange(len(n)), n)
+    few = np.bincount(owner * GROUPS + (h >> _U(64 - GROUPS.bit_length() + 1)).astype(np.int64), minlength=len(n) * GROUPS).reshape(-1, GROUPS)
+    out = [np.minimum(v, 65535).astype(np.uint16) for v in few]
+    wide = groups_for(n)
+    for i in np.flatnonzero(wide > GROUPS):
+        place = (h[first[i] : first[i + 1]] >> _U(64 - int(wide[i]).bit_length() + 1)).astype(np.int64)
+        out[i] = np.minimum(np.bincount(place, minlength=wide[i]), 65535).astype(np.uint16)
+    return out
+
+
+def folded(packed: list[bytes], groups: int) -> np.ndarray:
+    """Points of several sizes as rows over ``groups`` groups."""
+    out = np.empty((len(packed), groups), np.int64)
+    for i, p in enumerate(packed):
+        v = np.frombuffer(p, np.uint16)
+        out[i] = v if len(v) == groups else v.reshape(groups, -1).sum(1)
+    return out
 
 
 def may_link(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
@@ -136,23 +160,25 @@ def may_link(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, perce
 
 
 class _Box:
-    """A node of a packed tree: rows lo..hi of the sorted points, their largest counts and sizes."""
+    """A node of a packed tree: rows lo..hi of the sorted points, their largest counts, their sizes, and
+    whether no count was cut."""
 
-    __slots__ = ("lo", "hi", "high", "least", "most", "children")
+    __slots__ = ("lo", "hi", "high", "least", "most", "whole", "children")
 
-    def __init__(self, lo, hi, high, least, most, children):
-        self.lo, self.hi, self.high, self.least, self.most, self.children = lo, hi, high, least, most, children
+    def __init__(self, lo, hi, high, least, most, whole, children):
+        self.lo, self.hi, self.high, self.least, self.most, self.whole, self.children = lo, hi, high, least, most, whole, children
 
 
 def pack_tree(vectors: np.ndarray, sizes: np.ndarray, fanout: int = 8) -> _Box:
     """Tree over points sorted by size and leading coordinates, packed bottom-up."""
+    whole = vectors.sum(1) == sizes
     level = [
-        _Box(lo, min(lo + LEAF, len(sizes)), vectors[lo : lo + LEAF].max(0), sizes[lo : lo + LEAF].min(), sizes[lo : lo + LEAF].max(), [])
+        _Box(lo, min(lo + LEAF, len(sizes)), vectors[lo : lo + LEAF].max(0), sizes[lo : lo + LEAF].min(), sizes[lo : lo + LEAF].max(), whole[lo : lo + LEAF].all(), [])
         for lo in range(0, len(sizes), LEAF)
     ]
     while len(level) > 1:
         level = [
-            _Box(c[0].lo, c[-1].hi, np.max([x.high for x in c], 0), min(x.least for x in c), max(x.most for x in c), c)
+            _Box(c[0].lo, c[-1].hi, np.max([x.high for x in c], 0), min(x.least for x in c), max(x.most for x in c), all(x.whole for x in c), c)
             for c in (level[i : i + fanout] for i in range(0, len(level), fanout))
         ]
     return level[0]
@@ -171,7 +197,7 @@ def tree_pairs(vectors: np.ndarray, sizes: np.ndarray, side: np.ndarray, part: n
             continue
         least = x.least + y.least
         most = np.minimum(x.high, y.high).sum(dtype=np.int64)
-        if x.high.max() < 65535 and y.high.max() < 65535 and (100 + percent) * most < percent * least:
+        if x.whole and y.whole and (100 + percent) * most < percent * least:
             continue
         if x.children or y.children:
             cx, cy = x.children or [x], y.children or [y]
@@ -225,7 +251,7 @@ def _slab_stars(docs: DataFrame, text: str, size: int, percent: int) -> DataFram
                 rows.append((int(b), key[lo:hi].tobytes() + cls[lo:hi].tobytes(), star[first:last].tobytes()))
             return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows, strict=True), chunks.arrow_schema(_ENTRY), strict=True)], schema=chunks.arrow_schema(_ENTRY))
 
-        for part in slices(batches, text, 1 << 20):
+        for part in slices(batches, text, SLICE):
             h, first = shingle_sets(part.column(text), size)
             if not len(h):
                 continue
@@ -263,10 +289,15 @@ def _verified(docs: DataFrame, members: DataFrame, pairs: DataFrame, key: str, t
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(-1, GROUPS) for c in ("pa", "pb"))
-                ok = may_link(x, b.column("na").to_numpy(), y, b.column("nb").to_numpy(), percent)
-                yield b.select(["a", "b"]).filter(pa.array(ok))
+            packed = b.column("pa").to_pylist(), b.column("pb").to_pylist()
+            sizes = b.column("na").to_numpy(), b.column("nb").to_numpy()
+            groups = np.array([min(len(x), len(y)) // 2 for x, y in zip(*packed, strict=True)], np.int64)
+            ok = np.zeros(b.num_rows, bool)
+            for g in np.unique(groups):
+                for at in np.array_split(np.flatnonzero(groups == g), 1 + int((groups == g).sum()) * int(g) // 1_000_000):
+                    x, y = (folded([side[i] for i in at], int(g)) for side in packed)
+                    ok[at] = may_link(x, sizes[0][at], y, sizes[1][at], percent)
+            yield b.select(["a", "b"]).filter(pa.array(ok))
 
     near = durable(near.mapInArrow(bound, two))
     judged = durable(_compared(docs, near, key, text, size, percent, np.uint32))
@@ -296,7 +327,7 @@ def _compared(docs: DataFrame, near: DataFrame, key: str, text: str, size: int,
     out = T.StructType([near.schema["a"], near.schema["b"], *chunks.shape("linked boolean, close boolean").fields])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, text):
+        for part in slices(batches, text, SLICE):
             h, first = shingle_sets(part.column(text), size)
             rows = []
             for i, (doc, to) in enumerate(zip(part.column(key).to_pylist(), part.column("to").to_pylist(), strict=True)):
@@ -371,14 +402,15 @@ def _open_pairs(stars: DataFrame, members: DataFrame, component: DataFrame, perc
     def judged(t: pa.Table) -> Iterator[pa.RecordBatch]:
         group = _group(t)
         edges = np.concatenate([[0], np.flatnonzero(group[1:] != group[:-1]) + 1, [len(group)]])
-        vectors = np.frombuffer(b"".join(t.column("point").to_pylist()), np.uint16).reshape(-1, GROUPS)
+        packed = t.column("point").to_pylist()
         n, side = t.column("n").to_numpy(), t.column("side").to_numpy()
         part = np.unique(np.array(t.column("part").to_pylist()), return_inverse=True)[1]
         left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for lo, hi in zip(edges[:-1], edges[1:], strict=True):
             if hi - lo == 2 and part[lo] == part[lo + 1]:
                 continue
-            i, j = tree_pairs(vectors[lo:hi], n[lo:hi], side[lo:hi], part[lo:hi], percent)
+            vectors = folded(packed[lo:hi], min(map(len, packed[lo:hi])) // 2)
+            i, j = tree_pairs(vectors, n[lo:hi], side[lo:hi], part[lo:hi], percent)
             left.append(i + lo), right.append(j + lo)
         rep = t.column("rep").combine_chunks()
         a, b = rep.take(pa.array(np.concatenate(left))), rep.take(pa.array(np.concatenate(right)))
@@ -407,7 +439,7 @@ def shingle_join(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     kind = T.StructType([docs.schema[key], *chunks.shape("n long, h1 long, h2 long, point binary").fields])
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, text):
+        for part in slices(batches, text, SLICE):
             h, first = shingle_sets(part.column(text), size)
             h1, h2 = class_hash(h, first)
             vectors = [v.tobytes() for v in points(h, first)]
