@@ -133,17 +133,47 @@ def _gather(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(total[-1] if len(total) else 0) + np.repeat(begin - (total - sizes), sizes)
 
 
+class _Speller:
+    """Bytes of runs of ids."""
+
+    def __init__(self, table: PieceTable) -> None:
+        self.sizes = np.array([len(t) for t in table.texts] + [0])
+        self.begin = np.cumsum(self.sizes) - self.sizes
+        self.letters = np.frombuffer(b"".join(table.texts), np.uint8)
+
+    def spell(self, ids: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all ids, and the places where the runs at ``edges`` begin among them."""
+        known = np.where((ids < 0) | (ids >= len(self.sizes) - 1), len(self.sizes) - 1, ids)
+        sizes = self.sizes[known]
+        data = self.letters[_gather(self.begin[known], sizes)]
+        return data, np.concatenate([[0], np.cumsum(sizes)])[edges]
+
+
+def _unlike(a: np.ndarray, at: np.ndarray, b: np.ndarray, bt: np.ndarray) -> np.ndarray:
+    """Which runs of bytes of a, beginning at ``at``, differ from those of b."""
+    out = np.diff(at) != np.diff(bt)
+    if not out.any():
+        wrong = np.concatenate([[0], np.cumsum(a != b)])
+        return wrong[at[1:]] != wrong[at[:-1]]
+    for i in np.flatnonzero(~out):
+        out[i] = not np.array_equal(a[at[i] : at[i + 1]], b[bt[i] : bt[i + 1]])
+    return out
+
+
 def encode(
-    docs: DataFrame, table: PieceTable, key: str = "doc_id", text: str = "text", broadcast_tokens: int = BROADCAST_TOKENS
+    docs: DataFrame, table: PieceTable, key: str = "doc_id", text: str = "text", broadcast_tokens: int = BROADCAST_TOKENS, exact: bool = False
 ) -> DataFrame:
-    """Adds ``ids`` (array of int) and ``n_tokens`` (long) to every row, replacing columns of these names.
+    """Adds ``ids`` (array of int) and ``n_tokens`` (long) to every row, and with ``exact`` whether decoding gives
+    the text again, replacing columns of these names.
 
     A space is put before the text, spaces become ▁, nothing else is changed.  A character without a piece
     becomes its bytes, or the unknown id in a model without byte pieces.  Null texts have null ids and no
     tokens, empty texts empty ids.  Repeated rows are encoded alike; no rows in, none out.
     """
-    base = docs.drop("ids", "n_tokens")
-    shape = T.StructType([*base.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType())])
+    added = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), *([T.StructField("exact", T.BooleanType())] if exact else [])]
+    base = docs.drop(*[f.name for f in added])
+    shape = T.StructType([*base.schema.fields, *added])
+    speller = _Speller(table)
     answers = lattice_ids(durable(distinct_tokens(base, text, table.letters_apart)).repartition(chunks.width(docs.sparkSession), "h"), table)
 
     def finish(part: pa.RecordBatch, w: Words, known: Answers) -> pa.RecordBatch:
@@ -152,8 +182,11 @@ def encode(
         ids = known.values[_gather(known.begin[at].astype(np.int64), sizes)].astype(np.int32) if len(at) else np.empty(0, np.int32)
         edges = np.concatenate([[0], np.cumsum(sizes)])[w.first]
         missing = part.column(text).is_null()
-        lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(ids), mask=missing)
-        return passed(part, chunks.arrow_schema(shape), {"ids": lists, "n_tokens": pa.array(np.diff(edges), pa.int64())})
+        new = {"ids": pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(ids), mask=missing), "n_tokens": pa.array(np.diff(edges), pa.int64())}
+        if exact:
+            starts = np.append(w.starts, len(w.data))[w.first]
+            new["exact"] = pa.array(~_unlike(w.data, starts, *speller.spell(ids, edges)))
+        return passed(part, chunks.arrow_schema(shape), new)
 
     return answer_texts(base, key, text, answers, finish, shape, table.letters_apart, broadcast_tokens)
 
@@ -163,26 +196,22 @@ def decode(encoded: DataFrame, table: PieceTable, ids: str = "ids", into: str =
     Null ids give null, empty ids the empty text, ids outside the vocabulary nothing."""
     base = encoded.drop(into)
     shape = T.StructType([*base.schema.fields, T.StructField(into, T.StringType())])
-    sizes_of = np.array([len(t) for t in table.texts] + [0])
-    begin_of = np.cumsum(sizes_of) - sizes_of
-    letters = np.frombuffer(b"".join(table.texts), np.uint8)
+    speller = _Speller(table)
 
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = chunks.arrow_schema(shape)
         for whole in batches:
-            lengths = np.concatenate([[0], np.cumsum(whole.column(ids).value_lengths().fill_null(0).to_numpy())])
+            lengths = np.concatenate([[0], np.cumsum(whole.column(ids).value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
             lo = 0
             while lo < whole.num_rows:
                 hi = max(lo + 1, int(np.searchsorted(lengths, lengths[lo] + 1_000_000, "right")) - 1)
                 part = whole.slice(lo, hi - lo)
                 lists = part.column(ids)
-                flat = lists.flatten().fill_null(-1).to_numpy()
-                flat = np.where((flat < 0) | (flat >= len(table.texts)), len(table.texts), flat)
-                data = letters[_gather(begin_of[flat], sizes_of[flat])]
-                edges = np.concatenate([[0], np.cumsum(sizes_of[flat])])[lengths[lo : hi + 1] - lengths[lo]]
+                flat = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
+                data, edges = speller.spell(flat, lengths[lo : hi + 1] - lengths[lo])
                 raw = data.tobytes()
                 out = [None if null else raw[a:b].removeprefix(b" ").decode("utf-8", "replace") for a, b, null in zip(edges[:-1], edges[1:], lists.is_null().to_pylist(), strict=True)]
                 yield passed(part, schema, {into: pa.array(out, pa.string())})
                 lo = hi
 
-    return base.mapInArrow(spell, shape)
+    return base.mapInArrow(texts, shape)
