@@ -31,6 +31,7 @@ FUZZY_LENGTH = 5  # shorter terms have no misspellings
 WINDOW = 8  # words on each side of a hit
 NEAR, QUOTED, REPORTED = 1.3, 0.4, 0.7  # factors of a hit's weight
 REPORTING = ["said", "says", "called", "wrote", "writes", "quoted", "quote", "replied", "according", "dit", "sagte", "dijo"]
+NO_EVIDENCE = np.array([0, 0, 0, 0, 0, -4.0])  # the layer of an empty lexicon
 _ADDED = chunks.shape("score double, n_hits long")
 
 
@@ -195,8 +196,11 @@ def _contexts(df: DataFrame, text: str, label: str) -> DataFrame:
         for part in slices(batches, text):
             w = split(part.column(text), LETTERS)
             y = np.repeat(part.column(label).cast(pa.int32()).to_numpy(), w.counts)
-            around = np.concatenate([[np.uint64(1)], w.hashes, [np.uint64(2)]])
-            context = mix(mix(around[:-2]) + around[2:])
+            before, after = np.roll(w.hashes, 1), np.roll(w.hashes, -1)
+            filled = w.counts > 0
+            before[w.first[:-1][filled]] = 1
+            after[w.first[1:][filled] - 1] = 2
+            context = mix(mix(before) + after)
             _, first = np.unique(mix(w.hashes + mix(context)) ^ y.astype(np.uint64), return_index=True)
             spoken = [w.string(i) for i in first]
             yield pa.RecordBatch.from_arrays(
@@ -208,7 +212,7 @@ def _contexts(df: DataFrame, text: str, label: str) -> DataFrame:
 
 def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", max_rows: int = MAX_ROWS) -> Lexicon:
     """Learn from at most about ``max_rows`` of the rows whose label is 0 or 1, drawn by a hash of the key.
-    Null texts have no words; without toxic rows there are no terms and every score is low."""
+    Null texts have no words; without terms, as without toxic rows, every score is low."""
     rows = labelled.where(F.col(label).isin(0, 1)).select(key, text, label)
     n = rows.count()
     if n > max_rows:
@@ -216,7 +220,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", key: str
     sizes = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
     if not bad:
-        return Lexicon([], np.empty(0), {}, np.array([0, 0, 0, 0, 0, -4.0]))
+        return Lexicon([], np.empty(0), {}, NO_EVIDENCE)
     counts = lambda df: df.groupBy("h").agg(F.min("word").alias("word"), F.count_distinct("context").alias("n"))
     seen = counts(_contexts(rows.where(F.col(label) == 1), text, label)).where(F.col("n") >= MIN_CONTEXTS)
     clean = _contexts(rows.where(F.col(label) == 0), text, label)
@@ -225,6 +229,8 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", key: str
     odds = F.log((F.col("n") + 0.5) / (F.col("m") + 0.5) * base)
     share = F.col("n") / (F.col("n") + F.col("m"))
     terms = both.where((share >= 0.8) & (F.col("n") * F.log(share * (1 + base)) >= MIN_EVIDENCE)).select("h", "word", odds.alias("w")).orderBy("word").collect()
+    if not terms:
+        return Lexicon([], np.empty(0), {}, NO_EVIDENCE)
     found = Lexicon([r["word"] for r in terms], np.array([r["w"] for r in terms]), {r["h"] % (1 << 64): (i, float(r["w"])) for i, r in enumerate(terms)})
     shared = rows.sparkSession.sparkContext.broadcast(found)
     kind = chunks.shape("h long, clean int")
