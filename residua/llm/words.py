@@ -14,8 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20  # text handled at once inside a task
-SEGMENT = 1 << 20  # bytes hashed at once
+SLICE_BYTES = 1 << 20  # text handled at once inside a task
+SEGMENT = 1 << 18  # bytes hashed at once
 
 _U = np.uint64
 
