@@ -27,6 +27,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 BROADCAST_TOKENS = 8_000_000
+SLICE = 1 << 19  # bytes of text handled at once
 
 
 @dataclass(frozen=True)
@@ -117,13 +118,13 @@ def distinct_tokens(docs: DataFrame, text: str, letters_apart: bool) -> DataFram
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.empty(0, np.uint64)
-        for part in slices(batches, text):
+        for part in slices(batches, text, SLICE):
             w = pre_tokens(part.column(text), letters_apart)
             h, first = np.unique(w.hashes, return_index=True)
             at = np.minimum(np.searchsorted(seen, h), max(len(seen) - 1, 0))
             new = seen[at] != h if len(seen) else np.ones(len(h), bool)
             h, first = h[new], first[new]
-            if len(seen) > 2_000_000:
+            if len(seen) > 1_000_000:
                 seen = np.empty(0, np.uint64)
             seen = np.union1d(seen, h)
             tokens = [w.string(i).replace(" ", SPACE) for i in first]
@@ -132,30 +133,55 @@ def distinct_tokens(docs: DataFrame, text: str, letters_apart: bool) -> DataFram
     return docs.select(text).mapInArrow(rows, kind).groupBy("h").agg(F.first("token").alias("token"))
 
 
+@dataclass
+class Found:
+    """The answers of a slice: the place of each of its pre-tokens among the distinct ones, and their values."""
+
+    at: np.ndarray
+    sizes: np.ndarray
+    begin: np.ndarray
+    values: np.ndarray
+
+
 class Answers:
-    """Values (integer lists) by pre-token hash, as sorted arrays."""
+    """Values (integer lists) by pre-token hash: parts sorted by hash, used in place without copies."""
 
     def __init__(self, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
-        keys = np.concatenate([np.empty(0, np.uint64), *[k for k, _, _ in parts]])
-        sizes = np.concatenate([np.empty(0, np.int32), *[s for _, s, _ in parts]])
-        self.values = np.concatenate([v for _, _, v in parts]) if parts else np.empty(0, np.int32)
-        order = np.argsort(keys)
-        self.keys, self.sizes = keys[order], sizes[order]
-        begin = np.cumsum(sizes, dtype=np.int64) - sizes
-        self.begin = begin[order].astype(np.uint32) if len(self.values) < 1 << 32 else begin[order]
-
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.keys, hashes), max(len(self.keys) - 1, 0))
-        if len(hashes) and (not len(self.keys) or (self.keys[at] != hashes).any()):
+        parts = sorted((p for p in parts if len(p[0])), key=lambda p: p[0][0])
+        self.parts = [(k, s, np.cumsum(s, dtype=np.int64) - s, v) for k, s, v in parts]
+        self.first = np.array([k[0] for k, _, _ in parts], np.int64)
+
+    def find(self, hashes: np.ndarray) -> Found:
+        keys, at = np.unique(hashes.view(np.int64), return_inverse=True)
+        edges = np.append(np.searchsorted(keys, self.first), len(keys)) if len(self.first) else np.zeros(1, np.int64)
+        if len(keys) and edges[0]:
             raise RuntimeError("a pre-token has no answer")
-        return at
-
-
-def _arrays(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    values = table.column("value")
-    values = values.combine_chunks() if isinstance(values, pa.ChunkedArray) else values
-    small = lambda v: v.astype(np.uint16) if v.max(initial=0) < 1 << 16 else v.astype(np.int32)
-    return table.column("h").to_numpy().view(np.uint64), values.value_lengths().to_numpy().astype(np.int32), small(values.flatten().to_numpy())
+        sizes, values = [np.empty(0, np.int64)], [np.empty(0, np.int32)]
+        for (k, s, begin, v), lo, hi in zip(self.parts, edges[:-1], edges[1:], strict=True):
+            if lo == hi:
+                continue
+            place = np.minimum(np.searchsorted(k, keys[lo:hi]), len(k) - 1)
+            if (k[place] != keys[lo:hi]).any():
+                raise RuntimeError("a pre-token has no answer")
+            sizes.append(s[place].astype(np.int64))
+            values.append(v[gather(begin[place], sizes[-1])].astype(np.int32))
+        size = np.concatenate(sizes)
+        return Found(at, size, np.cumsum(size) - size, np.concatenate(values))
+
+
+def gather(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places begin[i] .. begin[i] + sizes[i] - 1 for all i, in order."""
+    total = np.cumsum(sizes)
+    return np.arange(total[-1] if len(total) else 0) + np.repeat(begin - (total - sizes), sizes)
+
+
+def _arrays(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, list sizes and joined values in order of the hashes, as narrow as they fit."""
+    table = table.sort_by("h")
+    values = table.column("value").combine_chunks()
+    flat, sizes = values.flatten().to_numpy(), values.value_lengths().to_numpy()
+    narrow = lambda v: v.astype(np.uint16) if v.max(initial=0) < 1 << 16 else v.astype(np.int32)
+    return table.column("h").to_numpy().astype(np.int64), narrow(sizes), narrow(flat)
 
 
 def answer_texts(
@@ -173,22 +199,25 @@ def answer_texts(
     answers = spark.read.parquet(path)
 
     if answers.count() <= broadcast_tokens:
-        packed = chunks.shape("h binary, size binary, value binary, wide int")
+        packed = chunks.shape("h binary, size binary, value binary, wide_sizes boolean, wide_values boolean")
 
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                h, size, value = _arrays(b)
-                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()]) for x in (h, size.astype(np.uint16) if size.max(initial=0) < 1 << 16 else size, value)] + [pa.array([value.dtype.itemsize + 16 * (size.max(initial=0) < 1 << 16)], pa.int32())], schema=chunks.arrow_schema(packed))
+            held = list(batches)
+            if held:
+                h, size, value = _arrays(pa.Table.from_batches(held))
+                row = (h.tobytes(), size.tobytes(), value.tobytes(), size.dtype == np.int32, value.dtype == np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, chunks.arrow_schema(packed), strict=True)], schema=chunks.arrow_schema(packed))
 
-        parts = [spark.sparkContext.broadcast(tuple(r)) for r in answers.mapInArrow(pack, packed).toLocalIterator()]
+        dealt = answers.repartitionByRange(chunks.width(spark), "h").mapInArrow(pack, packed)
+        parts = [spark.sparkContext.broadcast(tuple(r)) for r in dealt.toLocalIterator()]
 
         def unpack(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            h, size, value, wide = row
-            return np.frombuffer(h, np.uint64), np.frombuffer(size, np.uint16 if wide & 16 else np.int32), np.frombuffer(value, np.uint16 if wide & 2 else np.int32)
+            h, size, value, wide_sizes, wide_values = row
+            return np.frombuffer(h, np.int64), np.frombuffer(size, np.int32 if wide_sizes else np.uint16), np.frombuffer(value, np.int32 if wide_values else np.uint16)
 
         def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = Answers([unpack(p.value) for p in parts])
-            for part in slices(batches, text, 2 << 20):
+            for part in slices(batches, text, SLICE):
                 yield finish(part, pre_tokens(part.column(text), letters_apart), known)
 
         return docs.mapInArrow(judge, shape)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from residua.llm import chunks
-from residua.llm.pieces import BROADCAST_TOKENS, Answers, Forward, PieceTable, answer_texts, distinct_tokens, merged_ids, passed
+from residua.llm.pieces import BROADCAST_TOKENS, Answers, Forward, PieceTable, answer_texts, distinct_tokens, gather, merged_ids, passed
 from residua.llm.words import Words
 from residua.session import durable
 
@@ -127,12 +127,6 @@ def lattice_ids(tokens: DataFrame, table: PieceTable) -> DataFrame:
     return short.unionByName(tokens.where(size > LONG).mapInArrow(walk, kind))
 
 
-def _gather(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Places begin[i] .. begin[i] + sizes[i] - 1 for all i, in order."""
-    total = np.cumsum(sizes)
-    return np.arange(total[-1] if len(total) else 0) + np.repeat(begin - (total - sizes), sizes)
-
-
 class _Speller:
     """Bytes of runs of ids."""
 
@@ -145,7 +139,7 @@ class _Speller:
         """The bytes of all ids, and the places where the runs at ``edges`` begin among them."""
         known = np.where((ids < 0) | (ids >= len(self.sizes) - 1), len(self.sizes) - 1, ids)
         sizes = self.sizes[known]
-        data = self.letters[_gather(self.begin[known], sizes)]
+        data = self.letters[gather(self.begin[known], sizes)]
         return data, np.concatenate([[0], np.cumsum(sizes)])[edges]
 
 
@@ -177,9 +171,9 @@ def encode(
     answers = lattice_ids(durable(distinct_tokens(base, text, table.letters_apart)).repartition(chunks.width(docs.sparkSession), "h"), table)
 
     def finish(part: pa.RecordBatch, w: Words, known: Answers) -> pa.RecordBatch:
-        at = known.find(w.hashes)
-        sizes = known.sizes[at].astype(np.int64) if len(at) else np.empty(0, np.int64)
-        ids = known.values[_gather(known.begin[at].astype(np.int64), sizes)].astype(np.int32) if len(at) else np.empty(0, np.int32)
+        found = known.find(w.hashes)
+        sizes = found.sizes[found.at]
+        ids = found.values[gather(found.begin[found.at], sizes)]
         edges = np.concatenate([[0], np.cumsum(sizes)])[w.first]
         missing = part.column(text).is_null()
         new = {"ids": pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(ids), mask=missing), "n_tokens": pa.array(np.diff(edges), pa.int64())}

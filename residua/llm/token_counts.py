@@ -46,7 +46,8 @@ def count_tokens(
     answers = words.mapInArrow(walk, kind)
 
     def finish(part: pa.RecordBatch, w: Words, known: Answers) -> pa.RecordBatch:
-        each = known.values[known.begin[known.find(w.hashes)]].astype(np.int64) if len(w.hashes) else np.empty(0, np.int64)
+        found = known.find(w.hashes)
+        each = found.values[found.at].astype(np.int64)  # one number for each pre-token
         total = np.concatenate([[0], np.cumsum(each)])
         new = {"n_tokens": pa.array(total[w.first[1:]] - total[w.first[:-1]], pa.int64()), "n_pre_tokens": pa.array(w.counts, pa.int64())}
         return passed(part, chunks.arrow_schema(shape), new)
