@@ -463,8 +463,11 @@ def shingle_join(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     links = _verified(docs, members, stars.select("a", "b").distinct(), key, text, size, percent)
     component = connected_components(links)
     more = durable(_open_pairs(stars, members, component, percent, chunks.width(docs.sparkSession)))
-    further = _verified(docs, members, more, key, text, size, percent)
-    placed = connected_components(links.unionByName(further)).select(F.struct(F.col("node").alias("rep")).alias("k"), "component")
+    if more.limit(1).count():
+        further = _verified(docs, members, more, key, text, size, percent)
+        if further.limit(1).count():
+            component = connected_components(links.unionByName(further))
+    placed = component.select(F.struct(F.col("node").alias("rep")).alias("k"), "component")
     return (
         belongs.withColumn("k", F.struct("rep")).join(placed, "k", "left")
         .select(key, F.col("n").alias("n_shingles"), F.coalesce("component", "rep", key).alias("component_id"))
