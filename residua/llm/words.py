@@ -7,6 +7,7 @@ windows of any length are one array expression.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -157,6 +158,13 @@ def room(first: np.ndarray) -> np.ndarray:
     return np.repeat(first[1:], counts) - np.arange(first[-1])
 
 
+def give_back() -> None:
+    """Return memory that arrays of past batches held to the system: workers live longer than tasks."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of the batches that hold about ``limit`` bytes of text at most, one text at least."""
     for b in batches:
@@ -169,6 +177,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BY
             hi = max(lo + 1, int(np.searchsorted(size, before + limit, "right")))
             yield b.slice(lo, hi - lo)
             lo = hi
+        give_back()
 
 
 def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
