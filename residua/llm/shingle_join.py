@@ -36,7 +36,7 @@ from residua.llm.words import LOWER, mix, slices, split, windows
 from residua.session import durable
 
 SHINGLE, PERCENT = 4, 85
-GROUPS, MOST_GROUPS = 64, 2048  # coordinates of a point
+GROUPS, MOST_GROUPS = 256, 2048  # coordinates of a point
 SLAB_GROUPS = 1024  # groups of a slab
 FLUSH = 1_000_000  # entries a task gathers before it sends them
 TILE, LEAF = 2048, 32
@@ -123,23 +123,23 @@ def slab_keys(h: np.ndarray, first: np.ndarray, percent: int) -> tuple[np.ndarra
 
 
 def groups_for(n: np.ndarray) -> np.ndarray:
-    """Groups of a text with n shingles, about n / 16: then unrelated texts of any length differ by more than
+    """Groups of a text with n shingles, ``GROUPS`` or about n / 16: then unrelated texts of any length differ by more than
     linked ones may.  Always a power of two, so that points fold onto fewer groups."""
     wide = 2 ** np.ceil(np.log2(np.maximum(n, 16) / 16)).astype(np.int64)
     return np.where(n < 16 * GROUPS, GROUPS, np.minimum(wide, MOST_GROUPS))
 
 
 def points(h: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
-    """Counts per group, by the leading bits of the hash; counts above 65535 are cut, and ``may_link`` allows
+    """Counts per group, by the leading bits of the hash; counts above 255 are cut, and ``may_link`` allows
     for what was cut."""
     n = np.diff(first)
     owner = np.repeat(np.arange(len(n)), n)
     few = np.bincount(owner * GROUPS + (h >> _U(64 - GROUPS.bit_length() + 1)).astype(np.int64), minlength=len(n) * GROUPS).reshape(-1, GROUPS)
-    out = [np.minimum(v, 65535).astype(np.uint16) for v in few]
+    out = list(np.minimum(few, 255).astype(np.uint8))
     wide = groups_for(n)
     for i in np.flatnonzero(wide > GROUPS):
         place = (h[first[i] : first[i + 1]] >> _U(64 - int(wide[i]).bit_length() + 1)).astype(np.int64)
-        out[i] = np.minimum(np.bincount(place, minlength=wide[i]), 65535).astype(np.uint16)
+        out[i] = np.minimum(np.bincount(place, minlength=wide[i]), 255).astype(np.uint8)
     return out
 
 
@@ -147,7 +147,7 @@ def folded(packed: list[bytes], groups: int) -> np.ndarray:
     """Points of several sizes as rows over ``groups`` groups."""
     out = np.empty((len(packed), groups), np.int64)
     for i, p in enumerate(packed):
-        v = np.frombuffer(p, np.uint16)
+        v = np.frombuffer(p, np.uint8)
         out[i] = v if len(v) == groups else v.reshape(groups, -1).sum(1)
     return out
 
@@ -291,7 +291,7 @@ def _verified(docs: DataFrame, members: DataFrame, pairs: DataFrame, key: str, t
         for b in batches:
             packed = b.column("pa").to_pylist(), b.column("pb").to_pylist()
             sizes = b.column("na").to_numpy(), b.column("nb").to_numpy()
-            groups = np.array([min(len(x), len(y)) // 2 for x, y in zip(*packed, strict=True)], np.int64)
+            groups = np.array([min(len(x), len(y)) for x, y in zip(*packed, strict=True)], np.int64)
             ok = np.zeros(b.num_rows, bool)
             for g in np.unique(groups):
                 for at in np.array_split(np.flatnonzero(groups == g), 1 + int((groups == g).sum()) * int(g) // 1_000_000):
@@ -409,11 +409,15 @@ def _open_pairs(stars: DataFrame, members: DataFrame, component: DataFrame, perc
         for lo, hi in zip(edges[:-1], edges[1:], strict=True):
             if hi - lo == 2 and part[lo] == part[lo + 1]:
                 continue
-            vectors = folded(packed[lo:hi], min(map(len, packed[lo:hi])) // 2)
+            vectors = folded(packed[lo:hi], min(map(len, packed[lo:hi])))
             i, j = tree_pairs(vectors, n[lo:hi], side[lo:hi], part[lo:hi], percent)
             left.append(i + lo), right.append(j + lo)
-        rep = t.column("rep").combine_chunks()
-        a, b = rep.take(pa.array(np.concatenate(left))), rep.take(pa.array(np.concatenate(right)))
+        # a pair of many slabs leaves the task once
+        names, number = np.unique(np.array(t.column("rep").to_pylist()), return_inverse=True)
+        both = np.sort(np.stack([number[np.concatenate(left)], number[np.concatenate(right)]], 1), axis=1)
+        both = np.unique(both, axis=0)
+        rep = pa.array(names.tolist(), t.schema.field("rep").type)
+        a, b = rep.take(pa.array(both[:, 0])), rep.take(pa.array(both[:, 1]))
         yield pa.RecordBatch.from_arrays([a, b], schema=chunks.arrow_schema(two))
 
     by = ["slab", "t1", "t2"]

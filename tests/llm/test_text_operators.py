@@ -197,14 +197,14 @@ def test_linked_pairs_share_a_slab_and_pass_the_bound():
         alone = [set(shingles.slab_keys(x, np.array([0, len(x)]), 85)[0].tolist()) for x in both]
         assert alone[0] == set(key[of == 0].tolist()) and alone[1] == set(key[of == 1].tolist())
         v = [p.tobytes() for p in shingles.points(h, first)]
-        v = shingles.folded(v, min(map(len, v)) // 2)
+        v = shingles.folded(v, min(map(len, v)))
         assert shingles.may_link(v[0], n, v[1], len(b), 85)
 
 
 def test_tree_finds_the_pairs_of_the_bound():
     rng = np.random.default_rng(4)
     n = rng.integers(40, 200, 300)
-    v = np.array([np.bincount(rng.integers(0, shingles.GROUPS, k), minlength=shingles.GROUPS) for k in n]).astype(np.uint16)
+    v = np.array([np.bincount(rng.integers(0, 64, k), minlength=64) for k in n])
     v[150:] = v[:150]
     part = np.arange(300) // 3
     for side in (np.zeros(300, int), np.arange(300) % 2):
