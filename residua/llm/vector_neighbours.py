@@ -7,7 +7,7 @@ verified by the exact cosine in double precision.  A pair is decided in the list
 both share, so it counts once.
 
 Lists are dealt in tiles of bounded size, so a list that holds a third of all vectors is many tasks, and a
-tile returns counts and one link per vector and component, never its pairs.  Equal vectors are one entry
+tile returns counts and one link per vector, to the least of its component in the tile, never its pairs.  Equal vectors are one entry
 with a weight.  The index is approximate: a linked pair that shares too few pivots is missed (recall is
 measured in the tests and the README); no pair below the threshold is ever linked.
 """
@@ -67,7 +67,7 @@ def nearest(units: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
 def link_tile(
     ids: np.ndarray, weights: np.ndarray, units: np.ndarray, prefixes: np.ndarray, side: np.ndarray, pivot: int, threshold: float, shared: int
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Weighted link counts of the rows, and the row of least id that each is linked with (itself if none).
+    """Weighted link counts of the rows, and the row of least id in each row's component of the tile's links.
     Only pairs whose first shared pivot is this list's, and across the two sides if there are two."""
     n = len(ids)
     two = bool(side.any())
@@ -76,7 +76,10 @@ def link_tile(
     member = np.zeros((n, len(order)), np.float32)
     member[np.repeat(np.arange(n), prefixes.shape[1]), np.searchsorted(order, prefixes.ravel())] = 1
     before = order < pivot
-    count, least = np.zeros(n, np.int64), np.arange(n)
+    by_id = np.argsort(ids, kind="stable")
+    place = np.empty(n, np.int64)
+    place[by_id] = np.arange(n)
+    count, root = np.zeros(n, np.int64), np.arange(n)
     for lo in range(0, len(rows), 512):
         r = rows[lo : lo + 512]
         ok = units[r] @ units[cols].T >= threshold
@@ -88,22 +91,24 @@ def link_tile(
         i, j = np.nonzero(ok)
         i, j = r[i], cols[j]
         np.add.at(count, i, weights[j])
-        _least(least, ids, i, j)
         if two:
             np.add.at(count, j, weights[i])
-            _least(least, ids, j, i)
-    return count, least
+        root = _joined(root, place[i], place[j])
+    return count, by_id[root[place]]
 
 
-def _least(least: np.ndarray, ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
-    """For rows i, keep the partner j of least id."""
-    order = np.lexsort((ids[j], i))
-    i, j = i[order], j[order]
-    first = np.ones(len(i), bool)
-    first[1:] = i[1:] != i[:-1]
-    i, j = i[first], j[first]
-    better = ids[j] < ids[least[i]]
-    least[i[better]] = j[better]
+def _joined(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Least member of each component once links (i, j) are added to components given by ``root``."""
+    while True:
+        x, y = root[i], root[j]
+        apart = x != y
+        if not apart.any():
+            return root
+        i, j, x, y = i[apart], j[apart], x[apart], y[apart]
+        root = root.copy()
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
 
 
 def near_duplicates(
@@ -147,7 +152,7 @@ def near_duplicates(
 
 
 def _links(distinct: DataFrame, n: int, n_pivots: int, threshold: float, prefix: int, shared: int) -> DataFrame:
-    """(rep, other, n): weighted links found in each tile, and the least partner there."""
+    """(rep, other, n): weighted links found in each tile, and the least vector of the component there."""
     spark = distinct.sparkSession
     share = min(1.0, 2.0 * n_pivots / n)
     drawn = distinct.where(F.pmod(F.xxhash64("x", F.lit(11)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("x").limit(n_pivots).collect()

@@ -279,6 +279,47 @@ def test_vector_links_equal_brute_force(spark, monkeypatch):
     assert near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def tile_components(ids, x, side):
+    """Components by brute force: the least id of each row's component, and the links of each row."""
+    linked = (x @ x.T >= 0.9) & ~np.eye(len(x), dtype=bool)
+    if side.any():
+        linked &= side[:, None] != side[None, :]
+    label = np.array(ids)
+    while True:
+        new = np.array([min([label[i], *label[linked[i]]]) for i in range(len(ids))])
+        if (new == label).all():
+            return label, linked.sum(1)
+        label = new
+
+
+@pytest.mark.parametrize("case", ["chain", "star", "two sides"])
+def test_tile_keeps_all_connections(case):
+    turn = lambda degrees: np.array([[math.cos(math.radians(d)), math.sin(math.radians(d)), 0.0] for d in degrees])
+    if case == "star":  # the hub has the largest id, its partners are not linked with each other
+        ids, x = np.array([1, 2, 10]), turn([0, 40, 20])
+    else:
+        ids, x = np.random.default_rng(5).permutation(700) + 3, turn(np.arange(700) * 20 % 300)
+        ids, x = (ids, x) if case == "two sides" else (ids[:15], x[:15])
+    side = np.arange(len(ids)) % 2 if case == "two sides" else np.zeros(len(ids), np.int64)
+    count, least = vector_neighbours.link_tile(ids, np.ones(len(ids), np.int64), x, np.zeros((len(ids), 1), np.int32), side, 0, 0.9, 2)
+    label, links = tile_components(ids, x, side)
+    assert (ids[least] == label).all() and (count == links).all()
+
+
+def test_components_of_hubs_and_chains(spark):
+    """Groups far apart; in each, a hub of the largest id or a chain of ids in random order."""
+    rng = np.random.default_rng(8)
+    turn = lambda group, d: [math.cos(math.radians(d)) if k == 2 * group else math.sin(math.radians(d)) if k == 2 * group + 1 else 0.0 for k in range(16)]
+    rows, want = [], {}
+    for group in range(8):
+        ids = [100 * group + 1, 100 * group + 2, 100 * group + 50] if group % 2 else [int(v) for v in rng.permutation(6) + 100 * group]
+        degrees = [0, 40, 20] if group % 2 else range(0, 120, 20)
+        rows += [(i, turn(group, d)) for i, d in zip(ids, degrees, strict=True)]
+        want |= {i: min(ids) for i in ids}
+    got = {r["vec_id"]: (r["component_id"], r["kept"]) for r in near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), shared=1, prefix=1, pivots=1).collect()}
+    assert got == {i: (c, i == c) for i, c in want.items()}
+
+
 # pipeline --------------------------------------------------------------------
 
 
