@@ -457,7 +457,7 @@ def shingle_join(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     members = durable(described.where(f"n > 0 AND `{key}` IS NOT NULL").groupBy(*same).agg(F.min(key).alias("rep"), F.min("point").alias("point")))
     belongs = described.select(key, "n", F.struct(*same).alias("k")).join(members.select(F.struct(*same).alias("k"), "rep"), "k", "left").select(key, "n", "rep")
     reps = members.select(F.col("h1"), "rep")
-    raw = _slab_stars(docs, text, size, percent)
+    raw = _slab_stars(docs.where(F.col(key).isNotNull()), text, size, percent)  # a class without a key cannot be a star's centre
     named = (
         raw.select("slab", F.struct(F.col("a").alias("h1")).alias("k"), F.col("b").alias("b")).join(reps.select(F.struct("h1").alias("k"), F.col("rep").alias("x")), "k")
         .select("slab", "x", F.struct(F.col("b").alias("h1")).alias("k")).join(reps.select(F.struct("h1").alias("k"), F.col("rep").alias("y")), "k")

@@ -180,6 +180,22 @@ def test_shingle_join_on_chains_and_tiles(spark, monkeypatch):
     assert got == components({k: shingle_set(t) for k, t in rows})
 
 
+@pytest.mark.parametrize("seed", [1, 3])
+def test_rows_without_key_hide_no_links(spark, seed):
+    """Near copies of which some texts occur only without a key."""
+    rng = np.random.default_rng(seed)
+    rows = [(i if i % 2 else None, t) for i, t in enumerate(near_copies(seed, 12))]
+    for i in range(6):
+        pair = [f"base{i}x{j}" for j in range(60)]
+        for k in range(6):  # keys for two of six
+            copy = list(pair)
+            copy[int(rng.integers(0, 60))] = f"edit{i}x{k}"
+            rows.append((1000 + 10 * i + k if k < 2 else None, " ".join(copy)))
+    got = shingle_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got if r["doc_id"] is not None} == components({k: shingle_set(t) for k, t in rows if k is not None})
+    assert sum(r["doc_id"] is None for r in got) == sum(k is None for k, _ in rows) and all(r["component_id"] is None for r in got if r["doc_id"] is None)
+
+
 def test_linked_pairs_share_a_slab_and_pass_the_bound():
     rng = np.random.default_rng(2)
     for trial in range(150):
