@@ -323,6 +323,16 @@ def test_components_of_hubs_and_chains(spark):
 # pipeline --------------------------------------------------------------------
 
 
+def test_near_copy_stage_links_from_four_fifths_on(spark):
+    """Similarities of 0.83 and 0.77 over five words; at 4 words and 85 percent both pairs would stay."""
+    import corpus_pipeline
+
+    words = lambda k, n: " ".join(f"v{k}x{i}" for i in range(n))
+    rows = [(1, words(1, 200)), (2, words(1, 200) + " " + words(2, 40)), (3, words(3, 200)), (4, words(3, 200) + " " + words(4, 60))]
+    kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 4]
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
