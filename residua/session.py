@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,10 +41,33 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the checkpoint folder, so later jobs read the same rows
-    and lost executors do not force a recomputation of a non-repeatable plan."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` as parquet in the checkpoint folder, so later jobs read the same rows and lost
+    executors do not force a recomputation of a non-repeatable plan.
+
+    ``checkpoint()`` would keep the size estimate of the plan it cuts; in a loop whose rounds join a table
+    with itself, that estimate grows to thousands of digits.  A written table is estimated by its files.
+    Row order inside partitions is not kept.  Frames that parquet cannot hold (columns of type void or of
+    equal names) are checkpointed.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    names = [c.lower() for c in df.columns]
+    if not names or len(set(names)) < len(names) or "void" in df.schema.simpleString():
+        return df.checkpoint(eager=True)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept._durable_path = path
+    return kept
+
+
+def release(df: DataFrame) -> None:
+    """Delete the files of a ``durable`` frame that nothing reads any more."""
+    path = getattr(df, "_durable_path", None)
+    if path is not None:
+        context = df.sparkSession.sparkContext
+        place = context._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
 
 
 SPREAD_BYTES = 4 * 1024 * 1024
