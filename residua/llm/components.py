@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from residua.session import durable
+from residua.session import durable, release
 
 MAX_ROUNDS = 100
 
@@ -28,7 +28,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """(node, component) for every node of an edge, component the least node reachable.
 
     Edges with null ends are ignored, loops and repeats do no harm; no edges give no rows.  Each round
-    is written to the checkpoint folder; the loop ends when all trees are stars around their least node.
+    is written to the checkpoint folder and the one before removed; the loop ends when all trees are stars
+    around their least node.
     """
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
     nodes = pairs.select(F.explode(F.array("u", "v")).alias("u")).distinct()
@@ -39,7 +40,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_least(both).where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = _with_least(large).select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        current = durable(small)
+        former, current = current, durable(small)
+        release(former)
     else:
         raise RuntimeError("components did not settle")
     return nodes.join(current, "u", "left").select(F.col("u").alias("node"), F.coalesce("v", "u").alias("component"))
