@@ -59,10 +59,12 @@ def _labels(spark: SparkSession, n: int) -> list[int]:
     return [found[p] for p in range(n)]
 
 
-def chunked(df: DataFrame, key: str, n: int) -> DataFrame:
-    """The rows with their chunk, dealt by a hash of the key to n chunks, one in each partition."""
+def chunked(df: DataFrame, key: str, n: int, text: str | None = None) -> DataFrame:
+    """The rows with their chunk, dealt by a hash of the key, and of the text if it is named, to n chunks, one in
+    each partition.  Rows without a key or with one common key so spread over the chunks by their texts."""
     labels = F.array(*[F.lit(k) for k in _labels(df.sparkSession, n)])
-    place = F.pmod(F.xxhash64(F.col(f"`{key}`"), F.lit(71)), F.lit(n)).cast("int")
+    by = [F.col(f"`{key}`"), F.lit(71)] + ([F.col(f"`{text}`")] if text else [])
+    place = F.pmod(F.xxhash64(*by), F.lit(n)).cast("int")
     return df.withColumn(CHUNK, F.element_at(labels, place + 1)).repartition(n, CHUNK)
 
 

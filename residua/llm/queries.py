@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from residua.llm import language_model, quality, sentence_pieces, toxicity
+from residua.llm.centroids import CLUSTERS, ROUNDS, centroid_clusters
 from residua.llm.contamination import contamination
 from residua.llm.pieces import load_pieces
 from residua.llm.repeats import remove_repeats
 from residua.llm.shingle_join import shingle_join
+from residua.llm.suffix_dedup import remove_earlier_passages
 from residua.llm.token_counts import count_tokens
+from residua.llm.tokenizer_alignment import align_tokenizers, load_pair
 from residua.llm.url_filter import Rule, judge_urls
 from residua.llm.vector_neighbours import near_duplicates
 
@@ -210,3 +213,57 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return count_tokens(docs, load_pieces()).select("doc_id", "n_tokens", "n_pre_tokens")
+
+
+@register(
+    "op11_suffix_array_dedup",
+    """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+    y AS (SELECT doc_id, o, substr(x, 2 * o + 1, 1098) AS y FROM (SELECT doc_id, x, unnest(range(0, len(x) // 2, 500)) AS o FROM d)),
+    v AS (SELECT doc_id, o + j AS i, md5(substr(y, 2 * j + 1, 100)) AS h FROM (SELECT doc_id, o, y, unnest(range(0, len(y) // 2 - 49)) AS j FROM y)),
+    m AS (SELECT h, min(doc_id) AS m FROM v GROUP BY h HAVING count(*) > 1),
+    s AS (SELECT doc_id, i FROM v JOIN m USING (h) WHERE doc_id > m),
+    r AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER w <= 50 THEN 0 ELSE 1 END AS opens FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+    runs AS (SELECT doc_id, g, min(i) AS a, max(i) + 50 AS b FROM (SELECT doc_id, i, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM r) GROUP BY doc_id, g),
+    gaps AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM runs),
+    left_over AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS upto, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS k
+      FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
+    SELECT doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+      sha256(unhex(CASE WHEN k IS NULL THEN x ELSE k || substr(x, 2 * upto + 1) END)) AS kept_sha256
+    FROM d LEFT JOIN left_over USING (doc_id)""",
+)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    kept = F.sha2(F.coalesce("kept", F.lit(b"")), 256)
+    return remove_earlier_passages(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", kept.alias("kept_sha256"))
+
+
+def _centroid_sql(clusters: int, rounds: int) -> str:
+    """The rounds written out; the centroids of a round are one list of lists."""
+    best = "list_min(list_transform(range(0, len(c)), lambda k: {'d': list_sum(list_transform(range(1, 65), lambda i: (x[i] - c[k + 1][i]) * (x[i] - c[k + 1][i])))::BIGINT, 'k': k}))"
+    steps = [
+        """v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda y: floor(64 * y::DOUBLE)::BIGINT) AS x FROM embeddings
+      WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0)""",
+        f"c0 AS MATERIALIZED (SELECT list(x ORDER BY h, x) AS c FROM (SELECT sha256('1:' || vec_id) AS h, x FROM v ORDER BY h, x LIMIT {clusters}))",
+    ]
+    for r in range(rounds):
+        steps += [
+            f"a{r} AS MATERIALIZED (SELECT x, {best} AS b FROM v, c{r})",
+            f"s{r} AS (SELECT b.k AS k, i, sum(x[i]) AS s, count(*) AS n FROM a{r}, (SELECT unnest(range(1, 65)) AS i) GROUP BY 1, 2)",
+            f"n{r} AS (SELECT k, list((CASE WHEN s % n < 0 THEN s // n - 1 ELSE s // n END)::BIGINT ORDER BY i) AS z FROM s{r} GROUP BY k)",
+            f"c{r + 1} AS MATERIALIZED (SELECT list(coalesce(z, o) ORDER BY j) AS c FROM (SELECT unnest(c) AS o, unnest(range(0, len(c))) AS j FROM c{r}) LEFT JOIN n{r} ON k = j)",
+        ]
+    return f"""WITH {', '.join(steps)},
+    e AS MATERIALIZED (SELECT vec_id, {best} AS b, c FROM v, c{rounds})
+    SELECT vec_id, b.k::INTEGER AS cluster, b.d AS distance, (sum(b.d) OVER (PARTITION BY b.k))::BIGINT AS cluster_inertia, (sum(b.d) OVER ())::BIGINT AS inertia,
+      sha256(array_to_string(c[b.k + 1], ',')) AS centroid_sha256 FROM e"""
+
+
+@register("op12_centroid_clustering", _centroid_sql(CLUSTERS, ROUNDS))
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return centroid_clusters(table(spark, folder, "embeddings"))
+
+
+@register("op13_tokenizer_alignment")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return align_tokenizers(docs, load_pair()).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
