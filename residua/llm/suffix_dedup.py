@@ -206,17 +206,20 @@ class _Chunk:
         return np.cumsum(step[:-1]) > 0
 
 
-def _answer_probe(chunk, bucket, packed) -> list[bytes]:
-    """Bits for each anchor: whether several documents hold it, and whether it is hot."""
-    sizes = np.array([len(p) // 6 for p in packed])
-    e = np.concatenate([np.frombuffer(p, np.uint32, n) for p, n in zip(packed, sizes, strict=True)])
-    many = np.concatenate([np.frombuffer(p, np.uint16, n, 4 * n) for p, n in zip(packed, sizes, strict=True)])
-    key = (np.repeat(bucket.astype(_U), sizes) << _U(30)) | (e >> np.uint32(2)).astype(_U)
-    _, at = np.unique(key, return_inverse=True)
-    times = np.bincount(at) + np.bincount(at, weights=e & np.uint32(1))
-    total = np.bincount(at, weights=many)
-    flags = ((times > 1).astype(np.uint8) | ((total > HOT).astype(np.uint8) << 1))[at]
-    return [f.tobytes() for f in np.split(flags, np.cumsum(sizes)[:-1])]
+def _answer_probe(hot: int):
+    def answer(chunk, bucket, packed) -> list[bytes]:
+        """Bits for each anchor: whether several documents hold it, and whether it has more than ``hot`` fragments."""
+        sizes = np.array([len(p) // 6 for p in packed])
+        e = np.concatenate([np.frombuffer(p, np.uint32, n) for p, n in zip(packed, sizes, strict=True)])
+        many = np.concatenate([np.frombuffer(p, np.uint16, n, 4 * n) for p, n in zip(packed, sizes, strict=True)])
+        key = (np.repeat(bucket.astype(_U), sizes) << _U(30)) | (e >> np.uint32(2)).astype(_U)
+        _, at = np.unique(key, return_inverse=True)
+        times = np.bincount(at) + np.bincount(at, weights=e & np.uint32(1))
+        total = np.bincount(at, weights=many)
+        flags = ((times > 1).astype(np.uint8) | ((total > hot).astype(np.uint8) << 1))[at]
+        return [f.tobytes() for f in np.split(flags, np.cumsum(sizes)[:-1])]
+
+    return answer
 
 
 def _answer_fragments(length: int):
@@ -269,7 +272,7 @@ def _answer_fragments(length: int):
     return answer
 
 
-def remove_earlier_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
+def remove_earlier_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """Texts without the bytes of any ``length``-byte string that also starts in a document with a smaller key.
 
     Adds ``n_bytes``, ``n_removed``, ``n_spans`` (maximal runs of removed bytes; long) and ``kept`` (binary: the bytes
@@ -277,7 +280,8 @@ def remove_earlier_passages(docs: DataFrame, key: str = "doc_id", text: str = "t
     the input and may overlap, they never cross texts, and repeats inside one text or between rows of equal keys
     remove nothing.  ``key`` is an integer; a row with a null key is before and after no other, so it keeps all
     its bytes and removes none.  A null text has no bytes and ``kept`` null; texts shorter than ``length`` keep all.
-    A text is read whole in one task.  No rows in, none out.
+    A text is read whole in one task.  No rows in, none out.  ``hot``: fragments of an anchor above which its windows
+    are dealt one by one, with the same result.
     """
     if not 1 <= length <= 60_000:
         raise ValueError("length must be from 1 to 60000 bytes")
@@ -353,7 +357,7 @@ def remove_earlier_passages(docs: DataFrame, key: str = "doc_id", text: str = "t
         return out
 
     grouped = x.groupBy(name)
-    first = chunks.deal(grouped.applyInArrow(probe, chunks.ASKED), _answer_probe, buckets).withColumn("__kind", F.lit(0))
+    first = chunks.deal(grouped.applyInArrow(probe, chunks.ASKED), _answer_probe(hot), buckets).withColumn("__kind", F.lit(0))
     sent = grouped.cogroup(first.groupBy(name)).applyInArrow(send, chunks.ASKED)
     second = chunks.deal(sent, _answer_fragments(length), buckets).withColumn("__kind", F.lit(1))
     return grouped.cogroup(first.unionByName(second).groupBy(name)).applyInArrow(cut, shape)
