@@ -38,7 +38,9 @@ LENGTH = 50
 MOST_WINDOWS = 32  # of one anchor: a reply has one bit for each
 HOT = 4096  # fragments of an anchor above which its windows are dealt one by one
 SEGMENT = 1 << 18  # windows looked at at once
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
+COMPARED = 1 << 13  # strings compared at once
+SORTED_BYTES = 1 << 20  # of fragments whose suffixes are sorted at once
 _U = np.uint64
 _PLACE = 20  # low bits of a gram's rank that hold its place, so that the first of equal grams is taken
 _LOW = _U((1 << 30) - 1)
@@ -106,11 +108,11 @@ def anchors(data: np.ndarray, at: np.ndarray, length: int, usable: np.ndarray) -
 def _same_bytes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, as_starts: np.ndarray) -> np.ndarray:
     """Whether each string equals the one of the same size at ``as_starts``."""
     out = np.ones(len(starts), bool)
-    for lo in range(0, len(starts), 1 << 16):
-        s, n, o = starts[lo : lo + (1 << 16)], sizes[lo : lo + (1 << 16)], as_starts[lo : lo + (1 << 16)]
+    for lo in range(0, len(starts), COMPARED):
+        s, n, o = starts[lo : lo + COMPARED], sizes[lo : lo + COMPARED], as_starts[lo : lo + COMPARED]
         wrong = np.concatenate([[0], np.cumsum(data[gather(s, n)] != data[gather(o, n)])])
         edge = np.cumsum(n)
-        out[lo : lo + (1 << 16)] = wrong[edge] == wrong[edge - n]
+        out[lo : lo + COMPARED] = wrong[edge] == wrong[edge - n]
     return out
 
 
@@ -182,28 +184,33 @@ class _Chunk:
 
     def packed(self, lo: int, hi: int) -> bytes:
         s, n = self.starts[lo:hi], self.sizes[lo:hi]
-        head = np.array([hi - lo], np.int64).tobytes()
-        return b"".join([head, self.deal[lo:hi].tobytes(), self.least[lo:hi].tobytes(), n.astype(np.uint16).tobytes(), self.distance[lo:hi].astype(np.uint16).tobytes(), self.data[gather(s, n)].tobytes()])
+        raw = b"".join([self.deal[lo:hi].tobytes(), self.least[lo:hi].tobytes(), n.astype(np.uint16).tobytes(), self.distance[lo:hi].astype(np.uint16).tobytes(), self.data[gather(s, n)].tobytes()])
+        return np.array([hi - lo, len(raw)], np.int64).tobytes() + pa.compress(raw, "zstd", asbytes=True)
 
-    def covered(self, mask: np.ndarray) -> np.ndarray:
-        """Which bytes to remove, given for each entry the windows that an earlier document than its least holds."""
+    def removed(self, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Maximal runs of bytes to remove (start, end, number of the document), given for each entry the windows that
+        an earlier document than its least holds."""
         a = self.anchors
-        step = np.zeros(len(self.data) + 1, np.int64)
         full = _U((1 << MOST_WINDOWS) - 1)
         bits = np.where(self.owner > self.least[self.entry], full, mask[self.entry].astype(_U))
         cool, rest = bits[: len(self.cool)], bits[len(self.cool) :]
-        whole = cool == full
-        at = self.cool[whole]
-        np.add.at(step, a.first[at], 1)
-        np.add.at(step, a.last[at] + self.length, -1)
-        some = np.flatnonzero(~whole & (cool > 0))
+        at = self.cool[cool == full]
+        some = np.flatnonzero((cool != full) & (cool > 0))
         n = (a.last - a.first + 1)[self.cool[some]]
         offset = gather(np.zeros(len(n), np.int64), n)
         hit = (np.repeat(cool[some], n) >> offset.astype(_U)) & _U(1) > 0
-        starts = np.concatenate([(np.repeat(a.first[self.cool[some]], n) + offset)[hit], self.windows[rest & _U(1) > 0]])
-        np.add.at(step, starts, 1)
-        np.add.at(step, starts + self.length, -1)
-        return np.cumsum(step[:-1]) > 0
+        single = np.concatenate([(np.repeat(a.first[self.cool[some]], n) + offset)[hit], self.windows[rest & _U(1) > 0]])
+        start = np.concatenate([a.first[at], single])
+        end = np.concatenate([a.last[at], single]) + self.length
+        order = np.argsort(start, kind="stable")
+        start, end = start[order], end[order]
+        doc = np.searchsorted(self.at, start, "right") - 1
+        if not len(start):
+            return start, end, doc
+        reach = np.maximum.accumulate(end)
+        opens = np.concatenate([[True], (start[1:] > reach[:-1]) | (doc[1:] != doc[:-1])])
+        head = np.flatnonzero(opens)
+        return start[head], reach[np.append(head[1:], len(start)) - 1], doc[head]
 
 
 def _answer_probe(hot: int):
@@ -222,13 +229,38 @@ def _answer_probe(hot: int):
     return answer
 
 
+def _windows_held_before(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, distance: np.ndarray, group: np.ndarray, key: np.ndarray, length: int) -> np.ndarray:
+    """For unlike fragments of anchors (``group``), the windows (bits) that one with a smaller key holds too: suffixes
+    that begin at the same distance from the anchor are sorted, equal neighbours are one class."""
+    mask = np.zeros(len(starts), _U)
+    n = sizes - length + 1
+    offset = gather(np.zeros(len(n), np.int64), n)
+    of = np.repeat(np.arange(len(n)), n)
+    ahead = distance[of] - offset  # from the window to the anchor
+    of_group = np.unique(mix(group.astype(_U))[of] + ahead.astype(_U), return_inverse=True)[1]
+    crowd = np.bincount(of_group)[of_group] > 1
+    offset, of, of_group = offset[crowd], of[crowd], of_group[crowd]
+    if not len(of):
+        return mask
+    own = data[gather(starts, sizes)]
+    begin = np.cumsum(sizes) - sizes
+    order, same = sorted_suffixes(own, begin[of] + offset, of_group, length)
+    run = np.cumsum(~same) - 1
+    low = np.full(run[-1] + 1, np.iinfo(np.int64).max)
+    np.minimum.at(low, run, key[of[order]])
+    hit = order[low[run] < key[of[order]]]
+    np.bitwise_or.at(mask, of[hit], _U(1) << offset[hit].astype(_U))
+    return mask
+
+
 def _answer_fragments(length: int):
     def answer(chunk, bucket, packed) -> list[bytes]:
         """For each entry the windows (bits) that some document before its own least key holds."""
-        counts = np.array([np.frombuffer(p, np.int64, 1)[0] for p in packed])
+        heads = np.array([np.frombuffer(p, np.int64, 2) for p in packed])
+        counts = heads[:, 0]
         parts: list[list[np.ndarray]] = [[], [], [], [], []]
-        for p, n in zip(packed, counts, strict=True):
-            offset = 8
+        for p, (n, size) in zip(packed, heads.tolist(), strict=True):
+            p, offset = pa.decompress(memoryview(p)[16:], size, "zstd", asbytes=True), 0
             for k, kind in enumerate((np.uint64, np.int64, np.uint16, np.uint16)):
                 parts[k].append(np.frombuffer(p, kind, n, offset))
                 offset += n * np.dtype(kind).itemsize
@@ -244,26 +276,16 @@ def _answer_fragments(length: int):
         mask = np.zeros(len(first), _U)
         _, group, times = np.unique(deal[first], return_inverse=True, return_counts=True)
         unlike = np.flatnonzero(times[group] > 1)
-        if len(unlike):
-            f = first[unlike]
-            n = sizes[f] - length + 1
-            offset = gather(np.zeros(len(n), np.int64), n)
-            of = np.repeat(np.arange(len(f)), n)
-            ahead = distance[f][of] - offset  # from the window to the anchor
-            of_group = np.unique(mix(group[unlike].astype(_U))[of] + ahead.astype(_U), return_inverse=True)[1]
-            crowd = np.bincount(of_group)[of_group] > 1
-            offset, of, of_group = offset[crowd], of[crowd], of_group[crowd]
-            # only the bytes of the fragments that are sorted
-            size = sizes[f]
-            own = data[gather(starts[f], size)]
-            begin = np.cumsum(size) - size
-            order, same = sorted_suffixes(own, begin[of] + offset, of_group, length)
-            run = np.cumsum(~same) - 1
-            low = np.full(run[-1] + 1 if len(run) else 0, np.iinfo(np.int64).max)
-            np.minimum.at(low, run, earliest[unlike[of[order]]])
-            before = low[run] < earliest[unlike[of[order]]]
-            hit = order[before]
-            np.bitwise_or.at(mask, unlike[of[hit]], _U(1) << offset[hit].astype(_U))
+        unlike = unlike[np.argsort(group[unlike], kind="stable")]
+        grown = np.cumsum(sizes[first[unlike]])
+        new = np.flatnonzero(np.concatenate([[True], group[unlike][1:] != group[unlike][:-1]])) if len(unlike) else unlike
+        edges = [0]
+        for e in [*new[1:].tolist(), len(unlike)] if len(unlike) else []:  # whole groups, about SORTED_BYTES at once
+            if e == len(unlike) or grown[e - 1] - (grown[edges[-1] - 1] if edges[-1] else 0) > SORTED_BYTES:
+                edges.append(e)
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            one = unlike[lo:hi]
+            mask[one] = _windows_held_before(data, starts[first[one]], sizes[first[one]], distance[first[one]], group[one], earliest[one], length)
         full = _U((1 << MOST_WINDOWS) - 1)
         reply = np.where(least > earliest[cls], full, mask[cls]).astype(np.uint32)
         give_back()
@@ -340,17 +362,18 @@ def remove_earlier_passages(docs: DataFrame, key: str = "doc_id", text: str = "t
         edges = chunks.bucket_edges(c.deal, buckets)
         for b, p in replies_of(right, 1):
             mask[edges[b] : edges[b + 1]] = np.frombuffer(p, np.uint32)
-        gone = c.covered(mask)
-        opens = gone.copy()
-        opens[1:] &= ~gone[:-1]
-        inner = c.at[:-1][np.diff(c.at) > 0]
-        opens[inner] = gone[inner]  # a run ends with its text
-        lost, spans = np.concatenate([[0], np.cumsum(gone)]), np.concatenate([[0], np.cumsum(opens)])
-        left_over, kept = c.data[~gone].tobytes(), c.at - lost[c.at]
+        start, end, doc = c.removed(mask)
+        n = left.num_rows
+        lost = np.bincount(doc, weights=end - start, minlength=n).astype(np.int64)
+        step = np.zeros(len(c.data) + 1, np.int8)
+        np.add.at(step, start, 1)
+        np.add.at(step, end, -1)
+        left_over = c.data[np.cumsum(step[:-1], dtype=np.int8) == 0].tobytes()
+        kept = np.concatenate([[0], np.cumsum(np.diff(c.at) - lost)])
         missing = left.column(text).is_null().to_pylist()
         texts = [None if null else left_over[a:b] for a, b, null in zip(kept[:-1].tolist(), kept[1:].tolist(), missing, strict=True)]
         new = {
-            "n_bytes": pa.array(np.diff(c.at)), "n_removed": pa.array(np.diff(lost[c.at])), "n_spans": pa.array(np.diff(spans[c.at])), "kept": pa.array(texts, pa.binary()),
+            "n_bytes": pa.array(np.diff(c.at)), "n_removed": pa.array(lost), "n_spans": pa.array(np.bincount(doc, minlength=n)), "kept": pa.array(texts, pa.binary()),
         }
         out = pa.Table.from_arrays([(new[f.name] if f.name in new else left.column(f.name)).cast(f.type) for f in schema], schema=schema)
         give_back()
