@@ -1,34 +1,24 @@
-"""Dense regions of high-error rows.
-
-Density clustering at one cut: standardised rows are projected on up to three principal
-axes and counted per grid cell; dense cells that touch form a cluster.  Cells, not rows, make
-the graph, so a cell that holds a third of all rows is one vertex and no row pairs are formed.
-This is a single-cut approximation of hierarchical density clustering.
-"""
+"""Dense regions of high-error rows: hierarchical density clusters of the standardised features, all of them
+(see ``density``), with their errors, and clusters of the joint residual and feature space."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from itertools import product
 
-import numpy as np
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from residua.functions import expr
-from residua.functions.moments import grouped_moments
 from residua.functions.quantiles import exact_quantiles
+from residua.operators.density import density_labels
 from residua.operators.prep import fit_scales
 from residua.session import durable
 
 HIGH_ERROR = 0.80
 MIN_ROWS, MIN_SIZE = 30, 15
 MIN_LIFT, MIN_DIFF, MIN_DIFF_SHARE = 1.10, 0.01, 0.05
-MAX_AXES = 3
-BROADCAST_CELLS = 200_000
 
 
 def high_error_rows(df: DataFrame, residual: str, quantile: float = HIGH_ERROR) -> DataFrame:
@@ -47,102 +37,6 @@ def standardise(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({f"z_{c}": F.coalesce(scales[c].apply(v), F.lit(0.0)) for c, v in cols.items()})
 
 
-def _axes(df: DataFrame, columns: list[str]) -> list[tuple[np.ndarray, float]]:
-    """Principal axes with their standard deviations, from one pass of moments."""
-    m = grouped_moments(df, {c: F.col(c) for c in columns})[0]
-    values, vectors = np.linalg.eigh(m.scatter / m.n)
-    order = np.argsort(values)[::-1][:MAX_AXES]
-    out = []
-    for i in order:
-        v = vectors[:, i]
-        v = v if v[np.argmax(np.abs(v))] > 0 else -v
-        if values[i] > 1e-12:
-            out.append((v, float(np.sqrt(values[i]))))
-    return out
-
-
-def density_labels(df: DataFrame, columns: list[str], min_size: int = MIN_SIZE, cut_share: float = 0.5) -> DataFrame:
-    """Add ``cluster``: 0.. by falling size, -1 for noise.  ``columns`` are standardised."""
-    n = df.count()
-    axes = _axes(df, columns) if n else []
-    if n < min_size or not axes:
-        return df.withColumn("cluster", F.lit(-1))
-    d = len(axes)
-    coords = []
-    for v, sd in axes:
-        projected = F.lit(0.0)
-        for c, w in zip(columns, v):
-            projected = projected + F.col(c) * F.lit(float(w))
-        coords.append(F.floor(projected / F.lit(2.0 * sd * n ** (-1.0 / (d + 2)))).cast("long"))
-    celled = df.withColumn("__cell", F.array(*coords))
-    cells = durable(celled.groupBy("__cell").agg(F.count("*").alias("c")))
-    shifts = [list(s) for s in product((-1, 0, 1), repeat=d)]
-
-    def near(cell: Column) -> Column:
-        moved = [F.array(*[cell[i] + F.lit(s[i]) for i in range(d)]) for s in shifts]
-        return F.explode(F.array(*moved))
-
-    around = (
-        cells.select("c", near(F.col("__cell")).alias("__cell"))
-        .groupBy("__cell").agg(F.sum("c").alias("around"))
-    )
-    weighed = cells.join(around, "__cell")
-    typical = weighed.agg((F.sum(F.col("c") * F.col("around")) / F.sum("c")).alias("t")).first()["t"]
-    cut = max(float(min_size), cut_share * typical)
-    dense = durable(weighed.where(F.col("around") >= F.lit(cut)).select("__cell", "c", "around"))
-    labels = _connect(dense, near)
-    # a sparse cell next to a dense one joins its densest neighbour
-    border = (
-        cells.join(dense.select("__cell"), "__cell", "left_anti")
-        .select(F.col("__cell").alias("own"), near(F.col("__cell")).alias("__cell"))
-        .join(labels, "__cell")
-        .groupBy("own")
-        .agg(F.max_by("label", F.struct("around", "label")).alias("label"))
-        .select(F.col("own").alias("__cell"), "label")
-    )
-    every = labels.select("__cell", "label").unionByName(border)
-    sizes = every.join(cells, "__cell").groupBy("label").agg(F.sum("c").alias("size"))
-    ranked = sizes.where(F.col("size") >= min_size).withColumn(
-        "cluster", (F.row_number().over(Window.orderBy(F.desc("size"), "label")) - 1).cast("int")
-    )
-    lookup = durable(every.join(ranked.select("label", "cluster"), "label").select("__cell", "cluster"))
-    if lookup.count() <= BROADCAST_CELLS:
-        lookup = F.broadcast(lookup)
-    return (
-        celled.join(lookup, "__cell", "left")
-        .withColumn("cluster", F.coalesce("cluster", F.lit(-1)))
-        .drop("__cell")
-    )
-
-
-def _connect(dense: DataFrame, near) -> DataFrame:
-    """Connected components of touching dense cells: smallest-label propagation with label
-    jumping.  Every vertex has at most 3^d neighbours, so no key is heavy."""
-    labels = dense.withColumn("label", F.col("__cell"))
-    edges = durable(
-        dense.select(F.col("__cell").alias("src"), near(F.col("__cell")).alias("__cell"))
-        .join(dense.select("__cell"), "__cell", "left_semi")
-        .select("src", F.col("__cell").alias("dst"))
-    )
-    while True:
-        lowest = (
-            edges.join(labels.select(F.col("__cell").alias("dst"), "label"), "dst")
-            .groupBy(F.col("src").alias("__cell")).agg(F.min("label").alias("next"))
-        )
-        moved = labels.join(lowest, "__cell").withColumn("next", F.least("label", "next"))
-        # jump: follow the label's own new label
-        jump = moved.select(F.col("__cell").alias("next"), F.col("next").alias("jumped"))
-        new = durable(
-            moved.join(jump, "next", "left").select(
-                "__cell", "c", "around", F.least("next", F.coalesce("jumped", "next")).alias("new"), F.col("label").alias("old")
-            )
-        )
-        changed = new.where(F.col("new") != F.col("old")).limit(1).count()
-        labels = new.select("__cell", "c", "around", F.col("new").alias("label"))
-        if not changed:
-            return labels
-
-
 def kmeans_labels(df: DataFrame, columns: list[str], k: int = 8, seed: int = 42) -> DataFrame:
     """Fast mode: k-means over the standardised columns."""
     data = VectorAssembler(inputCols=columns, outputCol="__v").transform(df)
@@ -183,10 +77,28 @@ def cluster_patterns(df: DataFrame, features: list[str], residual: str, min_size
     if row["n"] < MIN_ROWS or not features:
         labelled = high.withColumn("cluster", F.lit(-1))
         return labelled, accepted_clusters(cluster_stats(labelled, features), 0.0)
-    labelled = durable(density_labels(standardise(high, features), [f"z_{c}" for c in features], min_size))
+    labelled = durable(density_labels(standardise(high, features), [f"z_{c}" for c in features], min_size)[0])
     return labelled, accepted_clusters(cluster_stats(labelled, features), float(row["m"]), min_size)
 
 
+def with_effect(accepted: DataFrame, labelled: DataFrame) -> DataFrame:
+    """Adds ``effect_size``: Cohen's d of the error inside each cluster against the other high-error rows."""
+    from residua.operators.scan import in_out_cohens_d
+
+    totals = labelled.agg(F.count("*").alias("n_total"), F.avg("abs_error").alias("mean_all"), F.stddev_pop("abs_error").alias("std_all"))
+    names = {"mean_error": "mean_residual", "std_error": "std_residual"}
+    stats = accepted.crossJoin(F.broadcast(totals)).withColumnsRenamed(names)  # one row of totals
+    return in_out_cohens_d(stats).withColumnRenamed("cohens_d", "effect_size").withColumnsRenamed({v: k for k, v in names.items()}).drop("n_total", "mean_all", "std_all", "mean_out")
+
+
+def matching(mine: DataFrame, theirs: DataFrame, key: str, share: float = 0.5) -> list[tuple[int, int]]:
+    """Pairs of clusters of two labellings (key, cluster) that share at least ``share`` of the rows of both."""
+    both = mine.withColumnRenamed("cluster", "a").join(theirs.withColumnRenamed("cluster", "b"), key).groupBy("a", "b").agg(F.count("*").alias("n"))
+    left, right = (df.groupBy(F.col("cluster").alias(c)).agg(F.count("*").alias(f"n_{c}")) for df, c in ((mine, "a"), (theirs, "b")))
+    shared = both.join(left, "a").join(right, "b").where(F.col("n") >= F.lit(share) * (F.col("n_a") + F.col("n_b") - F.col("n")))
+    return [(r["a"], r["b"]) for r in shared.orderBy("a", F.desc("n"), "b").collect()]  # clusters, not rows
+
+
 @dataclass
 class ResidualClusters:
     """Clusters of the joint residual and feature space."""
@@ -198,19 +110,16 @@ class ResidualClusters:
 
 
 def residual_space_clusters(df: DataFrame, features: list[str], residual: str, weight: float = 2.0, min_size: int = MIN_SIZE) -> ResidualClusters:
-    """Cluster residual (weighted) and features together; coverage, noise and silhouette."""
+    """Cluster residual (weighted) and features together; coverage, noise and density-based validity."""
     scaled = standardise(df.where(F.col(residual).isNotNull()), [residual, *features])
     scaled = scaled.withColumn(f"z_{residual}", F.col(f"z_{residual}") * F.lit(weight))
     columns = [f"z_{c}" for c in [residual, *features]]
-    labelled = durable(density_labels(scaled, columns, min_size))
+    labelled, found = density_labels(scaled, columns, min_size)
+    labelled = durable(labelled)
     n = labelled.count()
     stats = labelled.where(F.col("cluster") >= 0).groupBy("cluster").agg(
         F.count("*").alias("size"), F.avg(residual).alias("mean_residual"),
         F.stddev_pop(residual).alias("std_residual"), (F.count("*") / F.lit(n) * 100).alias("coverage_pct"),
     )
     noise = labelled.where(F.col("cluster") < 0).count() / n if n else 0.0
-    validity = 0.0
-    if stats.count() >= 2:
-        vectors = VectorAssembler(inputCols=columns, outputCol="__v").transform(labelled.where(F.col("cluster") >= 0))
-        validity = ClusteringEvaluator(featuresCol="__v", predictionCol="cluster").evaluate(vectors)
-    return ResidualClusters(labelled, stats, noise, validity)
+    return ResidualClusters(labelled, stats, noise, found.validity())

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from residua.functions import expr
+from residua.functions import derive, expr
 from residua.functions.hashing import uniform
 from residua.functions.quantiles import exact_quantiles
 from residua.operators.profile import kind_of
@@ -220,20 +220,20 @@ def interaction_names(a: str, b: str) -> tuple[str, str, str]:
     return f"{IX_PREFIX}{a}__x__{b}", f"{IX_PREFIX}{a}__hh__{b}", f"{IX_PREFIX}{a}__xor__{b}"
 
 
-def interaction_columns(pairs: list[tuple[str, str]], medians_: dict[str, float]) -> dict[str, Column]:
-    """Product, both-above-median and exactly-one-above-median columns of each pair."""
-    out: dict[str, Column] = {}
+def interaction_trees(pairs: list[tuple[str, str]], medians_: dict[str, float]) -> dict[str, derive.Tree]:
+    """Product, both-above-median and exactly-one-above-median of each pair, as storable expressions."""
+    out: dict[str, derive.Tree] = {}
     for a, b in pairs:
-        x, y = expr.as_double(expr.col(a)), expr.as_double(expr.col(b))
-        above_a = F.coalesce(x > F.lit(medians_[a]), F.lit(False))
-        above_b = F.coalesce(y > F.lit(medians_[b]), F.lit(False))
-        product, both, either = interaction_names(a, b)
-        out[product] = F.coalesce(x * y, F.lit(0.0))
-        out[both] = (above_a & above_b).cast("int")
-        out[either] = (above_a != above_b).cast("int")
+        trees = derive.pair_trees(a, b, medians_[a], medians_[b])
+        out.update(zip(interaction_names(a, b), (trees["product"], trees["both"], trees["either"]), strict=True))
     return out
 
 
+def interaction_columns(pairs: list[tuple[str, str]], medians_: dict[str, float]) -> dict[str, Column]:
+    """The columns of ``interaction_trees``."""
+    return {n: derive.compiled(t) for n, t in interaction_trees(pairs, medians_).items()}
+
+
 def add_interactions(df: DataFrame, pairs: list[tuple[str, str]], medians_: dict[str, float] | None = None) -> DataFrame:
     """Append interaction columns; pairs with a missing, non-numeric or empty feature are skipped."""
     numeric = set(expr.numeric_columns(df))

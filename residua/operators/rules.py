@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from residua.functions import expr
+from residua.functions import derive, expr
 from residua.functions.quantiles import exact_quantiles
 
 INTERVAL = r"^\s*([\[\(])\s*([^,\s]+)\s*,\s*([^,\s]+)\s*([\]\)])\s*$"
@@ -18,7 +18,8 @@ EXACT_ABS, EXACT_REL = 1e-9, 1e-5
 
 @dataclass(frozen=True)
 class Rule:
-    """A named rule; ``kind`` decides how ``params`` become a column."""
+    """A named rule; ``kind`` decides how ``params`` become a column.  With ``derived``, an expression tree of
+    base columns, the rule reads that expression in place of a table column."""
 
     name: str
     kind: str
@@ -33,6 +34,8 @@ class Rule:
             return [p["feature_a"], p["feature_b"]]
         if self.kind == "variance_regime":
             return [p["feature"]]
+        if "derived" in p:
+            return derive.columns(p["derived"])
         return [p["column"]] if "column" in p else []
 
     def binary(self) -> bool:
@@ -52,12 +55,13 @@ class Rule:
 def compile_rule(rule: Rule) -> Column:
     """Score column of a rule; an unknown kind scores 0."""
     p = rule.params
+    value = derive.compiled(p["derived"]) if "derived" in p else expr.col(p["column"]) if "column" in p else None
     if rule.kind == "numeric_bin":
-        return in_interval(expr.col(p["column"]), p["lower"], p["upper"], p.get("left_closed", False), p.get("right_closed", True))
+        return in_interval(value, p["lower"], p["upper"], p.get("left_closed", False), p.get("right_closed", True))
     if rule.kind == "numeric_exact":
-        return close_to(expr.col(p["column"]), p["value"])
+        return close_to(value, p["value"])
     if rule.kind == "categorical":
-        return category(expr.col(p["column"]), p["value"], p.get("numeric", False))
+        return category(value, p["value"], p.get("numeric", False))
     if rule.kind == "cluster":
         return proximity(p["center"])
     if rule.kind == "interaction":
@@ -176,7 +180,13 @@ def clean_text(text: str) -> str:
 
 
 def rules_from_patterns(df: DataFrame, patterns: list[dict]) -> list[Rule]:
-    """One rule per pattern.  Bounds and medians the rules need are fitted on ``df`` together."""
+    """One rule per pattern that has one.  Bounds and medians the rules need are fitted on ``df`` together."""
+    return [r for r, _ in compiled_patterns(df, patterns)]
+
+
+def compiled_patterns(df: DataFrame, patterns: list[dict]) -> list[tuple[Rule, dict]]:
+    """(rule, its pattern); a cluster whose centre has no column in the table has no rule.  A subgroup pattern
+    with ``derived`` gives a rule that computes its column.  Equal names get a number."""
     interactions = [p for p in patterns if p["pattern_type"] == "interaction"]
     regimes = [p for p in patterns if p["pattern_type"] == "variance_regime"]
     bounds = {}
@@ -186,42 +196,54 @@ def rules_from_patterns(df: DataFrame, patterns: list[dict]) -> list[Rule]:
             x = expr.finite(expr.col(p["feature_a"])) * expr.finite(expr.col(p["feature_b"]))
             aggs += [F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
         row = df.agg(*aggs).first()
-        bounds = {i: (row[f"lo{i}"], row[f"hi{i}"]) for i in range(len(interactions))}
+        bounds = {id(p): (row[f"lo{i}"], row[f"hi{i}"]) for i, p in enumerate(interactions)}
     middles = {}
     if regimes:
         names = sorted({p["column_name"] for p in regimes})
         middles = exact_quantiles(df, {c: expr.col(c) for c in names}, [0.5])
-    rules = []
+    out: list[tuple[Rule, dict]] = []
+    taken: dict[str, int] = {}
     for index, p in enumerate(patterns):
-        kind = p["pattern_type"]
-        if kind == "subgroup":
-            rules.append(_subgroup_rule(df, p))
-        elif kind == "cluster":
-            center = {c: float(v) for c, v in p["cluster_center"].items() if c in df.columns}
-            if center:
-                rules.append(Rule(f"Latent_Cluster_{p['cluster']}", "cluster", {"center": center}))
-        elif kind == "interaction":
-            lo, hi = bounds[interactions.index(p)]
-            a, b = p["feature_a"], p["feature_b"]
-            rules.append(Rule(f"Latent_Interaction_{clean_text(a)}_x_{clean_text(b)}", "interaction", {"feature_a": a, "feature_b": b, "min": lo, "max": hi}))
-        elif kind == "variance_regime":
-            c = p["column_name"]
-            rules.append(Rule(f"Latent_Variance_{clean_text(c)}_{index}", "variance_regime", {"feature": c, "threshold": middles[c][0]}))
-    return rules
+        rule = _rule(df, p, index, bounds, middles)
+        if rule is None:
+            continue
+        taken[rule.name] = taken.get(rule.name, 0) + 1
+        if taken[rule.name] > 1:
+            rule = Rule(f"{rule.name}_{taken[rule.name]}", rule.kind, rule.params)
+        out.append((rule, p))
+    return out
+
+
+def _rule(df: DataFrame, p: dict, index: int, bounds: dict, middles: dict) -> Rule | None:
+    kind = p["pattern_type"]
+    if kind == "subgroup":
+        return _subgroup_rule(df, p)
+    if kind == "cluster":
+        center = {c: float(v) for c, v in p["cluster_center"].items() if c in df.columns}
+        return Rule(f"Latent_Cluster_{p['cluster']}", "cluster", {"center": center}) if center else None
+    if kind == "interaction":
+        lo, hi = bounds[id(p)]
+        a, b = p["feature_a"], p["feature_b"]
+        return Rule(f"Latent_Interaction_{clean_text(a)}_x_{clean_text(b)}", "interaction", {"feature_a": a, "feature_b": b, "min": lo, "max": hi})
+    if kind == "variance_regime":
+        c = p["column_name"]
+        return Rule(f"Latent_Variance_{clean_text(c)}_{index}", "variance_regime", {"feature": c, "threshold": middles[c][0]})
+    return None
 
 
 def _subgroup_rule(df: DataFrame, p: dict) -> Rule:
     column, label = p["column_name"], p["bin_value"]
     name = f"Latent_Subgroup_{clean_text(column)}_{clean_text(label)}"
-    if expr.is_numeric(df.schema[column]):
+    source = {"column": column, **({"derived": p["derived"]} if p.get("derived") else {})}
+    if p.get("derived") or expr.is_numeric(df.schema[column]):
         interval = parse_interval(label)
         if interval:
             lo, hi, left, right = interval
-            return Rule(name, "numeric_bin", {"column": column, "lower": lo, "upper": hi, "left_closed": left, "right_closed": right})
+            return Rule(name, "numeric_bin", {**source, "lower": lo, "upper": hi, "left_closed": left, "right_closed": right})
         number = parse_number(label)
         if number is not None:
-            return Rule(name, "numeric_exact", {"column": column, "value": number})
-    return Rule(name, "categorical", {"column": column, "value": label})
+            return Rule(name, "numeric_exact", {**source, "value": number})
+    return Rule(name, "categorical", {**source, "value": label})
 
 
 def score_columns(rules: list[Rule]) -> list[Column]:

@@ -160,6 +160,29 @@ def density_clusters(t: Tables) -> DataFrame:
     return cluster.cluster_stats(labelled, ["hour"])
 
 
+WIDE = ["l_quantity", "l_discount", "l_tax", "l_extendedprice", "days"]
+
+
+def wide_lines(t: Tables) -> DataFrame:
+    """Returned lines with five features and an error that depends on two of them."""
+    days = F.datediff("l_shipdate", F.lit("1992-01-01")).cast("double")
+    lines = t.lineitem.where("l_returnflag = 'R' AND l_linenumber > 5")
+    planted = F.when((F.col("l_tax") > 0.06) & (F.col("l_discount") < 0.02), 300.0).otherwise(0.0)
+    return lines.withColumn("days", days).withColumn("residual", F.col("l_quantity") + planted)
+
+
+@query(
+    "density_clusters_wide", "G14 G15", "rows lifted",
+    """WITH w AS (SELECT l_quantity + CASE WHEN l_tax > 0.06 AND l_discount < 0.02 THEN 300 ELSE 0 END AS e FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber > 5),
+       h AS (SELECT e FROM w WHERE e >= (SELECT quantile_cont(e, 0.8) FROM w))
+       SELECT count(*) AS rows, count(*) FILTER (e >= 300) AS lifted FROM h""",
+)
+def density_clusters_wide(t: Tables) -> DataFrame:
+    """Every high-error row gets one label, over five columns."""
+    labelled, _ = cluster.cluster_patterns(wide_lines(t), WIDE, "residual")
+    return labelled.where("cluster IS NOT NULL").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("residual") >= 300).alias("lifted"))
+
+
 @query("kmeans_clusters", "G14", "cluster sample_count")
 def kmeans_clusters(t: Tables) -> DataFrame:
     df = cluster.standardise(t.order_frame(), ["o_totalprice", "c_acctbal"])

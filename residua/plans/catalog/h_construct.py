@@ -10,7 +10,7 @@ from residua.functions.hashing import POISSON1_CDF
 from residua.functions.moments import grouped_moments
 from residua.operators import audit, bootstrap, causal, cv, prep, rules, scan, selection
 from residua.operators.rules import Rule
-from residua.plans.catalog.registry import EVENT_FRAME, ORDER_FRAME, Tables, query, uniform_sql
+from residua.plans.catalog.registry import EVENT_FRAME, ORDER_FRAME, Tables, fold_sql, query, uniform_sql
 
 LABELS_SQL = """(SELECT DISTINCT CASE WHEN o_orderstatus = 'F' THEN '(' || o_custkey || '.5, ' || (o_custkey + 10) || ']' WHEN o_orderstatus = 'O' THEN '[-inf, ' || o_custkey || ')'
    ELSE o_orderpriority END AS label FROM orders)"""
@@ -115,6 +115,69 @@ def fitted_rules(t: Tables) -> DataFrame:
     return out
 
 
+def _above(column: str) -> str:
+    return f"({column} > (SELECT quantile_cont({column}, 0.5) FROM lineitem))"
+
+
+@query(
+    "derived_rules", "H6 H7 H28 D13", "name rows active total:3",
+    f"""SELECT 'product' AS name, count(*) AS rows, count(*) FILTER (l_quantity * l_discount > 0.5 AND l_quantity * l_discount <= 1.5) AS active,
+         (count(*) FILTER (l_quantity * l_discount > 0.5 AND l_quantity * l_discount <= 1.5))::DOUBLE AS total FROM lineitem
+       UNION ALL SELECT 'both', count(*), count(*) FILTER ({_above('l_quantity')} AND {_above('l_extendedprice')}), count(*) FILTER ({_above('l_quantity')} AND {_above('l_extendedprice')}) FROM lineitem
+       UNION ALL SELECT 'either', count(*), count(*) FILTER ({_above('l_quantity')} <> {_above('l_extendedprice')}), count(*) FILTER ({_above('l_quantity')} <> {_above('l_extendedprice')}) FROM lineitem""",
+)
+def derived_rules(t: Tables) -> DataFrame:
+    """Rules on derived columns after a JSON round trip, on a table that has base columns only."""
+    from residua.operators import prep
+
+    pairs = [("l_quantity", "l_discount"), ("l_quantity", "l_extendedprice")]
+    trees = prep.interaction_trees(pairs, prep.medians(t.lineitem, sorted({c for p in pairs for c in p})))
+    product, (_, both, either) = prep.interaction_names(*pairs[0])[0], prep.interaction_names(*pairs[1])
+    found = {
+        "product": {"pattern_type": "subgroup", "column_name": product, "bin_value": "(0.5, 1.5]", "derived": trees[product]},
+        "both": {"pattern_type": "subgroup", "column_name": both, "bin_value": "1", "derived": trees[both]},
+        "either": {"pattern_type": "subgroup", "column_name": either, "bin_value": "1", "derived": trees[either]},
+    }
+    stored = [r.to_json() for r in rules.rules_from_patterns(t.lineitem, list(found.values()))]
+    compiled = [rules.Rule.from_json(text) for text in stored]
+    scored = rules.apply_rules(t.lineitem, compiled, [])
+    cells = [
+        F.struct(F.lit(n).alias("name"), F.count(F.lit(1)).alias("rows"), F.count_if(expr.col(r.name) > 0).alias("active"), F.sum(expr.col(r.name)).alias("total"))
+        for n, r in zip(found, compiled, strict=True)
+    ]
+    return scored.agg(*[c.alias(f"c{i}") for i, c in enumerate(cells)]).select(F.explode(F.array(*[F.col(f"c{i}") for i in range(len(cells))])).alias("s")).select("s.*")
+
+
+@query(
+    "stored_run", "H28 A9 A10 A11 A12 A13", "stored rows",
+    f"""WITH o AS (SELECT o_orderkey FROM {ORDER_FRAME} WHERE {uniform_sql('o_orderkey', 'holdout42')} >= 0.2)
+        SELECT 'residuals' AS stored, count(*) AS rows FROM o UNION ALL SELECT 'fold_metrics', count(DISTINCT {fold_sql('o_orderkey', 42, 5)}) FROM o
+        UNION ALL SELECT 'validated rules that apply', count(*) FROM (SELECT 1 FROM {ORDER_FRAME})""",
+)
+def stored_run(t: Tables) -> DataFrame:
+    """A whole run written to result tables and read back; its stored rules applied to all rows."""
+    from residua.config import Options
+    from residua.plans.discover import discover
+    from residua.sources import sinks
+
+    hidden = (F.col("c_acctbal") > 6000) & (F.col("o_custkey") % 4 == 1)
+    frame = t.order_frame().select(
+        "o_orderkey", F.col("c_acctbal").cast("double").alias("c_acctbal"), (F.col("o_custkey") % 4).cast("double").alias("quarter"),
+        (F.col("o_totalprice") / 1000 + F.when(hidden, 400.0).otherwise(0.0)).alias("price"),
+    )
+    root = t.scratch()
+    discover(frame, Options(target="price", key="o_orderkey", bootstrap_iterations=10, cluster=False)).save(root, "run")
+    read = lambda kind: sinks.read_results(t.spark, root, kind, "run")
+    stored = [rules.Rule.from_json(r["rule"]) for r in read("latent_variables").where("status = 'validated'").select("rule").orderBy("rule").collect()]  # top patterns of a run
+    applied = rules.apply_rules(frame.drop("price"), stored, ["o_orderkey"])
+    parts = [
+        read("residuals").agg(F.lit("residuals").alias("stored"), F.count(F.lit(1)).alias("rows")),
+        read("fold_metrics").agg(F.lit("fold_metrics").alias("stored"), F.count(F.lit(1)).alias("rows")),
+        applied.agg(F.lit("validated rules that apply").alias("stored"), F.count(F.lit(1)).alias("rows")),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query(
     "rule_diagnostics", "H9", "name support:6 score_range:6 variance:6",
     " UNION ALL ".join(f"SELECT '{k}' AS name, avg(({v} > 0)::INT) AS support, max({v}) - min({v}) AS score_range, var_pop({v}) AS variance FROM lineitem" for k, v in RULE_SQL.items()),

@@ -6,16 +6,23 @@ and bootstrap results.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from residua.config import Options
-from residua.functions import expr
+from residua.functions import derive, expr
 from residua.operators import bootstrap, causal, cluster, cv, models, patterns, prep, regime, rules, scan, selection, temporal
 from residua.operators.profile import column_facts, problem_type, target_facts
 from residua.session import durable
+from residua.sources import sinks
+
+PATTERN_SCHEMA = (
+    "pattern_type string, column_name string, bin_value string, effect_size double, p_value double, adjusted_p_value double, "
+    "sample_count long, mean_residual double, std_residual double, confidence double, models string, definition string"
+)
 
 
 @dataclass
@@ -30,11 +37,36 @@ class Result:
     selection: list[dict]
     problem: str
     events: list[tuple[str, str]] = field(default_factory=list)
+    tables: dict[str, DataFrame] = field(default_factory=dict)
+    key: str = "row_key"
 
     def validated_rules(self) -> list[rules.Rule]:
         good = {r["name"] for r in self.variables.where(F.col("status") == "validated").select("name").collect()}
         return [r for r in self.rules if r.name in good]
 
+    def pattern_table(self) -> DataFrame:
+        """The patterns as rows; the definition holds derived columns and cluster centres as JSON."""
+        number = lambda v: None if v is None else float(v)
+        rows = [
+            (
+                p["pattern_type"], p.get("column_name"), p.get("bin_value"), number(p.get("effect_size")), number(p.get("p_value")), number(p.get("adjusted_p_value")),
+                p.get("sample_count"), number(p.get("mean_residual")), number(p.get("std_residual")), number(p.get("confidence")), ",".join(p.get("models", [])),
+                json.dumps({k: p[k] for k in ("derived", "cluster_center", "feature_a", "feature_b") if p.get(k)}, sort_keys=True),
+            )
+            for p in self.patterns
+        ]
+        return self.oof.sparkSession.createDataFrame(rows, PATTERN_SCHEMA)
+
+    def save(self, root: str, run_id: str) -> None:
+        """Residuals of every model, patterns, variables, fold metrics and events below ``root``, by run."""
+        spark = self.oof.sparkSession
+        for kind, table in self.tables.items():
+            sinks.write_residuals(cv.residual_records(table, self.key, model=kind), root, run_id)
+        sinks.write_patterns(self.pattern_table(), root, run_id)
+        sinks.write_variables(self.variables, root, run_id)
+        sinks.write_fold_metrics(self.scores, root, run_id)
+        sinks.write_events(spark.createDataFrame(self.events, "phase string, message string"), root, run_id)
+
 
 def _prepare(df: DataFrame, o: Options) -> tuple[list[str], list[str], str]:
     """(model features, scan features, problem type) by semantic column type."""
@@ -84,27 +116,35 @@ def _as_dicts(df: DataFrame, kind: str) -> list[dict]:
     return [{**r.asDict(), "pattern_type": kind} for r in df.collect()]
 
 
-def detect(scored: DataFrame, features: list[str], numeric: list[str], o: Options) -> list[dict]:
-    """Pattern records of one residual column (``residual``)."""
+def detect(
+    scored: DataFrame, features: list[str], numeric: list[str], o: Options, middles: dict[str, float | None] | None = None
+) -> tuple[list[dict], DataFrame | None]:
+    """Pattern records of one residual column (``residual``), and the rows labelled by cluster.  ``middles``: medians of
+    the numeric features, which derived columns are cut at; they are stored with the patterns."""
     found: list[dict] = []
+    labelled = None
     strengths = regime.interaction_strengths(scored, numeric, "residual") if len(numeric) > 1 else None
-    scan_frame, scan_features = scored, list(features)
+    scan_frame, scan_features, trees = scored, list(features), {}
     if strengths is not None:
+        middles = middles or prep.medians(scored, numeric)
         best = [(r["feature_a"], r["feature_b"]) for r in prep.top_pairs(strengths, o.top_interactions).collect()]
-        scan_frame = prep.add_interactions(scored, best)
-        scan_features += [c for c in scan_frame.columns if c.startswith(prep.IX_PREFIX)]
+        trees = prep.interaction_trees([(a, b) for a, b in best if middles[a] is not None and middles[b] is not None], middles)
+        scan_frame = scored.withColumns({n: derive.compiled(t) for n, t in trees.items()}) if trees else scored
+        scan_features += list(trees)
     gates = o.gates
     found += _as_dicts(
         scan.subgroup_patterns(scan_frame, scan_features, "residual", o.n_bins, gates["min_bin_rows"], gates["min_effect"], o.fdr_alpha),
         "subgroup",
     )
+    for p in found:
+        if p["column_name"] in trees:
+            p["derived"] = trees[p["column_name"]]
     if o.cluster and numeric:
-        _, accepted = cluster.cluster_patterns(scored, numeric, "residual")
-        for r in accepted.collect():
+        labelled, accepted = cluster.cluster_patterns(scored, numeric, "residual")
+        for r in cluster.with_effect(accepted, labelled).collect():
             row = r.asDict()
             row["cluster_center"] = {c: row.pop(f"center_{c}") for c in numeric}
-            # effect of a cluster: standardised lift of its mean error
-            row.update(pattern_type="cluster", column_name=None, bin_value=str(row["cluster"]), effect_size=row["error_lift"] - 1.0, p_value=None)
+            row.update(pattern_type="cluster", column_name=None, bin_value=str(row["cluster"]), p_value=None)
             found.append(row)
     if o.time_column:
         found += [
@@ -119,7 +159,17 @@ def detect(scored: DataFrame, features: list[str], numeric: list[str], o: Option
     if o.variance_regimes and numeric:
         for r in regime.variance_regimes(scored, numeric, "residual").collect():
             found.append({**r.asDict(), "bin_value": None, "effect_size": None, "sample_count": r["n"]})
-    return found
+    return found, labelled
+
+
+def fold_metrics(table: DataFrame, problem: str) -> DataFrame:
+    """Scores of each fold: R-squared and RMSE, or accuracy (and for binary targets ROC-AUC)."""
+    if problem == "regression":
+        return cv.fold_scores(table)
+    accuracy = cv.fold_accuracy(table)
+    if problem == "binary":
+        return cv.fold_auc(table).join(F.broadcast(accuracy), "fold")  # a row a fold
+    return accuracy
 
 
 def score_patterns(found: list[dict], n_rows: int, k: int) -> list[dict]:
@@ -138,7 +188,7 @@ def score_patterns(found: list[dict], n_rows: int, k: int) -> list[dict]:
     scored.sort(key=lambda p: -p["composite_score"])
     seen, kept = set(), []
     for p in scored:
-        slot = (p.get("column_name") or p["bin_value"], p["pattern_type"])
+        slot = (p.get("slot") or p.get("column_name") or p["bin_value"], p["pattern_type"])
         if slot not in seen:
             seen.add(slot)
             kept.append(p)
@@ -167,44 +217,56 @@ def discover(df: DataFrame, o: Options) -> Result:
     else:
         split = df.withColumn("is_holdout", F.lit(False))
     train, holdout = split.where(~F.col("is_holdout")).drop("is_holdout"), split.where("is_holdout").drop("is_holdout")
+    events = [("profile", f"{len(features)} features, {problem} target"), ("split", f"{n_rows} rows")]
     tables = cross_fitted(train, features, o, problem)
+    events += [("cross_fit", kind) for kind in tables]
+    middles = prep.medians(train, numeric) if len(numeric) > 1 else None
     found: list[dict] = []
     merged: dict[tuple, dict] = {}
+    labels: dict[str, DataFrame] = {}
     for kind, table in tables.items():
         scored = durable(train.join(table.select(o.key, "residual"), o.key).where(F.col("residual").isNotNull()))
-        for p in detect(scored, features, numeric, o):
+        patterns_of, labelled = detect(scored, features, numeric, o, middles)
+        alike = {}
+        if labelled is not None:
+            labels[kind] = durable(labelled.where("cluster >= 0").select(o.key, "cluster"))
+            for other in list(labels)[:-1]:
+                alike |= {mine: (other, theirs) for mine, theirs in cluster.matching(labels[kind], labels[other], o.key)}
+        for p in patterns_of:
             slot = (p["pattern_type"], p.get("column_name"), p.get("bin_value"))
+            if p["pattern_type"] == "cluster":  # numbers of clusters say nothing across models
+                p["slot"] = "{}:{}".format(*alike.get(p["cluster"], (kind, p["cluster"])))
+                slot = ("cluster", None, p["slot"])
             merged.setdefault(slot, {**p, "models": []})["models"].append(kind)
+        events.append(("detect", f"{kind}: {len(patterns_of)} patterns"))
     for p in merged.values():
         everyone = len(p["models"]) == len(tables)
         p["confidence"] = (1.5 if len(tables) > 1 else 1.0) if everyone else 0.8 if p["models"] == ["linear"] else 1.0
         found.append(p)
     n_train = train.count()
     best = score_patterns(found, n_train, o.top_patterns)
-    pairs = sorted({tuple(c[len(prep.IX_PREFIX):].replace("__hh__", "__x__").replace("__xor__", "__x__").split("__x__")) for p in best if (c := p.get("column_name") or "").startswith(prep.IX_PREFIX)})
-    mids = prep.medians(train, sorted({c for p in pairs for c in p})) if pairs else None
-    train_x = prep.add_interactions(train, pairs, mids) if pairs else train
-    holdout_x = prep.add_interactions(holdout, pairs, mids) if pairs else holdout
-    compiled = rules.rules_from_patterns(train_x, best)
-    source = {r.name: p for r, p in zip(compiled, best)}
+    paired = rules.compiled_patterns(train, best)
+    compiled = [r for r, _ in paired]
+    source = {r.name: p for r, p in paired}
+    events.append(("construct", f"{len(compiled)} rules"))
     spark = df.sparkSession
     scores = None
     for kind, table in tables.items():
-        part = cv.fold_scores(table).withColumn("model", F.lit(kind))
+        part = fold_metrics(table, problem).withColumn("model", F.lit(kind))
         scores = part if scores is None else scores.unionByName(part)
     if not compiled:
         empty = spark.createDataFrame([], VARIABLE_SCHEMA)
-        return Result(tables[o.models[0]], scores, found, [], empty, [], problem)
+        return Result(tables[o.models[0]], scores, found, [], empty, [], problem, events, tables, o.key)
     checks = causal.check_columns(
         train, o.key, sorted({c for r in compiled for c in r.columns() if c in numeric and len(r.columns()) == 1}), o.target, numeric
     ) if expr.is_numeric(df.schema[o.target]) else {}
     survived = {
         r["name"]: r.asDict()
-        for r in bootstrap.survival(bootstrap.replicate_stats(train_x, o.key, compiled, o.bootstrap_iterations, o.seed), o.mode).collect()
+        for r in bootstrap.survival(bootstrap.replicate_stats(train, o.key, compiled, o.bootstrap_iterations, o.seed), o.mode).collect()
     }
-    held = {r["name"]: r["holdout_validated"] for r in bootstrap.holdout_check(holdout_x, compiled).collect()}
+    held = {r["name"]: r["holdout_validated"] for r in bootstrap.holdout_check(holdout, compiled).collect()}
     good = [r for r in compiled if survived[r.name]["status"] == "validated"]
-    steps = selection.forward_selection(train_x, holdout_x, numeric, good, o.target, o.ridge_alpha) if good and numeric and problem == "regression" else []
+    steps = selection.forward_selection(train, holdout, numeric, good, o.target, o.ridge_alpha) if good and numeric and problem == "regression" else []
     gain = {s["name"]: s["improvement_pct"] for s in steps}
     rows = []
     for r in compiled:
@@ -218,4 +280,5 @@ def discover(df: DataFrame, o: Options) -> Result:
              p.get("sample_count"), gain.get(r.name), r.to_json())
         )
     variables = spark.createDataFrame(rows, VARIABLE_SCHEMA)
-    return Result(tables[o.models[0]], scores, found, compiled, variables, steps, problem)
+    events.append(("validate", f"{len(good)} of {len(compiled)} rules"))
+    return Result(tables[o.models[0]], scores, found, compiled, variables, steps, problem, events, tables, o.key)

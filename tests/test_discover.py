@@ -22,7 +22,7 @@ def delivery(n=3000, seed=42):
     return pd.DataFrame({"row_no": np.arange(n), "distance_miles": dist, "traffic_index": traffic, "driver_rating": rating, "order_value": value, "delivery_time": y})
 
 
-def test_hidden_condition_is_recovered(spark):
+def test_hidden_condition_is_recovered(spark, tmp_path):
     got = discover(spark.createDataFrame(delivery()), Options(target="delivery_time", key="row_no", cv_folds=3, bootstrap_iterations=20))
     assert got.problem == "regression" and got.oof.count() == got.oof.select("row_no").distinct().count()
     columns = {c for r in got.validated_rules() for c in r.columns()}
@@ -30,17 +30,17 @@ def test_hidden_condition_is_recovered(spark):
     assert got.selection and got.selection[0]["improvement_pct"] > 1
     r2 = got.scores.agg(F.avg("r2")).first()[0]
     assert 0.75 < r2 < 0.92
-    scored = rules.apply_rules(_with_derived(spark, got), got.validated_rules(), ["row_no"])
+    stored = [rules.Rule.from_json(r.to_json()) for r in got.validated_rules()]
+    base = spark.createDataFrame(delivery()).drop("delivery_time")  # no derived columns here
+    assert any("derived" in r.params for r in stored)
+    scored = rules.apply_rules(base, stored, ["row_no"])
     assert scored.count() == 3000
-
-
-def _with_derived(spark, got):
-    from residua.operators import prep
-
-    df = spark.createDataFrame(delivery())
-    named = {c for r in got.validated_rules() for c in r.columns() if c.startswith(prep.IX_PREFIX)}
-    pairs = sorted({tuple(c[len(prep.IX_PREFIX):].replace("__hh__", "__x__").replace("__xor__", "__x__").split("__x__")) for c in named})
-    return prep.add_interactions(df, pairs) if pairs else df
+    root = str(tmp_path / "run")
+    got.save(root, "r1")
+    read = lambda kind: sinks.read_results(spark, root, kind, "r1")
+    assert read("residuals").count() == got.oof.count() and read("fold_metrics").count() == 3
+    assert read("patterns").count() == len(got.patterns) and read("latent_variables").count() == len(got.rules)
+    assert {r["phase"] for r in read("events").collect()} >= {"profile", "cross_fit", "detect", "construct", "validate"}
 
 
 def test_noise_gives_no_selected_variable(spark):
@@ -74,6 +74,7 @@ def test_binary_target_uses_probabilities(spark):
     assert got.problem == "binary"
     row = got.oof.agg(F.min("prediction").alias("lo"), F.max("prediction").alias("hi")).first()
     assert 0 <= row["lo"] and row["hi"] <= 1
+    assert got.scores.count() == 2 and got.scores.where("auc > 0.6 and accuracy > 0.5").count() == 2
 
 
 def test_options_are_checked():

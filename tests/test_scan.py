@@ -96,7 +96,7 @@ def test_dense_blobs_are_separated(spark):
     rng = np.random.default_rng(4)
     pts = np.vstack([rng.normal([0, 0], 0.2, (200, 2)), rng.normal([5, 5], 0.2, (150, 2)), rng.uniform(-4, 9, (60, 2))])
     df = cluster.standardise(spark.createDataFrame(pd.DataFrame(pts, columns=["x", "y"])), ["x", "y"])
-    got = cluster.density_labels(df, ["z_x", "z_y"]).toPandas()
+    got = cluster.density_labels(df, ["z_x", "z_y"], 15)[0].toPandas()
     labels = got["cluster"].to_numpy()
     near0 = labels[(got["x"].abs() < 0.6) & (got["y"].abs() < 0.6)]
     near5 = labels[((got["x"] - 5).abs() < 0.6) & ((got["y"] - 5).abs() < 0.6)]
