@@ -1,47 +1,5 @@
-"""Connected components by alternating stars (large star, small star) over distributed edges."""
+"""Connected components of links between documents, vectors or urls."""
 
-from __future__ import annotations
+from residua.functions.graph import connected_components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from residua.session import durable, release
-
-MAX_ROUNDS = 100
-
-
-def _with_least(edges: DataFrame) -> DataFrame:
-    """Rows (u, v, m) with m the least of u and all v of u.  The join key is a struct, so that the
-    minima are dealt anew and a node with very many neighbours can be split by the skew join."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m")).select(F.struct("u").alias("k"), F.least("u", "m").alias("m"))
-    return edges.select(F.struct("u").alias("k"), "u", "v").join(least, "k").select("u", "v", "m")
-
-
-def _settled(edges: DataFrame) -> bool:
-    """Whether every node has at most one edge to a lesser node and such nodes have no edge of their own."""
-    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("up")), F.struct(F.col("v").alias("x"), F.lit(0).alias("up")))).alias("e"))
-    sums = ends.groupBy("e.x").agg(F.sum("e.up").alias("ups"), F.min("e.up").alias("least"))
-    return not sums.where("ups > 1 OR (ups = 1 AND least = 0)").limit(1).count()
-
-
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component) for every node of an edge, component the least node reachable.
-
-    Edges with null ends are ignored, loops and repeats do no harm; no edges give no rows.  Each round
-    is written to the checkpoint folder and the one before removed; the loop ends when all trees are stars
-    around their least node.
-    """
-    pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
-    nodes = pairs.select(F.explode(F.array("u", "v")).alias("u")).distinct()
-    current = durable(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    for _ in range(MAX_ROUNDS):
-        if _settled(current):
-            break
-        both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_least(both).where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = _with_least(large).select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        former, current = current, durable(small)
-        release(former)
-    else:
-        raise RuntimeError("components did not settle")
-    return nodes.join(current, "u", "left").select(F.col("u").alias("node"), F.coalesce("v", "u").alias("component"))
+__all__ = ["connected_components"]

@@ -15,7 +15,8 @@ counts agree: an equi-join that loses no pair.  Texts of a size class and the ne
    all classes share brings one entry per task.  These stars are candidate links.
 2. Candidates that pass the point bound are verified on the shingle sets; links give components.
 3. A slab whose star joins different components is open: all its members are compared, by a packed tree of
-   points in tiles of bounded size, leaving out pairs inside a component.  Survivors are verified too.
+   points in tiles of bounded size, leaving out pairs inside a component.  Rows with a pair that passes go to
+   their tile once more with their sets, are verified there, and each linked row leaves with one link.
 
 Any linked pair shares a slab; it is inside a component after step 2 or tested in step 3.
 """
@@ -33,13 +34,15 @@ from pyspark.sql import types as T
 from residua.llm import chunks
 from residua.llm.components import connected_components
 from residua.llm.words import LOWER, mix, slices, split, windows
-from residua.session import durable
+from residua.session import durable, release
 
 SHINGLE, PERCENT = 4, 85
 GROUPS, MOST_GROUPS = 256, 2048  # coordinates of a point
 SLAB_GROUPS = 1024  # groups of a slab
 FLUSH = 1_000_000  # entries a task gathers before it sends them
 TILE, LEAF = 2048, 32
+TILE_SHINGLES = 2_000_000  # of a tile's sets
+BATCH_BYTES = 8 << 20  # of sets in a batch
 PARTNERS = 256  # partners that a task gets with one text
 MARGIN = 3
 SLICE = 1 << 20  # bytes of text handled at once
@@ -216,6 +219,7 @@ def tree_pairs(vectors: np.ndarray, sizes: np.ndarray, side: np.ndarray, part: n
 
 _STAR = chunks.shape("slab long, a long, b long")
 _ENTRY = chunks.shape("bucket int, entries binary, stars binary")
+_LOW = _U(0xFFFFFFFF)
 
 
 def _stars(key: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -233,7 +237,8 @@ def _stars(key: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 def _slab_stars(docs: DataFrame, text: str, size: int, percent: int) -> DataFrame:
-    """(slab, a, b): classes a and b agree in a slab; the rows of a slab connect all its classes."""
+    """(slab, a, b): classes a and b agree in a slab; the rows of a slab connect all its classes.  Inside a bucket a
+    slab is known by 32 bits: two that fall together only bring candidates that are not links."""
     buckets = chunks.parts_for(docs, text)
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,9 +251,8 @@ def _slab_stars(docs: DataFrame, text: str, size: int, percent: int) -> DataFram
             rows = []
             for b in np.flatnonzero(np.diff(edges)):
                 lo, hi = edges[b], edges[b + 1]
-                first = np.searchsorted(star[:, 0], key[lo])
-                last = np.searchsorted(star[:, 0], key[hi - 1], "right")
-                rows.append((int(b), key[lo:hi].tobytes() + cls[lo:hi].tobytes(), star[first:last].tobytes()))
+                own = star[np.searchsorted(star[:, 0], key[lo]) : np.searchsorted(star[:, 0], key[hi - 1], "right")]
+                rows.append((int(b), (key[lo:hi] & _LOW).astype(np.uint32).tobytes() + cls[lo:hi].tobytes(), (own[:, 0] & _LOW).astype(np.uint32).tobytes() + own[:, 1:].tobytes()))
             return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows, strict=True), chunks.arrow_schema(_ENTRY), strict=True)], schema=chunks.arrow_schema(_ENTRY))
 
         for part in slices(batches, text, SLICE):
@@ -264,28 +268,68 @@ def _slab_stars(docs: DataFrame, text: str, size: int, percent: int) -> DataFram
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, classes, stars = [np.empty(0, _U)], [np.empty(0, _U)], [np.empty((0, 3), _U)]
-        for b in batches:
-            for e, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                both = np.frombuffer(e, _U).reshape(2, -1)
-                keys.append(both[0]), classes.append(both[1])
-                stars.append(np.frombuffer(s, _U).reshape(-1, 3))
+        for batch in batches:
+            for bucket, e, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                high = _U(bucket) << _U(32)
+                n, m = len(e) // 12, len(s) // 20
+                keys.append(np.frombuffer(e, np.uint32, n).astype(_U) | high)
+                classes.append(np.frombuffer(e, _U, n, 4 * n))
+                ends = np.frombuffer(s, _U, 2 * m, 4 * m).reshape(m, 2)
+                stars.append(np.column_stack([np.frombuffer(s, np.uint32, m).astype(_U) | high, ends]))
         _, _, star, _ = _stars(np.concatenate(keys), np.concatenate(classes))
         out = np.concatenate([*stars, star]).view(np.int64)
         for lo in range(0, len(out), 200_000):
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in out[lo : lo + 200_000].T], schema=chunks.arrow_schema(_STAR))
 
-    return docs.select(text).mapInArrow(entries, _ENTRY).repartitionById(buckets, F.col("bucket")).mapInArrow(meet, _STAR)
+    found = docs.select(text).mapInArrow(entries, _ENTRY).repartitionById(buckets, F.col("bucket")).mapInArrow(meet, _STAR)
+    return found.select("slab", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _sets(docs: DataFrame, members: DataFrame, sent: DataFrame, key: str, text: str, size: int, width: type) -> DataFrame:
+    """For every wanted class (h1, to: array of structs) its packed set, once per entry of ``to``: the fields of the
+    struct, ``h1`` and ``set``.  A class is read from a row of its least key; other texts of that key are passed over."""
+    wanted = durable(sent.join(members.select("h1", F.col("rep").alias(key)), "h1"))
+    few = wanted.agg(F.count(F.lit(1)), F.sum(F.size("to"))).first()
+    fields = wanted.schema["to"].dataType.elementType.fields
+    kind = T.StructType([*fields, *chunks.shape("h1 long, set binary").fields])
+    names = [f.name for f in fields]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = chunks.arrow_schema(kind)
+
+        def sent_rows(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+        for part in slices(batches, text, SLICE):
+            h, first = shingle_sets(part.column(text), size)
+            own_class = class_hash(h, first)[0].view(np.int64)
+            rows, held = [], 0
+            for i, (h1, to) in enumerate(zip(part.column("h1").to_pylist(), part.column("to").to_pylist(), strict=True)):
+                if own_class[i] != h1:
+                    continue
+                own = h[first[i] : first[i + 1]]
+                packed = (own if width is np.uint64 else np.sort((own >> _U(32)).astype(np.uint32))).tobytes()
+                for x in to:
+                    rows.append((*[x[n] for n in names], h1, packed))
+                    held += len(packed)
+                    if held > BATCH_BYTES:
+                        yield sent_rows(rows)
+                        rows, held = [], 0
+            if rows:
+                yield sent_rows(rows)
+
+    return docs.select(key, text).join(F.broadcast(wanted) if (few[1] or 0) <= BROADCAST_ROWS else wanted, key).mapInArrow(pack, kind)
 
 
 def _verified(docs: DataFrame, members: DataFrame, pairs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of representatives that are linked, decided on their whole shingle sets."""
-    point = members.select(F.struct("rep").alias("k"), "n", "point")
+    """Pairs (a, b) of classes that are linked, decided on their whole shingle sets."""
+    point = members.select(F.struct("h1").alias("k"), "n", "point")
     near = (
-        pairs.select(F.struct(F.col("a").alias("rep")).alias("k"), "a", "b").join(point, "k")
-        .select("a", "b", F.col("n").alias("na"), F.col("point").alias("pa"), F.struct(F.col("b").alias("rep")).alias("k")).join(point, "k")
+        pairs.select(F.struct(F.col("a").alias("h1")).alias("k"), "a", "b").join(point, "k")
+        .select("a", "b", F.col("n").alias("na"), F.col("point").alias("pa"), F.struct(F.col("b").alias("h1")).alias("k")).join(point, "k")
         .select("a", "b", "na", "pa", F.col("n").alias("nb"), F.col("point").alias("pb"))
     )
-    two = T.StructType([pairs.schema["a"], pairs.schema["b"]])
+    two = chunks.shape("a long, b long")
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -300,16 +344,16 @@ def _verified(docs: DataFrame, members: DataFrame, pairs: DataFrame, key: str, t
             yield b.select(["a", "b"]).filter(pa.array(ok))
 
     near = durable(near.mapInArrow(bound, two))
-    judged = durable(_compared(docs, near, key, text, size, percent, np.uint32))
+    judged = durable(_compared(docs, members, near, key, text, size, percent, np.uint32))
     close = judged.where("close").select("a", "b")
     sure = judged.where("linked AND NOT close").select("a", "b")
     if not close.limit(1).count():
         return sure
-    exact = _compared(docs, close, key, text, size, percent, np.uint64)
+    exact = _compared(docs, members, close, key, text, size, percent, np.uint64)
     return durable(sure.unionByName(exact.where("linked").select("a", "b")))
 
 
-def _compared(docs: DataFrame, near: DataFrame, key: str, text: str, size: int, percent: int, width: type) -> DataFrame:
+def _compared(docs: DataFrame, members: DataFrame, near: DataFrame, key: str, text: str, size: int, percent: int, width: type) -> DataFrame:
     """(a, b, linked, close) for pairs whose sets meet as 32- or 64-bit hashes.  Each set is sent once to every a
     that it is paired with, and an a with many partners is sent to several tasks.  Short hashes can only count
     too many shared shingles; ``close`` marks pairs that ``MARGIN`` false matches could turn."""
@@ -318,25 +362,10 @@ def _compared(docs: DataFrame, near: DataFrame, key: str, text: str, size: int,
         near.withColumn("k", F.struct("a")).join(tiles.select(F.struct("a").alias("k"), "tiles"), "k")
         .select("a", "b", F.pmod(F.xxhash64("b"), "tiles").cast("int").alias("salt"))
     )
-    hubs = tiles.select(F.col("a").alias("doc"), "a", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("salt"), F.lit(0).alias("role"))
-    sent = hubs.unionByName(salted.select(F.col("b").alias("doc"), "a", "salt", F.lit(1).alias("role")))
-    sent = durable(sent.groupBy(F.col("doc").alias(key)).agg(F.collect_list(F.struct("a", "salt", "role")).alias("to")))
-    few = sent.agg(F.count(F.lit(1)), F.sum(F.size("to"))).first()
-    wanted = F.broadcast(sent) if (few[1] or 0) <= BROADCAST_ROWS else sent
-    kind = T.StructType([near.schema["a"], *chunks.shape("salt int, role int").fields, near.schema["b"], T.StructField("set", T.BinaryType())])
-    out = T.StructType([near.schema["a"], near.schema["b"], *chunks.shape("linked boolean, close boolean").fields])
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, text, SLICE):
-            h, first = shingle_sets(part.column(text), size)
-            rows = []
-            for i, (doc, to) in enumerate(zip(part.column(key).to_pylist(), part.column("to").to_pylist(), strict=True)):
-                own = h[first[i] : first[i + 1]]
-                packed = (own if width is np.uint64 else np.sort((own >> _U(32)).astype(np.uint32))).tobytes()
-                rows += [(x["a"], x["salt"], x["role"], doc, packed) for x in to]
-            schema = chunks.arrow_schema(kind)
-            cols = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(cols, schema, strict=True)], schema=schema)
+    hubs = tiles.select(F.col("a").alias("h1"), "a", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("salt"), F.lit(0).alias("role"))
+    sent = hubs.unionByName(salted.select(F.col("b").alias("h1"), "a", "salt", F.lit(1).alias("role")))
+    sent = sent.groupBy("h1").agg(F.collect_list(F.struct("a", "salt", "role")).alias("to"))
+    out = chunks.shape("a long, b long, linked boolean, close boolean")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, hub_key = np.empty(0, width), None
@@ -349,80 +378,131 @@ def _compared(docs: DataFrame, near: DataFrame, key: str, text: str, size: int,
                     continue
                 if hub_key != (a, salt):
                     raise RuntimeError("a pair came without its first text")
-                at = np.searchsorted(hub, own)
-                at[at == len(hub)] = 0
-                shared, total = int((hub[at] == own).sum()), len(hub) + len(own)
+                shared, total = _shared(hub, own), len(hub) + len(own)
                 linked = (100 + percent) * shared >= percent * total
                 doubt = width is np.uint32 and linked and (100 + percent) * (shared - MARGIN) < percent * total
                 rows.append((a, other, linked, doubt))
             cols = list(zip(*rows, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(cols, chunks.arrow_schema(out), strict=True)], schema=chunks.arrow_schema(out))
 
-    rows = docs.select(key, text).join(wanted, key).mapInArrow(sets, kind)
     parts = chunks.width(docs.sparkSession)
+    rows = _sets(docs, members, sent, key, text, size, width)
     return rows.repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(compare, out).distinct()
 
 
-def _open_pairs(stars: DataFrame, members: DataFrame, component: DataFrame, percent: int, parts: int) -> DataFrame:
-    """Pairs of different components that share a slab and pass the tree."""
-    placed = component.select(F.struct(F.col("node").alias("rep")).alias("k"), "component")
-    ends = stars.select("slab", F.explode(F.array("a", "b")).alias("rep")).distinct()
-    with_part = durable(
-        ends.withColumn("k", F.struct("rep")).join(placed, "k", "left").select("slab", "rep", F.coalesce("component", "rep").alias("part"))
+def _shared(a: np.ndarray, b: np.ndarray) -> int:
+    """How many values two sorted sets share."""
+    if len(a) < len(b):
+        a, b = b, a
+    at = np.searchsorted(a, b)
+    at[at == len(a)] = 0
+    return int((a[at] == b).sum())
+
+
+def tile_links(h: np.ndarray, first: np.ndarray, side: np.ndarray, part: np.ndarray, percent: int) -> np.ndarray:
+    """For the sets of a tile, the least row of each row's component of verified links; pairs of one part, and
+    pairs that links have joined already, are passed over."""
+    n = np.diff(first)
+    packed = [p.tobytes() for p in points(h, first)]
+    i, j = tree_pairs(folded(packed, min(map(len, packed))), n, side, part, percent)
+    root = list(range(len(n)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in zip(i.tolist(), j.tolist(), strict=True):
+        x, y = find(a), find(b)
+        if x != y and (100 + percent) * _shared(h[first[a] : first[a + 1]], h[first[b] : first[b + 1]]) >= percent * int(n[a] + n[b]):
+            root[max(x, y)] = min(x, y)
+    return np.array([find(x) for x in range(len(n))])
+
+
+_TILE_KEY = ["slab", "t1", "t2"]
+
+
+def _by_tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of one tile after the other, from batches sorted by tile."""
+    kept: list[pa.Table] = []
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        while t.num_rows:
+            group = _group(t)
+            if kept and _group(kept[0].slice(0, 1))[0] != group[0]:
+                yield pa.concat_tables(kept)
+                kept = []
+            other = np.flatnonzero(group != group[0])
+            if not len(other):
+                kept.append(t)
+                break
+            yield pa.concat_tables([*kept, t.slice(0, int(other[0]))])
+            kept, t = [], t.slice(int(other[0]))
+    if kept:
+        yield pa.concat_tables(kept)
+
+
+def _open_links(docs: DataFrame, stars: DataFrame, pairs: DataFrame, members: DataFrame, component: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
+    """(a, b): links found in open slabs, one for every row that is linked in a tile, to the least of its tile
+    component.  Points of all members of open slabs say which rows may have a link in a tile; the sets of those
+    rows only are sent there and verified, so pairs never leave a task."""
+    parts = chunks.width(docs.sparkSession)
+    of = component.select(F.struct(F.col("node").alias("h1")).alias("k"), "component")
+    sides = (
+        pairs.withColumn("k", F.struct(F.col("a").alias("h1"))).join(of, "k", "left").select("a", "b", F.coalesce("component", "a").alias("x"), F.struct(F.col("b").alias("h1")).alias("k"))
+        .join(of, "k", "left").where(F.col("x") != F.coalesce("component", "b")).select(F.struct("a", "b").alias("p"))
+    )
+    opened = stars.withColumn("p", F.struct("a", "b")).join(sides, "p", "left_semi").select("slab").distinct()
+    ends = stars.join(opened, "slab", "left_semi").select("slab", F.explode(F.array("a", "b")).alias("h1")).distinct()
+    placed = durable(
+        ends.withColumn("k", F.struct("h1")).join(of, "k", "left").select("slab", "h1", F.coalesce("component", "h1").alias("part"), "k")
+        .join(members.select(F.struct("h1").alias("k"), "n"), "k").select("slab", "h1", "part", "n")
     )
-    spread = with_part.groupBy("slab").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.count(F.lit(1)).alias("many")).where("x <> y")
-    tiles = F.ceil(F.col("many") / TILE).cast("int")
+    tiles = F.ceil(F.greatest(F.count(F.lit(1)) / TILE, F.sum("n") / TILE_SHINGLES)).cast("int")
+    dealt = placed.groupBy("slab").agg(tiles.alias("tiles")).select(F.struct("slab").alias("s"), "tiles")
     member = (
-        with_part.withColumn("s", F.struct("slab")).join(spread.select(F.struct("slab").alias("s"), tiles.alias("tiles")), "s")
-        .select("slab", "rep", "part", "tiles", F.pmod(F.xxhash64("rep"), "tiles").cast("int").alias("t"))
-        .select("slab", "rep", "part", "t", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("u"))
-        .select(F.struct("rep").alias("k"), "slab", "rep", "part", F.least("t", "u").alias("t1"), F.greatest("t", "u").alias("t2"), (F.col("t") > F.col("u")).cast("int").alias("side"))
-        .join(members.select(F.struct("rep").alias("k"), "n", "point"), "k").drop("k")
+        placed.withColumn("s", F.struct("slab")).join(dealt, "s")
+        .select("slab", "h1", "part", "n", "tiles", F.pmod(F.xxhash64("h1"), "tiles").cast("int").alias("t"))
+        .select("slab", "h1", "part", "n", "t", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("u"))
+        .select(F.struct("h1").alias("k"), "slab", F.least("t", "u").alias("t1"), F.greatest("t", "u").alias("t2"), (F.col("t") > F.col("u")).cast("int").alias("side"), "h1", "part", "n")
+        .join(members.select(F.struct("h1").alias("k"), "point"), "k").drop("k")
     )
-    two = T.StructType([T.StructField("a", member.schema["rep"].dataType), T.StructField("b", member.schema["rep"].dataType)])
+    close = chunks.shape("slab long, t1 int, t2 int, rows longs, sides ints, parts longs")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[pa.Table] = []
-        for b in batches:
-            t = pa.Table.from_batches([b])
-            if not t.num_rows:
-                continue
-            kept.append(t)
-            group = _group(t)
-            if group[0] == group[-1] and (len(kept) == 1 or _group(kept[0])[0] == group[0]):
+        out = []
+        for t in _by_tile(batches):
+            part, side, h1 = (t.column(c).to_numpy() for c in ("part", "side", "h1"))
+            if (part == part[0]).all():
                 continue
-            whole = pa.concat_tables(kept)
-            last = _group(whole)
-            cut = int(np.flatnonzero(last != last[-1])[-1]) + 1
-            yield from judged(whole.slice(0, cut))
-            kept = [whole.slice(cut)]
-        if kept:
-            yield from judged(pa.concat_tables(kept))
-
-    def judged(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        group = _group(t)
-        edges = np.concatenate([[0], np.flatnonzero(group[1:] != group[:-1]) + 1, [len(group)]])
-        packed = t.column("point").to_pylist()
-        n, side = t.column("n").to_numpy(), t.column("side").to_numpy()
-        part = np.unique(np.array(t.column("part").to_pylist()), return_inverse=True)[1]
-        left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-            if hi - lo == 2 and part[lo] == part[lo + 1]:
-                continue
-            vectors = folded(packed[lo:hi], min(map(len, packed[lo:hi])))
-            i, j = tree_pairs(vectors, n[lo:hi], side[lo:hi], part[lo:hi], percent)
-            left.append(i + lo), right.append(j + lo)
-        # a pair of many slabs leaves the task once
-        names, number = np.unique(np.array(t.column("rep").to_pylist()), return_inverse=True)
-        both = np.sort(np.stack([number[np.concatenate(left)], number[np.concatenate(right)]], 1), axis=1)
-        both = np.unique(both, axis=0)
-        rep = pa.array(names.tolist(), t.schema.field("rep").type)
-        a, b = rep.take(pa.array(both[:, 0])), rep.take(pa.array(both[:, 1]))
-        yield pa.RecordBatch.from_arrays([a, b], schema=chunks.arrow_schema(two))
-
-    by = ["slab", "t1", "t2"]
-    found = member.repartition(parts, *by).sortWithinPartitions(*by).mapInArrow(search, two)
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+            packed = t.column("point").to_pylist()
+            i, j = tree_pairs(folded(packed, min(map(len, packed))), t.column("n").to_numpy(), side, part, percent)
+            if len(i):
+                rows = np.unique(np.concatenate([i, j]))
+                out.append((t.column("slab")[0].as_py(), t.column("t1")[0].as_py(), t.column("t2")[0].as_py(), h1[rows], side[rows], part[rows]))
+        cols = list(zip(*out, strict=True)) or [[]] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(cols, chunks.arrow_schema(close), strict=True)], schema=chunks.arrow_schema(close))
+
+    near = durable(member.repartition(parts, *_TILE_KEY).sortWithinPartitions(*_TILE_KEY).mapInArrow(search, close))
+    each = near.select(*_TILE_KEY, F.explode(F.arrays_zip("rows", "sides", "parts")).alias("e"))
+    sent = each.groupBy(F.col("e.rows").alias("h1")).agg(F.collect_list(F.struct(*_TILE_KEY, F.col("e.sides").alias("side"), F.col("e.parts").alias("part"))).alias("to"))
+    two = chunks.shape("a long, b long")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _by_tile(batches):
+            order = np.unique(np.stack([t.column("h1").to_numpy(), t.column("side").to_numpy()], 1), axis=0, return_index=True)[1]  # repeated rows once
+            t = t.take(pa.array(order))
+            h1 = t.column("h1").to_numpy()
+            sets = [np.frombuffer(x, _U) for x in t.column("set").to_pylist()]
+            first = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int64)
+            least = tile_links(np.concatenate(sets), first, t.column("side").to_numpy(), t.column("part").to_numpy(), percent)
+            moved = np.flatnonzero(least != np.arange(len(least)))
+            if len(moved):
+                yield pa.RecordBatch.from_arrays([pa.array(h1[least[moved]]), pa.array(h1[moved])], schema=chunks.arrow_schema(two))
+
+    rows = _sets(docs, members, sent, key, text, size, np.uint64)
+    return durable(rows.repartition(parts, *_TILE_KEY).sortWithinPartitions(*_TILE_KEY).mapInArrow(verify, two).distinct())
 
 
 def _group(t: pa.Table) -> np.ndarray:
@@ -436,8 +516,9 @@ def shingle_join(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     Two texts link when ``100 * |A n B| >= percent * |A u B|`` over distinct ``size``-word shingles of
     lower-cased (A-Z) words.  A text of fewer words has one shingle, all its words; null texts and texts
     without words have none, link with nothing and are their own component.  ``component_id`` is the
-    least key reachable.  Rows with equal keys are one node; a null key gives its row a null component.
-    Repeated rows link with each other; an empty table gives no rows.
+    least key reachable.  Rows with equal keys are one node, whatever their texts: links of each of them count
+    for all; a null key gives its row a null component and links nothing.  Repeated rows link with each other.
+    A long text is one set, in one task.  Columns of other names are ignored; an empty table gives no rows.
     """
     docs = docs.select(key, text)
     kind = T.StructType([docs.schema[key], *chunks.shape("n long, h1 long, h2 long, point binary").fields])
@@ -453,26 +534,27 @@ def shingle_join(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
             )
 
     described = durable(docs.mapInArrow(describe, kind))
-    same = ["n", "h1", "h2"]
-    members = durable(described.where(f"n > 0 AND `{key}` IS NOT NULL").groupBy(*same).agg(F.min(key).alias("rep"), F.min("point").alias("point")))
-    belongs = described.select(key, "n", F.struct(*same).alias("k")).join(members.select(F.struct(*same).alias("k"), "rep"), "k", "left").select(key, "n", "rep")
-    reps = members.select(F.col("h1"), "rep")
-    raw = _slab_stars(docs.where(F.col(key).isNotNull()), text, size, percent)  # a class without a key cannot be a star's centre
-    named = (
-        raw.select("slab", F.struct(F.col("a").alias("h1")).alias("k"), F.col("b").alias("b")).join(reps.select(F.struct("h1").alias("k"), F.col("rep").alias("x")), "k")
-        .select("slab", "x", F.struct(F.col("b").alias("h1")).alias("k")).join(reps.select(F.struct("h1").alias("k"), F.col("rep").alias("y")), "k")
-        .select("slab", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b")
-    )
-    stars = durable(named)
-    links = _verified(docs, members, stars.select("a", "b").distinct(), key, text, size, percent)
+    keyed = described.where(f"n > 0 AND `{key}` IS NOT NULL")
+    members = durable(keyed.groupBy("h1").agg(F.min(key).alias("rep"), F.min("n").alias("n"), F.min("point").alias("point")))
+    stars = durable(_slab_stars(docs.where(F.col(key).isNotNull()), text, size, percent).where("a <> b"))
+    pairs = durable(stars.select("a", "b").distinct())
+    links = _verified(docs, members, pairs, key, text, size, percent)
+    # texts of one key are one node
+    span = keyed.groupBy(key).agg(F.min("h1").alias("a"), F.max("h1").alias("z")).where("a <> z").select(key, "a")
+    tied = keyed.select(key, F.col("h1").alias("b")).join(span, key).where("a <> b").select("a", "b").distinct()
+    links = durable(links.unionByName(tied))
     component = connected_components(links)
-    more = durable(_open_pairs(stars, members, component, percent, chunks.width(docs.sparkSession)))
+    more = _open_links(docs, stars, pairs, members, component, key, text, size, percent)
     if more.limit(1).count():
-        further = _verified(docs, members, more, key, text, size, percent)
-        if further.limit(1).count():
-            component = connected_components(links.unionByName(further))
-    placed = component.select(F.struct(F.col("node").alias("rep")).alias("k"), "component")
-    return (
-        belongs.withColumn("k", F.struct("rep")).join(placed, "k", "left")
-        .select(key, F.col("n").alias("n_shingles"), F.coalesce("component", "rep", key).alias("component_id"))
-    )
+        component = connected_components(links.unionByName(more))
+    component = durable(component)
+    of = component.select(F.struct(F.col("node").alias("h1")).alias("k"), "component")
+    named = members.select(F.struct("h1").alias("k"), "h1", "rep").join(of, "k", "left").select("h1", "rep", F.coalesce("component", "h1").alias("component"))
+    least = named.groupBy("component").agg(F.min("rep").alias("least"))
+    placed = named.select("h1", F.struct("component").alias("c")).join(least.select(F.struct("component").alias("c"), "least"), "c").select(F.struct("h1").alias("k"), "least")
+    texts = described.select(key, "n", F.when((F.col("n") > 0) & F.col(key).isNotNull(), F.struct("h1")).alias("k"))
+    joined = texts.join(placed, "k", "left")
+    out = joined.select(key, F.col("n").alias("n_shingles"), F.coalesce("least", key).alias("component_id"))
+    for used in (stars, pairs):
+        release(used)
+    return out
