@@ -36,7 +36,7 @@ from residua.llm.words import _BYTE_VALUES, _BYTES, _spans, give_back, hash_span
 
 LENGTH = 50
 MOST_WINDOWS = 32  # of one anchor: a reply has one bit for each
-HOT = 4096  # fragments of an anchor above which its windows are dealt one by one
+HOT = 256  # fragments of an anchor above which its windows are dealt one by one
 SEGMENT = 1 << 18  # windows looked at at once
 CHUNK_BYTES = 8 << 20
 COMPARED = 1 << 13  # strings compared at once

@@ -92,7 +92,7 @@ def passages(seed=5):
     return rows
 
 
-@pytest.mark.parametrize("hot", [4096, 8])
+@pytest.mark.parametrize("hot", [256, 8])
 def test_earlier_passages_equal_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", 20_000)
     rows = passages()
