@@ -15,8 +15,9 @@ counts agree: an equi-join that loses no pair.  Texts of a size class and the ne
    all classes share brings one entry per task.  These stars are candidate links.
 2. Candidates that pass the point bound are verified on the shingle sets; links give components.
 3. A slab whose star joins different components is open: all its members are compared, by a packed tree of
-   points in tiles of bounded size, leaving out pairs inside a component.  Rows with a pair that passes go to
-   their tile once more with their sets, are verified there, and each linked row leaves with one link.
+   points in tiles of bounded size, leaving out pairs inside a component.  Rows with a pair that passes meet by
+   the components of "may be linked" with their sets, are verified in tiles, and each linked row leaves with one
+   link.
 
 Any linked pair shares a slab; it is inside a component after step 2 or tested in step 3.
 """
@@ -420,6 +421,20 @@ def tile_links(h: np.ndarray, first: np.ndarray, side: np.ndarray, part: np.ndar
     return np.array([find(x) for x in range(len(n))])
 
 
+def _stars_of(names: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Rows (centre, other) that connect what the pairs (i, j) connect."""
+    root = np.arange(len(names))
+    while True:
+        x, y = root[i], root[j]
+        if (x == y).all():
+            break
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+    at = np.flatnonzero(root != np.arange(len(root)))
+    return np.stack([names[root[at]], names[at]], 1)
+
+
 _TILE_KEY = ["slab", "t1", "t2"]
 
 
@@ -445,8 +460,9 @@ def _by_tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 def _open_links(docs: DataFrame, stars: DataFrame, pairs: DataFrame, members: DataFrame, component: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
     """(a, b): links found in open slabs, one for every row that is linked in a tile, to the least of its tile
-    component.  Points of all members of open slabs say which rows may have a link in a tile; the sets of those
-    rows only are sent there and verified, so pairs never leave a task."""
+    component.  The points of all members of open slabs say which rows may be linked; a tile lets out one row for
+    each of them.  Their sets meet by the components of that relation, in tiles again, and are verified there, so
+    pairs never leave a task and a set is sent once unless its component is large."""
     parts = chunks.width(docs.sparkSession)
     of = component.select(F.struct(F.col("node").alias("h1")).alias("k"), "component")
     sides = (
@@ -468,10 +484,10 @@ def _open_links(docs: DataFrame, stars: DataFrame, pairs: DataFrame, members: Da
         .select(F.struct("h1").alias("k"), "slab", F.least("t", "u").alias("t1"), F.greatest("t", "u").alias("t2"), (F.col("t") > F.col("u")).cast("int").alias("side"), "h1", "part", "n")
         .join(members.select(F.struct("h1").alias("k"), "point"), "k").drop("k")
     )
-    close = chunks.shape("slab long, t1 int, t2 int, rows longs, sides ints, parts longs")
+    two = chunks.shape("a long, b long")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = []
+        out = [np.empty((0, 2), np.int64)]
         for t in _by_tile(batches):
             part, side, h1 = (t.column(c).to_numpy() for c in ("part", "side", "h1"))
             if (part == part[0]).all():
@@ -479,16 +495,22 @@ def _open_links(docs: DataFrame, stars: DataFrame, pairs: DataFrame, members: Da
             packed = t.column("point").to_pylist()
             i, j = tree_pairs(folded(packed, min(map(len, packed))), t.column("n").to_numpy(), side, part, percent)
             if len(i):
-                rows = np.unique(np.concatenate([i, j]))
-                out.append((t.column("slab")[0].as_py(), t.column("t1")[0].as_py(), t.column("t2")[0].as_py(), h1[rows], side[rows], part[rows]))
-        cols = list(zip(*out, strict=True)) or [[]] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(cols, chunks.arrow_schema(close), strict=True)], schema=chunks.arrow_schema(close))
-
-    near = durable(member.repartition(parts, *_TILE_KEY).sortWithinPartitions(*_TILE_KEY).mapInArrow(search, close))
-    each = near.select(*_TILE_KEY, F.explode(F.arrays_zip("rows", "sides", "parts")).alias("e"))
-    sent = each.groupBy(F.col("e.rows").alias("h1")).agg(F.collect_list(F.struct(*_TILE_KEY, F.col("e.sides").alias("side"), F.col("e.parts").alias("part"))).alias("to"))
-    two = chunks.shape("a long, b long")
-
+                out.append(_stars_of(h1, i, j))
+        edges = np.unique(np.concatenate(out), axis=0)  # a pair of many slabs counts once
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in edges.T], schema=chunks.arrow_schema(two))
+
+    near = durable(member.repartition(parts, *_TILE_KEY).sortWithinPartitions(*_TILE_KEY).mapInArrow(search, two).distinct())
+    # rows that may be linked, by the component of that relation: each goes to its tiles with its set
+    maybe = durable(
+        connected_components(near).select(F.struct(F.col("node").alias("h1")).alias("k"), "node", F.col("component").alias("slab"))
+        .join(members.select(F.struct("h1").alias("k"), "n"), "k").join(of, "k", "left").select("slab", F.col("node").alias("h1"), "n", F.coalesce("component", "node").alias("part"))
+    )
+    tiles = F.ceil(F.greatest(F.count(F.lit(1)) / (2 * TILE), F.sum("n") / TILE_SHINGLES)).cast("int")
+    dealt = maybe.groupBy("slab").agg(tiles.alias("tiles")).select(F.struct("slab").alias("s"), "tiles")
+    sent = (
+        maybe.withColumn("s", F.struct("slab")).join(dealt, "s").withColumn("t", F.pmod(F.xxhash64("h1"), "tiles").cast("int"))
+        .select("h1", F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda u: F.struct("slab", F.least("t", u).alias("t1"), F.greatest("t", u).alias("t2"), (F.col("t") > u).cast("int").alias("side"), "part")).alias("to"))
+    )
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _by_tile(batches):
             order = np.unique(np.stack([t.column("h1").to_numpy(), t.column("side").to_numpy()], 1), axis=0, return_index=True)[1]  # repeated rows once
