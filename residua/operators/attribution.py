@@ -1,5 +1,5 @@
 """Feature attributions: closed form for linear models, path-dependent Shapley values for
-Spark ML tree ensembles."""
+boosted trees."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from residua.functions import expr
-from residua.operators.models import MLModel, RidgeModel
+from residua.operators.models import BoostedModel, RidgeModel
 
 
 def linear_contributions(df: DataFrame, model: RidgeModel, keep: list[str]) -> DataFrame:
@@ -31,30 +31,10 @@ def mean_abs(contributions: DataFrame, prefix: str = "shap_") -> DataFrame:
     return wide.select(F.explode(F.array(*[F.col(f"c{i}") for i in range(len(names))])).alias("s")).select("s.*")
 
 
-def tree_paths(model: MLModel) -> list[list[tuple[float, list[tuple[int, float, float, float]]]]]:
-    """Per tree: (leaf value x tree weight, [(feature, low, high, share)]).  ``share`` is the part
-    of the training rows that follows the path at the splits on that feature."""
-    fitted = model.fitted
-    trees = []
-    for tree, weight in zip(fitted.trees, fitted.treeWeights):
-        leaves: list = []
-
-        def walk(node, bounds: dict, weight=weight, leaves=leaves) -> None:
-            if node.numDescendants() == 0:
-                leaves.append((node.prediction() * weight, [(f, *b) for f, b in bounds.items()]))
-                return
-            split = node.split()
-            feature, cut = split.featureIndex(), split.threshold()
-            rows = node.impurityStats().count()
-            for child, side in ((node.leftChild(), "left"), (node.rightChild(), "right")):
-                lo, hi, share = bounds.get(feature, (-np.inf, np.inf, 1.0))
-                share *= child.impurityStats().count() / rows
-                b = (lo, min(hi, cut), share) if side == "left" else (max(lo, cut), hi, share)
-                walk(child, {**bounds, feature: b})
-
-        walk(tree._java_obj.rootNode(), {})
-        trees.append(leaves)
-    return trees
+def tree_paths(model: BoostedModel, which: int = 0) -> list[list[tuple[float, list[tuple[int, float, float, float]]]]]:
+    """Per tree of a class: (leaf value, [(feature, low, high, share)]).  ``share`` is the part of the training rows
+    (by their hessian) that follows the path at the splits on that feature."""
+    return model.forest.paths(which)
 
 
 def _shapley_weights(d: int) -> list[float]:
@@ -74,7 +54,7 @@ def shap_matrix(x: np.ndarray, trees: list) -> np.ndarray:
             d = len(path)
             if d == 0:
                 continue
-            ones = np.stack([((x[:, f] > lo) & (x[:, f] <= hi)).astype(float) for f, lo, hi, _ in path])
+            ones = np.stack([(((x[:, f] > lo) | (lo == -np.inf)) & (x[:, f] <= hi)).astype(float) for f, lo, hi, _ in path])
             shares = np.array([s for *_, s in path])
             weights = _shapley_weights(d)
             for i, (f, *_rest) in enumerate(path):
@@ -105,7 +85,7 @@ def interaction_matrix(x: np.ndarray, trees: list) -> np.ndarray:
             d = len(path)
             if d < 2:
                 continue
-            ones = np.stack([((x[:, f] > lo) & (x[:, f] <= hi)).astype(float) for f, lo, hi, _ in path])
+            ones = np.stack([(((x[:, f] > lo) | (lo == -np.inf)) & (x[:, f] <= hi)).astype(float) for f, lo, hi, _ in path])
             shares = np.array([s for *_, s in path])
             weights = [factorial(s) * factorial(d - s - 2) / (2 * factorial(d - 1)) for s in range(d - 1)]
             for i, j in combinations(range(d), 2):
@@ -124,17 +104,18 @@ def base_value(trees: list) -> float:
     return float(sum(v * np.prod([s for *_, s in path]) for leaves in trees for v, path in leaves))
 
 
-def tree_contributions(df: DataFrame, model: MLModel, key: str) -> DataFrame:
-    """Key, base value and one ``shap_`` column per feature.  The paths of the ensemble (a few
+def tree_contributions(df: DataFrame, model: BoostedModel, key: str) -> DataFrame:
+    """Key, base value and one ``shap_`` column per feature; they add up to the margin (for regression the
+    prediction).  Missing values follow the lowest ones.  The paths of the ensemble (a few
     thousand leaves) travel with the tasks; rows stay where they are."""
     trees, names = tree_paths(model), list(model.features)
-    base = base_value(trees)
+    base = base_value(trees) + float(model.forest.base[0])
     kind = df.schema[key].dataType.simpleString()
     schema = ", ".join([f"`{key}` {kind}", "base_value double", *[f"`shap_{n}` double" for n in names]])
 
     def score(batches):
         for pdf in batches:
-            values = shap_matrix(pdf[names].to_numpy(dtype=float), trees)
+            values = shap_matrix(pdf[names].fillna(-np.inf).to_numpy(dtype=float), trees)
             out = pd.DataFrame(values, columns=[f"shap_{n}" for n in names])
             out.insert(0, "base_value", base)
             out.insert(0, key, pdf[key].to_numpy())
@@ -143,7 +124,7 @@ def tree_contributions(df: DataFrame, model: MLModel, key: str) -> DataFrame:
     return df.select(key, *[expr.col(c).cast("double").alias(c) for c in names]).mapInPandas(score, schema)
 
 
-def tree_interactions(df: DataFrame, model: MLModel) -> DataFrame:
+def tree_interactions(df: DataFrame, model: BoostedModel) -> DataFrame:
     """Mean |interaction value| of each feature pair (feature_a, feature_b, strength)."""
     trees, names = tree_paths(model), list(model.features)
     p = len(names)
@@ -151,7 +132,7 @@ def tree_interactions(df: DataFrame, model: MLModel) -> DataFrame:
     def score(batches):
         total, n = np.zeros((p, p)), 0
         for pdf in batches:
-            total += interaction_matrix(pdf.to_numpy(dtype=float), trees)
+            total += interaction_matrix(pdf.fillna(-np.inf).to_numpy(dtype=float), trees)
             n += len(pdf)
         rows = [(names[i], names[j], total[i, j], n) for i in range(p) for j in range(i + 1, p)]
         yield pd.DataFrame(rows, columns=["feature_a", "feature_b", "s", "n"])

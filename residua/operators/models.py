@@ -12,17 +12,17 @@ from typing import Protocol
 
 import numpy as np
 from pyspark.ml import Estimator
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import RegressionEvaluator
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from residua.functions import expr
 from residua.functions.moments import Moments, grouped_moments, linear_column, ridge, total
+from residua.operators import boosting
+from residua.operators.boosting import Boosting, Forest
+from residua.operators.logistic import LogisticModel
 from residua.operators.cv import timeseries_bounds, train_before
 from residua.session import durable
 
@@ -168,11 +168,6 @@ def quadratic_error(m: Moments, features: list[str], target: str, intercept: flo
 
 # --- Spark ML models -------------------------------------------------------------------
 
-# Fixed default hyper-parameters of the boosted trees.
-BOOSTING = {"maxIter": 200, "maxDepth": 6, "stepSize": 0.1, "subsamplingRate": 0.8, "minInstancesPerNode": 3}
-COLUMN_SHARE = "0.8"
-
-
 @dataclass
 class MLModel:
     """A Spark ML estimator behind the ``ResidualModel`` shape."""
@@ -215,17 +210,46 @@ def logistic(c: float = 1.0) -> MLModel:
     return MLModel(LogisticRegression(elasticNetParam=0.0, standardization=False, maxIter=1000), probability=True, penalty_c=c)
 
 
-def _tree_params(params: dict) -> dict:
-    merged = {**BOOSTING, "featureSubsetStrategy": COLUMN_SHARE, **params}
-    return {**merged, "featureSubsetStrategy": str(merged["featureSubsetStrategy"])}
+@dataclass
+class BoostedModel:
+    """Boosted trees behind the ``ResidualModel`` shape.  Classes of a softmax model are 0, 1, ..."""
 
+    objective: str = "squared"
+    params: Boosting = field(default_factory=Boosting)
+    classes: int = 1
+    features: list[str] = field(default_factory=list)
+    forest: Forest | None = None
 
-def boosted_regressor(seed: int = 42, **params) -> MLModel:
-    return MLModel(GBTRegressor(seed=seed, **_tree_params(params)))
+    def _counted(self, df: DataFrame, target: str) -> int:
+        if self.objective != "softmax":
+            return 1
+        return self.classes if self.classes > 1 else int(df.agg(F.max(expr.col(target))).first()[0] or 0) + 1
 
+    def fit_all(self, df: DataFrame, features: list[str], target: str, seen: list[Column]) -> list["BoostedModel"]:
+        """A model for each condition, all grown together."""
+        classes = self._counted(df, target)
+        forests = boosting.fit_forests(df, features, target, seen, self.objective, classes, self.params)
+        return [BoostedModel(self.objective, self.params, classes, list(features), f) for f in forests]
 
-def boosted_classifier(seed: int = 42, **params) -> MLModel:
-    return MLModel(GBTClassifier(seed=seed, **_tree_params(params)), probability=True)
+    def fit(self, df: DataFrame, features: list[str], target: str) -> "BoostedModel":
+        self.features = list(features)
+        self.forest = self.fit_all(df, features, target, [F.lit(True)])[0].forest
+        return self
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        return boosting.scored(df, [self.forest], F.lit(0), self.objective)
+
+    def importance(self) -> dict[str, float]:
+        return self.forest.importance()
+
+
+def boosted_regressor(seed: int = 42, **params) -> BoostedModel:
+    return BoostedModel("squared", Boosting.of(seed=seed, **params))
+
+
+def boosted_classifier(seed: int = 42, classes: int = 2, **params) -> BoostedModel:
+    """P(y = 1) of a 0/1 target; a softmax over the classes 0, 1, ... for more than two (0: counted in the data)."""
+    return BoostedModel("logistic" if classes == 2 else "softmax", Boosting.of(seed=seed, **params), classes)
 
 
 def choose_model(kind: str, problem: str, seed: int = 42, **params):
@@ -234,14 +258,14 @@ def choose_model(kind: str, problem: str, seed: int = 42, **params):
         if problem == "regression":
             return RidgeModel(**params)
         if problem == "binary":
-            return logistic(**params)
+            return LogisticModel(**params)
         raise ValueError("the linear model does not support multiclass targets")
     if kind == "trees":
         if problem == "regression":
             return boosted_regressor(seed, **params)
         if problem == "binary":
             return boosted_classifier(seed, **params)
-        return MLModel(RandomForestClassifier(seed=seed, **params))
+        return boosted_classifier(seed, classes=0, **params)
     raise ValueError(f"unknown model {kind!r}")
 
 
@@ -251,10 +275,25 @@ def cross_fit(
     """K fits of any model; each fold is scored by the model that did not see it.  With ``ordered_rows``, the
     row count of time-ordered folds with ``pos``, a fold's model sees only rows that lie more than ``gap``
     rows before it."""
+    def training(fold: int) -> Column:
+        return (F.col("fold") != fold) & (F.col("fold") >= 0) if ordered_rows is None else train_before(fold, ordered_rows, k, gap)
+
+    if isinstance(plan := make(), BoostedModel):
+        fitted = plan.fit_all(df, features, target, [training(f) for f in range(k)])
+        table = boosting.scored(df.where("fold >= 0"), [m.forest for m in fitted], F.col("fold"), plan.objective)
+        residual = expr.col(target).cast("double") - F.col("prediction")
+        return table.withColumn("residual", residual), [(f, c, v) for f, m in enumerate(fitted) for c, v in m.importance().items()]
+    if isinstance(plan, LogisticModel):
+        fitted = plan.fit_all(df, features, target, [training(f) for f in range(k)])
+        prediction = F.lit(None).cast("double")
+        for f, m in enumerate(fitted):
+            prediction = F.when(F.col("fold") == f, m.column()).otherwise(prediction)
+        table = df.where("fold >= 0").withColumn("prediction", prediction)
+        residual = expr.col(target).cast("double") - F.col("prediction")
+        return table.withColumn("residual", residual), [(f, c, v) for f, m in enumerate(fitted) for c, v in m.importance().items()]
     parts, importances = None, []
     for fold in range(k):
-        seen = (F.col("fold") != fold) & (F.col("fold") >= 0) if ordered_rows is None else train_before(fold, ordered_rows, k, gap)
-        model = make().fit(df.where(seen), features, target)
+        model = make().fit(df.where(training(fold)), features, target)
         scored = model.predict(df.where(F.col("fold") == fold))
         parts = scored if parts is None else parts.unionByName(scored)
         importances += [(fold, f, v) for f, v in model.importance().items()]
@@ -263,10 +302,10 @@ def cross_fit(
 
 @dataclass
 class Stack:
-    """Meta-learner over base predictions."""
+    """Meta-learner over base predictions: ridge, or logistic for a binary target."""
 
     bases: list[str]
-    model: RidgeModel
+    model: RidgeModel | LogisticModel
 
     def weights(self) -> dict[str, float]:
         """Blend weights |b| / sum |b|, uniform when all are zero."""
@@ -281,9 +320,9 @@ class Stack:
         return df.withColumn("prediction", self.model.column())
 
 
-def stack_oof(tables: dict[str, DataFrame], key: str, target: str = "y", alpha: float = 1.0) -> tuple[DataFrame, Stack]:
-    """Cross-fitted ridge over the bases' out-of-fold predictions, joined on the row key.
-    Rows with a non-finite base stay without a prediction."""
+def stack_oof(tables: dict[str, DataFrame], key: str, target: str = "y", alpha: float = 1.0, problem: str = "regression", c: float = 1.0) -> tuple[DataFrame, Stack]:
+    """Cross-fitted ridge (for ``binary`` logistic, inverse penalty ``c``) over the bases' out-of-fold predictions,
+    joined on the row key.  Rows with a non-finite base stay without a prediction."""
     names = list(tables)
     joined = None
     for n in names:
@@ -293,20 +332,28 @@ def stack_oof(tables: dict[str, DataFrame], key: str, target: str = "y", alpha:
         else:
             joined = joined.join(t.select(key, expr.finite(F.col("prediction")).alias(n)), key)
     joined = durable(joined)
+    if problem == "binary":
+        k = int(joined.agg(F.max("fold")).first()[0]) + 1
+        conditions = [F.lit(True), *[(F.col("fold") != f) & (F.col("fold") >= 0) for f in range(k)]]
+        final, *by_fold = LogisticModel(c).fit_all(joined, names, target, conditions)
+        prediction = F.lit(None).cast("double")
+        for f, m in enumerate(by_fold):
+            prediction = F.when(F.col("fold") == f, m.column()).otherwise(prediction)
+        scored = joined.withColumn("prediction", prediction)
+        return scored.withColumn("residual", F.col(target) - F.col("prediction")), Stack(names, final)
     folds = fold_moments(joined, names, target)
     result = ridge_oof(joined, names, target, alpha, folds)
     final = RidgeModel(alpha).from_moments(total(list(folds.values())), names, target)
     return result.table, Stack(names, final)
 
 
-# Search spaces of the sweep: (low, high, log scale); fixed values.  Spark's trees have no counterpart of
-# the L1 and L2 leaf penalties.
+# Search spaces of the sweep: (low, high, log scale); fixed values.
 SPACES = {
     "linear": {"alpha": (1e-3, 100.0, True)},
     "logistic": {"c": (1e-3, 100.0, True)},
     "trees": {
-        "maxDepth": (3, 10, False), "stepSize": (0.01, 0.3, True), "subsamplingRate": (0.6, 1.0, False),
-        "featureSubsetStrategy": (0.6, 1.0, False), "minInstancesPerNode": (1, 20, False), "minInfoGain": (0.0, 5.0, False),
+        "depth": (3, 10, False), "rate": (0.01, 0.3, True), "rows": (0.6, 1.0, False), "columns": (0.6, 1.0, False),
+        "min_weight": (1, 20, False), "min_gain": (0.0, 5.0, False), "l1": (1e-8, 10.0, True), "l2": (1e-8, 10.0, True),
     },
 }
 
@@ -325,23 +372,20 @@ def draw_trials(space: dict[str, tuple], trials: int, seed: int = 42, pinned: di
     return out
 
 
-def tune_trees(df: DataFrame, features: list[str], target: str, grid: dict[str, list], folds: int, parallelism: int = 4):
-    """Grid search of the boosted regressor on the table's own folds."""
-    model = boosted_regressor()
-    model.features = list(features)
-    data = model.assemble(df).withColumn("__label", expr.col(target).cast("double"))
-    est = model.estimator.copy({model.estimator.featuresCol: "__features", model.estimator.labelCol: "__label"})
-    builder = ParamGridBuilder()
-    for n, values in grid.items():
-        builder = builder.addGrid(est.getParam(n), values)
-    search = CrossValidator(
-        estimator=est, estimatorParamMaps=builder.build(), numFolds=folds, foldCol="fold", parallelism=parallelism,
-        evaluator=RegressionEvaluator(labelCol="__label", metricName="r2"),
-    ).fit(data)
-    names = list(grid)
-    rows = [
-        (*[float(v) for v in combo], float(score))
-        for combo, score in zip(product(*grid.values()), search.avgMetrics)
-    ]
+def tune_trees(df: DataFrame, features: list[str], target: str, grid: dict[str, list], folds: int):
+    """Grid search of the boosted regressor on the table's own folds: rows (values, mean R-squared), names, best."""
+    rows = []
+    for combo in product(*grid.values()):
+        model = boosted_regressor(**dict(zip(grid, combo)))
+        table, _ = cross_fit(df, lambda model=model: model, features, target, folds)
+        rows.append((*[float(v) for v in combo], mean_r2(table, target)))
     best = max(range(len(rows)), key=lambda i: rows[i][-1])
-    return rows, names, best
+    return rows, list(grid), best
+
+
+def mean_r2(table: DataFrame, target: str) -> float:
+    """Mean over the folds of R-squared of out-of-fold predictions; minus infinity without any."""
+    from residua.operators.cv import fold_scores
+
+    found = fold_scores(table, target).agg(F.avg("r2")).first()[0]
+    return float("-inf") if found is None else float(found)

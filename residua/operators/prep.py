@@ -11,6 +11,7 @@ from residua.functions import derive, expr
 from residua.functions.hashing import uniform
 from residua.functions.quantiles import exact_quantiles
 from residua.operators.profile import kind_of
+from residua.session import durable
 
 SKIP_TYPES = ("text", "id", "datetime")
 IX_PREFIX = "__ix__"
@@ -98,22 +99,43 @@ def fit_scales(df: DataFrame, columns: dict[str, Column], kind: str = "standard"
     return {c: Scale(row[f"a{i}"] or 0.0, row[f"b{i}"] or 1.0) for i, c in enumerate(columns)}
 
 
-def levels(df: DataFrame, columns: list[str], max_levels: int = MAX_LEVELS) -> dict[str, list[str]]:
-    """Sorted distinct values per categorical column; refuses a column that is too wide to
-    become one column per value."""
+def _distinct_levels(df: DataFrame, columns: list[str]) -> DataFrame:
     entries = [F.struct(F.lit(c).alias("c"), expr.col(c).cast("string").alias("v")) for c in columns]
-    distinct = (
-        df.select(F.explode(F.filter(F.array(*entries), lambda s: s["v"].isNotNull())).alias("e"))
-        .select("e.*").distinct()
-    )
-    sizes = {r["c"]: r["count"] for r in distinct.groupBy("c").count().collect()}
-    wide = [c for c, n in sizes.items() if n > max_levels]
+    exploded = df.select(F.explode(F.filter(F.array(*entries), lambda s: s["v"].isNotNull())).alias("e"))
+    return exploded.select("e.*").distinct()
+
+
+def narrow_levels(df: DataFrame, columns: list[str], max_levels: int | None = None) -> tuple[dict[str, list[str]], list[str]]:
+    """Sorted distinct values of the categorical columns with ``max_levels`` values at most, and the wider columns."""
+    most = MAX_LEVELS if max_levels is None else max_levels
+    distinct = durable(_distinct_levels(df, columns))
+    wide = {r["c"] for r in distinct.groupBy("c").count().where(F.col("count") > most).collect()}
+    out: dict[str, list[str]] = {c: [] for c in columns if c not in wide}
+    for r in distinct.where(~F.col("c").isin(sorted(wide))).collect() if wide else distinct.collect():
+        out[r["c"]].append(r["v"])
+    return {c: sorted(v) for c, v in out.items()}, [c for c in columns if c in wide]
+
+
+def levels(df: DataFrame, columns: list[str], max_levels: int | None = None) -> dict[str, list[str]]:
+    """Sorted distinct values per categorical column; refuses a column that is too wide to become one column per
+    value (see ``narrow_levels`` and ``sparse`` for those)."""
+    found, wide = narrow_levels(df, columns, max_levels)
     if wide:
         raise ValueError(f"too many values to one-hot encode: {wide}")
-    out: dict[str, list[str]] = {c: [] for c in columns}
-    for r in distinct.collect():
-        out[r["c"]].append(r["v"])
-    return {c: sorted(v) for c, v in out.items()}
+    return found
+
+
+def with_frequencies(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Adds ``<column>_frequency``, the share of the table's rows that hold the row's value: a number for models
+    that cannot take a column of very many values."""
+    n = df.count()
+    out = df
+    for c in columns:
+        counts = df.groupBy(expr.col(c).cast("string").alias("v")).agg(F.count(F.lit(1)).alias("__n")).where("v IS NOT NULL")
+        keyed = out.withColumn("__k", F.struct(expr.col(c).cast("string").alias("v")))
+        joined = keyed.join(counts.select(F.struct("v").alias("__k"), "__n"), "__k", "left")
+        out = joined.withColumn(f"{c}_frequency", F.coalesce(F.col("__n") / F.lit(max(n, 1)), F.lit(0.0))).drop("__k", "__n")
+    return out
 
 
 def one_hot(column: str, values: list[str]) -> dict[str, Column]:
@@ -126,7 +148,8 @@ def one_hot(column: str, values: list[str]) -> dict[str, Column]:
 
 @dataclass
 class Preprocessor:
-    """Median-impute and scale numeric columns, mode-impute and one-hot categorical ones."""
+    """Median-impute and scale numeric columns, mode-impute and one-hot categorical ones.  Categorical columns with
+    very many values stay one (imputed) column of text each, listed in ``wide``."""
 
     scaler: str = "standard"
     numeric: list[str] = field(default_factory=list)
@@ -135,6 +158,7 @@ class Preprocessor:
     modes: dict[str, str | None] = field(default_factory=dict)
     scales: dict[str, Scale] = field(default_factory=dict)
     levels: dict[str, list[str]] = field(default_factory=dict)
+    wide: list[str] = field(default_factory=list)  # categorical columns with more than MAX_LEVELS values
 
     def fit(self, df: DataFrame, features: list[str], types: dict[str, str] | None = None) -> "Preprocessor":
         """Decide the role of each feature (an explicit type wins over the storage type) and
@@ -159,7 +183,7 @@ class Preprocessor:
             self.scales = fit_scales(df, {c: self._filled(c) for c in self.numeric}, self.scaler)
         if self.categorical:
             self.modes = modes(df, self.categorical)
-            self.levels = levels(df, self.categorical)
+            self.levels, self.wide = narrow_levels(df, self.categorical)
         return self
 
     def _filled(self, c: str) -> Column:
@@ -170,6 +194,8 @@ class Preprocessor:
         out = {c: self.scales[c].apply(self._filled(c)) for c in self.numeric}
         for c in self.categorical:
             filled = F.coalesce(expr.col(c).cast("string"), F.lit(self.modes[c]))
+            if c in self.wide:
+                continue
             for v in self.levels[c][1:]:
                 out[f"{c}_{v}"] = F.coalesce((filled == F.lit(v)).cast("double"), F.lit(0.0))
         return out
@@ -178,7 +204,8 @@ class Preprocessor:
         missing = [c for c in [*self.numeric, *self.categorical] if c not in df.columns]
         if missing:
             raise ValueError(f"columns missing from the table: {missing}")
-        return df.select(*keep, *[c.alias(n) for n, c in self.columns().items()])
+        filled = [F.coalesce(expr.col(c).cast("string"), F.lit(self.modes[c])).alias(c) for c in self.wide]
+        return df.select(*keep, *filled, *[c.alias(n) for n, c in self.columns().items()])
 
     def inverse(self, column: str, c: Column) -> Column:
         """Scaled values of one numeric column back in original units."""

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from residua.functions import expr
-from residua.operators import prep, profile
-from residua.plans.catalog.registry import ORDER_FRAME, Tables, query, uniform_sql
+from residua.operators import cv, prep, profile, sparse
+from residua.plans.catalog.registry import ORDER_FRAME, Tables, fold_sql, query, uniform_sql
 
 
 @query("feature_target", "D1", "o_orderkey o_totalprice c_acctbal c_mktsegment", f"SELECT o_orderkey, o_totalprice, c_acctbal, c_mktsegment FROM {ORDER_FRAME}")
@@ -97,6 +97,23 @@ def inverse_scale(t: Tables) -> DataFrame:
     return scaled.select("o_orderkey", model.inverse("price", F.col("price")).alias("price"))
 
 
+WIDE_ROWS = f"(SELECT o_orderkey, o_custkey::VARCHAR AS c, {fold_sql('o_orderkey')} AS fold, o_totalprice::DOUBLE AS y FROM orders)"
+
+
+@query(
+    "wide_ridge", "D7 E10", "o_orderkey fold prediction:0",
+    f"""WITH f AS {WIDE_ROWS}, s AS (SELECT k.fold AS k, c, count(*) AS n, sum(y) AS sy FROM (SELECT DISTINCT fold FROM f) k JOIN f ON f.fold <> k.fold GROUP BY 1, 2),
+        z AS (SELECT min(c) AS c0 FROM f),
+        b AS (SELECT k, sum(CASE WHEN c = c0 THEN sy ELSE sy / (n + 1) END) / sum(CASE WHEN c = c0 THEN n ELSE n / (n + 1.0) END) AS b FROM s, z GROUP BY k)
+        SELECT o_orderkey, fold, b + CASE WHEN f.c = c0 OR n IS NULL THEN 0 ELSE (sy - n * b) / (n + 1) END AS prediction
+        FROM f JOIN b ON b.k = fold CROSS JOIN z LEFT JOIN s ON s.k = fold AND s.c = f.c""",
+)
+def wide_ridge(t: Tables) -> DataFrame:
+    """Cross-fitted ridge with a coefficient for every customer."""
+    df = cv.kfold(t.orders, "o_orderkey").select("o_orderkey", "fold", F.col("o_custkey").cast("string").alias("customer"), F.col("o_totalprice").cast("double").alias("y"))
+    return sparse.sparse_oof(df, [], ["customer"], "y", 5)[0]
+
+
 @query(
     "numeric_fallback", "D10", "o_orderkey price:4 o_custkey",
     f"SELECT o_orderkey, coalesce(price, (SELECT quantile_cont(price, 0.5) FROM {HOLEY})) AS price, o_custkey::DOUBLE AS o_custkey FROM {HOLEY}",

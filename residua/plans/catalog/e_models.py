@@ -9,6 +9,7 @@ from residua.operators import attribution, cv, models, regime
 from residua.plans.catalog.a_sources import RIDGE_OOF, ridge_records
 from residua.plans.catalog.b_profile import LABEL_DOCS, label_docs
 from residua.plans.catalog.registry import ORDER_FRAME, Tables, fold_sql, query, uniform_sql
+from residua.session import durable
 
 
 def folded_orders(t: Tables) -> DataFrame:
@@ -219,21 +220,58 @@ def tree_frame(t: Tables) -> DataFrame:
     return t.order_frame().select("o_orderkey", x1.alias("x1"), x2.alias("x2"), F.col("o_custkey").cast("double").alias("x3"), y.alias("y"))
 
 
-SMALL_TREES = {"maxIter": 5, "maxDepth": 3, "subsamplingRate": 1.0}
+FEATURES = ["x1", "x2", "x3"]
+FOLD_ROWS = f"SELECT {fold_sql('o_orderkey')} AS fold, count(*) AS n, true AS good FROM {ORDER_FRAME} GROUP BY 1"
 
 
-@query("boosted_trees_oof", "E12", "fold n r2:4")
+@query("boosted_trees_oof", "E12", "fold n good", FOLD_ROWS)
 def boosted_trees_oof(t: Tables) -> DataFrame:
-    base = cv.kfold(tree_frame(t), "o_orderkey", 2)
-    table, _ = models.cross_fit(base, lambda: models.boosted_regressor(**SMALL_TREES), ["x1", "x2", "x3"], "y", 2)
-    return cv.fold_scores(table)
+    """Five folds of 200 trees of depth 6; the planted structure is found in each."""
+    table, _ = models.cross_fit(cv.kfold(tree_frame(t), "o_orderkey", 5), models.boosted_regressor, FEATURES, "y", 5)
+    return cv.fold_scores(table).select("fold", "n", (F.col("r2") > 0.9).alias("good"))
 
 
-@query("boosted_classifier_oof", "E13", "fold n auc:4")
+@query("boosted_classifier_oof", "E13", "fold n good", FOLD_ROWS)
 def boosted_classifier_oof(t: Tables) -> DataFrame:
-    base = cv.kfold(tree_frame(t).withColumn("y", (F.col("y") > 12).cast("int")), "o_orderkey", 2)
-    table, _ = models.cross_fit(base, lambda: models.choose_model("trees", "binary", **SMALL_TREES), ["x1", "x2", "x3"], "y", 2)
-    return cv.fold_auc(table)
+    base = cv.kfold(tree_frame(t).withColumn("y", (F.col("y") > 12).cast("int")), "o_orderkey", 5)
+    table, _ = models.cross_fit(base, lambda: models.choose_model("trees", "binary"), FEATURES, "y", 5)
+    return cv.fold_auc(table).select("fold", "n", (F.col("auc") > 0.95).alias("good"))
+
+
+@query("boosted_multiclass_oof", "E13", "fold n good", FOLD_ROWS)
+def boosted_multiclass_oof(t: Tables) -> DataFrame:
+    """Three classes by softmax; probabilities add up to one."""
+    level = F.when(F.col("y") > 18, 2).when(F.col("y") > 8, 1).otherwise(0)
+    base = cv.kfold(tree_frame(t).withColumn("y", level), "o_orderkey", 5)
+    table, _ = models.cross_fit(base, lambda: models.choose_model("trees", "multiclass"), FEATURES, "y", 5)
+    total = F.aggregate("probabilities", F.lit(0.0), lambda s, p: s + p)
+    right = F.when((F.col("prediction") == F.col("y")) & (F.abs(total - 1) < 1e-9), 1.0).otherwise(0.0)
+    return table.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), (F.avg(right) > 0.9).alias("good"))
+
+
+@query(
+    "logistic_balance", "E11", "fold n good",
+    f"WITH b AS (SELECT {fold_sql('o_orderkey')} AS fold FROM {ORDER_FRAME}) SELECT fold, (SELECT count(*) FROM b) - count(*) AS n, true AS good FROM b GROUP BY fold",
+)
+def logistic_balance(t: Tables) -> DataFrame:
+    """The intercept is free, so on the rows a fold's model is fitted on its probabilities add up to the ones."""
+    base = durable(cv.kfold(tree_frame(t).withColumn("y", (F.col("y") > 12).cast("int")), "o_orderkey", 5))
+    fitted = models.LogisticModel().fit_all(base, FEATURES, "y", [F.col("fold") != f for f in range(5)])
+    out = None
+    for f, m in enumerate(fitted):
+        part = base.where(F.col("fold") != f).agg(F.lit(f).alias("fold"), F.count(F.lit(1)).alias("n"), (F.abs(F.sum(m.column() - F.col("y"))) < 1e-4).alias("good"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("stacked_binary", "E19", "fold n good", FOLD_ROWS)
+def stacked_binary(t: Tables) -> DataFrame:
+    """A logistic meta-model over two logistic bases, better than the worse of them."""
+    base = durable(cv.kfold(tree_frame(t).withColumn("y", (F.col("y") > 12).cast("int")), "o_orderkey", 5))
+    tables = {c: models.cross_fit(base, models.LogisticModel, [c], "y", 5)[0] for c in ("x1", "x2")}
+    table, _ = models.stack_oof(tables, "o_orderkey", problem="binary")
+    weak = cv.fold_auc(tables["x2"]).select("fold", F.col("auc").alias("weak"))
+    return cv.fold_auc(table).join(F.broadcast(weak), "fold").select("fold", "n", (F.col("auc") > F.col("weak")).alias("good"))
 
 
 @query(
@@ -265,10 +303,10 @@ def alpha_sweep(t: Tables) -> DataFrame:
     return t.spark.createDataFrame(rows, "alpha double, mse double")
 
 
-@query("tree_grid_search", "E17", "maxDepth maxIter r2:4 best")
+@query("tree_grid_search", "E17", "depth trees r2:4 best")
 def tree_grid_search(t: Tables) -> DataFrame:
     base = cv.kfold(tree_frame(t), "o_orderkey", 2)
-    rows, names, best = models.tune_trees(base, ["x1", "x2", "x3"], "y", {"maxDepth": [2, 3], "maxIter": [3]}, 2)
+    rows, names, best = models.tune_trees(base, FEATURES, "y", {"depth": [2, 3], "trees": [3, 20]}, 2)
     rows = [(*r, i == best) for i, r in enumerate(rows)]
     return t.spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names) + ", r2 double, best boolean")
 
@@ -352,25 +390,33 @@ def mean_abs_contribution(t: Tables) -> DataFrame:
     return attribution.mean_abs(linear_contributions(t))
 
 
-def _small_forest(df: DataFrame) -> models.MLModel:
-    return models.boosted_regressor(**SMALL_TREES).fit(df, ["x1", "x2", "x3"], "y")
-
-
 @query("tree_contributions", "E23 E24", "feature importance:4 largest_gap:6")
 def tree_contributions(t: Tables) -> DataFrame:
     df = tree_frame(t)
-    model = _small_forest(df)
+    model = models.boosted_regressor().fit(df, FEATURES, "y")
     parts = attribution.tree_contributions(df, model, "o_orderkey")
-    scored = model.predict(df).select("o_orderkey", "prediction")
-    total = F.col("base_value") + F.col("shap_x1") + F.col("shap_x2") + F.col("shap_x3")
-    gap = parts.join(scored, "o_orderkey").agg(F.max(F.abs(total - F.col("prediction"))).alias("largest_gap"))
+    gap = _gaps(df, parts, model).agg(F.max("gap").alias("largest_gap"))
     return attribution.mean_abs(parts).join(F.broadcast(gap))
 
 
+def _gaps(df: DataFrame, parts: DataFrame, model: models.BoostedModel) -> DataFrame:
+    total = F.col("base_value") + F.col("shap_x1") + F.col("shap_x2") + F.col("shap_x3")
+    return parts.join(model.predict(df).select("o_orderkey", "prediction"), "o_orderkey").select(F.abs(total - F.col("prediction")).alias("gap"))
+
+
+@query("tree_contribution_sums", "E23", "rows exact", f"SELECT count(*) AS rows, count(*) AS exact FROM {ORDER_FRAME}")
+def tree_contribution_sums(t: Tables) -> DataFrame:
+    """For every row the contributions and the base value add up to the prediction."""
+    df = tree_frame(t)
+    model = models.boosted_regressor(trees=20).fit(df, FEATURES, "y")
+    gaps = _gaps(df, attribution.tree_contributions(df, model, "o_orderkey"), model)
+    return gaps.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("gap") < 1e-6).alias("exact"))
+
+
 @query("tree_interactions", "E23 E25", "feature_a feature_b strength:6")
 def tree_interactions(t: Tables) -> DataFrame:
     df = tree_frame(t)
-    return regime.rank_interactions(attribution.tree_interactions(df, _small_forest(df)), 10)
+    return regime.rank_interactions(attribution.tree_interactions(df, models.boosted_regressor().fit(df, FEATURES, "y")), 10)
 
 
 @query(

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from residua.config import Options
 from residua.functions import derive, expr
-from residua.operators import bootstrap, causal, cluster, cv, models, patterns, prep, regime, rules, scan, selection, temporal
+from residua.operators import bootstrap, causal, cluster, cv, models, patterns, prep, regime, rules, scan, selection, sparse, temporal
 from residua.operators.profile import column_facts, problem_type, target_facts
 from residua.session import durable
 from residua.sources import sinks
@@ -84,26 +84,32 @@ def _prepare(df: DataFrame, o: Options) -> tuple[list[str], list[str], str]:
 
 
 def cross_fitted(train: DataFrame, features: list[str], o: Options, problem: str) -> dict[str, DataFrame]:
-    """Out-of-fold tables (key, fold, y, prediction, residual) per model."""
+    """Out-of-fold tables (key, fold, y, prediction, residual) per model.  Columns of very many values have a
+    coefficient per value in the ridge model; other models and time-ordered runs see how frequent a value is."""
     encoder = prep.Preprocessor().fit(train, features)
     strategy = cv.resolve_strategy(train, o.target, o.cv_strategy, o.time_column, o.group_column)
     folded = cv.assign_folds(train, strategy, o.key, o.target, o.cv_folds, o.seed, o.time_column, o.group_column)
     ordered = strategy == "timeseries"
     keep = [o.key, "fold", *(["pos"] if ordered else [])]
     matrix = durable(encoder.transform(folded.withColumn("y", expr.col(o.target).cast("double")), [*keep, "y"]))
-    names = [c for c in matrix.columns if c not in (*keep, "y")]
+    names = [c for c in matrix.columns if c not in (*keep, "y", *encoder.wide)]
+    if encoder.wide:
+        matrix = durable(prep.with_frequencies(matrix, encoder.wide))
+    numbers = [*names, *[f"{c}_frequency" for c in encoder.wide]]
     out = {}
     for kind in o.models:
-        if kind == "linear" and problem == "regression":
+        if kind == "linear" and problem == "regression" and encoder.wide and not ordered:
+            table, _ = sparse.sparse_oof(matrix, names, encoder.wide, "y", o.cv_folds, o.ridge_alpha)
+        elif kind == "linear" and problem == "regression":
             if ordered:
                 n = matrix.count()
-                got = models.ridge_timeseries_oof(matrix, names, "y", n, o.cv_folds, o.cv_gap, o.ridge_alpha)
+                got = models.ridge_timeseries_oof(matrix, numbers, "y", n, o.cv_folds, o.cv_gap, o.ridge_alpha)
             else:
                 got = models.ridge_oof(matrix, names, "y", o.ridge_alpha)
             table = got.table
         else:
             table, _ = models.cross_fit(
-                matrix, lambda kind=kind: models.choose_model(kind, problem, o.seed), names, "y", o.cv_folds,
+                matrix, lambda kind=kind: models.choose_model(kind, problem, **({} if kind == "linear" else {"seed": o.seed})), numbers, "y", o.cv_folds,
                 matrix.count() if ordered else None, o.cv_gap,
             )
             if problem == "binary":
