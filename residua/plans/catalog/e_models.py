@@ -311,6 +311,18 @@ def tree_grid_search(t: Tables) -> DataFrame:
     return t.spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names) + ", r2 double, best boolean")
 
 
+@query("ridge_search", "E17", "trial:int rising inside", "SELECT unnest(range(0, 30))::INT AS trial, true AS rising, true AS inside")
+def ridge_search(t: Tables) -> DataFrame:
+    """Thirty trials of the sequential search over the ridge penalty: the best so far never falls."""
+    from residua.operators import search
+
+    found = search.tune(durable(folded_orders(t).select("fold", "c_acctbal", "y")), ["c_acctbal"], "y", "linear", 5)
+    low, high, _ = models.SPACES["linear"]["alpha"]
+    before = [float("-inf"), *[x.best for x in found.trials]]
+    rows = [(x.number, bool(x.best >= b), bool(low <= x.params["alpha"] <= high)) for x, b in zip(found.trials, before)]
+    return t.spark.createDataFrame(rows, "trial int, rising boolean, inside boolean")
+
+
 def base_tables(t: Tables) -> dict[str, DataFrame]:
     base = folded_orders(t)
     return {

@@ -417,6 +417,18 @@ def forward_selection(t: Tables) -> DataFrame:
     return selection.selection_table(t.spark, steps)
 
 
+@query("binary_selection", "H27", "name selection_order better", "SELECT 'urgent' AS name, 1 AS selection_order, true AS better")
+def binary_selection(t: Tables) -> DataFrame:
+    """The first rule chosen for a 0/1 target, by logistic models and exact AUC: the one that was planted."""
+    from residua.operators import models
+
+    df = planted_orders(t).withColumn("late", (F.col("y") > 350_000).cast("int"))
+    split = prep.with_holdout(df, "o_orderkey", 0.2)
+    named = [Rule("urgent" if i == 0 else f"other{i}", r.kind, r.params) for i, r in enumerate(BOOT_RULES)]
+    steps = selection.model_selection(split.where(~F.col("is_holdout")), split.where("is_holdout"), ["bal"], named, "late", models.LogisticModel, binary=True)
+    return selection.selection_table(t.spark, steps[:1]).withColumn("better", F.col("augmented") > F.col("baseline"))
+
+
 @query(
     "single_rule_gain", "H27", "baseline:6 augmented:6",
     f"""WITH f AS (SELECT o_totalprice + CASE WHEN o_orderpriority = '1-URGENT' THEN 300000 ELSE 0 END AS y, (o_orderpriority = '1-URGENT')::INT::DOUBLE AS z, c_acctbal AS x, {uniform_sql('o_orderkey', 'holdout42')} < 0.2 AS h FROM {ORDER_FRAME}),

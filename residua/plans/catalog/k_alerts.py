@@ -101,11 +101,24 @@ def sustained_condition(t: Tables) -> DataFrame:
     return _text(alerts.sustained(hourly_flags(t.events), 3600, 7200, ["event_type"]), "run_start")
 
 
-@query("sustained_stream", "K6", "event_type run_start windows:int")
+@query("sustained_stream", "K6", "event_type run_start windows:int", f"SELECT event_type, run_start, 2 AS windows FROM {SUSTAINED_SQL}")
 def sustained_stream(t: Tables) -> DataFrame:
-    """The stateful twin: a closed-window stream of flags, then one open run per group."""
-    flags = drain(t, hourly_flags(alerts.watermarked(event_stream(t))))
+    """The stateful twin: a closed-window stream of flags, then one open run per group.  The flags come in files
+    dealt by a hash, several micro-batches of them; a last flag far ahead lets the watermark pass all others."""
+    flags = hourly_flags(t.events)
+    end = flags.agg(F.max("window_start").alias("m")).select(F.lit("end").alias("event_type"), (F.col("m") + F.expr("INTERVAL 60 DAYS")).alias("window_start"), F.lit(False).alias("firing"))
     root = t.scratch()
-    flags.coalesce(1).sortWithinPartitions("window_start").write.parquet(f"{root}/flags")
-    stream = scoring.read_stream(t.spark, f"{root}/flags", flags.schema)
-    return _text(drain(t, alerts.sustained_stream(stream, 3600, 7200, "event_type")), "run_start")
+    flags.select("event_type", "window_start", "firing").repartition(6, F.xxhash64("window_start", "event_type")).write.parquet(f"{root}/flags")
+    end.write.mode("append").parquet(f"{root}/flags")
+    stream = scoring.read_stream(t.spark, f"{root}/flags", end.schema, files_per_batch=3)
+    return _text(drain(t, alerts.sustained_stream(stream, 3600, 7200, "event_type", delay="45 days")), "run_start")
+
+
+@query(
+    "failure_ratio_closed", "K2", "window_start total failed",
+    f"""SELECT window_start, total, failed FROM {FAIL_SQL} WHERE strptime(window_start, '%Y-%m-%d %H:%M:%S') + INTERVAL '15 minutes' <= (SELECT max(ts) FROM events) - INTERVAL '10 minutes'""",
+)
+def failure_ratio_closed(t: Tables) -> DataFrame:
+    """What a stream has written once it has read all: the windows that its watermark has passed."""
+    stream = alerts.failure_ratio(alerts.watermarked(event_stream(t)), F.col("event_type") == "error")
+    return _text(drain(t, stream))

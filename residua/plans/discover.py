@@ -272,7 +272,13 @@ def discover(df: DataFrame, o: Options) -> Result:
     }
     held = {r["name"]: r["holdout_validated"] for r in bootstrap.holdout_check(holdout, compiled).collect()}
     good = [r for r in compiled if survived[r.name]["status"] == "validated"]
-    steps = selection.forward_selection(train, holdout, numeric, good, o.target, o.ridge_alpha) if good and numeric and problem == "regression" else []
+    steps: list[dict] = []
+    if good and numeric and problem == "regression":
+        steps = selection.forward_selection(train, holdout, numeric, good, o.target, o.ridge_alpha)
+    elif good and numeric and problem == "binary":
+        filled = prep.medians(train, numeric)
+        plain = [df.na.fill({c: v for c, v in filled.items() if v is not None}) for df in (train, holdout)]
+        steps = selection.model_selection(*plain, numeric, good, o.target, models.LogisticModel, binary=True)
     gain = {s["name"]: s["improvement_pct"] for s in steps}
     rows = []
     for r in compiled:

@@ -77,38 +77,48 @@ def sustained(flags: DataFrame, step_seconds: int, min_seconds: int, by: list[st
     )
 
 
-SUSTAINED_STATE = "run_start long, last long, windows int"
+SUSTAINED_STATE = "run_start long, last long, windows int, times array<long>, flags array<boolean>"
 
 
-def sustained_stream(flags: DataFrame, step_seconds: int, min_seconds: int, by: str, start: str = "window_start", firing: str = "firing") -> DataFrame:
-    """Streaming twin of ``sustained``: emits a row when a run reaches ``min_seconds``.  State
-    per group is one open run; input is the windowed aggregate, a row per group and step."""
+def sustained_stream(flags: DataFrame, step_seconds: int, min_seconds: int, by: str, start: str = "window_start", firing: str = "firing", delay: str = "0 seconds") -> DataFrame:
+    """Streaming twin of ``sustained``: emits a row when a run reaches ``min_seconds``.
+
+    Flags (one per group and step) may come in any order and in any number of micro-batches, late by ``delay`` at
+    most.  State per group is one open run and the flags that
+    the watermark has not passed yet; an event-time timer takes them up in order of time once it has.  A
+    repeated flag counts once, the last one seen.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState):
-        run_start, last, windows = state.get if state.exists else (0, -1, 0)
-        rows = pd.concat(list(batches)).sort_values("t")
+        run_start, last, windows, times, on = state.get if state.exists else (0, -1, 0, [], [])
+        open_flags = dict(zip(times, on))
+        for rows in batches:
+            open_flags.update(zip(rows["t"].tolist(), rows["on"].tolist()))
+        passed = state.getCurrentWatermarkMs()
         out = []
-        for t, on in zip(rows["t"], rows["on"]):
-            if not on:
+        for t in sorted(t for t in open_flags if t * 1000 < passed):
+            if not open_flags.pop(t):
                 run_start, last, windows = 0, -1, 0
                 continue
             if windows and t - last == step_seconds:
                 windows += 1
             else:
-                run_start, windows = int(t), 1
-            last = int(t)
+                run_start, windows = t, 1
+            last = t
             seconds = last - run_start + step_seconds
             if seconds >= min_seconds and seconds - step_seconds < min_seconds:
                 out.append((key[0], pd.Timestamp(run_start, unit="s"), windows, seconds))
-        state.update((int(run_start), int(last), int(windows)))
+        waiting = sorted(open_flags)
+        state.update((int(run_start), int(last), int(windows), [int(t) for t in waiting], [bool(open_flags[t]) for t in waiting]))
+        if waiting:
+            state.setTimeoutTimestamp(max(passed, waiting[0] * 1000) + 1)
         if out:
             yield pd.DataFrame(out, columns=[by, "run_start", "windows", "seconds"])
 
-    rows = flags.select(
-        by, F.unix_timestamp(F.col(start).cast("timestamp")).alias("t"), F.col(firing).alias("on")
-    )
+    timed = flags.withColumn("__start", F.col(start).cast("timestamp")).withWatermark("__start", delay)
+    rows = timed.select(by, "__start", F.unix_timestamp("__start").alias("t"), F.col(firing).alias("on"))
     kind = flags.schema[by].dataType.simpleString()
     return rows.groupBy(by).applyInPandasWithState(
         step, f"{by} {kind}, run_start timestamp, windows int, seconds long", SUSTAINED_STATE, "append",
-        GroupStateTimeout.NoTimeout,
+        GroupStateTimeout.EventTimeTimeout,
     )
