@@ -28,6 +28,7 @@ SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 BROADCAST_TOKENS = 8_000_000
 SLICE = 1 << 19  # bytes of text handled at once
+RECENT, SEEN = 150_000, 1_000_000  # hashes a task remembers: merged in steps, forgotten above the second
 
 
 @dataclass(frozen=True)
@@ -112,23 +113,42 @@ def pre_tokens(texts: pa.Array, letters_apart: bool = True) -> Words:
     return Words(out, starts, ends, np.searchsorted(starts, new), hash_spans(out, starts, ends))
 
 
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are among sorted known ones."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
+def spelled(w: Words, at: np.ndarray) -> pa.Array:
+    """The pre-tokens numbered ``at`` as strings, spaces as ▁, cut from the bytes without an object for each."""
+    sizes = w.ends[at] - w.starts[at]
+    letters = w.data[gather(w.starts[at], sizes)]
+    wide = np.where(letters == 32, 3, 1)
+    out = np.repeat(letters, wide)
+    end = np.cumsum(wide)
+    for k, byte in enumerate(SPACE.encode()):
+        out[(end - 3 + k)[letters == 32]] = byte
+    offsets = np.concatenate([[0], end])[np.concatenate([[0], np.cumsum(sizes)])].astype(np.int32)
+    return pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets.tobytes()), pa.py_buffer(out.tobytes()))
+
+
 def distinct_tokens(docs: DataFrame, text: str, letters_apart: bool) -> DataFrame:
     """(h, token): every distinct pre-token of all texts, spaces as ▁."""
     kind = chunks.shape("h long, token string")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.empty(0, np.uint64)
+        seen = recent = np.empty(0, np.uint64)
         for part in slices(batches, text, SLICE):
             w = pre_tokens(part.column(text), letters_apart)
             h, first = np.unique(w.hashes, return_index=True)
-            at = np.minimum(np.searchsorted(seen, h), max(len(seen) - 1, 0))
-            new = seen[at] != h if len(seen) else np.ones(len(h), bool)
+            new = ~(_among(h, seen) | _among(h, recent))
             h, first = h[new], first[new]
-            if len(seen) > 1_000_000:
-                seen = np.empty(0, np.uint64)
-            seen = np.union1d(seen, h)
-            tokens = [w.string(i).replace(" ", SPACE) for i in first]
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(tokens, pa.string())], schema=chunks.arrow_schema(kind))
+            recent = np.union1d(recent, h)
+            if len(recent) > RECENT:
+                seen = recent if len(seen) > SEEN else np.union1d(seen, recent)
+                recent = recent[:0]
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), spelled(w, first)], schema=chunks.arrow_schema(kind))
 
     return docs.select(text).mapInArrow(rows, kind).groupBy("h").agg(F.first("token").alias("token"))
 

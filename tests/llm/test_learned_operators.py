@@ -365,5 +365,5 @@ def test_pipeline_stages(spark, tmp_path):
 def test_all_operators_are_registered():
     from residua.llm.queries import QUERIES, SQL
 
-    assert sorted(int(q.split("_")[0][2:]) for q in QUERIES) == list(range(1, 11)) and set(SQL) <= set(QUERIES)
+    assert sorted(int(q.split("_")[0][2:]) for q in QUERIES) == list(range(1, 14)) and set(SQL) <= set(QUERIES)
     assert url_filter.Rule("a", "/", True).allow
