@@ -257,7 +257,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", broadcast_bytes: in
 
         return base.mapInArrow(judge, shape)
 
-    x = chunks.chunked(base, key, chunks.parts_for(base, text))
+    x = chunks.chunked(base, key, chunks.parts_for(base, text), text)
     question = chunks.shape("__chunk int, __bucket int, kind int, packed binary")
 
     def chunk_keys(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:

@@ -242,7 +242,7 @@ def answer_texts(
 
         return docs.mapInArrow(judge, shape)
 
-    x = chunks.chunked(docs, key, chunks.parts_for(docs, text))
+    x = chunks.chunked(docs, key, chunks.parts_for(docs, text), text)
     asked = T.StructType([T.StructField(chunks.CHUNK, T.IntegerType()), T.StructField("h", T.LongType())])
 
     def ask(table: pa.Table) -> pa.Table:

@@ -155,7 +155,7 @@ def _links(distinct: DataFrame, n: int, n_pivots: int, threshold: float, prefix:
     """(rep, other, n): weighted links found in each tile, and the least vector of the component there."""
     spark = distinct.sparkSession
     share = min(1.0, 2.0 * n_pivots / n)
-    drawn = distinct.where(F.pmod(F.xxhash64("x", F.lit(11)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("x").limit(n_pivots).collect()
+    drawn = distinct.where(F.pmod(F.xxhash64("x", F.lit(11)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("x").orderBy(F.xxhash64("x", F.lit(11)), "x").limit(n_pivots).collect()
     raw = np.array([r["x"] for r in drawn] or [distinct.select("x").first()[0]], float)
     table = spark.sparkContext.broadcast(spread_out(raw / np.linalg.norm(raw, axis=1, keepdims=True), APART))
     rep_type = distinct.schema["rep"].dataType
