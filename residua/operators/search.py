@@ -56,6 +56,7 @@ class Search:
             return self.space[name][min(int(u * len(self.space[name])), len(self.space[name]) - 1)]
         lo, hi, log = self.space[name]
         v = math.exp(math.log(lo) + u * (math.log(hi) - math.log(lo))) if log else lo + u * (hi - lo)
+        v = min(max(v, lo), hi)
         return int(round(v)) if isinstance(lo, int) and isinstance(hi, int) and not log else v
 
     def propose(self) -> dict:

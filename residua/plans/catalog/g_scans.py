@@ -433,7 +433,21 @@ def jaccard_pairs(t: Tables) -> DataFrame:
     return patterns.jaccard_table(t.orders, list(MASKS), [m() for _, m in MASKS.values()])
 
 
-@query("mask_dedup", "G29", "name composite_score:2")
+def _greedy_sql() -> str:
+    """The greedy pass written out: mask i stays unless it overlaps an earlier one that stays by more than 0.9."""
+    names = list(MASKS)
+    overlap = lambda i, j: (
+        f"(SELECT count(*) FILTER (({MASKS[names[i]][0]}) AND ({MASKS[names[j]][0]})) / nullif(count(*) FILTER (({MASKS[names[i]][0]}) OR ({MASKS[names[j]][0]})), 0) FROM orders)"
+    )
+    steps = []
+    for i in range(len(names)):
+        covered = " OR ".join([f"((SELECT keep FROM k{j}) AND coalesce({overlap(i, j)}, 0) > 0.9)" for j in range(i)]) or "false"
+        steps.append(f"k{i} AS (SELECT NOT ({covered}) AS keep)")
+    rows = " UNION ALL ".join(f"SELECT '{n}' AS name, {1.0 - i / 10} AS composite_score FROM k{i} WHERE keep" for i, n in enumerate(names))
+    return f"WITH {', '.join(steps)} {rows}"
+
+
+@query("mask_dedup", "G29", "name composite_score:2", _greedy_sql())
 def mask_dedup(t: Tables) -> DataFrame:
     scored = [{"name": n, "composite_score": 1.0 - i / 10} for i, n in enumerate(MASKS)]
     kept = patterns.dedup_by_mask(t.orders, scored, [m() for _, m in MASKS.values()])
