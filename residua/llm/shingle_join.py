@@ -194,6 +194,9 @@ def tree_pairs(vectors: np.ndarray, sizes: np.ndarray, side: np.ndarray, part: n
     order = np.lexsort((vectors[:, 1], vectors[:, 0], sizes))
     v, n, s, p = vectors[order], sizes[order].astype(np.int64), side[order], part[order]
     root, two = pack_tree(v, n), bool(side.any())
+    cut = n - v.sum(1, dtype=np.int64)  # shingles beyond the largest count that a point can hold
+    if v.max(initial=0) < 1 << 16:
+        v = v.astype(np.uint16)
     left, right, todo = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [(root, root)]
     while todo:
         x, y = todo.pop()
@@ -207,14 +210,18 @@ def tree_pairs(vectors: np.ndarray, sizes: np.ndarray, side: np.ndarray, part: n
             cx, cy = x.children or [x], y.children or [y]
             todo += [(a, b) for i, a in enumerate(cx) for j, b in enumerate(cy) if x is not y or i <= j]
             continue
-        i, j = np.meshgrid(np.arange(x.lo, x.hi), np.arange(y.lo, y.hi), indexing="ij")
-        ok = (p[i] != p[j]) & (i < j if x is y else True)
+        a, b = slice(x.lo, x.hi), slice(y.lo, y.hi)
+        ok = p[a, None] != p[None, b]
+        if x is y:
+            ok &= np.arange(x.lo, x.hi)[:, None] < np.arange(y.lo, y.hi)
         if two:
-            ok &= s[i] != s[j]
-        i, j = i[ok], j[ok]
-        if len(i):
-            ok = may_link(v[i], n[i], v[j], n[j], percent)
-            left.append(order[i[ok]]), right.append(order[j[ok]])
+            ok &= s[a, None] != s[None, b]
+        ok &= (percent * n[a, None] <= 100 * n[None, b]) & (percent * n[None, b] <= 100 * n[a, None])
+        if not ok.any():
+            continue
+        shared = np.minimum(v[a, None], v[None, b]).sum(2, dtype=np.int64) + np.minimum(cut[a, None], cut[None, b])
+        i, j = np.nonzero(ok & ((100 + percent) * shared >= percent * (n[a, None] + n[None, b])))
+        left.append(order[i + x.lo]), right.append(order[j + y.lo])
     return np.concatenate(left), np.concatenate(right)
 
 
