@@ -331,7 +331,7 @@ def mean_acceleration(t: Tables) -> DataFrame:
 
 
 D_SQL = "CASE WHEN n1 < 2 OR n2 < 2 THEN 0 ELSE (s1 / n1 - s2 / n2) / sqrt(((n1 - 1) * (q1 / n1 - pow(s1 / n1, 2)) + (n2 - 1) * (q2 / n2 - pow(s2 / n2, 2))) / (n1 + n2 - 2)) END"
-PERMUTATIONS = 200
+PERMUTATIONS = 1000
 
 
 def _groups_sql(source: str, cond: str, by: str = "") -> str:
@@ -450,17 +450,17 @@ def false_positive_audit(t: Tables) -> DataFrame:
     return audit.false_positive_audit(t.event_frame(), "event_id", "residual")
 
 
-NULL_SPLITS = 6
+NULL_SPLITS = 120  # 20 replicates of 6 pretend features
 
 
 @query(
     "null_scan", "H29", "replicate:int feature:int sample_count ks_stat:9",
     f"""WITH s AS (SELECT i, residual AS e, ('0x' || substr(md5(event_id || ':null42:' || (i // 4)), 8 * (i % 4) + 1, 8))::BIGINT / 4294967296.0 < 0.5 AS low FROM {EVENT_FRAME}, (SELECT unnest(range(0, {NULL_SPLITS})) AS i)),
           c AS (SELECT i, e, count(*) FILTER (low) OVER w AS a, count(*) FILTER (NOT low) OVER w AS b, count(*) FILTER (low) OVER (PARTITION BY i) AS na, count(*) FILTER (NOT low) OVER (PARTITION BY i) AS nb FROM s WINDOW w AS (PARTITION BY i ORDER BY e RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
-        SELECT i // 3 AS replicate, i % 3 AS feature, max(na) AS sample_count, max(abs(a / na - b / nb)) AS ks_stat FROM c GROUP BY i""",
+        SELECT i // 6 AS replicate, i % 6 AS feature, max(na) AS sample_count, max(abs(a / na - b / nb)) AS ks_stat FROM c GROUP BY i""",
 )
 def null_scan(t: Tables) -> DataFrame:
-    return audit.null_scan(t.event_frame(), "event_id", "residual", replicates=2, features=3)
+    return audit.null_scan(t.event_frame(), "event_id", "residual")
 
 
 @query("discovery_votes", "H30", "column_name bin_value votes stable")
