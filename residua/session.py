@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -70,6 +71,13 @@ def release(df: DataFrame) -> None:
         place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of frames that nothing refers to any more.  Its cleaner acts when the driver
+    happens to collect garbage; a long job on a large table should not wait for that."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 SPREAD_BYTES = 4 * 1024 * 1024
 
 
