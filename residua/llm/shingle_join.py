@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from residua.llm import chunks
 from residua.llm.components import connected_components
 from residua.llm.words import LOWER, mix, slices, split, windows
-from residua.session import durable, release
+from residua.session import durable, release, sweep
 
 SHINGLE, PERCENT = 4, 85
 GROUPS, MOST_GROUPS = 256, 2048  # coordinates of a point
@@ -507,6 +507,9 @@ def _open_links(docs: DataFrame, stars: DataFrame, pairs: DataFrame, members: Da
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in edges.T], schema=chunks.arrow_schema(two))
 
     near = durable(member.repartition(parts, *_TILE_KEY).sortWithinPartitions(*_TILE_KEY).mapInArrow(search, two).distinct())
+    release(placed)
+    del member
+    sweep(docs.sparkSession)
     # rows that may be linked, by the component of that relation: each goes to its tiles with its set
     maybe = durable(
         connected_components(near).select(F.struct(F.col("node").alias("h1")).alias("k"), "node", F.col("component").alias("slab"))
@@ -566,6 +569,7 @@ def shingle_join(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     keyed = described.where(f"n > 0 AND `{key}` IS NOT NULL")
     members = durable(keyed.groupBy("h1").agg(F.min(key).alias("rep"), F.min("n").alias("n"), F.min("point").alias("point")))
     stars = durable(_slab_stars(docs.where(F.col(key).isNotNull()), text, size, percent).where("a <> b"))
+    sweep(docs.sparkSession)  # the entries of the slabs have been read
     pairs = durable(stars.select("a", "b").distinct())
     links = _verified(docs, members, pairs, key, text, size, percent)
     # texts of one key are one node
