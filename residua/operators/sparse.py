@@ -6,14 +6,18 @@ with a diagonal preconditioner; a step is one pass that adds up x (x . v) for ev
 p x p matrix is made.  Values are numbered in order of their text from 1, the first value and unknown ones have
 number 0 and no coefficient, as in the one-hot encoding.
 
-Coefficients are vectors of (features + values) per fold on the driver and in the tasks: 8 MB per million values
-and fold.  ``MOST_BYTES`` bounds them; above it the fit is refused.
+A single wide column needs no steps: given the intercept and the slopes, the coefficient of a value follows from the
+sums of its own rows, so the column is eliminated.  A small system per fold is left, and the coefficients stay a
+table (a row per value) that the rows are joined with; nothing of the size of the column reaches the driver.
+
+With several wide columns the coefficients are vectors of (features + values) per fold on the driver and in the tasks:
+8 MB per million values and fold.  ``MOST_BYTES`` bounds them; above it the fit is refused.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from residua.functions import expr
-from residua.functions.moments import SLOTS, summed_arrays
+from residua.functions.moments import SLOTS, linear_column, summed_arrays
 from residua.functions.ranks import with_position
 from residua.session import durable
 
@@ -56,6 +60,120 @@ class SparseRidge:
     wide: list[np.ndarray]
 
 
+@dataclass
+class JoinedRidge:
+    """Coefficients of a fold with one wide column, whose part is a table of (number, coefficients by fold)."""
+
+    intercept: float
+    dense: np.ndarray
+    table: DataFrame = field(repr=False)
+    fold: int
+    values: int
+
+    @property
+    def wide(self) -> list[np.ndarray]:
+        """The vector of the wide column, brought to the driver."""
+        out = np.zeros(self.values)
+        rows = self.table.select("number", F.col("c")[self.fold].alias("c")).toPandas()
+        out[rows["number"].to_numpy()] = rows["c"].to_numpy()
+        return [out]
+
+
+def _value_sums(df: DataFrame, dense: list[str], wide: str, target: str, numbers: DataFrame, n: int) -> DataFrame:
+    """Per value its number and by fold the rows and the sums of the dense columns and the target."""
+    x = [expr.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(dense)]
+    rows = df.select(F.col("fold").cast("int").alias("fold"), expr.finite(expr.col(target)).alias("y"), expr.col(wide).cast("string").alias("value"), *x).where("y IS NOT NULL AND fold >= 0")
+    ones = F.count(F.lit(1)).cast("double")
+    sums = F.array(ones, *[F.sum(f"x{i}") for i in range(len(dense))], F.sum("y"))
+    cells = rows.groupBy("value", "fold").agg(sums.alias("s"))
+    numbered = cells.join(F.broadcast(numbers) if n <= FEW_VALUES else numbers, "value", "left")
+    return numbered.groupBy("value", F.coalesce("number", F.lit(0)).alias("number")).agg(F.collect_list(F.struct("fold", "s")).alias("cells"))  # an entry per fold
+
+
+def fit_one_wide(df: DataFrame, dense: list[str], wide: str, target: str, k: int, alpha: float, numbers: DataFrame, n: int) -> tuple[list[JoinedRidge], DataFrame]:
+    """One model per fold for a single wide column, and the table (value, number, c: coefficient by fold).  With z the
+    row (1, x) summed over a value's rows and m their number, its coefficient is (y - z . u) / (m + alpha); put into the
+    other equations, u solves (G + penalty - sum of z z' / (m + alpha)) u = g - sum of z y / (m + alpha)."""
+    d = len(dense) + 1
+    x = [F.lit(1.0), *[expr.col(c).cast("double") for c in dense]]
+    sums = durable(_value_sums(df, dense, wide, target, numbers, n))
+    size = d * d + d
+
+    def outside(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the values and, per value and fold, the sums over the rows outside the fold."""
+        lists = batch.column("cells")
+        owner = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+        cells = lists.flatten()
+        s = cells.field("s").flatten().to_numpy(zero_copy_only=False).reshape(-1, d + 1)
+        fold = cells.field("fold").to_numpy()
+        whole, inside = np.zeros((batch.num_rows, d + 1)), np.zeros((batch.num_rows, k, d + 1))
+        np.add.at(whole, owner, s)
+        own = fold < k
+        np.add.at(inside, (owner[own], fold[own]), s[own])
+        return batch.column("number").to_numpy(), whole[:, None] - inside
+
+    def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((k, size))
+        for b in batches:
+            number, s = outside(b)
+            s = s[number > 0]
+            weight = 1.0 / np.where(s[:, :, 0] + alpha > 0, s[:, :, 0] + alpha, 1.0)
+            z = s[:, :, :d]
+            total[:, : d * d] += np.einsum("vf,vfi,vfj->fij", weight, z, z).reshape(k, d * d)
+            total[:, d * d :] += np.einsum("vf,vfi,vf->fi", weight, z, s[:, :, d])
+        slot = TaskContext.get().partitionId() % SLOTS
+        yield pa.RecordBatch.from_pydict({"g": pa.array([0], pa.int32()), "slot": pa.array([slot], pa.int32()), "v": [total.tobytes()]})
+
+    found = summed_arrays(sums.mapInArrow(reduced, "g int, slot int, v binary"))
+    taken = found[0].reshape(k, size) if found else np.zeros((k, size))
+    y = expr.finite(expr.col(target))
+    products = [F.sum(a * b).alias(f"p{i}_{j}") for i, a in enumerate(x) for j, b in enumerate([*x, y]) if j >= i]
+    grams = np.zeros((k + 1, d, d + 1))
+    for r in df.where((F.col("fold") >= 0) & y.isNotNull()).groupBy(F.when(F.col("fold") < k, F.col("fold")).otherwise(k).cast("int").alias("f")).agg(*products).collect():
+        for i in range(d):
+            for j in range(i, d + 1):
+                grams[r["f"], i, j] = r[f"p{i}_{j}"]
+                if j < d:
+                    grams[r["f"], j, i] = grams[r["f"], i, j]
+    penalty = np.diag([0.0] + [alpha] * (d - 1))
+    u = []
+    for f in range(k):
+        gram = grams.sum(0) - grams[f]
+        u.append(np.linalg.lstsq(gram[:, :d] + penalty - taken[f, : d * d].reshape(d, d), gram[:, d] - taken[f, d * d :], rcond=None)[0])
+    solved = np.array(u)
+
+    def coefficients(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            number, s = outside(b)
+            weight = 1.0 / np.where(s[:, :, 0] + alpha > 0, s[:, :, 0] + alpha, 1.0)
+            c = (s[:, :, d] - np.einsum("vfi,fi->vf", s[:, :, :d], solved)) * weight * (number > 0)[:, None]
+            yield pa.RecordBatch.from_pydict({"value": b.column("value"), "number": number, "c": pa.FixedSizeListArray.from_arrays(c.ravel(), k).cast(pa.list_(pa.float64()))})
+
+    table = durable(sums.mapInArrow(coefficients, "value string, number long, c array<double>"))
+    return [JoinedRidge(float(w[0]), w[1:], table.where("number > 0"), f, n) for f, w in enumerate(solved)], table
+
+
+def _one_wide_oof(df: DataFrame, dense: list[str], wide: str, target: str, k: int, alpha: float) -> tuple[DataFrame, list[JoinedRidge]]:
+    numbers, n = value_numbers(df.where("fold >= 0"), wide)
+    _bounded(1 + len(dense) + max(n - 1, 0), k)
+    fitted, table = fit_one_wide(df, dense, wide, target, k, alpha, numbers, n)
+    right = table.where("value IS NOT NULL").select(F.struct("value").alias("__k"), F.col("c").alias("__c"))
+    names = [c for c in df.columns if c not in ("prediction", "residual")]
+    left = df.select(*[expr.col(c) for c in names], F.struct(expr.col(wide).cast("string").alias("value")).alias("__k"))
+    rows = left.join(F.broadcast(right) if n <= FEW_VALUES else right, "__k", "left")
+    prediction = F.lit(None).cast("double")
+    for f, m in enumerate(fitted):
+        there = linear_column(m.intercept, m.dense, [expr.col(c) for c in dense]) + F.coalesce(F.col("__c")[f], F.lit(0.0))
+        prediction = F.when(F.col("fold") == f, expr.finite(there)).otherwise(prediction)
+    out = rows.withColumn("prediction", prediction).select(*[expr.col(c) for c in names], "prediction")
+    return out.withColumn("residual", expr.col(target).cast("double") - F.col("prediction")), fitted
+
+
+def _bounded(p: int, k: int) -> None:
+    if p * (k + 1) * 8 > MOST_BYTES:
+        raise ValueError(f"{p} coefficients for {k} folds are more than {MOST_BYTES} bytes")
+
+
 def _packed(df: DataFrame, dense: list[str], wide: list[str], target: str) -> DataFrame:
     x = [expr.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(dense)]
     w = [expr.col(c).cast("long").alias(f"w{i}") for i, c in enumerate(wide)]
@@ -68,8 +186,7 @@ def fit_sparse(df: DataFrame, dense: list[str], wide: dict[str, int], target: st
     has; dense columns hold finite numbers."""
     names, counts = list(wide), np.array(list(wide.values()), np.int64)
     p = 1 + len(dense) + int(np.maximum(counts - 1, 0).sum())
-    if p * (k + 1) * 8 > MOST_BYTES:
-        raise ValueError(f"{p} coefficients for {k} folds are more than {MOST_BYTES} bytes")
+    _bounded(p, k)
     begin = 1 + len(dense) + np.concatenate([[0], np.cumsum(np.maximum(counts - 1, 0))])[:-1]
     rows = _packed(df, dense, names, target)
     d = len(dense)
@@ -144,9 +261,11 @@ def fit_sparse(df: DataFrame, dense: list[str], wide: dict[str, int], target: st
     return [SparseRidge(float(w[0]), w[1 : d + 1], [np.concatenate([[0.0], w[ends[j] : ends[j + 1]]]) for j in range(len(names))]) for w in v]
 
 
-def sparse_oof(df: DataFrame, dense: list[str], wide: list[str], target: str, k: int, alpha: float = 1.0) -> tuple[DataFrame, list[SparseRidge]]:
+def sparse_oof(df: DataFrame, dense: list[str], wide: list[str], target: str, k: int, alpha: float = 1.0) -> tuple[DataFrame, list[SparseRidge] | list[JoinedRidge]]:
     """Adds ``prediction`` and ``residual`` of the model that did not see the row's fold.  ``wide``: categorical columns
     by name; missing values must have been filled."""
+    if len(wide) == 1:
+        return _one_wide_oof(df, dense, wide[0], target, k, alpha)
     work, sizes, hidden = df, {}, []
     for i, c in enumerate(wide):
         numbers, n = value_numbers(df.where("fold >= 0"), c)

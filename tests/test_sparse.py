@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from residua import Options
+from residua.functions.moments import summed_arrays as models_sums
 from residua.operators import models, prep, sparse
 from residua.plans.discover import discover
 
@@ -61,3 +62,15 @@ def test_run_with_a_wide_column(spark, monkeypatch):
     got = discover(df, options)
     assert got.scores.agg(F.avg("r2")).first()[0] > 0.95
     assert prep.with_frequencies(df, ["a"]).agg(F.sum("a_frequency")).first()[0] > 50
+
+
+def test_one_wide_column_stays_a_table(spark, monkeypatch):
+    pdf = table(900)
+    df = spark.createDataFrame(pdf)
+    want, _ = sparse.sparse_oof(df.withColumn("one", F.lit("same")), ["x"], ["a", "one"], "y", 3)  # the steps of several columns
+    sent = []
+    monkeypatch.setattr(sparse, "summed_arrays", lambda parts: [sent.append({g: v.size for g, v in got.items()}) or got for got in (models_sums(parts),)][0])
+    got, fitted = sparse.sparse_oof(df, ["x"], ["a"], "y", 3)
+    both = got.join(want.select("k", F.col("prediction").alias("want")), "k")
+    assert both.agg(F.max(F.abs(F.col("prediction") - F.col("want")))).first()[0] < 1e-6
+    assert sent == [{0: 3 * 6}] and len(fitted[0].wide[0]) == 40  # sums of two columns, no entry per value
