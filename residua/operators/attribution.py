@@ -41,6 +41,19 @@ def _shapley_weights(d: int) -> list[float]:
     return [factorial(s) * factorial(d - s - 1) / factorial(d) for s in range(d)]
 
 
+def _passed(x: np.ndarray, path: list) -> tuple[np.ndarray, np.ndarray | None]:
+    """Which features of a path pass, as (feature, row), and for a number per row the place of its row there.  With fewer
+    patterns of passing than rows, the patterns stand for the rows."""
+    inside = [((x[:, f] > lo) | (lo == -np.inf)) & (x[:, f] <= hi) for f, lo, hi, _ in path]
+    d = len(path)
+    if 1 << d >= len(x) or d > 15:
+        return np.stack(inside).astype(float), None
+    pattern = np.zeros(len(x), np.int16)
+    for j, passes in enumerate(inside):
+        pattern += passes.astype(np.int16) << j
+    return (np.arange(1 << d) >> np.arange(d)[:, None] & 1).astype(float), pattern
+
+
 def shap_matrix(x: np.ndarray, trees: list) -> np.ndarray:
     """Path-dependent Shapley values of rows ``x``.
 
@@ -54,13 +67,14 @@ def shap_matrix(x: np.ndarray, trees: list) -> np.ndarray:
             d = len(path)
             if d == 0:
                 continue
-            ones = np.stack([(((x[:, f] > lo) | (lo == -np.inf)) & (x[:, f] <= hi)).astype(float) for f, lo, hi, _ in path])
+            ones, pattern = _passed(x, path)
             shares = np.array([s for *_, s in path])
             weights = _shapley_weights(d)
             for i, (f, *_rest) in enumerate(path):
                 sums = _subset_sums([j for j in range(d) if j != i], ones, shares)
                 total = sum(w * s for w, s in zip(weights, sums))
-                out[:, f] += value * (ones[i] - shares[i]) * total
+                part = value * (ones[i] - shares[i]) * total
+                out[:, f] += part if pattern is None else part[pattern]
     return out
 
 
@@ -85,14 +99,15 @@ def interaction_matrix(x: np.ndarray, trees: list) -> np.ndarray:
             d = len(path)
             if d < 2:
                 continue
-            ones = np.stack([(((x[:, f] > lo) | (lo == -np.inf)) & (x[:, f] <= hi)).astype(float) for f, lo, hi, _ in path])
+            ones, pattern = _passed(x, path)
             shares = np.array([s for *_, s in path])
             weights = [factorial(s) * factorial(d - s - 2) / (2 * factorial(d - 1)) for s in range(d - 1)]
             for i, j in combinations(range(d), 2):
                 sums = _subset_sums([k for k in range(d) if k not in (i, j)], ones, shares)
                 total = sum(w * s for w, s in zip(weights, sums))
                 a, b = sorted((path[i][0], path[j][0]))
-                acc[a, b] += value * (ones[i] - shares[i]) * (ones[j] - shares[j]) * total
+                part = value * (ones[i] - shares[i]) * (ones[j] - shares[j]) * total
+                acc[a, b] += part if pattern is None else part[pattern]
     out = np.zeros((p, p))
     for (a, b), v in acc.items():
         out[a, b] = np.abs(v).sum()
@@ -121,7 +136,12 @@ def tree_contributions(df: DataFrame, model: BoostedModel, key: str) -> DataFram
             out.insert(0, key, pdf[key].to_numpy())
             yield out
 
-    return df.select(key, *[expr.col(c).cast("double").alias(c) for c in names]).mapInPandas(score, schema)
+    return _dealt(df.select(key, *[expr.col(c).cast("double").alias(c) for c in names])).mapInPandas(score, schema)
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows for work of many leaves each, on all cores even if they come from one small file."""
+    return rows.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism)
 
 
 def tree_interactions(df: DataFrame, model: BoostedModel) -> DataFrame:
@@ -137,7 +157,7 @@ def tree_interactions(df: DataFrame, model: BoostedModel) -> DataFrame:
         rows = [(names[i], names[j], total[i, j], n) for i in range(p) for j in range(i + 1, p)]
         yield pd.DataFrame(rows, columns=["feature_a", "feature_b", "s", "n"])
 
-    parts = df.select(*[expr.col(c).cast("double").alias(c) for c in names]).mapInPandas(
+    parts = _dealt(df.select(*[expr.col(c).cast("double").alias(c) for c in names])).mapInPandas(
         score, "feature_a string, feature_b string, s double, n long"
     )
     return parts.groupBy("feature_a", "feature_b").agg((F.sum("s") / F.sum("n")).alias("strength"))

@@ -1,10 +1,10 @@
 """Second-order gradient boosting with histograms, for the models of all folds at once.
 
 Features become at most 256 quantile bins, and rows are packed into blocks of columns.  A pass over the blocks adds
-up gradients and hessians per (fold, class, node, feature, bin); the sums of all tasks are added and the best
-split of every open node follows from them.  So a level of the trees of all folds and classes costs one pass, and
-nothing of row size leaves the tasks.  Margins are stored with the blocks from time to time; between, the trees
-grown since are applied in the pass.
+up gradients and hessians per (fold, class, node, feature, bin); the sums of all tasks meet by (fold, class, node),
+where the best split is found.  So a level of the trees of all folds and classes costs one pass, and only splits reach
+the driver.  The blocks with the margins of a round are cached, made from those of the round before by applying its
+trees; from time to time they are written, so that this chain stays short.
 
 Squared error, logistic loss (binary) and softmax (a tree per class and round).  Leaf weights are
 -T(G) / (H + l2) with T the soft threshold at l1.  Rows are drawn per tree by a hash of their place, columns
@@ -18,7 +18,7 @@ from dataclasses import dataclass, field, fields
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import RDD, StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +28,7 @@ from residua.session import durable, release
 BLOCK_ROWS = 1 << 16
 TASK_ROWS = 1 << 13
 REFRESH = 10  # rounds between two writes of the margins
-FEW_TASKS = 16  # partial sums that are added on the driver without a shuffle
-SLOTS = 32
+NODES_A_TASK = 40  # nodes whose splits one task finds
 _OLD = {
     "maxIter": "trees", "maxDepth": "depth", "stepSize": "rate", "subsamplingRate": "rows", "featureSubsetStrategy": "columns",
     "minInstancesPerNode": "min_weight", "minInfoGain": "min_gain",
@@ -199,6 +198,32 @@ def _unpacked(r: dict, folds: list[_Grown], features: int, classes: int, depth:
         yield f, g, bins, add_rounds(margin, g.rounds, bins, depth)
 
 
+def _leaf(g: float, h: float, p: Boosting) -> float:
+    pulled = np.sign(g) * np.maximum(np.abs(g) - p.l1, 0.0)
+    return float(-p.rate * pulled / (h + p.l2))
+
+
+def _score(g: np.ndarray, h: np.ndarray, p: Boosting) -> np.ndarray:
+    pulled = np.maximum(np.abs(g) - p.l1, 0.0)
+    return pulled * pulled / (h + p.l2)
+
+
+def _best(sums: np.ndarray, p: Boosting) -> tuple:
+    """Gradient and hessian of a node and its best split (column, bin, gain, sums left and right), None without gain.
+    ``sums``: (gradient or hessian, column, bin)."""
+    g, h = sums
+    total_g, total_h = g[0].sum(), h[0].sum()
+    left_g, left_h = np.cumsum(g, 1)[:, :-1], np.cumsum(h, 1)[:, :-1]
+    right_g, right_h = total_g - left_g, total_h - left_h
+    gain = _score(left_g, left_h, p) + _score(right_g, right_h, p) - _score(total_g, total_h, p)
+    gain = np.where((left_h >= p.min_weight) & (right_h >= p.min_weight), gain / 2, -np.inf)
+    split = None
+    if gain.size and gain.max() > p.min_gain + 1e-12:
+        i, b = np.unravel_index(gain.argmax(), gain.shape)
+        split = (int(i), int(b), *(float(v[i, b]) for v in (gain, left_g, left_h, right_g, right_h)))
+    return float(total_g), float(total_h), split
+
+
 class _Fit:
     def __init__(self, df: DataFrame, features: list[str], target: str, seen: list[Column], objective: str, classes: int, p: Boosting) -> None:
         self.p, self.objective, self.classes, self.folds = p, objective, classes, len(seen)
@@ -229,9 +254,12 @@ class _Fit:
         self.blocks = durable(rows.mapInArrow(pack, "block long, n long, seen binary, y binary, bins binary, margin binary"))
         start = self.blocks.mapInArrow(self._start(), "fold int, n double, s double").groupBy("fold").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).collect()
         self.rows = max((r["n"] for r in start), default=0)
-        self._deal()
         mean = {r["fold"]: r["s"] / r["n"] if r["n"] else 0.0 for r in start}
         self.forests = [Forest(self.features, self.edges, self._base(mean.get(f, 0.0)), p.depth) for f in range(self.folds)]
+        self.bases = [f.base for f in self.forests]
+        self.dealt: RDD | None = None
+        self.former: list[RDD | None] = []
+        self._deal()
 
     def _start(self):
         folds = self.folds
@@ -256,87 +284,61 @@ class _Fit:
             return np.array([np.log(q / (1 - q))])
         return np.zeros(self.classes)
 
-    def histograms(self, state: list[_Grown], number: int) -> list[list[np.ndarray]]:
-        """Per fold and class the sums (node, feature, bin, gradient or hessian) over all rows."""
-        p, bins_n = self.p, [len(e) + 1 for e in self.edges]
-        width = max(bins_n, default=1)
-        sizes = [[len(o) * len(g.columns) * width * 2 for o in g.open] for g in state]
-        shape, objective = (len(self.features), self.classes, p.depth), self.objective
-
-        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = [[np.zeros(s) for s in by] for by in sizes]
-            for b in batches:
-                for r in b.to_pylist():
-                    seen, y = np.frombuffer(r["seen"], np.int64), np.frombuffer(r["y"])
-                    for f, g, bins, margin in _unpacked(r, state, *shape):
-                        drawn = np.flatnonzero((seen >> f & 1 > 0) & (_draw(r["block"], r["n"], p.seed * 1_000_003 + number * 101 + f) < p.rows))
-                        if not len(drawn):
+    def splits(self, state: list[_Grown], number: int) -> dict[tuple[int, int, int], tuple]:
+        """Per (fold, class, node) the sums over all rows and the best split, see ``_best``."""
+        p, width = self.p, max((len(e) + 1 for e in self.edges), default=1)
+        folds, objective = [(g.growing, g.open, g.columns) for g in state], self.objective
+
+        def add(blocks: Iterator[tuple]) -> Iterator[tuple]:
+            total = [[np.zeros((2, len(o), len(columns) * width)) for o in open_] for _, open_, columns in folds]
+            for block, n, seen, y, bins, margins in blocks:
+                for f, (growing, open_, columns) in enumerate(folds):
+                    drawn = np.flatnonzero((seen >> f & 1 > 0) & (_draw(block, n, p.seed * 1_000_003 + number * 101 + f) < p.rows))
+                    if not len(drawn):
+                        continue
+                    grad, hess = gradients(margins[f][:, drawn], y[drawn], objective)
+                    own = bins[:, drawn]
+                    for c, (tree, wanted) in enumerate(zip(growing, open_)):
+                        if not wanted:
                             continue
-                        grad, hess = gradients(margin[:, drawn], y[drawn], objective)
-                        own = bins[:, drawn]
-                        for c, (tree, wanted) in enumerate(zip(g.growing, g.open)):
-                            if not wanted:
-                                continue
-                            slot = np.full(len(tree.feature), -1)
-                            slot[wanted] = np.arange(len(wanted))
-                            at = slot[tree.nodes(own, p.depth)]
-                            here = np.flatnonzero(at >= 0)
-                            place = at[here] * (len(g.columns) * width)
-                            for k, col in enumerate(g.columns):
-                                cell = place + k * width + own[col, here]
-                                cells = len(wanted) * len(g.columns) * width
-                                total[f][c][:cells] += np.bincount(cell, grad[c, here], cells)
-                                total[f][c][cells:] += np.bincount(cell, hess[c, here], cells)
-            flat = np.concatenate([x for by in total for x in by]) if total else np.zeros(0)
-            task = TaskContext.get().partitionId() % SLOTS
-            yield pa.RecordBatch.from_pydict({"g": pa.array([0], pa.int32()), "slot": pa.array([task], pa.int32()), "v": [flat.tobytes()]})
-
-        parts = self.dealt.mapInArrow(add, "g int, slot int, v binary")
-        if self.tasks <= FEW_TASKS:
-            flat = sum(np.frombuffer(r["v"]) for r in parts.collect())
-        else:
-            from residua.functions.moments import summed_arrays
-
-            flat = summed_arrays(parts)[0]
-        out, at = [], 0
-        for g, by in zip(state, sizes):
-            mine = []
-            for o, s in zip(g.open, by):
-                mine.append(flat[at : at + s].reshape(2, len(o), len(g.columns), width))
-                at += s
-            out.append(mine)
-        return out
-
-    def _leaf(self, g: np.ndarray, h: np.ndarray) -> np.ndarray:
-        pulled = np.sign(g) * np.maximum(np.abs(g) - self.p.l1, 0.0)
-        return -self.p.rate * pulled / (h + self.p.l2)
-
-    def _score(self, g: np.ndarray, h: np.ndarray) -> np.ndarray:
-        pulled = np.maximum(np.abs(g) - self.p.l1, 0.0)
-        return pulled * pulled / (h + self.p.l2)
-
-    def _grow(self, tree: Tree, wanted: list[int], sums: np.ndarray, columns: np.ndarray) -> list[int]:
-        """Split the open nodes of a tree where that gains; returns the nodes to look at next."""
-        after: list[int] = []
-        for k, node in enumerate(wanted):
-            g, h = sums[0, k], sums[1, k]
-            total_g, total_h = g[0].sum(), h[0].sum()
-            if node == 0:
-                tree.value[0], tree.cover[0] = float(self._leaf(total_g, total_h)), float(total_h)
-            left_g, left_h = np.cumsum(g, 1)[:, :-1], np.cumsum(h, 1)[:, :-1]
-            right_g, right_h = total_g - left_g, total_h - left_h
-            gain = self._score(left_g, left_h) + self._score(right_g, right_h) - self._score(total_g, total_h)
-            gain = np.where((left_h >= self.p.min_weight) & (right_h >= self.p.min_weight), gain / 2, -np.inf)
-            if not gain.size or not gain.max() > self.p.min_gain + 1e-12:
-                continue
-            i, b = np.unravel_index(gain.argmax(), gain.shape)
-            feature = int(columns[i])
-            if b >= len(self.edges[feature]):
-                continue
-            covers = float(left_h[i, b]), float(right_h[i, b])
-            values = float(self._leaf(left_g[i, b], left_h[i, b])), float(self._leaf(right_g[i, b], right_h[i, b]))
-            after += tree.split(node, feature, int(b), float(self.edges[feature][b]), float(gain[i, b]), values, covers)
-        return after
+                        slot = np.full(len(tree.feature), -1)
+                        slot[wanted] = np.arange(len(wanted))
+                        at = slot[tree.nodes(own, p.depth)]
+                        here = np.flatnonzero(at >= 0)
+                        place, g, h = at[here] * (len(columns) * width), grad[c, here], hess[c, here]
+                        sums = total[f][c]
+                        for k, col in enumerate(columns):
+                            cell = place + k * width + own[col, here]
+                            sums[0] += np.bincount(cell, g, sums[0].size).reshape(sums[0].shape)
+                            sums[1] += np.bincount(cell, h, sums[1].size).reshape(sums[1].shape)
+            task = TaskContext.get().partitionId()
+            for f, (_, open_, _columns) in enumerate(folds):
+                for c, wanted in enumerate(open_):
+                    for k, node in enumerate(wanted):
+                        yield (f, c, node), (task, total[f][c][:, k])
+
+        def best(item: tuple) -> tuple:
+            key, parts = item
+            whole = sum(v for _, v in sorted(parts, key=lambda part: part[0]))  # in one order, whichever came first
+            return key, _best(whole.reshape(2, -1, width), p)
+
+        nodes = sum(len(o) for g in state for o in g.open)
+        tasks = max(1, min(self.tasks, -(-nodes // NODES_A_TASK)))
+        return dict(self.dealt.mapPartitions(add).groupByKey(tasks).map(best).collect())
+
+    def _grow(self, tree: Tree, node: int, found: tuple, columns: np.ndarray) -> tuple[int, ...]:
+        """Split an open node where that gains; returns the nodes to look at next."""
+        total_g, total_h, split = found
+        if node == 0:
+            tree.value[0], tree.cover[0] = _leaf(total_g, total_h, self.p), total_h
+        if split is None:
+            return ()
+        i, b, gain, left_g, left_h, right_g, right_h = split
+        feature = int(columns[i])
+        if b >= len(self.edges[feature]):
+            return ()
+        values = _leaf(left_g, left_h, self.p), _leaf(right_g, right_h, self.p)
+        return tree.split(node, feature, b, float(self.edges[feature][b]), gain, values, (left_h, right_h))
 
     def run(self) -> list[Forest]:
         p = self.p
@@ -351,14 +353,22 @@ class _Fit:
             for _ in range(p.depth):
                 if not any(o for g in state for o in g.open):
                     break
-                for g, by in zip(state, self.histograms(state, number)):
-                    g.open = [self._grow(t, o, s, g.columns) if o else [] for t, o, s in zip(g.growing, g.open, by)]
+                found = self.splits(state, number)
+                self._forget()
+                for f, g in enumerate(state):
+                    g.open = [[n for node in o for n in self._grow(t, node, found[f, c, node], g.columns)] for c, (t, o) in enumerate(zip(g.growing, g.open))]
             for f, g in enumerate(state):
                 self.forests[f].rounds.append(g.growing)
                 pending[f].append(g.growing)
-            if (number + 1) % REFRESH == 0 and number + 1 < p.trees:
+            if number + 1 == p.trees:
+                break
+            if (number + 1) % REFRESH == 0:
                 self._store(pending)
                 pending = [[] for _ in range(self.folds)]
+            else:
+                self._advance([g.growing for g in state])
+        self._forget()
+        self.dealt.unpersist()
         release(self.blocks)
         return self.forests
 
@@ -372,14 +382,48 @@ class _Fit:
                     margin = np.stack([m for *_, m in _unpacked(r, state, *shape)])
                     yield pa.RecordBatch.from_pydict({**{k: [v] for k, v in r.items()}, "margin": [margin.tobytes()]})
 
-        former, self.blocks = self.blocks, durable(self.dealt.mapInArrow(add, self.blocks.schema))
+        former, self.blocks = self.blocks, durable(self.blocks.mapInArrow(add, self.blocks.schema))
         self._deal()
         release(former)
 
     def _deal(self) -> None:
-        """Small tables go to few tasks: a pass over them costs little more than its start."""
-        self.tasks = min(self.blocks.rdd.getNumPartitions(), max(1, -(-int(self.rows) // TASK_ROWS)))
-        self.dealt = self.blocks.coalesce(self.tasks)
+        """Blocks as arrays, cached.  Small tables go to few tasks: a pass over them costs little more than its start."""
+        given = self.blocks.rdd.getNumPartitions()
+        self.tasks = max(1, min(max(given, self.blocks.sparkSession.sparkContext.defaultParallelism), -(-int(self.rows) // TASK_ROWS)))
+        features, folds, classes, bases = len(self.features), self.folds, self.classes, self.bases
+
+        def arrays(r) -> tuple:
+            n = r["n"]
+            bins = np.frombuffer(r["bins"], np.uint8).reshape(features, n)
+            if r["margin"]:
+                margins = np.frombuffer(r["margin"]).reshape(folds, classes, n)
+            else:
+                margins = np.repeat(np.stack(bases)[:, :, None], n, 2)
+            return r["block"], n, np.frombuffer(r["seen"], np.int64), np.frombuffer(r["y"]), bins, margins
+
+        dealt = self.blocks.coalesce(self.tasks) if self.tasks <= given else self.blocks.repartition(self.tasks)
+        self._keep(dealt.rdd.map(arrays))
+
+    def _advance(self, grown: list[list[Tree]]) -> None:
+        """The blocks of the next round: the trees of this one applied."""
+        depth = self.p.depth
+
+        def apply(block: tuple) -> tuple:
+            *rest, bins, margins = block
+            return *rest, bins, np.stack([add_rounds(m.copy(), [trees], bins, depth) for m, trees in zip(margins, grown)])
+
+        self._keep(self.dealt.map(apply))
+
+    def _keep(self, dealt: RDD) -> None:
+        self.former.append(self.dealt)
+        self.dealt = dealt.persist(StorageLevel.MEMORY_AND_DISK)
+
+    def _forget(self) -> None:
+        """Blocks of former rounds go once a pass has made those of this one."""
+        for old in self.former:
+            if old is not None:
+                old.unpersist()
+        self.former = []
 
 
 def fit_forests(df: DataFrame, features: list[str], target: str, seen: list[Column], objective: str = "squared", classes: int = 1, params: Boosting | None = None) -> list[Forest]:

@@ -117,3 +117,22 @@ def test_separable_targets_and_binary_stack(spark):
     single = models.LogisticModel(1.0).fit(table.where("fold <> 1"), ["a", "b"], "y")
     got = single.predict(table.where("fold = 1").drop("prediction")).select("k", F.col("prediction").alias("q")).join(table, "k")
     assert got.agg(F.max(F.abs(F.col("q") - F.col("prediction")))).first()[0] < 1e-6
+
+
+def test_one_file_is_dealt_to_all_cores_and_only_splits_come_back(spark, monkeypatch):
+    from residua.operators import attribution
+
+    monkeypatch.setattr(boosting, "TASK_ROWS", 100)
+    pdf = planted(900)
+    df = spark.createDataFrame(pdf).coalesce(1)
+    p = Boosting(trees=2, depth=2, rows=1.0, columns=1.0)
+    fit = boosting._Fit(df, ["a", "b", "c"], "y", [F.lit(True)], "squared", 1, p)
+    assert fit.tasks == 8
+    state = [boosting._Grown([], [boosting.Tree()], [[0]], np.arange(3), fit.bases[0])]
+    (g, h, split), = fit.splits(state, 0).values()
+    assert len(split) == 7 and h == 900 and abs(g) < 1e-6
+    model = models.BoostedModel(params=p, features=["a", "b", "c"], forest=fit.run()[0])
+    assert attribution.tree_contributions(df, model, "k").rdd.getNumPartitions() >= 8
+    x, paths = pdf[["a", "b", "c"]].to_numpy(), attribution.tree_paths(model)
+    assert np.array_equal(attribution.shap_matrix(x, paths)[:2], attribution.shap_matrix(x[:2], paths))  # patterns of passing, or rows
+    assert np.isclose(attribution.interaction_matrix(x, paths), sum(attribution.interaction_matrix(x[i : i + 2], paths) for i in range(0, 900, 2))).all()
