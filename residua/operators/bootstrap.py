@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from hashlib import md5
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from residua.config import BOOTSTRAP_GATES
 from residua.functions import expr
 from residua.functions.dist import normal_cdf, normal_ppf
-from residua.functions.hashing import below, poisson_weight, with_draws
+from residua.functions.hashing import poisson_weight, with_draws
 from residua.functions.quantiles import exact_quantiles
 from residua.operators.rules import Rule
 from residua.session import spread
@@ -18,6 +22,7 @@ from residua.session import spread
 # Gates in the order that decides ties between rejection reasons.
 GATE_REASONS = ["low_variance", "low_range", "support_too_sparse", "support_too_broad"]
 BCA_MIN_N = 100
+DRAWN_ROWS = 1000  # rows whose draws are held at once
 
 # Fallback stability thresholds by mode; fixed values.
 FIXED_THRESHOLDS = {"demo": 0.5, "production": 0.7}
@@ -200,6 +205,28 @@ def group_d(df: DataFrame, value: Column, in_group: Column) -> DataFrame:
     )
 
 
+def _relabelled(salt: str, n: int, share: float):
+    """Counts, sums and sums of squares of both groups of ``n`` relabellings of a task's (k, v): a row per replicate.
+    The draws are those of ``hashing.with_draws``, without a row for each."""
+    tails = [f":{salt}:{c}".encode() for c in range((n + 3) // 4)]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one, whole = np.zeros((3, n)), np.zeros((3, 1))
+        for b in batches:
+            for lo in range(0, b.num_rows, DRAWN_ROWS):
+                part = b.slice(lo, DRAWN_ROWS)
+                keys, v = [k.encode() for k in part.column(0).to_pylist()], part.column(1).to_numpy()
+                hashes = b"".join([md5(k + t).digest() for k in keys for t in tails])
+                drawn = np.frombuffer(hashes, ">u4").reshape(len(keys), -1)[:, :n]
+                powers = np.stack([np.ones(len(v)), v, v * v])
+                one += powers @ (drawn / 4294967296.0 < share).astype(float)
+                whole += powers.sum(1, keepdims=True)
+        columns = [*one, *(whole - one)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), *map(pa.array, columns)], names=["replicate", "n1", "s1", "q1", "n2", "s2", "q2"])
+
+    return add
+
+
 def permutation_test(df: DataFrame, key: str, value: Column, in_group: Column, permutations: int = 1000, seed: int = 42) -> DataFrame:
     """Two-sided p of Cohen's d under random relabelling.
 
@@ -212,13 +239,11 @@ def permutation_test(df: DataFrame, key: str, value: Column, in_group: Column, p
     )
     observed = group_d(base, F.col("v"), F.col("g")).first()
     share = observed["n_in"] / (observed["n_in"] + observed["n_out"])
-    rows = with_draws(spread(base.select("k", "v")), F.col("k"), f"perm{seed}", permutations, "replicate", "u").select(
-        "v", "replicate", below(F.col("u"), share).alias("inside")
-    )
-    one, two = F.when(F.col("inside"), F.col("v")), F.when(~F.col("inside"), F.col("v"))
-    d = rows.groupBy("replicate").agg(
-        F.count(one).cast("double").alias("n1"), F.count(two).cast("double").alias("n2"),
-        F.sum(one).alias("s1"), F.sum(two).alias("s2"), F.sum(one * one).alias("q1"), F.sum(two * two).alias("q2"),
+    rows = spread(base.select("k", "v")).select(F.col("k").cast("string").alias("k"), "v").where("k IS NOT NULL")
+    names = ["n1", "s1", "q1", "n2", "s2", "q2"]
+    parts = rows.mapInArrow(_relabelled(f"perm{seed}", permutations, share), "replicate int, " + ", ".join(f"{c} double" for c in names))
+    d = parts.groupBy("replicate").agg(
+        *[F.sum(c).alias(c) for c in names]
     ).select(cohens_d_column(*[F.col(c) for c in ("n1", "s1", "q1", "n2", "s2", "q2")]).alias("d"))
     hit = F.when(F.abs("d") >= F.lit(abs(observed["cohens_d"])), 1.0).otherwise(0.0)
     return d.agg(

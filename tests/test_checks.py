@@ -1,5 +1,6 @@
 """Time tests, diagnostics, rules, bootstrap, text rules."""
 
+import hashlib
 import math
 import re
 
@@ -222,3 +223,19 @@ def test_sanitise(spark, raw, want):
 def test_payload_hash_ignores_key_order(spark):
     df = spark.createDataFrame([(1, "x")], "b int, a string")
     assert df.select(textqc.payload_hash(["b", "a"])).first() == df.select(textqc.payload_hash(["a", "b"])).first()
+
+
+def test_permutations_make_no_row_per_draw(spark):
+    pdf = pd.DataFrame({"k": np.arange(400), "v": np.random.default_rng(5).normal(size=400), "g": np.arange(400) >= 8})
+    df = spark.createDataFrame(pdf)
+    for group, share in ((F.col("g"), pdf.g.mean()), (~F.col("g"), 1 - pdf.g.mean())):
+        table = bootstrap.permutation_test(df, "k", F.col("v"), group, 40)
+        row, hits = table.first(), 0
+        for r in range(40):
+            words = [int(hashlib.md5(f"{k}:perm42:{r // 4}".encode()).hexdigest()[8 * (r % 4) : 8 * (r % 4) + 8], 16) / 2**32 for k in pdf.k]
+            inside = np.array(words) < share
+            one, two = pdf.v[inside], pdf.v[~inside]
+            pooled = ((len(one) - 1) * one.var(ddof=0) + (len(two) - 1) * two.var(ddof=0)) / 398 if min(len(one), len(two)) >= 2 else 0
+            hits += abs((one.mean() - two.mean()) / pooled**0.5 if pooled else 0.0) >= abs(row["observed"])
+        assert row["permutations"] == 40 and row["p_value"] == pytest.approx(hits / 40)
+        assert "Generate" not in table._jdf.queryExecution().optimizedPlan().toString()
