@@ -62,7 +62,7 @@ def newton(df: DataFrame, features: list[str], target: str, seen: list[Column],
         mask = mask + F.when(F.coalesce(s, F.lit(False)), F.lit(1 << f)).otherwise(F.lit(0)).cast("long")
     p, k = len(features) + 1, len(seen)
     rows = df.select(mask.alias("seen"), expr.finite(expr.col(target)).alias("y"), *[expr.finite(expr.col(x)).alias(f"x{i}") for i, x in enumerate(features)])
-    rows = rows.na.drop().where("seen <> 0")
+    rows = rows.na.drop().where("seen <> 0").persist()  # read by every step: a join behind it is done once
     centre = np.zeros(p - 1)
     scale = np.ones(p - 1)
     if features:  # steps are solved in standardised units, the penalty holds in the given ones
@@ -112,6 +112,7 @@ def newton(df: DataFrame, features: list[str], target: str, seen: list[Column],
             moved = max(moved, float(np.abs(step).max()))
         if moved < TOLERANCE:
             break
+    rows.unpersist()
     out = []
     for w in weights:
         slopes = w[1:] / scale

@@ -13,6 +13,7 @@ from residua.functions.moments import Moments, grouped_moments, ridge
 from residua.operators.cv import fold_auc, fold_scores
 from residua.operators.models import quadratic_error
 from residua.operators.rules import Rule
+from residua.session import durable
 
 MIN_HOLDOUT = 20
 
@@ -98,11 +99,13 @@ def model_selection(
 ) -> list[dict]:
     """Forward selection for any model, binary targets and trees among them: the rules are ranked by the score test
     against the residual gradients of the current model, and the first of the ``tries`` best whose refit scores
-    better on the holdout is added.  Ends when none does."""
+    better on the holdout is added.  Ends when none does.  Every fit and score reads the rows several times; the columns
+    they use are written once."""
     if holdout.limit(MIN_HOLDOUT).count() < MIN_HOLDOUT:
         return []
     columns = {r.name: r.column() for r in rules}
-    train, holdout = (df.withColumns(columns) if columns else df for df in (train, holdout))
+    used = dict.fromkeys([*features, target, *[c for r in rules for c in r.columns()], *columns])
+    train, holdout = (durable((df.withColumns(columns) if columns else df).select(*[expr.col(c).alias(c) for c in used])) for df in (train, holdout))
     chosen: list[str] = []
     left, steps = list(rules), []
     model = make().fit(train, features, target)

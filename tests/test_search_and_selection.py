@@ -79,6 +79,34 @@ def test_planted_rule_comes_first(spark, make, target, binary):
     assert selection.model_selection(train, holdout.limit(3), ["x"], RULES, target, make, binary) == []
 
 
+def counted(spark, pdf):
+    """A frame and an accumulator of the rows that were taken from it."""
+    df, seen = spark.createDataFrame(pdf), spark.sparkContext.accumulator(0)
+
+    def pass_on(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    return df.mapInPandas(pass_on, df.schema), seen
+
+
+def test_selection_reads_its_tables_once(spark):
+    pdf = planted()
+    held = pdf.k % 4 == 0
+    (train, train_rows), (holdout, holdout_rows) = counted(spark, pdf[~held]), counted(spark, pdf[held])
+    steps = selection.model_selection(train, holdout, ["x"], RULES, "t", models.RidgeModel)
+    assert steps[0]["name"] == "is_v"
+    assert train_rows.value == (~held).sum() and holdout_rows.value <= 2 * held.sum()  # and a look whether it is large enough
+
+
+def test_newton_steps_read_their_rows_once(spark):
+    pdf = planted()
+    df, rows = counted(spark, pdf)
+    models.LogisticModel().fit(df, ["x"], "y")
+    assert rows.value == len(pdf)
+
+
 def test_score_gain_is_the_explained_sum_of_squares(spark):
     pdf = planted()
     df = spark.createDataFrame(pdf)
