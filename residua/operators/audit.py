@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from residua.functions.dist import binomial_upper, kolmogorov_sf
-from residua.functions.hashing import below, digest, word
-from residua.operators.scan import BinSpec, bh_adjust, ks_scan
-from residua.session import spread
+from residua.functions.hashing import digest
+from residua.operators.scan import BinSpec, bh_adjust, ks_flags, ks_scan
+from residua.session import durable, release, spread
 
 MAX_FPR, ALPHA, MIN_HALF = 0.07, 0.05, 10
 
@@ -20,23 +24,30 @@ def null_scan(df: DataFrame, key: str, residual: str, replicates: int = 20, feat
     scanned together; D between the halves follows from D of one half against all rows.
     """
     n_splits = replicates * features
-    hashed = spread(df.select(residual, F.col(key).cast("string").alias("k"))).select(
-        residual, *[digest(F.col("k"), f"null{seed}:{c}").alias(f"h{c}") for c in range((n_splits + 3) // 4)]
-    )
-    flags = [
-        F.when(below(word(F.col(f"h{i // 4}"), i % 4), 0.5), F.lit("true")).otherwise(F.lit("false")).alias(f"s{i}")
-        for i in range(n_splits)
-    ]
-    specs = [BinSpec(f"s{i}") for i in range(n_splits)]
-    tests = ks_scan(hashed.select(residual, *flags), specs, residual, min_bin_rows=MIN_HALF).where(
-        F.col("bin_value") == "true"
-    )
+    # the first hex digit of a word says on which side of 0.5 its draw is
+    words = F.concat(*[digest(F.col("k"), f"null{seed}:{c}") for c in range((n_splits + 3) // 4)])
+    e = F.col(residual).cast("double")
+    keyed = df.where(e.isNotNull() & ~F.isnan(e)).select(e.alias("e"), F.col(key).cast("string").alias("k"))
+    hashed = spread(keyed).select("e", words.alias("words"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            low = np.zeros((b.num_rows, n_splits), bool)
+            for at, drawn in enumerate(b.column(1)):
+                if drawn.is_valid:  # a row without key is in the upper half of every split
+                    low[at] = np.frombuffer(drawn.as_buffer(), np.uint8)[: 8 * n_splits : 8] < ord("8")
+            bits = np.packbits(low, axis=1)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in bits], pa.binary())], ["e", "bits"])
+
+    flagged = durable(hashed.mapInArrow(pack, "e double, bits binary"))
+    n, sizes, distances = ks_flags(flagged, n_splits)
+    release(flagged)
+    found = [(i, size, n, d) for i, (size, d) in enumerate(zip(sizes, distances, strict=True)) if min(size, n - size) >= MIN_HALF]
+    tests = df.sparkSession.createDataFrame(found, "i int, sample_count long, n_total long, ks_stat double")  # a row a split
     w = F.col("sample_count") / F.col("n_total")
-    other = F.col("n_total") - F.col("sample_count")
-    en = F.col("sample_count") * other / F.col("n_total")
-    index = F.substring("column_name", 2, 10).cast("int")
-    halves = tests.where(other >= MIN_HALF).select(
-        F.floor(index / features).cast("int").alias("replicate"), (index % features).alias("feature"), "sample_count",
+    en = F.col("sample_count") * (F.col("n_total") - F.col("sample_count")) / F.col("n_total")
+    halves = tests.select(
+        F.floor(F.col("i") / features).cast("int").alias("replicate"), (F.col("i") % features).alias("feature"), "sample_count",
         (F.col("ks_stat") / (F.lit(1.0) - w)).alias("stat"), F.sqrt(en).alias("root_en"),
     )
     return halves.select(

@@ -3,20 +3,26 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from residua.functions import expr
 from residua.functions.buckets import add_bucket, interval_index
 from residua.functions.dist import kolmogorov_sf
+from residua.functions.moments import SLOTS, summed_arrays
 from residua.functions.quantiles import SKETCH_ACCURACY, exact_quantiles
 from residua.functions.ranks import with_position
 from residua.session import durable, spread
 
 MIN_RANGES, MAX_RANGES, SUB_RANGES = 512, 8192, 1024
 SORT_ROWS = 200_000_000
+FLAG_RANGES = 1024  # value ranges of ``ks_flags``
 BROADCAST_ROWS = 200_000
 BH_BLOCK = 1 << 16  # rows of one block of the p-value order
 
@@ -160,6 +166,7 @@ def ks_scan(
     min_bin_rows: int = 20,
     ranges: int | None = None,
     sort_rows: int = SORT_ROWS,
+    cuts: list[float] | None = None,
 ) -> DataFrame:
     """Exact two-sample KS statistic of every bin against the whole sample (bin included),
     with effect size and asymptotic p-value.
@@ -168,15 +175,12 @@ def ks_scan(
     the range borders and bound their distance inside each range; only ranges whose bound
     beats the best border distance stay open.  While the open ranges hold too many rows they
     are cut again; the rest is sorted.  The result is exact, while almost all rows are reduced
-    to counts before any shuffle.
+    to counts before any shuffle.  Scans of parts of one table can share their ``cuts``.
     """
-    base = df.where(F.col(residual).isNotNull() & ~F.isnan(F.col(residual)))
     columns = list(dict.fromkeys([s.column for s in specs]))
-    base = base.select(F.col(residual).cast("double").alias("e"), *[expr.col(c) for c in columns])
-    cuts, n_rows = _cuts(base, ranges or MIN_RANGES)
-    wanted = min(MAX_RANGES, int(4 * math.sqrt(n_rows)))
-    if ranges is None and wanted > 2 * MIN_RANGES:
-        cuts, _ = _cuts(base, wanted)
+    base = _scanned(df, residual, columns)
+    if cuts is None:
+        cuts = value_cuts(df, residual, ranges)
     ranged = add_bucket(spread(base), "e", cuts, "r").withColumn("r", F.col("r").cast("long")).withColumn("up", F.lit(0).cast("long"))
     long = _long(ranged, specs, ["e", "up", "r"], with_all=True)
     counts = durable(
@@ -213,6 +217,101 @@ def ks_scan(
     )
 
 
+def _scanned(df: DataFrame, residual: str, columns: list[str]) -> DataFrame:
+    """The rows that have a residual, as ``e``, with the given columns."""
+    base = df.where(F.col(residual).isNotNull() & ~F.isnan(F.col(residual)))
+    return base.select(F.col(residual).cast("double").alias("e"), *[expr.col(c) for c in columns])
+
+
+def value_cuts(df: DataFrame, residual: str, ranges: int | None = None) -> list[float]:
+    """Cuts of the residual into ``ranges`` value ranges; as many as the rows ask for if not given."""
+    base = _scanned(df, residual, [])
+    cuts, n_rows = _cuts(base, ranges or MIN_RANGES)
+    wanted = min(MAX_RANGES, int(4 * math.sqrt(n_rows)))
+    if ranges is None and wanted > 2 * MIN_RANGES:
+        cuts, _ = _cuts(base, wanted)
+    return cuts
+
+
+def ks_flags(rows: DataFrame, n_flags: int, ranges: int = FLAG_RANGES) -> tuple[int, list[int], list[float]]:
+    """(rows, rows of each flag, exact KS distance of the flagged rows against all) for rows (e, bits): a number and
+    ``n_flags`` flags packed into bytes.  A flag without rows has distance 0.
+
+    One pass counts the flags of every value range, the next walks the rows of a range in order of e for all flags at
+    once, starting from the counts before it.  A row is shuffled once, whatever the number of flags.  A value that fills
+    a range has one of its own, which needs no walk.
+    """
+    found, n = _cuts(rows, ranges)
+    often = {a for a, b in zip(found, found[1:]) if a == b}
+    cuts = np.array(sorted({*found, *[math.nextafter(v, math.inf) for v in often]}))
+    size = len(cuts) + 1
+    if not n:
+        return 0, [0] * n_flags, [0.0] * n_flags
+
+    def unpacked(b: pa.RecordBatch) -> np.ndarray:
+        return np.unpackbits(np.frombuffer(b"".join(b.column("bits").to_pylist()), np.uint8).reshape(b.num_rows, -1), axis=1, count=n_flags)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((size, 1 + n_flags))
+        for b in batches:
+            if b.num_rows:
+                r = np.searchsorted(cuts, b.column("e").to_numpy(), "right")
+                order = np.argsort(r, kind="stable")
+                held, first = np.unique(r[order], return_index=True)
+                total[held, 0] += np.diff([*first, len(r)])
+                total[held, 1:] += np.add.reduceat(unpacked(b)[order], first, axis=0, dtype=np.int64)
+        slot = TaskContext.get().partitionId() % SLOTS
+        yield pa.RecordBatch.from_pydict({"g": pa.array([0], pa.int32()), "slot": pa.array([slot], pa.int32()), "v": [total.tobytes()]})
+
+    counts = summed_arrays(rows.mapInArrow(count, "g int, slot int, v binary"))[0].reshape(size, 1 + n_flags)
+    upto = np.cumsum(counts, axis=0)
+    before = upto - counts
+    sizes = upto[-1, 1:]
+    share = np.maximum(sizes, 1.0)
+    whole, part = upto[:, :1] / n, upto[:, 1:] / share
+    whole_before, part_before = before[:, :1] / n, before[:, 1:] / share
+    best = np.abs(whole - part).max(axis=0)
+    inside = np.maximum(whole - part_before, part - whole_before)
+    single = np.isin(cuts[:-1], list(often)) if often else np.zeros(size - 2, bool)
+    walked = ((inside > best) & (sizes > 0)).any(axis=1) & (counts[:, 0] > 1)
+    walked[1:-1] &= ~single
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            r = np.searchsorted(cuts, b.column("e").to_numpy(), "right")
+            kept = pa.RecordBatch.from_arrays([pa.array(r, pa.int32()), b.column("e"), b.column("bits")], ["r", "e", "bits"])
+            yield kept.filter(pa.array(walked[r]))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top, state, last, waiting = np.zeros(n_flags), None, None, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            r, e, flags = b.column("r").to_numpy(), b.column("e").to_numpy(), unpacked(b)
+            first = [0, *(np.flatnonzero(np.diff(r)) + 1)]
+            for lo, hi in zip(first, [*first[1:], len(r)], strict=True):
+                if waiting is not None and last != (r[lo], e[lo]):
+                    top = np.maximum(top, waiting)
+                if last is None or last[0] != r[lo]:
+                    state = before[r[lo]].copy()
+                sums = np.cumsum(flags[lo:hi], axis=0, dtype=np.int32)
+                ends = np.append(np.flatnonzero(e[lo + 1 : hi] != e[lo : hi - 1]), hi - lo - 1)  # the last of equal values
+                gap = np.abs((state[0] + ends + 1)[:, None] / n - (state[1:] + sums[ends]) / share)
+                top = np.maximum(top, gap[:-1].max(axis=0, initial=0.0))
+                waiting, last = gap[-1], (r[hi - 1], e[hi - 1])  # the next batch may go on with its value
+                state[0] += hi - lo
+                state[1:] += sums[-1]
+        if waiting is not None:
+            top = np.maximum(top, waiting)
+        yield pa.RecordBatch.from_pydict({"v": [top.tobytes()]})
+
+    if walked.any():
+        by_range = rows.mapInArrow(placed, "r int, e double, bits binary").repartition("r").sortWithinPartitions("r", "e")
+        for r in by_range.mapInArrow(walk, "v binary").collect():  # a number a flag and task
+            best = np.maximum(best, np.frombuffer(r["v"]))
+    return n, [int(s) for s in sizes], [float(d) if s else 0.0 for d, s in zip(best, sizes, strict=True)]
+
+
 def _cuts(base: DataFrame, ranges: int) -> tuple[list[float], int]:
     """Approximate quantiles of ``e`` that cut it into ``ranges`` parts, and the row count."""
     marks = ", ".join(f"{i / ranges}D" for i in range(1, ranges))

@@ -127,3 +127,38 @@ def test_votes_count_folds(spark):
     pdf = pd.DataFrame({"cat": cat, "e": rng.normal(size=600) + 2 * (cat == "b"), "fold": np.arange(600) % 5})
     rows = audit.discovery_votes(spark.createDataFrame(pdf), [BinSpec("cat")], "e").collect()
     assert {(r["bin_value"], r["votes"], r["stable"]) for r in rows} == {("a", 5, True), ("b", 5, True)}
+
+
+@pytest.mark.parametrize("ranges,hot", [(4, 0.0), (4, 0.5), (64, 0.3), (1024, 0.0)])
+def test_flags_against_brute_force(spark, ranges, hot):
+    rng = np.random.default_rng(ranges)
+    n, n_flags = 3000, 11
+    e = np.where(rng.random(n) < hot, -0.0, rng.normal(size=n).round(1 if ranges == 4 else 4)) + 0.0
+    e[:2] = -np.inf, np.inf
+    low = rng.random((n, n_flags)) < np.linspace(0, 1, n_flags)
+    low[:, 5] = e > 0.5
+    bits = [bytearray(b.tobytes()) for b in np.packbits(low, axis=1)]
+    rows = spark.createDataFrame(list(zip(e.tolist(), bits, strict=True)), "e double, bits binary").repartition(3)
+    total, sizes, distances = scan.ks_flags(rows, n_flags, ranges)
+    assert total == n and sizes == low.sum(0).tolist() and distances[0] == 0.0
+    for f in range(1, n_flags):
+        assert distances[f] == pytest.approx(brute(pd.DataFrame({"e": e}), None, None, low[:, f])[2], abs=1e-12)
+
+
+def test_null_scan_shuffles_a_row_once(spark, monkeypatch):
+    """No scan with a row per row and split; rows without key are in the upper halves, those without residual nowhere."""
+    monkeypatch.setattr(audit, "ks_scan", None)
+    rng = np.random.default_rng(5)
+    e = rng.normal(size=500).round(1).tolist()
+    keys = [None if i % 50 == 0 else str(i) for i in range(500)]
+    df = spark.createDataFrame([*zip(keys, e, strict=True), ("a", None), ("b", float("nan"))], "k string, e double")
+    got = {(r["replicate"], r["feature"]): r for r in audit.null_scan(df, "k", "e", replicates=2, features=3).collect()}
+    drawn = df.where("e IS NOT NULL AND NOT isnan(e)").select("e", *[F.coalesce(audit.digest(F.col("k"), f"null42:{i // 4}").substr(8 * (i % 4) + 1, 8) < "80000000", F.lit(False)).alias(f"s{i}") for i in range(6)]).toPandas()
+    assert len(got) == 6
+    for i in range(6):
+        a, b = (np.sort(drawn["e"][drawn[f"s{i}"] == side].to_numpy()) for side in (True, False))
+        at = np.sort(drawn["e"].to_numpy())
+        d = np.abs(np.searchsorted(a, at, side="right") / len(a) - np.searchsorted(b, at, side="right") / len(b)).max()
+        row = got[i // 3, i % 3]
+        assert row["sample_count"] == len(a) and row["ks_stat"] == pytest.approx(d, abs=1e-9)
+    assert audit.null_scan(df.limit(0), "k", "e", replicates=2, features=3).count() == 0
