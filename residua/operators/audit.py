@@ -9,9 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from residua.functions import expr
 from residua.functions.dist import binomial_upper, kolmogorov_sf
 from residua.functions.hashing import digest
-from residua.operators.scan import BinSpec, bh_adjust, ks_flags, ks_scan
+from residua.operators.scan import BinSpec, bh_adjust, ks_flags, ks_scan, value_cuts
 from residua.session import durable, release, spread
 
 MAX_FPR, ALPHA, MIN_HALF = 0.07, 0.05, 10
@@ -70,10 +71,14 @@ def false_positive_audit(df: DataFrame, key: str, residual: str, replicates: int
 
 
 def discovery_votes(df: DataFrame, specs: list[BinSpec], residual: str, folds: int = 5, min_votes: int = 3, min_effect: float = 0.15, alpha: float = 0.05, min_bin_rows: int = 20) -> DataFrame:
-    """Scan each fold's complement and count in how many a bin is found."""
+    """Scan each fold's complement and count in how many a bin is found.  The folds are written once, and all scans
+    start from the value ranges of all rows."""
     found = None
+    used = dict.fromkeys(["fold", residual, *[s.column for s in specs]])
+    df = durable(spread(df.select(*[expr.col(c).alias(c) for c in used])))
+    cuts = value_cuts(df, residual)
     for k in range(folds):
-        tests = bh_adjust(ks_scan(df.where(F.col("fold") != k), specs, residual, min_bin_rows))
+        tests = bh_adjust(ks_scan(df.where(F.col("fold") != k), specs, residual, min_bin_rows, cuts=cuts))
         hit = tests.where((F.col("adjusted_p_value") <= alpha) & (F.abs("effect_size") > min_effect)).select(
             "column_name", "bin_value", F.lit(k).alias("k")
         )

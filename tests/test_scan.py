@@ -162,3 +162,18 @@ def test_null_scan_shuffles_a_row_once(spark, monkeypatch):
         row = got[i // 3, i % 3]
         assert row["sample_count"] == len(a) and row["ks_stat"] == pytest.approx(d, abs=1e-9)
     assert audit.null_scan(df.limit(0), "k", "e", replicates=2, features=3).count() == 0
+
+
+def test_votes_read_the_folds_once(spark):
+    rng = np.random.default_rng(9)
+    cat = rng.choice(["a", "b"], 600)
+    df = spark.createDataFrame(pd.DataFrame({"cat": cat, "e": rng.normal(size=600) + 2 * (cat == "b"), "fold": np.arange(600) % 5}))
+    seen = spark.sparkContext.accumulator(0)
+
+    def pass_on(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    assert audit.discovery_votes(df.mapInPandas(pass_on, df.schema), [BinSpec("cat")], "e").count() == 2
+    assert seen.value == 600
