@@ -213,6 +213,7 @@ def discover(df: DataFrame, o: Options) -> Result:
     clash = {"fold", "pos", "y", "prediction", "residual", "is_holdout"} & (set(df.columns) - {o.target})
     if clash:
         raise ValueError(f"column names used by the run itself: {sorted(clash)}")
+    df = durable(df)  # dozens of passes read it: what it was joined from is read and broadcast once
     features, numeric, problem = _prepare(df, o)
     n_rows = df.count()
     if o.time_column and prep.split_allowed(n_rows, o.test_size):

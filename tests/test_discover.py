@@ -135,3 +135,16 @@ def test_percentiles_of_heavy_groups(spark, monkeypatch):
     monkeypatch.setattr(quantiles, "SMALL_ROWS", 10)
     ranged = {tuple(r) for r in alerts.p95(df, "value", ["kind"]).select("window_start", "kind", F.round("p95", 9)).collect()}
     assert exact == ranged
+
+
+def test_a_run_reads_its_table_once(spark):
+    pdf = delivery(600)
+    df, seen = spark.createDataFrame(pdf), spark.sparkContext.accumulator(0)
+
+    def pass_on(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    discover(df.mapInPandas(pass_on, df.schema), Options(target="delivery_time", key="row_no", cv_folds=3, bootstrap_iterations=10, cluster=False))
+    assert seen.value == len(pdf)
