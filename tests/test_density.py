@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from residua.functions import derive
-from residua.functions.graph import connected_components, spanning_forest
+from residua.functions.graph import connected_components, forest_with_homes, spanning_forest
 from residua.operators import cluster, density, prep, rules
 from residua.operators.rules import Rule
 
@@ -117,3 +117,50 @@ def test_clusters_of_two_models_match_by_rows(spark):
     two = spark.createDataFrame([(i, 3 - i // 10) for i in range(40) if i % 10 < 8], "k long, cluster int")
     assert cluster.matching(one, two, "k") == [(0, 3), (1, 2), (2, 1), (3, 0)]
     assert cluster.matching(one, two, "k", share=0.9) == []
+
+
+def test_homes_are_bounded_trees_of_the_forest(spark):
+    rng = np.random.default_rng(6)
+    pairs = {(min(a, b), max(a, b)) for a, b in rng.integers(0, 400, (1500, 2)) if a != b} | {(500 + i, 501 + i) for i in range(30)}
+    edges = spark.createDataFrame([(int(a), int(b), float(rng.integers(0, 50))) for a, b in sorted(pairs)], "a long, b long, w double")
+    forest, homes = forest_with_homes(edges, 100)
+    home = dict(map(tuple, homes.collect()))
+    assert set(home) == {x for p in pairs for x in p} and 1 < max(np.unique(list(home.values()), return_counts=True)[1]) <= 100
+    inside = [(a, b) for a, b, _ in map(tuple, forest.collect()) if home[a] == home[b]]
+    assert len(inside) == len(home) - len(set(home.values()))  # each home is one tree
+    assert forest_with_homes(edges, 1)[1] is None and {tuple(r) for r in forest.collect()} == kruskal([tuple(r) for r in edges.collect()])
+
+
+def test_levels_from_homes_equal_components_of_all_levels(spark):
+    rng = np.random.default_rng(7)
+    tree = [(int(rng.integers(max(0, i - 40), i)), i, int(rng.integers(0, 5))) for i in range(1, 900) if i % 300]
+    forest = spark.createDataFrame(tree, "a long, b long, first int")
+    want = {}
+    for level in range(5):
+        root = {}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b, first in tree:
+            if first <= level:
+                root.setdefault(a, a), root.setdefault(b, b)
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+        want |= {(level, x): find(x) for x in root}
+    for homes in (None, [(i, 0) for i in range(900)], [(i, i // 50) for i in range(900)], [(i, i % 7) for i in range(900)]):
+        got = density._components(forest, homes and spark.createDataFrame(homes, "id long, home long"), 5).collect()
+        assert len(got) == len(want) and {(r["level"], r["id"]): r["component"] for r in got} == want
+
+
+def test_level_components_of_points_in_one_home_shuffle_each_edge_once(spark, monkeypatch):
+    def refused(edges):
+        raise AssertionError("all levels of all points went through the rounds")
+
+    monkeypatch.setattr(density, "connected_components", refused)
+    rng = np.random.default_rng(8)
+    x = np.vstack([rng.normal([0, 0], 0.4, (120, 2)), rng.normal([6, 0], 0.4, (120, 2))])
+    labels, _ = labelled(spark, x)
+    assert not set(labels[:120]) & set(labels[120:]) - {-1}
