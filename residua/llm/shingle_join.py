@@ -39,6 +39,7 @@ from residua.session import durable, release, sweep
 
 SHINGLE, PERCENT = 4, 85
 GROUPS, MOST_GROUPS = 256, 2048  # coordinates of a point
+SIGMAS = 6
 SLAB_GROUPS = 1024  # groups of a slab
 FLUSH = 1_000_000  # entries a task gathers before it sends them
 TILE, LEAF = 2048, 32
@@ -147,6 +148,24 @@ def points(h: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def sent_groups(n: np.ndarray, percent: int) -> np.ndarray:
+    """Groups of the point that travels with a text of n shingles: the fewest at which the summed minima of unrelated texts
+    stay ``SIGMAS`` deviations below what a link needs.  Fewer groups only weaken the bound, no pair is lost."""
+    need = 2 * percent / (100 + percent)
+    out = groups_for(n)
+    for groups in (GROUPS // 2, GROUPS // 4):
+        per = np.maximum(n, 1) / groups  # two Poisson counts: mean of the least per - 0.564 sqrt(per), deviation 0.43 sqrt(per)
+        far = need - 1 + 0.564 / np.sqrt(per) >= SIGMAS * 0.43 / np.sqrt(per * groups)
+        out[far & (out == 2 * groups)] = groups
+    return out
+
+
+def narrowed(vectors: list[np.ndarray], n: np.ndarray, percent: int) -> list[np.ndarray]:
+    """The points folded onto the groups that travel; ``may_link`` allows for what is cut."""
+    wide = sent_groups(n, percent)
+    return [v if len(v) <= g else np.minimum(v.reshape(g, -1).sum(1), 255).astype(np.uint8) for v, g in zip(vectors, wide.tolist(), strict=True)]
+
+
 def folded(packed: list[bytes], groups: int) -> np.ndarray:
     """Points of several sizes as rows over ``groups`` groups."""
     out = np.empty((len(packed), groups), np.int64)
@@ -352,6 +371,7 @@ def _verified(docs: DataFrame, members: DataFrame, pairs: DataFrame, key: str, t
             yield b.select(["a", "b"]).filter(pa.array(ok))
 
     near = durable(near.mapInArrow(bound, two))
+    sweep(docs.sparkSession)  # the points have been compared
     judged = durable(_compared(docs, members, near, key, text, size, percent, np.uint32))
     close = judged.where("close").select("a", "b")
     sure = judged.where("linked AND NOT close").select("a", "b")
@@ -467,7 +487,7 @@ def _by_tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 def _open_links(docs: DataFrame, stars: DataFrame, pairs: DataFrame, members: DataFrame, component: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
     """(a, b): links found in open slabs, one for every row that is linked in a tile, to the least of its tile
-    component.  The points of all members of open slabs say which rows may be linked; a tile lets out one row for
+    component; ``stars`` and ``pairs`` are released.  The points of all members of open slabs say which rows may be linked; a tile lets out one row for
     each of them.  Their sets meet by the components of that relation, in tiles again, and are verified there, so
     pairs never leave a task and a set is sent once unless its component is large."""
     parts = chunks.width(docs.sparkSession)
@@ -482,10 +502,15 @@ def _open_links(docs: DataFrame, stars: DataFrame, pairs: DataFrame, members: Da
         ends.withColumn("k", F.struct("h1")).join(of, "k", "left").select("slab", "h1", F.coalesce("component", "h1").alias("part"), "k")
         .join(members.select(F.struct("h1").alias("k"), "n"), "k").select("slab", "h1", "part", "n")
     )
+    for used in (stars, pairs):
+        release(used)
+    del opened, ends, sides
+    sweep(docs.sparkSession)  # all that led to the placed rows
     tiles = F.ceil(F.greatest(F.count(F.lit(1)) / TILE, F.sum("n") / TILE_SHINGLES)).cast("int")
-    dealt = placed.groupBy("slab").agg(tiles.alias("tiles")).select(F.struct("slab").alias("s"), "tiles")
+    dealt = durable(placed.groupBy("slab").agg(tiles.alias("tiles")).where("tiles > 1").select(F.struct("slab").alias("s"), "tiles"))
     member = (
-        placed.withColumn("s", F.struct("slab")).join(dealt, "s")
+        placed.withColumn("s", F.struct("slab")).join(F.broadcast(dealt) if dealt.count() <= BROADCAST_ROWS else dealt, "s", "left")
+        .withColumn("tiles", F.coalesce("tiles", F.lit(1)))
         .select("slab", "h1", "part", "n", "tiles", F.pmod(F.xxhash64("h1"), "tiles").cast("int").alias("t"))
         .select("slab", "h1", "part", "n", "t", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("u"))
         .select(F.struct("h1").alias("k"), "slab", F.least("t", "u").alias("t1"), F.greatest("t", "u").alias("t2"), (F.col("t") > F.col("u")).cast("int").alias("side"), "h1", "part", "n")
@@ -559,7 +584,7 @@ def shingle_join(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
         for part in slices(batches, text, SLICE):
             h, first = shingle_sets(part.column(text), size)
             h1, h2 = class_hash(h, first)
-            vectors = [v.tobytes() for v in points(h, first)]
+            vectors = [v.tobytes() for v in narrowed(points(h, first), np.diff(first), percent)]
             yield pa.RecordBatch.from_arrays(
                 [part.column(key), pa.array(np.diff(first), pa.int64()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(vectors, pa.binary())],
                 schema=chunks.arrow_schema(kind),
@@ -587,7 +612,4 @@ def shingle_join(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     placed = named.select("h1", F.struct("component").alias("c")).join(least.select(F.struct("component").alias("c"), "least"), "c").select(F.struct("h1").alias("k"), "least")
     texts = described.select(key, "n", F.when((F.col("n") > 0) & F.col(key).isNotNull(), F.struct("h1")).alias("k"))
     joined = texts.join(placed, "k", "left")
-    out = joined.select(key, F.col("n").alias("n_shingles"), F.coalesce("least", key).alias("component_id"))
-    for used in (stars, pairs):
-        release(used)
-    return out
+    return joined.select(key, F.col("n").alias("n_shingles"), F.coalesce("least", key).alias("component_id"))

@@ -217,6 +217,27 @@ def test_linked_pairs_share_a_slab_and_pass_the_bound():
         assert shingles.may_link(v[0], n, v[1], len(b), 85)
 
 
+def test_points_that_travel_are_short_and_keep_linked_pairs():
+    rng = np.random.default_rng(5)
+    for n, percent, groups in ((60, 80, 64), (250, 80, 64), (800, 80, 128), (3000, 80, 256), (9000, 80, 1024), (250, 85, 64), (250, 50, 256)):
+        a = rng.integers(0, 2**63, n).astype(np.uint64) << np.uint64(1)
+        gone = n * (100 - percent) // 100 // 2
+        b = np.concatenate([a[gone:], rng.integers(0, 2**63, gone // 2).astype(np.uint64)])
+        other = rng.integers(0, 2**63, n).astype(np.uint64) << np.uint64(1)
+        sets = [np.sort(x) for x in (a, b, other)]
+        sizes = np.array([len(x) for x in sets])
+        first = np.concatenate([[0], np.cumsum(sizes)])
+        short = shingles.narrowed(shingles.points(np.concatenate(sets), first), sizes, percent)
+        assert len(short[0]) == groups
+        v = shingles.folded([x.tobytes() for x in short], min(map(len, short)))
+        assert 100 * (n - gone) >= percent * (n + gone // 2) and shingles.may_link(v[0], sizes[0], v[1], sizes[1], percent)
+        if percent > 50:
+            assert not shingles.may_link(v[0], sizes[0], v[2], sizes[2], percent)
+    many = np.full(3000, 1 << 63, np.uint64)  # counts beyond a byte
+    short = shingles.narrowed(shingles.points(many[:290], np.array([0, 290])), np.array([290]), 80)
+    assert short[0].max() == 255 and shingles.may_link(short[0].astype(np.int64), 290, short[0].astype(np.int64), 290, 80)
+
+
 def test_tree_finds_the_pairs_of_the_bound():
     rng = np.random.default_rng(4)
     n = rng.integers(40, 200, 300)
