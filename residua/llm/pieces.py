@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import heapq
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,14 +20,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from residua.llm import chunks
-from residua.llm.words import Words, hash_spans, slices, text_bytes
+from residua.llm.words import Words, give_back, hash_spans, slices, text_bytes
 from residua.session import ensure_checkpoint_dir
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 BROADCAST_TOKENS = 8_000_000
-SLICE = 1 << 19  # bytes of text handled at once
+SLICE = 1 << 17  # bytes of text handled at once: a task needs about 200 times that beside the answers
+TRIMMED = 32  # slices after which a task returns the memory that their arrays held
 RECENT, SEEN = 150_000, 1_000_000  # hashes a task remembers: merged in steps, forgotten above the second
 
 
@@ -113,6 +114,14 @@ def pre_tokens(texts: pa.Array, letters_apart: bool = True) -> Words:
     return Words(out, starts, ends, np.searchsorted(starts, new), hash_spans(out, starts, ends))
 
 
+def token_slices(batches: Iterable[pa.RecordBatch], text: str, letters_apart: bool) -> Iterator[tuple[pa.RecordBatch, Words]]:
+    """Small parts of the batches, each with its pre-tokens."""
+    for k, part in enumerate(slices(batches, text, SLICE), 1):
+        yield part, pre_tokens(part.column(text), letters_apart)
+        if k % TRIMMED == 0:
+            give_back()
+
+
 def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     """Which values are among sorted known ones."""
     if not len(known):
@@ -139,12 +148,11 @@ def distinct_tokens(docs: DataFrame, text: str, letters_apart: bool) -> DataFram
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = recent = np.empty(0, np.uint64)
-        for part in slices(batches, text, SLICE):
-            w = pre_tokens(part.column(text), letters_apart)
+        for _, w in token_slices(batches, text, letters_apart):
             h, first = np.unique(w.hashes, return_index=True)
             new = ~(_among(h, seen) | _among(h, recent))
             h, first = h[new], first[new]
-            recent = np.union1d(recent, h)
+            recent = np.insert(recent, np.searchsorted(recent, h), h)  # none of them is there yet
             if len(recent) > RECENT:
                 seen = recent if len(seen) > SEEN else np.union1d(seen, recent)
                 recent = recent[:0]
@@ -164,12 +172,12 @@ class Found:
 
 
 class Answers:
-    """Values (integer lists) by pre-token hash: parts sorted by hash, used in place without copies."""
+    """Values (integer lists) by pre-token hash: parts sorted by hash, used in place without copies.  A part has its
+    hashes, the places where their lists begin and the last one ends, and the values of all lists."""
 
     def __init__(self, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
-        parts = sorted((p for p in parts if len(p[0])), key=lambda p: p[0][0])
-        self.parts = [(k, s, np.cumsum(s, dtype=np.int64) - s, v) for k, s, v in parts]
-        self.first = np.array([k[0] for k, _, _ in parts], np.int64)
+        self.parts = sorted((p for p in parts if len(p[0])), key=lambda p: p[0][0])
+        self.first = np.array([k[0] for k, _, _ in self.parts], np.int64)
 
     def find(self, hashes: np.ndarray) -> Found:
         keys, at = np.unique(hashes.view(np.int64), return_inverse=True)
@@ -177,14 +185,15 @@ class Answers:
         if len(keys) and edges[0]:
             raise RuntimeError("a pre-token has no answer")
         sizes, values = [np.empty(0, np.int64)], [np.empty(0, np.int32)]
-        for (k, s, begin, v), lo, hi in zip(self.parts, edges[:-1], edges[1:], strict=True):
+        for (k, begin, v), lo, hi in zip(self.parts, edges[:-1], edges[1:], strict=True):
             if lo == hi:
                 continue
             place = np.minimum(np.searchsorted(k, keys[lo:hi]), len(k) - 1)
             if (k[place] != keys[lo:hi]).any():
                 raise RuntimeError("a pre-token has no answer")
-            sizes.append(s[place].astype(np.int64))
-            values.append(v[gather(begin[place], sizes[-1])].astype(np.int32))
+            starts = begin[place].astype(np.int64)
+            sizes.append(begin[place + 1].astype(np.int64) - starts)
+            values.append(v[gather(starts, sizes[-1])].astype(np.int32))
         size = np.concatenate(sizes)
         return Found(at, size, np.cumsum(size) - size, np.concatenate(values))
 
@@ -196,12 +205,16 @@ def gather(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def _arrays(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, list sizes and joined values in order of the hashes, as narrow as they fit."""
+    """A part of ``Answers``, in order of the hashes, its numbers as narrow as they fit."""
     table = table.sort_by("h")
     values = table.column("value").combine_chunks()
     flat, sizes = values.flatten().to_numpy(), values.value_lengths().to_numpy()
-    narrow = lambda v: v.astype(np.uint16) if v.max(initial=0) < 1 << 16 else v.astype(np.int32)
-    return table.column("h").to_numpy().astype(np.int64), narrow(sizes), narrow(flat)
+    begin = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    return (
+        table.column("h").to_numpy().astype(np.int64),
+        begin.astype(np.uint32) if begin[-1] < 1 << 32 else begin,
+        flat.astype(np.uint16) if flat.max(initial=0) < 1 << 16 else flat.astype(np.int32),
+    )
 
 
 def answer_texts(
@@ -219,26 +232,27 @@ def answer_texts(
     answers = spark.read.parquet(path)
 
     if answers.count() <= broadcast_tokens:
-        packed = chunks.shape("h binary, size binary, value binary, wide_sizes boolean, wide_values boolean")
+        packed = chunks.shape("h binary, begin binary, value binary, wide_begin boolean, wide_values boolean")
 
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = list(batches)
             if held:
-                h, size, value = _arrays(pa.Table.from_batches(held))
-                row = (h.tobytes(), size.tobytes(), value.tobytes(), size.dtype == np.int32, value.dtype == np.int32)
+                h, begin, value = _arrays(pa.Table.from_batches(held))
+                row = (h.tobytes(), begin.tobytes(), value.tobytes(), begin.dtype == np.int64, value.dtype == np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, chunks.arrow_schema(packed), strict=True)], schema=chunks.arrow_schema(packed))
 
         dealt = answers.repartitionByRange(chunks.width(spark), "h").mapInArrow(pack, packed)
         parts = [spark.sparkContext.broadcast(tuple(r)) for r in dealt.toLocalIterator()]
 
         def unpack(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            h, size, value, wide_sizes, wide_values = row
-            return np.frombuffer(h, np.int64), np.frombuffer(size, np.int32 if wide_sizes else np.uint16), np.frombuffer(value, np.int32 if wide_values else np.uint16)
+            h, begin, value, wide_begin, wide_values = row
+            return np.frombuffer(h, np.int64), np.frombuffer(begin, np.int64 if wide_begin else np.uint32), np.frombuffer(value, np.int32 if wide_values else np.uint16)
 
         def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            give_back()  # what tasks before this one have left
             known = Answers([unpack(p.value) for p in parts])
-            for part in slices(batches, text, SLICE):
-                yield finish(part, pre_tokens(part.column(text), letters_apart), known)
+            for part, w in token_slices(batches, text, letters_apart):
+                yield finish(part, w, known)
 
         return docs.mapInArrow(judge, shape)
 
@@ -246,13 +260,13 @@ def answer_texts(
     asked = T.StructType([T.StructField(chunks.CHUNK, T.IntegerType()), T.StructField("h", T.LongType())])
 
     def ask(table: pa.Table) -> pa.Table:
-        h = np.unique(np.concatenate([np.empty(0, np.uint64), *[pre_tokens(p.column(text), letters_apart).hashes for p in slices(table.to_batches(), text)]]))
+        h = np.unique(np.concatenate([np.empty(0, np.uint64), *[np.unique(w.hashes) for _, w in token_slices(table.to_batches(), text, letters_apart)]]))
         return pa.Table.from_arrays([pa.array(np.full(len(h), table.column(chunks.CHUNK)[0].as_py()), pa.int32()), pa.array(h.view(np.int64))], schema=chunks.arrow_schema(asked))
 
     def judge_chunk(left: pa.Table, right: pa.Table) -> pa.Table:
         schema = chunks.arrow_schema(shape)
         known = Answers([_arrays(right)])
-        return pa.Table.from_batches([finish(p, pre_tokens(p.column(text), letters_apart), known) for p in slices(left.to_batches(), text)], schema=schema)
+        return pa.Table.from_batches([finish(p, w, known) for p, w in token_slices(left.to_batches(), text, letters_apart)], schema=schema)
 
     grouped = x.groupBy(chunks.CHUNK)
     replies = grouped.applyInArrow(ask, asked).withColumn("k", F.struct("h")).join(answers.select(F.struct("h").alias("k"), "value"), "k").select(chunks.CHUNK, "h", "value")

@@ -196,6 +196,42 @@ def test_encoding_equals_the_library(spark, docs, table, most):
     assert [r["decoded"] for r in sentence_pieces.decode(broken, table).collect()] == ["", None, ""]
 
 
+def test_encoding_tasks_hold_little_beside_the_answers(spark, table, monkeypatch):
+    """The functions of the tasks, run here on 2 MB of text: all they allocate at a time."""
+    import tracemalloc
+
+    rows = [(i, " ".join(f"{'ab'[j % 2]}{(i * 7 + j) % 9000}word" for j in range(160))) for i in range(1600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kind, tasks = type(docs), []
+    plain = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda df, f, *more, **named: tasks.append(f) or plain(df, f, *more, **named))
+    coded = sentence_pieces.encode(docs, table, exact=True)
+    batch = pa.RecordBatch.from_pydict({"doc_id": [i for i, _ in rows], "text": [t for _, t in rows]})
+    assert batch.nbytes > 2 << 20
+    peaks, seen = [], []
+    for f in (tasks[0], tasks[-1]):
+        tracemalloc.start()
+        seen.append([b.num_rows for b in f(iter([batch]))])
+        peaks.append(tracemalloc.get_traced_memory()[1] >> 20)
+        tracemalloc.stop()
+    assert sum(seen[1]) == len(rows) == coded.where("exact").count()
+    assert max(peaks) < 16, peaks
+
+
+def test_answers_take_no_room_of_their_own():
+    import tracemalloc
+
+    h, begin = np.arange(1_000_000, dtype=np.int64) * 3, np.arange(1_000_001, dtype=np.uint32) * 2
+    values = np.arange(2_000_000, dtype=np.int32)
+    tracemalloc.start()
+    known = pieces.Answers([(h[500_000:], begin[:500_001], values[1_000_000:]), (h[:500_000], begin[:500_001], values[:1_000_000])])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    found = known.find(np.array([2_400_000, 0, 2_400_000], np.uint64))
+    assert [found.values[b : b + n].tolist() for b, n in zip(found.begin[found.at], found.sizes[found.at], strict=True)] == [[1_600_000, 1_600_001], [0, 1], [1_600_000, 1_600_001]]
+    assert peak < 1 << 20
+
+
 def best_by_force(word, table):
     best = {0: (0.0, 0)}
     for e in range(1, len(word) + 1):
