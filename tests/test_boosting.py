@@ -136,3 +136,78 @@ def test_one_file_is_dealt_to_all_cores_and_only_splits_come_back(spark, monkeyp
     x, paths = pdf[["a", "b", "c"]].to_numpy(), attribution.tree_paths(model)
     assert np.array_equal(attribution.shap_matrix(x, paths)[:2], attribution.shap_matrix(x[:2], paths))  # patterns of passing, or rows
     assert np.isclose(attribution.interaction_matrix(x, paths), sum(attribution.interaction_matrix(x[i : i + 2], paths) for i in range(0, 900, 2))).all()
+
+
+def coarse(n=1200, seed=3):
+    """Few distinct rows, some without values, targets of all three objectives."""
+    rng = np.random.default_rng(seed)
+    a, b, c = rng.integers(0, 9, n).astype(float), rng.integers(0, 4, n).astype(float), rng.integers(0, 6, n).astype(float)
+    y = 2 * a + 7 * ((a > 4) & (b > 1)) + np.sin(c) + rng.normal(size=n)
+    a[::17] = np.nan
+    return pd.DataFrame({"k": np.arange(n), "fold": np.arange(n) % 3, "a": a, "b": b, "c": c, "y": y, "big": (y > 11).astype(float), "three": np.digitize(y, [6.0, 16.0]).astype(float)})
+
+
+@pytest.mark.parametrize("objective,target,classes", [("squared", "y", 1), ("logistic", "big", 1), ("softmax", "three", 3)])
+def test_trees_over_cells_are_those_of_passes_over_rows(spark, monkeypatch, objective, target, classes):
+    monkeypatch.setattr(boosting, "TASK_ROWS", 300)
+    monkeypatch.setattr(boosting, "COMMON_ROWS", 4)  # cells in several parts
+    monkeypatch.setattr(boosting, "DRAWN_BYTES", 1)  # a job for each tree
+    df = spark.createDataFrame(coarse()).coalesce(1)
+    p = Boosting(trees=4, depth=3)
+
+    def fit(most):
+        monkeypatch.setattr(boosting, "MOST_CELLS", most)
+        made = boosting._Fit(df, ["a", "b", "c"], target, [*folds(2), F.lit(False)], objective, classes, p)
+        assert made.few_cells() == (most > 0)
+        return made.run()
+
+    for passes, cells in zip(fit(0), fit(1 << 20)):
+        for x, y in zip(passes.rounds, cells.rounds, strict=True):
+            for s, t in zip(x, y, strict=True):
+                assert (s.feature, s.bin, s.left, s.right) == (t.feature, t.bin, t.left, t.right)
+                assert np.allclose(s.value, t.value, atol=1e-9) and np.allclose(s.cover, t.cover) and np.allclose(s.gain, t.gain, atol=1e-7)
+        assert len(cells.rounds) == 4
+
+
+def test_many_trees_take_few_jobs_and_cells_are_counted(spark, monkeypatch):
+    df = spark.createDataFrame(coarse())
+    spark.sparkContext.setJobGroup("forests", "")
+    try:
+        boosting.fit_forests(df, ["a", "b", "c"], "y", folds(3), params=Boosting(trees=12, depth=4))
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("forests")) < 24  # a pass a level: 48 and more
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    made = boosting._Fit(df, ["a", "b", "c"], "y", [F.lit(True)], "squared", 1, Boosting(trees=1))
+    bins = made.forests[0].binned(coarse()[["a", "b", "c"]].to_numpy())
+    distinct = len(np.unique(bins, axis=1).T)
+    assert distinct < min(len(bins.T), np.prod([len(e) + 1 for e in made.edges]))  # so that they have to be counted
+    for most in (distinct - 1, distinct):
+        monkeypatch.setattr(boosting, "MOST_CELLS", most)
+        assert made.few_cells() == (most == distinct)
+    assert made._held().agg(F.sum("cells"), F.sum(F.length("cell")) / 4).first() == (distinct, 1200)
+    wide = np.random.default_rng(0).integers(0, 3, (12, 500)).astype(np.uint8)  # more bins than a number holds
+    assert len(np.unique(boosting._cell_keys(wide, [256] * 12))) == len(np.unique(wide, axis=1).T)
+
+
+def test_margins_are_the_same_by_row_and_by_place(spark, monkeypatch):
+    pdf = coarse()
+    forest = boosting.fit_forests(spark.createDataFrame(pdf), ["a", "b", "c"], "three", [F.lit(True)], "softmax", 3, Boosting(trees=3, depth=4, columns=1.0))[0]
+    bins = forest.binned(np.tile(pdf[["a", "b", "c"]].to_numpy(), (20, 1)))
+    by_row = boosting.add_rounds(np.repeat(forest.base[:, None], bins.shape[1], 1), forest.rounds, bins, forest.depth)
+    assert np.array_equal(forest.margins(bins), by_row)
+    monkeypatch.setattr(boosting, "MOST_PLACES", 1)
+    forest.lookups = None
+    assert np.array_equal(forest.margins(bins), by_row) and forest.lookups[0][0] is None
+
+
+@pytest.mark.parametrize("values", [[0, 255], [0, 256], [70_000, 1], [2**33, 0], [-1, 2], [0.5, 2.0], [float("nan"), 1.0], []])
+def test_draws_are_sent_exactly(values):
+    got = boosting._values(boosting.pa.py_buffer(boosting._least(np.array(values))))
+    assert np.array_equal(got, np.array(values, float), equal_nan=True)
+
+
+def test_drawn_rows_are_those_below_the_share():
+    place = boosting._places(5 << 24, 10_000)
+    uniform = (boosting._mixed(place, 77) >> np.uint64(11)).astype(float) / 2**53
+    for share in (0.0, 0.3, 0.8, 1.0):
+        assert np.array_equal(boosting._drawn(place, 77, share), uniform < share)
