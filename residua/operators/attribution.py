@@ -4,7 +4,7 @@ boosted trees."""
 from __future__ import annotations
 
 from itertools import combinations
-from math import factorial
+from math import factorial, prod
 
 import numpy as np
 import pandas as pd
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from residua.functions import expr
+from residua.operators.boosting import MOST_PLACES
 from residua.operators.models import BoostedModel, RidgeModel
 
 
@@ -54,28 +55,98 @@ def _passed(x: np.ndarray, path: list) -> tuple[np.ndarray, np.ndarray | None]:
     return (np.arange(1 << d) >> np.arange(d)[:, None] & 1).astype(float), pattern
 
 
-def shap_matrix(x: np.ndarray, trees: list) -> np.ndarray:
+def _tree_shap(x: np.ndarray, leaves: list) -> dict[int, np.ndarray]:
+    """Shapley values of rows ``x`` by feature, of one tree."""
+    out: dict[int, np.ndarray] = {}
+    for value, path in leaves:
+        d = len(path)
+        if d == 0:
+            continue
+        ones, pattern = _passed(x, path)
+        shares = np.array([s for *_, s in path])
+        weights = _shapley_weights(d)
+        for i, (f, *_rest) in enumerate(path):
+            sums = _subset_sums([j for j in range(d) if j != i], ones, shares)
+            total = sum(w * s for w, s in zip(weights, sums))
+            part = value * (ones[i] - shares[i]) * total
+            out.setdefault(f, np.zeros(len(x)))
+            out[f] += part if pattern is None else part[pattern]
+    return out
+
+
+def _tree_pairs(x: np.ndarray, leaves: list) -> dict[tuple[int, int], np.ndarray]:
+    """Shapley interaction values of rows ``x`` by pair of features, of one tree."""
+    out: dict[tuple[int, int], np.ndarray] = {}
+    for value, path in leaves:
+        d = len(path)
+        if d < 2:
+            continue
+        ones, pattern = _passed(x, path)
+        shares = np.array([s for *_, s in path])
+        weights = [factorial(s) * factorial(d - s - 2) / (2 * factorial(d - 1)) for s in range(d - 1)]
+        for i, j in combinations(range(d), 2):
+            sums = _subset_sums([k for k in range(d) if k not in (i, j)], ones, shares)
+            total = sum(w * s for w, s in zip(weights, sums))
+            a, b = sorted((path[i][0], path[j][0]))
+            part = value * (ones[i] - shares[i]) * (ones[j] - shares[j]) * total
+            out.setdefault((a, b), np.zeros(len(x)))
+            out[a, b] += part if pattern is None else part[pattern]
+    return out
+
+
+class _Lookup:
+    """Values of each tree by place between its cuts: a tree cannot tell rows of one place apart, so its leaves are walked
+    once per place and not once per row.  A tree with more places than ``MOST_PLACES`` is walked by row."""
+
+    def __init__(self, trees: list, features: int, of) -> None:
+        self.of, self.trees = of, []
+        bounds = [[{c for _, path in leaves for f, lo, hi, _ in path if f == k for c in (lo, hi) if np.isfinite(c) or c == hi == -np.inf} for k in range(features)] for leaves in trees]
+        self.cuts = [np.array(sorted(set().union(*(b[k] for b in bounds)))) for k in range(features)]
+        for leaves, own in zip(trees, bounds):
+            used = [k for k in range(features) if own[k]]
+            sizes = [len(own[k]) + 1 for k in used]
+            if prod(sizes) > MOST_PLACES:
+                self.trees.append((leaves, None, None))
+                continue
+            x, steps = np.zeros((prod(sizes), features)), []
+            for i, k in enumerate(used):
+                cuts, step = np.array(sorted(own[k])), prod(sizes[i + 1:])
+                x[:, k] = np.append(cuts, np.inf)[np.arange(len(x)) // step % sizes[i]]
+                steps.append((k, np.searchsorted(cuts, np.append(self.cuts[k], np.inf)) * step))
+            self.trees.append((leaves, steps, of(x, leaves)))
+
+    def add(self, x: np.ndarray, out: dict) -> None:
+        """Adds the values of rows ``x`` to the arrays of ``out``."""
+        bins = [np.searchsorted(c, column) for c, column in zip(self.cuts, x.T)]
+        for leaves, steps, values in self.trees:
+            if steps is None:
+                for k, part in self.of(x, leaves).items():
+                    out[k] += part
+                continue
+            place = sum((numbers[bins[k]] for k, numbers in steps), np.zeros(1, np.intp))
+            for k, part in values.items():
+                out[k] += part[place]
+
+
+def _added(x: np.ndarray, trees: list, of, out: dict) -> None:
+    for leaves in trees:
+        for k, part in of(x, leaves).items():
+            out[k] += part
+
+
+def shap_matrix(x: np.ndarray, trees: list | _Lookup) -> np.ndarray:
     """Path-dependent Shapley values of rows ``x``.
 
     At one leaf the game value of a feature set is leaf * prod(in set: row passes) * prod(out:
     share), so the values follow from elementary symmetric sums over the few features of the
     path, for all rows at once.
     """
-    out = np.zeros_like(x)
-    for leaves in trees:
-        for value, path in leaves:
-            d = len(path)
-            if d == 0:
-                continue
-            ones, pattern = _passed(x, path)
-            shares = np.array([s for *_, s in path])
-            weights = _shapley_weights(d)
-            for i, (f, *_rest) in enumerate(path):
-                sums = _subset_sums([j for j in range(d) if j != i], ones, shares)
-                total = sum(w * s for w, s in zip(weights, sums))
-                part = value * (ones[i] - shares[i]) * total
-                out[:, f] += part if pattern is None else part[pattern]
-    return out
+    out = {f: np.zeros(len(x)) for f in range(x.shape[1])}
+    if isinstance(trees, _Lookup):
+        trees.add(x, out)
+    else:
+        _added(x, trees, _tree_shap, out)
+    return np.stack([*out.values()], 1) if out else np.zeros_like(x)
 
 
 def _subset_sums(members: list[int], ones: np.ndarray, shares: np.ndarray) -> list[np.ndarray]:
@@ -89,25 +160,15 @@ def _subset_sums(members: list[int], ones: np.ndarray, shares: np.ndarray) -> li
     return poly
 
 
-def interaction_matrix(x: np.ndarray, trees: list) -> np.ndarray:
+def interaction_matrix(x: np.ndarray, trees: list | _Lookup) -> np.ndarray:
     """Mean |Shapley interaction value| of each feature pair over rows ``x`` (summed, not
     averaged: shape p x p)."""
     n, p = x.shape
     acc = {pair: np.zeros(n) for pair in combinations(range(p), 2)}
-    for leaves in trees:
-        for value, path in leaves:
-            d = len(path)
-            if d < 2:
-                continue
-            ones, pattern = _passed(x, path)
-            shares = np.array([s for *_, s in path])
-            weights = [factorial(s) * factorial(d - s - 2) / (2 * factorial(d - 1)) for s in range(d - 1)]
-            for i, j in combinations(range(d), 2):
-                sums = _subset_sums([k for k in range(d) if k not in (i, j)], ones, shares)
-                total = sum(w * s for w, s in zip(weights, sums))
-                a, b = sorted((path[i][0], path[j][0]))
-                part = value * (ones[i] - shares[i]) * (ones[j] - shares[j]) * total
-                acc[a, b] += part if pattern is None else part[pattern]
+    if isinstance(trees, _Lookup):
+        trees.add(x, acc)
+    else:
+        _added(x, trees, _tree_pairs, acc)
     out = np.zeros((p, p))
     for (a, b), v in acc.items():
         out[a, b] = np.abs(v).sum()
@@ -129,8 +190,9 @@ def tree_contributions(df: DataFrame, model: BoostedModel, key: str) -> DataFram
     schema = ", ".join([f"`{key}` {kind}", "base_value double", *[f"`shap_{n}` double" for n in names]])
 
     def score(batches):
+        lookup = _Lookup(trees, len(names), _tree_shap)
         for pdf in batches:
-            values = shap_matrix(pdf[names].fillna(-np.inf).to_numpy(dtype=float), trees)
+            values = shap_matrix(pdf[names].fillna(-np.inf).to_numpy(dtype=float), lookup)
             out = pd.DataFrame(values, columns=[f"shap_{n}" for n in names])
             out.insert(0, "base_value", base)
             out.insert(0, key, pdf[key].to_numpy())
@@ -150,9 +212,9 @@ def tree_interactions(df: DataFrame, model: BoostedModel) -> DataFrame:
     p = len(names)
 
     def score(batches):
-        total, n = np.zeros((p, p)), 0
+        total, n, lookup = np.zeros((p, p)), 0, _Lookup(trees, p, _tree_pairs)
         for pdf in batches:
-            total += interaction_matrix(pdf.fillna(-np.inf).to_numpy(dtype=float), trees)
+            total += interaction_matrix(pdf.fillna(-np.inf).to_numpy(dtype=float), lookup)
             n += len(pdf)
         rows = [(names[i], names[j], total[i, j], n) for i in range(p) for j in range(i + 1, p)]
         yield pd.DataFrame(rows, columns=["feature_a", "feature_b", "s", "n"])

@@ -211,3 +211,28 @@ def test_drawn_rows_are_those_below_the_share():
     uniform = (boosting._mixed(place, 77) >> np.uint64(11)).astype(float) / 2**53
     for share in (0.0, 0.3, 0.8, 1.0):
         assert np.array_equal(boosting._drawn(place, 77, share), uniform < share)
+
+
+def test_attributions_walk_leaves_once_per_place(spark, monkeypatch):
+    from residua.operators import attribution
+
+    pdf = coarse()
+    model = models.boosted_regressor(trees=4, depth=4, columns=1.0).fit(spark.createDataFrame(pdf), ["a", "b", "c"], "y")
+    paths, x = attribution.tree_paths(model), np.tile(pdf[["a", "b", "c"]].fillna(-np.inf).to_numpy(), (5, 1))
+    x[::13, 1], x[::11, 2] = np.inf, x[::11, 2] + 0.5  # between and beyond the cuts
+    values, pairs = attribution.shap_matrix(x, paths), attribution.interaction_matrix(x, paths)
+    walked = []
+    passed = attribution._passed
+    monkeypatch.setattr(attribution, "_passed", lambda rows, path: walked.append(len(rows)) or passed(rows, path))
+    for most in (1 << 14, 1):  # looked up, or by row
+        monkeypatch.setattr(attribution, "MOST_PLACES", most)
+        walked.clear()
+        shap, inter = attribution._Lookup(paths, 3, attribution._tree_shap), attribution._Lookup(paths, 3, attribution._tree_pairs)
+        assert np.array_equal(attribution.shap_matrix(x, shap), values) and np.array_equal(attribution.interaction_matrix(x, inter), pairs)
+        assert max(walked) < 500 if most > 1 else max(walked) == len(x)
+    df = spark.createDataFrame(pdf)
+    got = attribution.tree_contributions(df, model, "k").toPandas().sort_values("k")
+    assert np.allclose(got[["shap_a", "shap_b", "shap_c"]].to_numpy(), attribution.shap_matrix(pdf[["a", "b", "c"]].fillna(-np.inf).to_numpy(), paths))
+    strength = {(r["feature_a"], r["feature_b"]): r["strength"] for r in attribution.tree_interactions(df, model).collect()}
+    whole = attribution.interaction_matrix(pdf[["a", "b", "c"]].fillna(-np.inf).to_numpy(), paths) / len(pdf)
+    assert all(np.isclose(strength["abc"[i], "abc"[j]], whole[i, j]) for i in range(3) for j in range(i + 1, 3))
